@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mergedrop, mixing, quality, simhash, substring
+from . import mergedrop, mixing, quality, secrets, simhash, substring
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
+
+
 def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mergedrop.round_trip(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op7_merge_dropout, op8_substring_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
