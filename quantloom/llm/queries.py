@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mergedrop, mixing, quality, secrets, simhash, substring
+from . import mergedrop, mixing, quality, secrets, simhash, substring, warczip
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.packaged(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel")
 
@@ -38,7 +42,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op5_warc_zip, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -73,4 +77,12 @@ k AS (SELECT t.r, count(*) FILTER (g.p IS NOT NULL) AS gone, coalesce(string_agg
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)
 """
 
-ORACLES: dict[str, str] = {"op2_quality_rules": OP2_SQL, "op8_substring_dedup": OP8_SQL}
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS one FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND one < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND one < page_id THEN one END AS refers_to FROM m
+"""
+
+ORACLES: dict[str, str] = {"op5_warc_zip": OP5_SQL, "op2_quality_rules": OP2_SQL, "op8_substring_dedup": OP8_SQL}
