@@ -38,6 +38,8 @@ from . import common
 from .common import Words, covered, slices, windows
 
 LAST = 2**63 - 1
+#: Digests of copied texts are broadcast up to so many rows (of 24 bytes), and joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 class SuffixAutomaton:
@@ -196,7 +198,8 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, seed_words: int = 7, r
     texts = common.ids_and_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("digest", F.unhex(F.md5("text")))
     copies = common.written(texts.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).filter("n > 1").select("digest", "one"))
-    # Spark broadcasts copies only while its files are below its threshold.
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
     marked = texts.join(copies, "digest", "left").select("doc_id", "text", F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy"))
     single = marked.filter("not copy")
 
@@ -204,6 +207,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, seed_words: int = 7, r
     key = Window.partitionBy("key")
     runs = runs.select("*", F.count("*").over(key).alias("times"), F.max("again").over(key).alias("inside"), F.min(F.struct("doc_id", "first", "n")).over(key).alias("earliest")).filter((F.col("times") > 1) | F.col("inside"))
     runs = common.written(runs.select("doc_id", "first", "n", "key", "times", "earliest"))
+    common.release(spark)
 
     hottest = runs.filter(F.col("times") >= hot_count).filter("doc_id = earliest.doc_id and first = earliest.first").dropDuplicates(["key"]).select("doc_id", "first", "n", "key", "times").orderBy(F.desc("times"), "key").limit(reference_passages)
     hottest = common.written(hottest)
