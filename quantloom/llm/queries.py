@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mergedrop, mixing, quality, secrets, simhash, substring, toxicity, warczip
+from . import chroma, langid, mergedrop, mixing, quality, secrets, simhash, substring, toxicity, warczip
 from .common import table
 
 
@@ -50,7 +50,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_language_id, op4_toxicity, op5_warc_zip, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash)}
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.rendered)
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_language_id, op4_toxicity, op5_warc_zip, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash, op10_chroma)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
