@@ -14,7 +14,7 @@ index does what is left:
    bounded by these parameters and does not grow with the corpus.
 3. Candidate runs stream through the automata. A window that ends where the matching statistic is
    `min_words` or more occurs in the reference: it is removed unless it is that occurrence.
-   Very frequent passages thus never reach a shuffle.
+   Very frequent passages thus make no hot key in the next step.
 4. Other candidate windows go by hash to their first occurrence; later ones are removed.
 
 Edge cases: null and empty texts have no words, and an empty table gives an empty result. Rows
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, covered, slices, windows
+from .common import Words, covered, mixed, slices, windows
 
 LAST = 2**63 - 1
 #: Digests of copied texts are broadcast up to so many rows (of 24 bytes), and joined by shuffle beyond.
@@ -152,7 +152,9 @@ def _windows(batches, size: int, shards) -> object:
                                 open_[start] = False
                                 gone[start] |= where != (doc, start + size)
                 at = np.flatnonzero(open_ | gone)
-                out.append((w[at], np.full(len(at), doc, np.int64), at.astype(np.int32), gone[at]))
+                # settled windows need no partner, so they are dealt by place, not by a hash that many share
+                spread = mixed(at.astype(np.uint64) + np.uint64(doc % 2**64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                out.append((np.where(gone[at], spread, w[at]), np.full(len(at), doc, np.int64), at.astype(np.int32), gone[at]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["w", "doc_id", "start", "settled"])
 
