@@ -131,3 +131,10 @@ def turn_of_month(day: Column, ahead: Column, after: Column) -> Column:
     ordinal = weekdays(following) - weekdays(first) + 1
     left = weekdays(F.add_months(first, 1)) - weekdays(following)
     return (left <= ahead) | (ordinal <= after)
+
+
+def corr(x: str, y: str) -> Column:
+    """Correlation of rows that have both, as an aggregate; NULL without variation."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = (F.when(both, F.col(c)) for c in (x, y))
+    return F.covar_samp(a, b) / F.nullif(F.stddev_samp(a) * F.stddev_samp(b), F.lit(0.0))

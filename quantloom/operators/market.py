@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import along, change, percentile_rank, ratio, rolling, rsi, series
+from ..functions.windows import along, change, corr, percentile_rank, ratio, rolling, rsi, series
 from .align import Market
 
 #: Tickers of the macro series.
@@ -29,7 +29,7 @@ def correlations(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, a, b, corr) for pairs of assets a before b, over sessions that both have. returns: (keys, asset, n, r)."""
     left = returns.filter("r is not null").select(*keys, "n", F.col("asset").alias("a"), F.col("r").alias("x"))
     right = returns.filter("r is not null").select(*keys, "n", F.col("asset").alias("b"), F.col("r").alias("y"))
-    moments = [F.count("*").alias("m"), F.corr("x", "y").alias("corr")]
+    moments = [F.count("*").alias("m"), corr("x", "y").alias("corr")]
     return left.join(right, [*keys, "n"]).filter("a < b").groupBy(*keys, "a", "b").agg(*moments).select(*keys, "a", "b", F.when(F.col("m") > 1, F.col("corr")).alias("corr"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bootstrap_sharpe, probabilistic_sharpe
-from ..functions.windows import SO_FAR
+from ..functions.windows import SO_FAR, corr
 
 KEY = ("config_id",)
 FLAT = 1e-12
@@ -88,7 +88,7 @@ def summary(returns: DataFrame, bench: DataFrame | None = None, periods: int = 2
         beta = F.coalesce(F.covar_samp("r", "b") / F.nullif(F.var_samp("b"), F.lit(0.0)), F.lit(0.0))
         flat = F.lit(rf / periods)
         aggs += [
-            growth("b").alias("gb"), sharpe("b", periods, rf).alias("benchmark_sharpe"), beta.alias("beta"), ((F.avg("r") - flat - beta * (F.avg("b") - flat)) * periods).alias("alpha_ann"), F.when((F.stddev_samp("r") > 0) & (F.stddev_samp("b") > 0), F.corr("r", "b")).otherwise(0.0).alias("correlation"),
+            growth("b").alias("gb"), sharpe("b", periods, rf).alias("benchmark_sharpe"), beta.alias("beta"), ((F.avg("r") - flat - beta * (F.avg("b") - flat)) * periods).alias("alpha_ann"), F.when((F.stddev_samp("r") > 0) & (F.stddev_samp("b") > 0), corr("r", "b")).otherwise(0.0).alias("correlation"),
             (F.stddev_samp(active) * root).alias("tracking_error"), F.coalesce(F.avg(active) * root / F.nullif(F.stddev_samp(active), F.lit(0.0)), F.lit(0.0)).alias("information_ratio"),
         ]
     facts = rows.groupBy(*KEY).agg(*aggs).filter("m >= 2")

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import SO_FAR
+from ..functions.windows import SO_FAR, corr
 from ..operators.align import Market
 from ..operators.backtest import Settings, simulate
 from ..operators.metrics import drawdowns, growth, max_drawdown, sharpe
@@ -72,7 +72,8 @@ def walk_forward_windows(days: list[dt.date], start: dt.date, train_years: float
         out.append({"train_start": start if anchored else at - train, "train_end": at - day, "test_start": at, "test_end": end - day})
         at = end
     if len(out) > 1 and (out[-1]["test_end"] - out[-1]["test_start"]).days < 90 * test_years:
-        out[-2]["test_end"] = out.pop()["test_end"]
+        stub = out.pop()
+        out[-1]["test_end"] = stub["test_end"]
     return out
 
 
@@ -115,7 +116,7 @@ def robustness(sens: DataFrame) -> DataFrame:
     rows = rows.withColumn("i", place("is_sharpe")).withColumn("o", place("oos_sharpe"))
     best, mid = F.max("full_sharpe"), F.median("full_sharpe")
     varied = (F.count("*") > 2) & (F.stddev_samp("is_sharpe") > 0) & (F.stddev_samp("oos_sharpe") > 0)
-    return rows.groupBy("strategy").agg(F.count("*").alias("grid_size"), best.alias("best_sharpe"), mid.alias("median_sharpe"), F.when(best > 0, F.greatest(F.lit(0.0), mid / F.nullif(best, F.lit(0.0)))).otherwise(0.0).alias("median_to_best"), F.avg((F.col("full_sharpe") > 0).cast("int")).alias("frac_positive"), F.when(varied, F.corr("i", "o")).alias("is_oos_rank_corr"))
+    return rows.groupBy("strategy").agg(F.count("*").alias("grid_size"), best.alias("best_sharpe"), mid.alias("median_sharpe"), F.when(best > 0, F.greatest(F.lit(0.0), mid / F.nullif(best, F.lit(0.0)))).otherwise(0.0).alias("median_to_best"), F.avg((F.col("full_sharpe") > 0).cast("int")).alias("frac_positive"), F.when(varied, corr("i", "o")).alias("is_oos_rank_corr"))
 
 
 def stress(books: DataFrame, market: Market, settings: Settings, start, base: DataFrame, features: DataFrame) -> DataFrame:
