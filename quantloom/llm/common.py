@@ -6,6 +6,7 @@ byte of a longer character is 0x80 or more, so splitting bytes splits code point
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -57,6 +58,29 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trimmed(run):
+    """run, a function from batches to batches, which at its end gives freed memory back to the system.
+
+    Workers outlive their tasks; what they hold idle would count against the executor in the next stage.
+    """
+
+    def inner(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if (libc := _libc()) is not None and hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return inner
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Just the two columns, typed, so that further columns of docs cannot clash with an operator's own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -247,7 +247,7 @@ def fit(docs: DataFrame, sample_rows: int = 4000, sample_words: int = 100, langu
     scale = 1 << 40
     rate = F.create_map(*[x for r in names for x in (F.lit(r.lang), F.lit(min(scale, 5 * scale * each // (4 * r.n))))])
     hashed = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(scale))).filter(F.col("h") < F.element_at(rate, F.col("lang")))
-    got = hashed.select("lang", "h", "text").mapInArrow(stretch, "lang string, h long, text string")
+    got = hashed.select("lang", "h", "text").mapInArrow(common.trimmed(stretch), "lang string, h long, text string")
     # bounded: about sample_rows stretches of sample_words words
     chosen, count = [], Counter()
     for r in sorted(got.limit(2 * sample_rows).collect(), key=lambda r: (r.h, r.lang, r.text)):
@@ -281,7 +281,7 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
                             names[k], score[k] = field.labels[best[k]], min(1.0, sums[k, best[k]] / total[k])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, lang_pred string, score double")
 
 
 def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,7 +301,7 @@ def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("p", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "runs"])
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, runs array<struct<lang: string, first: int, n: int, p: double>>")
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, runs array<struct<lang: string, first: int, n: int, p: double>>")
 
 
 def identified(docs: DataFrame, **options) -> DataFrame:

@@ -268,7 +268,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, n, null)], ["doc_id", "ids"])
 
     # a null text has no ids of its own: it is cut out as empty
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -284,7 +284,7 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
             texts = [data[e - s : e].decode("utf-8", "surrogatepass") for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string(), mask=np.array(lists.is_null().to_pylist(), bool))], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(common.trimmed(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -317,4 +317,4 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, s
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, variant int, n_pieces long, n_byte_pieces long, ids_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else "")
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), schema)

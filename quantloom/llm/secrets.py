@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -134,7 +136,7 @@ def scan(docs: DataFrame, bits: float = 5.0, context: int = 80, id_col: str = "d
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
 
 
 def redact(text: str, found: list[tuple[int, int, str]], mark: str = "[{}]") -> str:
@@ -155,9 +157,13 @@ def redact(text: str, found: list[tuple[int, int, str]], mark: str = "[{}]") ->
 def redacted(docs: DataFrame, bits: float = 5.0, context: int = 80, text_col: str = "text") -> DataFrame:
     """The rows of docs, with secrets in texts replaced by their kind; null texts stay null, other columns as they are."""
 
-    @F.pandas_udf("string")
-    def clean(texts):
+    def run(batches):
         novelty = Novelty()
-        return texts.map(lambda t: t if not t else redact(t, spans(t, novelty, bits, context)), na_action="ignore")
+        for texts in batches:
+            yield texts.map(lambda t: t if not t else redact(t, spans(t, novelty, bits, context)), na_action="ignore")
+
+    @F.pandas_udf("string")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from common.trimmed(run)(batches)
 
     return docs.withColumn(text_col, clean(F.col(text_col).cast("string")))

@@ -134,7 +134,7 @@ def components(edges: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     texts = common.ids_and_texts(docs, id_col, text_col)
-    prints = common.written(texts.mapInArrow(lambda it: _prints(it, shingle), "doc_id long, fp long"))
+    prints = common.written(texts.mapInArrow(common.trimmed(lambda it: _prints(it, shingle)), "doc_id long, fp long"))
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = common.written(components(links(one, distance)))
     # a component's smallest doc_id

@@ -205,7 +205,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, seed_words: int = 7, r
     marked = texts.join(copies, "digest", "left").select("doc_id", "text", F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy"))
     single = marked.filter("not copy")
 
-    runs = single.mapInArrow(lambda it: _runs(it, seed, size), "key long, doc_id long, first int, n int, again boolean")
+    runs = single.mapInArrow(common.trimmed(lambda it: _runs(it, seed, size)), "key long, doc_id long, first int, n int, again boolean")
     key = Window.partitionBy("key")
     runs = runs.select("*", F.count("*").over(key).alias("times"), F.max("again").over(key).alias("inside"), F.min(F.struct("doc_id", "first", "n")).over(key).alias("earliest")).filter((F.col("times") > 1) | F.col("inside"))
     runs = common.written(runs.select("doc_id", "first", "n", "key", "times", "earliest"))
@@ -216,18 +216,18 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, seed_words: int = 7, r
     shards = None
     if not hottest.isEmpty():
         wanted = hottest.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-        found = texts.join(F.broadcast(wanted), "doc_id").mapInArrow(lambda it: _passages(it, size), "doc_id long, first int, words array<long>")
+        found = texts.join(F.broadcast(wanted), "doc_id").mapInArrow(common.trimmed(lambda it: _passages(it, size)), "doc_id long, first int, words array<long>")
         shards = spark.sparkContext.broadcast(_automata(found.collect(), shard_words))
     hot = F.broadcast(hottest.select("key", F.lit(True).alias("hot")))
     wanted = runs.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     wanted = common.written(wanted)
-    found = single.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(lambda it: _windows(it, size, shards), "w long, doc_id long, start int, settled boolean")
+    found = single.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(common.trimmed(lambda it: _windows(it, size, shards)), "w long, doc_id long, start int, settled boolean")
     first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("w", "settled"))
     found = found.select("doc_id", "start", "settled", first.alias("one"))
     gone = found.filter(F.col("settled") | (F.struct("doc_id", "start") > F.col("one"))).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
     gone = common.written(gone)
     common.release(spark)
-    out = marked.join(gone, "doc_id", "left").select("doc_id", "text", "copy", "starts").mapInArrow(lambda it: _kept(it, size), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = marked.join(gone, "doc_id", "left").select("doc_id", "text", "copy", "starts").mapInArrow(common.trimmed(lambda it: _kept(it, size)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 

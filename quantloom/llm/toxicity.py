@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from . import common
 CATEGORIES = (("toxic_junk", "toxic = 1 and quality = 0"), ("toxic_fluent", "toxic = 1 and quality = 1"), ("toxic", "toxic = 1"))
 _WORD = re.compile(r"[^\W\d_]+")
 _STARTS = range(4, 10)
-_CACHE = 200_000
+_CACHE = 100_000
 _SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _CAPITALS = bytes(range(65, 91))
 
@@ -148,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
     n, t = totals[0], totals[1] or 0
     if not t or t == n:
         return None
-    counted = rows.select("text", last).mapInArrow(count, "a string, clean long, toxic long").groupBy("a").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counted = rows.select("text", last).mapInArrow(common.trimmed(count), "a string, clean long, toxic long").groupBy("a").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     rate = F.col("t") / t / ((F.col("c") + F.lit(0.5)) / (n - t))
     # expected log-likelihood gain of knowing the affix, for those that speak for toxicity
     chosen = counted.filter((F.col("t") >= 4) & (rate > 3)).select("a", (F.col("t") * F.log(rate)).alias("gain")).orderBy(F.desc("gain"), "a").limit(features).collect()
@@ -164,7 +165,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
             )
 
     # bounded: sample_rows rows of at most `features` counts
-    got = rows.mapInArrow(read, "doc_id long, " + "".join(f"y{k} int, " for k in range(len(names))) + "at array<int>, n array<int>, dense array<double>").collect()
+    got = rows.mapInArrow(common.trimmed(read), "doc_id long, " + "".join(f"y{k} int, " for k in range(len(names))) + "at array<int>, n array<int>, dense array<double>").collect()
     x = np.array([_row(dict(zip(r.at, r.n, strict=True)), r.dense, len(affixes)) for r in got])
     y = np.array([[r[f"y{k}"] for k in range(len(names))] for r in got], float)
     order = np.argsort([r.doc_id for r in got], kind="stable")
@@ -190,21 +191,22 @@ def scored(docs: DataFrame, chain: Chain | None, threshold: float = 0.5, text_co
         return docs.withColumn(into, F.struct(*[F.lit(0.0).alias(f"p_{n}") for n in names], F.lit(False).alias("toxic")))
     shared = docs.sparkSession.sparkContext.broadcast(chain)
 
-    @F.pandas_udf(kind)
-    def score(texts: pd.Series) -> pd.DataFrame:
+    def run(batches):
         model = shared.value
-        reader = model.reader()
-        n = len(model.names)
-        x = np.zeros((len(texts), n + 2))
-        for k, text in enumerate(texts):
-            if text:
-                for at, c in reader.counts(text).items():
-                    x[k, at] = np.log1p(c)
-                x[k, n:] = _dense(text)
-        p = model.predict(x)
-        out = pd.DataFrame(p, columns=[f"p_{c}" for c in model.categories])
-        out["toxic"] = p[:, -1] >= threshold
-        return out
+        reader, n = model.reader(), len(model.names)
+        for texts in batches:
+            x = np.zeros((len(texts), n + 2))
+            for k, text in enumerate(texts):
+                if text:
+                    for at, c in reader.counts(text).items():
+                        x[k, at] = np.log1p(c)
+                    x[k, n:] = _dense(text)
+            p = model.predict(x)
+            yield pd.DataFrame(p, columns=[f"p_{c}" for c in model.categories]).assign(toxic=p[:, -1] >= threshold)
+
+    @F.pandas_udf(kind)
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from common.trimmed(run)(batches)
 
     return docs.withColumn(into, score(F.col(text_col).cast("string")))
 

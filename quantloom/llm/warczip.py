@@ -208,7 +208,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
         if n:
             yield close()
 
-    return common.written(dealt(pages, least).mapInArrow(run, "uri string, records long, bytes long"), pages.sparkSession)
+    return common.written(dealt(pages, least).mapInArrow(common.trimmed(run), "uri string, records long, bytes long"), pages.sparkSession)
 
 
 def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
@@ -250,8 +250,8 @@ def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
 
     spark = archives.sparkSession
     n = spark.sparkContext.defaultParallelism
-    located = archives.select("uri").mapInArrow(locate, "uri string, offsets array<long>, lengths array<long>")
-    return located.repartition(max(n, 4 * n)).mapInArrow(fetch, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    located = archives.select("uri").mapInArrow(common.trimmed(locate), "uri string, offsets array<long>, lengths array<long>")
+    return located.repartition(max(n, 4 * n)).mapInArrow(common.trimmed(fetch), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 def _batch(rows) -> pa.RecordBatch:
