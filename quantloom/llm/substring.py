@@ -153,7 +153,7 @@ def _windows(batches, size: int, shards) -> object:
                                 gone[start] |= where != (doc, start + size)
                 at = np.flatnonzero(open_ | gone)
                 # settled windows need no partner, so they are dealt by place, not by a hash that many share
-                spread = mixed(at.astype(np.uint64) + np.uint64(doc % 2**64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+                spread = mixed(at.astype(np.uint64) + np.uint64(doc * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
                 out.append((np.where(gone[at], spread, w[at]), np.full(len(at), doc, np.int64), at.astype(np.int32), gone[at]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["w", "doc_id", "start", "settled"])
