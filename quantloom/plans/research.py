@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -120,7 +121,9 @@ class Research:
         """Everything about each strategy but its significance; all share each simulation."""
         c, m, s, w = self.config, self.market, self.settings, self.windows
         periods, rf, start = s.periods, s.risk_free_rate, validation.first_day(w["wf"])
-        looks = validation.lookahead(strategies, m)
+        # independent jobs run side by side: each is a few short stages, which leave most of a cluster idle
+        pool = ThreadPoolExecutor(6)
+        looks = pool.submit(validation.lookahead, strategies, m)
         targets, sets = validation.grid_targets(strategies, m, c.max_grid, c.seed)
         targets = written(targets)
         sim = simulate(targets, m, s, self.features)
@@ -143,26 +146,41 @@ class Research:
         wf = simulate(books, m, s, self.features)
         wf_daily, wf_assets = written(wf.daily), written(wf.by_asset)
         wf_returns = written(validation.dated(wf_daily, m.bench, start))
-        summary = metrics.summary(wf_returns, self.bench, periods, rf, trades(wf_assets, m.bench), wf_daily, wf_assets)
-        summary = {r.config_id: r.asDict() for r in summary.collect()}
+
+        def collected(df: DataFrame) -> list:
+            return df.collect()
+
+        def summarised(rows: DataFrame, *more) -> dict[str, dict]:
+            return {r.config_id: r.asDict() for r in metrics.summary(rows, self.bench, periods, rf, *more).collect()}
+
+        def left_out() -> dict[str, dict]:
+            if len(m.assets) < 2:
+                return {}
+            rows, found = validation.dated(simulate(validation.leave_one_out(books, pnl), m, s, self.features).daily, m.bench, start), {}
+            for r in rows.groupBy("config_id").agg(metrics.sharpe("r", periods, rf).alias("s")).collect():
+                name, asset = r.config_id.rsplit("|", 1)
+                found.setdefault(name, {})[asset] = r.s
+            return found
+
         own = returns.filter(F.col("config_id").isin(list(best.values())))
-        names = {v: k for k, v in best.items()}
-        samples = {kind: {names[r.config_id]: r.asDict() for r in metrics.summary(own.filter(F.col("date").between(F.lit(a), F.lit(b))), self.bench, periods, rf).collect()} for kind, a, b in (("is", w["start"], w["split"]), ("oos", w["split"], m.sessions()[-1]))}
+        names, last = {v: k for k, v in best.items()}, m.sessions()[-1]
+        pnl = written(validation.contributions(wf_assets, m.bench, start))
+        summary = pool.submit(summarised, wf_returns, trades(wf_assets, m.bench), wf_daily, wf_assets)
+        samples = {kind: pool.submit(summarised, own.filter(F.col("date").between(F.lit(a), F.lit(b)))) for kind, a, b in (("is", w["start"], w["split"]), ("oos", w["split"], last))}
+        stressed = pool.submit(collected, validation.stress(books, m, s, start, wf_returns, self.features))
+        without = pool.submit(left_out)
+        regimes = pool.submit(validation.frame, validation.regime_breakdown(wf_returns, self.bench, self.regimes, periods, rf))
+        crises = pool.submit(validation.frame, validation.crises(wf_returns, self.bench, c.source != "synthetic", start))
+        shares = pool.submit(collected, validation.concentration(pnl))
         sens = written(validation.sensitivity(returns, w["start"], w["split"], periods, rf))
         robust = {r.strategy: r.asDict() for r in validation.robustness(sens).collect()}
         stress: dict = {}
-        for r in validation.stress(books, m, s, start, wf_returns, self.features).collect():
+        for r in stressed.result():
             stress.setdefault(r.config_id, {})[r.scenario] = r.sharpe
-        regimes = validation.frame(validation.regime_breakdown(wf_returns, self.bench, self.regimes, periods, rf))
-        crises = validation.frame(validation.crises(wf_returns, self.bench, c.source != "synthetic", start))
-        pnl = written(validation.contributions(wf_assets, m.bench, start))
-        shares = {r.config_id: r for r in validation.concentration(pnl).collect()}
-        without: dict = {}
-        if len(m.assets) > 1:
-            rows = validation.dated(simulate(validation.leave_one_out(books, pnl), m, s, self.features).daily, m.bench, start)
-            for r in rows.groupBy("config_id").agg(metrics.sharpe("r", periods, rf).alias("s")).collect():
-                name, asset = r.config_id.rsplit("|", 1)
-                without.setdefault(name, {})[asset] = r.s
+        summary, without, regimes, crises, looks = (x.result() for x in (summary, without, regimes, crises, looks))
+        samples = {kind: {names[k]: v for k, v in x.result().items()} for kind, x in samples.items()}
+        shares = {r.config_id: r for r in shares.result()}
+        pool.shutdown()
         by_asset = validation.frame(pnl)
         return {
             st.name: {
