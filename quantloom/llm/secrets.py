@@ -17,6 +17,7 @@ repeated rows each get their row; an empty table gives an empty result. Only id
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -91,22 +92,40 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def _joint(taken: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that the spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b, _ in sorted(taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, bits: float, context: int) -> list[tuple[int, int, str]]:
-    found = []
+    """Each run is judged once, however many sensitive words stand near it."""
+    found, judged = [], set()
+    starts, ends = _joint(taken)
     for near in SENSITIVE.finditer(text):
         for m in TOKEN.finditer(text, near.end(), min(len(text), near.end() + context)):
-            end = m.end()
+            start, end = m.span()
+            if start in judged:
+                continue
+            judged.add(start)
             if end == near.end() + context:  # the window cuts it: take the whole run
-                end = TOKEN.match(text, m.start()).end()
-            span = (m.start(), end, "novel")
-            run = text[m.start() : end]
-            if span in found or m.start() and TOKEN.match(text[m.start() - 1] * 16) or any(a < end and m.start() < b for a, b, _ in taken):
+                end = TOKEN.match(text, start).end()
+            k = bisect.bisect_right(ends, start)
+            if start and TOKEN.match(text[start - 1] * 16) or k < len(starts) and starts[k] < end:
                 continue
+            run = text[start:end]
             if sum(any(map(f, run)) for f in (str.islower, str.isupper, str.isdigit)) < 2:
                 continue
-            around = text[max(0, m.start() - context) : m.start()] + text[end : end + context]
+            around = text[max(0, start - context) : start] + text[end : end + context]
             if novelty.bits(around.encode("utf-8", "replace"), run.encode()) >= bits:
-                found.append(span)
+                found.append((start, end, "novel"))
     return found
 
 

@@ -63,3 +63,20 @@ def test_redaction(spark):
 
 def test_empty(spark):
     assert S.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_novel_spans_against_every_run_of_a_long_text():
+    r, novelty, bits, context = random.Random(5), S.Novelty(), 5.0, 80
+    key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    text = "\n".join(f"token = {key(20)} and session bearer {key(r.randint(10, 99))} secret{key(18)} {key(30)}" for _ in range(150))
+    base, want = S.base_spans(text), []
+    near = [m.end() for m in S.SENSITIVE.finditer(text)]
+    for m in S.TOKEN.finditer(text):
+        a, b, run = *m.span(), m[0]
+        sensitive = any(e <= a and a + 16 <= e + context for e in near)
+        mixed = sum((any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run))) >= 2
+        if sensitive and mixed and not any(x < b and a < y for x, y, _ in base):
+            around = text[max(0, a - context) : a] + text[b : b + context]
+            if novelty.bits(around.encode(), run.encode()) >= bits:
+                want.append((a, b, "novel"))
+    assert len(want) > 100 and S.novel_spans(text, base, novelty, bits, context) == want
