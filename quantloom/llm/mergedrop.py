@@ -14,7 +14,7 @@ vocabulary's, not the corpus's.
 Decoding is exact: characters without a piece become byte pieces, and so does U+2581 itself, which
 SentencePiece would give back as a space.
 
-Edge cases: null texts have null ids and decode to null; empty ones have none. Length is not limited,
+Edge cases: null texts have null ids and decode to null (round_trip gives them an empty list); empty ones have none. Length is not limited,
 ids go from whole texts. Repeated rows are encoded alike; rows without an id have variant 0. An
 empty table gives an empty result. Only id and text are read, so other columns cannot clash.
 """
