@@ -76,7 +76,9 @@ def _prints(batches, shingle: int):
                 h += own
                 n.append(len(own))
             print_ = _fingerprints(np.array(h, np.uint64), np.array(n, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_.view(np.int64))], ["doc_id", "fp"])
+            # further columns, as a key of the text, go through as they are
+            rest = [name for name in part.schema.names if name not in ("doc_id", "text")]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_.view(np.int64)), *map(part.column, rest)], ["doc_id", "fp", *rest])
 
 
 def ball(fp, segments: int = 2):
@@ -131,14 +133,37 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()) if before[0] else spark.createDataFrame([], "node long, root long")
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
+def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False) -> DataFrame:
+    """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
+
+    With keep_key also root (one fingerprint of the component, which names it even where ids repeat) and h (a hash of the text).
+    """
     texts = common.ids_and_texts(docs, id_col, text_col)
-    prints = common.written(texts.mapInArrow(common.trimmed(lambda it: _prints(it, shingle)), "doc_id long, fp long"))
+    kind, more = "doc_id long, fp long", []
+    if keep_key:
+        texts, kind, more = texts.withColumn("h", F.xxhash64("text")), kind + ", h long", ["root", "h"]
+    prints = common.written(texts.mapInArrow(common.trimmed(lambda it: _prints(it, shingle)), kind))
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = common.written(components(links(one, distance)))
     # a component's smallest doc_id
     named = one.join(found, one.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(linked, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = named.join(linked, "root").select("fp", "component_id", *more[:1])
+    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of each component, the row of smallest id (of such rows, that whose text has the smallest hash), once. Rows without an id stay.
+
+    Rows that share an id but not a component are documents of their own.
+    """
+    found = common.written(simhash_components(docs, id_col=id_col, text_col=text_col, keep_key=True, **options))
+    kept = found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.count("*").alias("n"))
+    kept = common.written(kept.select(F.col("row.doc_id").alias("__id"), F.col("row.h").alias("__h"), "n"))
+    # components whose representatives are alike in id and hash would be one text, so these keys are distinct
+    own = F.col(id_col).cast("long")
+    rows = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
+    one = rows.join(kept.select("__id", "__h"), (own == F.col("__id")) & (F.col("__key") == F.col("__h")), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        one = one.dropDuplicates([id_col, "__key"])
+    return one.union(rows.filter(own.isNull())).select(docs.columns)
