@@ -3,19 +3,19 @@
 As in SentencePiece, a text that is not empty gets a space in front, spaces become U+2581, and the agenda merges the
 two neighbours whose union is the best-scored piece (the leftmost of equals) until none is left.
 Here each candidate merge (its start, middle and end in its chunk) is skipped for good if its keyed
-hash is below `dropout`, so segmentations vary with the seed and with the document's variant, and
-reruns and other machines give the same ones. At dropout 0 the pieces are SentencePiece's own.
+hash is below `dropout`. The key is of the seed, the document, its copy number and the chunk's place
+in it, so every occurrence of a word draws anew, and reruns and other machines give the same ones. At dropout 0 the pieces are SentencePiece's own.
 
 No piece of a model spans a change to a space or certain characters, as line feeds (checked when
-the model is read), so texts are cut into chunks there and each distinct chunk of a slice is merged
-once. All chunks take their merges in step, on flat arrays. The model is broadcast: its size is its
+the model is read), so texts are cut into chunks there, and at dropout 0 each distinct chunk of a
+slice is merged once. All chunks take their merges in step, on flat arrays. The model is broadcast: its size is its
 vocabulary's, not the corpus's.
 
 Decoding is exact: characters without a piece become byte pieces, and so does U+2581 itself, which
 SentencePiece would give back as a space.
 
 Edge cases: null texts have null ids and decode to null (round_trip gives them an empty list); empty ones have none. Length is not limited,
-ids go from whole texts. Repeated rows are encoded alike; rows without an id have variant 0. An
+ids go from whole texts. Repeated rows are encoded alike, unless `copy_col` numbers them; rows without an id have one key. An
 empty table gives an empty result. Only id and text are read, so other columns cannot clash.
 """
 
@@ -26,13 +26,16 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import common
-from .common import Words, mixed, slices
+from .common import SLICE_BYTES, Words, mixed, slices
 
 SPACE_MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NONE = np.int64(2**30)
+#: Every chunk of a slice is merged on its own, so slices are smaller here, and their arrays stay in the cache.
+PART_BYTES = SLICE_BYTES // 16
 
 
 class Model:
@@ -128,8 +131,8 @@ def _segment(model: Model, codes: np.ndarray, n: np.ndarray, key: np.ndarray, dr
     """Symbols of chunks (n code points each, one after another), and their number by chunk. Negative symbols are -1 - code point."""
     sym = np.where(model.symbol[codes] >= 0, model.symbol[codes], -1 - codes.astype(np.int64))
     starts = np.cumsum(n) - n
-    chunk = np.repeat(np.arange(len(n)), n)
-    begin = np.arange(len(codes)) - np.repeat(starts, n)
+    chunk = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    begin = (np.arange(len(codes)) - np.repeat(starts, n)).astype(np.int32)
     limit = np.uint64(min(int(dropout * 2**64), 2**64 - 1))
 
     def pairs(at, sym, chunk, begin, end):
@@ -198,12 +201,17 @@ def _to_ids(model: Model, sym: np.ndarray, count: np.ndarray) -> tuple[np.ndarra
 
 
 def encode_arrow(model: Model, texts: pa.Array, variant: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and their number by text."""
+    """Ids of all texts one after another, and their number by text. Each chunk draws by its text's variant and by its place in it."""
     chunks = _Chunks(texts)
     if not len(chunks.start):
         return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
     h = chunks.hashes()
-    key = h if dropout <= 0 else mixed(h ^ np.repeat(mixed(variant.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 1) % 2**64)), chunks.n))
+    if dropout <= 0:
+        key = h
+    else:
+        own = mixed(variant.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 1) % 2**64))
+        nth = (np.arange(len(h)) - np.repeat(chunks.first[:-1], chunks.n)).astype(np.uint64)
+        key = mixed(h ^ mixed(np.repeat(own, chunks.n) + nth * np.uint64(0xC2B2AE3D27D4EB4F)))
     distinct, at, inverse = np.unique(key, return_index=True, return_inverse=True)
     length = chunks.end[at] - chunks.start[at]
     raw = chunks.buf[_spread(chunks.start[at], length)]
@@ -243,10 +251,16 @@ def decode_ids(model: Model, ids: np.ndarray, n: np.ndarray) -> tuple[np.ndarray
     return raw[left], size - front
 
 
-def _variants(doc_id: pa.Array, seed: int, variants: int) -> np.ndarray:
-    ids = np.array(doc_id.fill_null(0).to_pylist(), np.int64).view(np.uint64)
-    v = (mixed(ids ^ mixed(np.full(1, seed + 1, np.uint64))) % np.uint64(variants)).astype(np.int64)
-    return np.where(np.array(doc_id.is_null().to_pylist(), bool), 0, v)
+def _variants(part: pa.RecordBatch) -> np.ndarray:
+    """A key for each row, of its id and copy number."""
+    ids = np.array(part.column("doc_id").fill_null(0).to_pylist(), np.int64).view(np.uint64)
+    key = np.where(np.array(part.column("doc_id").is_null().to_pylist(), bool), np.uint64(0), mixed(ids ^ np.uint64(0x9E3779B97F4A7C15)))
+    return mixed(key + np.array(part.column("copy").to_pylist(), np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _numbered(docs: DataFrame, id_col: str, text_col: str, copy_col: str | None) -> DataFrame:
+    """Ids, texts and copy numbers: those of copy_col, or 0."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(copy_col).cast("int") if copy_col else F.lit(0)).alias("copy"))
 
 
 def _lists(ids: np.ndarray, n: np.ndarray, null: pa.Array) -> pa.Array:
@@ -255,20 +269,20 @@ def _lists(ids: np.ndarray, n: np.ndarray, null: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
     """Per row: doc_id, ids (null for a null text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model_path))
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
-                ids, n = encode_arrow(shared.value, part.column("text"), _variants(part.column("doc_id"), seed, variants), dropout, seed)
+            for part in slices(batch, most=PART_BYTES):
+                ids, n = encode_arrow(shared.value, part.column("text"), _variants(part), dropout, seed)
                 null = part.column("text").is_null()
                 n = np.where(np.array(null.to_pylist(), bool), 0, n)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids, n, null)], ["doc_id", "ids"])
 
     # a null text has no ids of its own: it is cut out as empty
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, ids array<int>")
+    return _numbered(docs, id_col, text_col, copy_col).mapInArrow(common.trimmed(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
@@ -287,8 +301,8 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(common.trimmed(run), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, variants: int = 4, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, variant, n_pieces, n_byte_pieces, ids_sha256 (of little-endian 32-bit ids), lossless, and ids if asked for.
+def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
+    """Per row: doc_id, variant (the copy number), n_pieces, n_byte_pieces, ids_sha256 (of little-endian 32-bit ids), lossless, and ids if asked for.
 
     Encodes and decodes in one pass, and compares with the text byte by byte.
     """
@@ -296,10 +310,9 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, s
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=PART_BYTES):
                 model, texts = shared.value, part.column("text")
-                variant = _variants(part.column("doc_id"), seed, variants)
-                ids, n = encode_arrow(model, texts, variant, dropout, seed)
+                ids, n = encode_arrow(model, texts, _variants(part), dropout, seed)
                 raw, size = decode_ids(model, ids, n)
                 plain = Words(texts)
                 same = size == np.diff(plain.off)
@@ -310,11 +323,11 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, s
                 ends = np.cumsum(n)
                 data = ids.astype("<i4").tobytes()
                 sha = [hashlib.sha256(data[4 * (e - k) : 4 * e]).hexdigest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                columns = [part.column("doc_id"), pa.array(variant.astype(np.int32)), pa.array(n), pa.array(isbyte[ends] - isbyte[ends - n]), pa.array(sha), pa.array(same)]
+                columns = [part.column("doc_id"), part.column("copy"), pa.array(n), pa.array(isbyte[ends] - isbyte[ends - n]), pa.array(sha), pa.array(same)]
                 names = ["doc_id", "variant", "n_pieces", "n_byte_pieces", "ids_sha256", "lossless"]
                 if with_ids:
                     columns, names = [*columns, _lists(ids, n, pa.array([False] * len(n)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = "doc_id long, variant int, n_pieces long, n_byte_pieces long, ids_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else "")
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), schema)
+    return _numbered(docs, id_col, text_col, copy_col).mapInArrow(common.trimmed(run), schema)

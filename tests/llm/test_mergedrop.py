@@ -99,3 +99,19 @@ def test_operators(spark, model):
     for r in digests:
         assert r.n_pieces == len(r.ids) and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<i4").tobytes()).hexdigest()
     assert M.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_every_occurrence_document_and_copy_draws_anew(spark, model):
+    ids = ids_of(model, [" ".join(["International"] * 400)], 0.1)[0]
+    pieces = [model.bytes[model.offset[i] : model.offset[i] + model.length[i]].tobytes() for i in ids]
+    seen, word = set(), []
+    for p in [*pieces, b" "]:
+        if p.startswith(b" ") and word:
+            seen.add(tuple(word))
+            word = []
+        word.append(p)
+    assert len(seen) > 4
+    docs = spark.createDataFrame([(i, "International cooperation on standards", c) for i in range(40) for c in (0, 1)], "doc_id long, text string, nth int")
+    got = M.round_trip(docs, dropout=0.3, copy_col="nth").collect()
+    digests = {(r.doc_id, r.variant): r.ids_sha256 for r in got}
+    assert len(set(digests.values())) > 8 and any(digests[i, 0] != digests[i, 1] for i in range(40)) and all(r.lossless for r in got)
