@@ -18,8 +18,9 @@ index does what is left:
 4. Other candidate windows go by hash to their first occurrence; later ones are removed.
 
 Edge cases: null and empty texts have no words, and an empty table gives an empty result. Rows
-without an id come last in the order, as one document. Rows with equal id and text are one document
-and get the same answer. Exact copies of a text are settled by digest first: all words of the later
+without an id come last in the order. Rows with equal id and text are one document and get the same
+answer; where an id has several texts, each is a document, and a hash of the text (`tie`, 0
+elsewhere) orders and tells them apart. Exact copies of a text are settled by digest first: all words of the later
 ones go, if there are `min_words` at least. Other columns are ignored.
 """
 
@@ -53,7 +54,7 @@ class SuffixAutomaton:
         self.link, self.length, self.where = [-1], [0], [None]
         self.last, self.breaks = 0, 0
 
-    def add(self, tokens, place: int, start: int) -> None:
+    def add(self, tokens, place, start: int) -> None:
         """Append a sequence found at word `start` of document `place`."""
         for i, token in enumerate(tokens):
             self._extend(token, (place, start + i + 1))
@@ -118,13 +119,13 @@ def _runs(batches, seed: int, size: int):
         for part in slices(batch):
             words, out = Words(part.column("text")), []
             h = words.hashes()
-            for doc, a, b in zip(part.column("doc_id").to_pylist(), words.first[:-1], words.first[1:], strict=True):
+            for doc, tie, a, b in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), words.first[:-1], words.first[1:], strict=True):
                 if b - a >= size:
                     key, first, n, again = _minimizers(h[a:b], seed, size)
-                    out.append((np.full(len(key), doc), key, first, n, again))
+                    out.append((np.full(len(key), doc), np.full(len(key), tie), key, first, n, again))
             if out:
-                doc, key, first, n, again = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "doc_id", "first", "n", "again"])
+                doc, tie, key, first, n, again = (np.concatenate(x) for x in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array(tie.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "doc_id", "tie", "first", "n", "again"])
 
 
 def _windows(batches, size: int, shards) -> object:
@@ -134,7 +135,7 @@ def _windows(batches, size: int, shards) -> object:
         for part in slices(batch):
             words, out = Words(part.column("text")), []
             h = words.hashes()
-            for doc, a, b, runs in zip(part.column("doc_id").to_pylist(), words.first[:-1], words.first[1:], part.column("runs").to_pylist(), strict=True):
+            for doc, tie, a, b, runs in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), words.first[:-1], words.first[1:], part.column("runs").to_pylist(), strict=True):
                 own = h[a:b]
                 w = windows(own, size).view(np.int64)
                 open_, hot = np.zeros(len(w), bool), np.zeros(len(w), bool)
@@ -150,13 +151,13 @@ def _windows(batches, size: int, shards) -> object:
                             if held >= size:
                                 start = x + i - size + 1
                                 open_[start] = False
-                                gone[start] |= where != (doc, start + size)
+                                gone[start] |= where != ((doc, tie), start + size)
                 at = np.flatnonzero(open_ | gone)
                 # settled windows need no partner, so they are dealt by place, not by a hash that many share
-                spread = mixed(at.astype(np.uint64) + np.uint64(doc * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64)
-                out.append((np.where(gone[at], spread, w[at]), np.full(len(at), doc, np.int64), at.astype(np.int32), gone[at]))
+                spread = mixed(at.astype(np.uint64) + np.uint64((doc * 0x9E3779B97F4A7C15 + tie) % 2**64)).view(np.int64)
+                out.append((np.where(gone[at], spread, w[at]), np.full(len(at), doc, np.int64), np.full(len(at), tie, np.int64), at.astype(np.int32), gone[at]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["w", "doc_id", "start", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["w", "doc_id", "tie", "start", "settled"])
 
 
 def _spans(mask: np.ndarray):
@@ -170,9 +171,9 @@ def _passages(batches, size: int):
         rows: list[tuple] = []
         words = Words(batch.column("text"))
         h = words.hashes().view(np.int64)
-        for doc, a, b, runs in zip(batch.column("doc_id").to_pylist(), words.first[:-1], words.first[1:], batch.column("runs").to_pylist(), strict=True):
-            rows += [(doc, r["first"], h[a:b][r["first"] : r["first"] + r["n"] + size - 1].tolist()) for r in runs]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc_id", "first", "words"])
+        for doc, tie, a, b, runs in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), words.first[:-1], words.first[1:], batch.column("runs").to_pylist(), strict=True):
+            rows += [(doc, tie, r["first"], h[a:b][r["first"] : r["first"] + r["n"] + size - 1].tolist()) for r in runs]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "tie", "first", "words"])
 
 
 def _kept(batches, size: int):
@@ -199,45 +200,48 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, seed_words: int = 7, r
     size, seed = min_words, min(seed_words, min_words)
     texts = common.ids_and_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("digest", F.unhex(F.md5("text")))
+    # only ids that have several texts need more than the id to tell documents apart
+    shared = common.written(texts.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg((F.min("x") < F.max("x")).alias("many")).filter("many"))
+    texts = texts.join(shared, "doc_id", "left").select("doc_id", "text", "digest", F.when(F.col("many"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tie"))
     copies = common.written(texts.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).filter("n > 1").select("digest", "one"))
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    marked = texts.join(copies, "digest", "left").select("doc_id", "text", F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy"))
+    marked = texts.join(copies, "digest", "left").select("doc_id", "tie", "text", F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy"))
     single = marked.filter("not copy")
 
-    runs = single.mapInArrow(common.trimmed(lambda it: _runs(it, seed, size)), "key long, doc_id long, first int, n int, again boolean")
+    runs = single.mapInArrow(common.trimmed(lambda it: _runs(it, seed, size)), "key long, doc_id long, tie long, first int, n int, again boolean")
     key = Window.partitionBy("key")
-    runs = runs.select("*", F.count("*").over(key).alias("times"), F.max("again").over(key).alias("inside"), F.min(F.struct("doc_id", "first", "n")).over(key).alias("earliest")).filter((F.col("times") > 1) | F.col("inside"))
-    runs = common.written(runs.select("doc_id", "first", "n", "key", "times", "earliest"))
+    runs = runs.select("*", F.count("*").over(key).alias("times"), F.max("again").over(key).alias("inside"), F.min(F.struct("doc_id", "tie", "first", "n")).over(key).alias("earliest")).filter((F.col("times") > 1) | F.col("inside"))
+    runs = common.written(runs.select("doc_id", "tie", "first", "n", "key", "times", "earliest"))
     common.release(spark)
 
-    hottest = runs.filter(F.col("times") >= hot_count).filter("doc_id = earliest.doc_id and first = earliest.first").dropDuplicates(["key"]).select("doc_id", "first", "n", "key", "times").orderBy(F.desc("times"), "key").limit(reference_passages)
+    hottest = runs.filter(F.col("times") >= hot_count).filter("doc_id = earliest.doc_id and tie = earliest.tie and first = earliest.first").dropDuplicates(["key"]).select("doc_id", "tie", "first", "n", "key", "times").orderBy(F.desc("times"), "key").limit(reference_passages)
     hottest = common.written(hottest)
     shards = None
     if not hottest.isEmpty():
-        wanted = hottest.groupBy("doc_id").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-        found = texts.join(F.broadcast(wanted), "doc_id").mapInArrow(common.trimmed(lambda it: _passages(it, size)), "doc_id long, first int, words array<long>")
+        wanted = hottest.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
+        found = texts.join(F.broadcast(wanted), ["doc_id", "tie"]).mapInArrow(common.trimmed(lambda it: _passages(it, size)), "doc_id long, tie long, first int, words array<long>")
         shards = spark.sparkContext.broadcast(_automata(found.collect(), shard_words))
     hot = F.broadcast(hottest.select("key", F.lit(True).alias("hot")))
-    wanted = runs.join(hot, "key", "left").groupBy("doc_id").agg(F.collect_list(F.struct("first", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    wanted = runs.join(hot, "key", "left").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
     wanted = common.written(wanted)
-    found = single.join(wanted, "doc_id").select("doc_id", "text", "runs").mapInArrow(common.trimmed(lambda it: _windows(it, size, shards)), "w long, doc_id long, start int, settled boolean")
-    first = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("w", "settled"))
-    found = found.select("doc_id", "start", "settled", first.alias("one"))
-    gone = found.filter(F.col("settled") | (F.struct("doc_id", "start") > F.col("one"))).groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
+    found = single.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "runs").mapInArrow(common.trimmed(lambda it: _windows(it, size, shards)), "w long, doc_id long, tie long, start int, settled boolean")
+    first = F.min(F.struct("doc_id", "tie", "start")).over(Window.partitionBy("w", "settled"))
+    found = found.select("doc_id", "tie", "start", "settled", first.alias("one"))
+    gone = found.filter(F.col("settled") | (F.struct("doc_id", "tie", "start") > F.col("one"))).groupBy("doc_id", "tie").agg(F.collect_set("start").alias("starts"))
     gone = common.written(gone)
     common.release(spark)
-    out = marked.join(gone, "doc_id", "left").select("doc_id", "text", "copy", "starts").mapInArrow(common.trimmed(lambda it: _kept(it, size)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    out = marked.join(gone, ["doc_id", "tie"], "left").select("doc_id", "text", "copy", "starts").mapInArrow(common.trimmed(lambda it: _kept(it, size)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
 def _automata(rows, shard_words: int) -> list[bytes]:
     """Suffix automata of the passages, each of about shard_words words; passages of many are one shard's."""
     made, held, current = [], 0, SuffixAutomaton()
-    for doc, first, words in sorted(set((r.doc_id, r.first, tuple(r.words)) for r in rows)):
+    for doc, tie, first, words in sorted(set((r.doc_id, r.tie, r.first, tuple(r.words)) for r in rows)):
         if held and held + len(words) > shard_words:
             made.append(pickle.dumps(current))
             held, current = 0, SuffixAutomaton()
-        current.add(words, doc, first)
+        current.add(words, (doc, tie), first)
         held += len(words)
     return [*made, pickle.dumps(current)]

@@ -63,6 +63,21 @@ def test_substring_random(spark, hot):
     assert Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect())) == brute_substring(rows)
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_substring_texts_that_share_an_id_are_documents_of_their_own(spark, hot):
+    r = random.Random(8)
+    passage, own = [f"p{k}" for k in range(20)], [f"u{k}" for k in range(100)]
+    twin = [f"q{r.randrange(900)}" for _ in range(30)]
+    rows = [(1, " ".join(passage)), (None, " ".join(own + passage)), (None, "short text"), (None, " ".join([*twin, "x"])), (None, " ".join(["y", *twin])), (None, " ".join(["y", *twin])), (7, " ".join(own[:30])), (7, "brief"), (7, " ".join(["z"] * 5 + passage))]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot_count=hot).collect()
+    gone = Counter((x.doc_id, x.n_words, x.n_removed) for x in got)
+    # of the unlike twins, the one whose text has the larger hash loses the passage, in every row
+    twins = {k: v for k, v in gone.items() if k[1] == 31}
+    assert twins in ({(None, 31, 0): 2, (None, 31, 30): 1}, {(None, 31, 0): 1, (None, 31, 30): 2})
+    assert gone - Counter(twins) == Counter({(1, 20, 0): 1, (None, 120, 50): 1, (None, 2, 0): 1, (7, 30, 0): 1, (7, 1, 0): 1, (7, 25, 20): 1})
+    assert "short text" in {x.kept_text for x in got} and " ".join(own[30:]) in {x.kept_text for x in got}
+
+
 def test_automaton_matches_naive():
     r = random.Random(5)
     passages = [[r.randrange(4) for _ in range(40)] for _ in range(5)]
