@@ -2,7 +2,8 @@
 
 Base spans come from three patterns. Novelty adds spans: a candidate is a run of 16 or more token
 characters with at least two of lower case, upper case and digits, with a sensitive word within
-`context` characters before it. Its marginal size is the compressed size of surroundings plus
+`context` characters before it. Of a run KEY=value, where the value has 16 characters or more, the
+value is the candidate, and a sensitive word in KEY counts as well. Its marginal size is the compressed size of surroundings plus
 candidate less that of the surroundings alone, both primed with a dictionary of identifiers, words
 of code and the surroundings' kind. Words, identifiers and repeats of what stands around cost few
 bytes; random strings cost nearly their entropy. A candidate of `bits` or more per character whose
@@ -105,27 +106,35 @@ def _joint(taken: list[tuple[int, int, str]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
+def _value(run: str) -> int:
+    """Where the value of a run KEY=value starts, if that leaves 16 characters; 0 for other runs. Padding at the end is the value's."""
+    at = run.rstrip("=").rfind("=") + 1
+    return at if len(run) - at >= 16 else 0
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, str]], novelty: Novelty, bits: float, context: int) -> list[tuple[int, int, str]]:
     """Each run is judged once, however many sensitive words stand near it."""
-    found, judged = [], set()
+    near = [m.end() for m in SENSITIVE.finditer(text)]
+    if not near:
+        return []
+    found = []
     starts, ends = _joint(taken)
-    for near in SENSITIVE.finditer(text):
-        for m in TOKEN.finditer(text, near.end(), min(len(text), near.end() + context)):
-            start, end = m.span()
-            if start in judged:
-                continue
-            judged.add(start)
-            if end == near.end() + context:  # the window cuts it: take the whole run
-                end = TOKEN.match(text, start).end()
-            k = bisect.bisect_right(ends, start)
-            if start and TOKEN.match(text[start - 1] * 16) or k < len(starts) and starts[k] < end:
-                continue
-            run = text[start:end]
-            if sum(any(map(f, run)) for f in (str.islower, str.isupper, str.isdigit)) < 2:
-                continue
-            around = text[max(0, start - context) : start] + text[end : end + context]
-            if novelty.bits(around.encode("utf-8", "replace"), run.encode()) >= bits:
-                found.append((start, end, "novel"))
+    for m in TOKEN.finditer(text):
+        begin, end = m.span()
+        start = begin + _value(m[0])
+        k = bisect.bisect_right(near, begin)
+        close = k and begin - near[k - 1] <= context
+        if not close and not (start > begin and SENSITIVE.search(text, begin, start)):
+            continue
+        k = bisect.bisect_right(ends, start)
+        if k < len(starts) and starts[k] < end:
+            continue
+        run = text[start:end]
+        if sum(any(map(f, run)) for f in (str.islower, str.isupper, str.isdigit)) < 2:
+            continue
+        around = text[max(0, start - context) : start] + text[end : end + context]
+        if novelty.bits(around.encode("utf-8", "replace"), run.encode()) >= bits:
+            found.append((start, end, "novel"))
     return found
 
 

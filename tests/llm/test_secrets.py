@@ -80,3 +80,22 @@ def test_novel_spans_against_every_run_of_a_long_text():
             if novelty.bits(around.encode(), run.encode()) >= bits:
                 want.append((a, b, "novel"))
     assert len(want) > 100 and S.novel_spans(text, base, novelty, bits, context) == want
+
+
+def test_values_glued_to_their_names_are_measured():
+    r, novelty = random.Random(6), S.Novelty()
+    for name in ("AWS_SECRET_ACCESS_KEY=", "private_key=", "pwd=", "auth=", "session=", "export DEPLOY_CREDENTIAL=", "a=b;ssh-key=", "private_key:"):
+        key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40))
+        for value in (key, key + "=="):
+            text = f"first line\n{name}{value}\nlast line"
+            start = text.index(key)
+            assert S.spans(text, novelty) == [(start, start + len(value), "novel")], name
+    assert S.spans(f"width={key} height", novelty) == []
+
+
+def test_a_run_is_judged_wherever_it_starts_within_the_context():
+    r = random.Random(7)
+    key = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(40))
+    for gap in (1, 64, 65, 72, 80, 81):
+        text = "bearer" + (" so it is" * 10)[: gap - 1] + " " + key
+        assert bool(S.spans(text, S.Novelty())) == (gap <= 80), gap
