@@ -152,12 +152,13 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_
     return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *more)
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None, **options) -> DataFrame:
     """Of each component, the row of smallest id (of such rows, that whose text has the smallest hash), once. Rows without an id stay.
 
-    Rows that share an id but not a component are documents of their own.
+    Rows that share an id but not a component are documents of their own. Components are those of simhash_components, or
+    `found`: rows of doc_id, component_id, root and h.
     """
-    found = common.written(simhash_components(docs, id_col=id_col, text_col=text_col, keep_key=True, **options))
+    found = common.written(simhash_components(docs, id_col=id_col, text_col=text_col, keep_key=True, **options) if found is None else found)
     kept = found.filter("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("row"), F.count("*").alias("n"))
     kept = common.written(kept.select(F.col("row.doc_id").alias("__id"), F.col("row.h").alias("__h"), "n"))
     # components whose representatives are alike in id and hash would be one text, so these keys are distinct

@@ -1,13 +1,15 @@
 """The pipeline's stages against their operators' brute-force answers, on a small table with clashing names and nulls."""
 
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from fixtures import SCHEMA, documents
 from test_shuffling_ops import brute_components
 
 import corpus_pipeline as P
-from quantloom.llm import mixing, secrets, toxicity
+from quantloom.llm import mixing, nearcopies, secrets, toxicity
 from quantloom.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -59,3 +61,54 @@ def test_repeated_ids_are_judged_by_their_texts(spark):
     # (5, two) is a copy of (3, two); the null and the empty text are one document
     assert Counter(r.doc_id for r in got) == {5: 1, 3: 1, 9: 2}
     assert {r.text for r in got if r.doc_id != 9} == {one, two}
+
+
+def _shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {b" ".join(w)} if w else set()
+
+
+@pytest.mark.parametrize("block", [4096, 4])
+def test_components_are_those_of_all_pairs(spark, block):
+    """Planted copies of similarity about 0.6 to 1, in groups large and small, against all pairs."""
+    r, rows = random.Random(11), []
+    for g in range(12):
+        base = [f"t{r.randrange(5000)}" for _ in range(200)]
+        for _ in range(60 if g < 2 else 6):
+            own = list(base)
+            for _ in range(r.randrange(11)):
+                own[r.randrange(200)] = f"e{r.randrange(5000)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900 + k, t) for k, t in enumerate(["", " ", "one two", "One  two", "one two three"])] + [(None, rows[0][1]), (None, None)]
+    sets = [_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    want = Counter((i, least.get(find(k))) for k, (i, _) in enumerate(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = nearcopies.jaccard_components(docs, block=block).select("doc_id", "component_id").collect()
+    assert Counter(map(tuple, got)) == want
+    kept = Counter(x.doc_id for x in P.drop_near_copies(spark, docs, SF).collect())
+    assert kept == Counter({i: 1 for i in least.values()}) + Counter({None: 2}) and 20 < len(kept) < 150
+
+
+def test_copies_of_similarity_0_8_are_found():
+    """Band keys meet for sets that share 8 of 9 of their members each, as similarity 0.8 has it."""
+    r, missed = np.random.default_rng(3), 0
+    for _ in range(2000):
+        x = r.integers(0, 2**63, 110, dtype=np.uint64)
+        missed += not np.intersect1d(nearcopies.band_keys(x[:99]), nearcopies.band_keys(x[11:])).size
+    assert missed == 0
