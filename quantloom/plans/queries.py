@@ -222,7 +222,7 @@ def formation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole research run."""
+    """A research run without the overlay round (iterate=False), so without its rows and their trials in deflated Sharpe ratios."""
     m = _market(spark, sf_dir)
     found = Research(spark, _config(m, iterate=False), m, log=lambda _: None).run().ranking
     kinds = "rank int, strategy string, status string, score double, wf_sharpe double, wf_cagr double, wf_max_dd double, benchmark_sharpe double, dsr double, psr double, robustness double, cost_x2_sharpe double, annual_turnover double, main_issue string"
