@@ -108,7 +108,6 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star and small-star in turn, until an alternation leaves the edges as they were.
     """
-    spark = edges.sparkSession
     edges = common.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
 
     def state(e):
@@ -130,7 +129,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     roots = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root"))
-    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()) if before[0] else spark.createDataFrame([], "node long, root long")
+    return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False) -> DataFrame:
