@@ -3,13 +3,16 @@
 A fingerprint has a bit where over half of the XXH64 hashes of the text's word shingles have it.
 Fingerprints link if they differ in `distance` (2) bits at most, and linked ones are one component.
 
-Multi-index hashing: a fingerprint is cut into segments, and for each segment the ball of radius 1
-is enumerated: the fingerprint itself and those that differ from it in one bit of that segment. Each
-member is a key of one table that holds the other segments as they are, so whatever meets at a key is
-within two bits, and two fingerprints within two bits always meet: one flips one of the differing
-bits, the other the other. A key thus has 65 fingerprints at most, however large a group of near
-copies is: no bucket is hot, nothing is capped, and a star from its smallest member links a whole
-bucket without emitting its pairs. Complete distances are verified with bit counts all the same.
+Multi-index hashing: a fingerprint is cut into `segments`, and each is a table from the segment's value to
+the fingerprints that have it. Two fingerprints within the distance differ by distance // segments bits at most
+in one of them, so a fingerprint probes each table with the ball of that radius about its own value, and
+what it fetches is verified by the complete distance. (At radius 1 only flips from 0 to 1 are probed, as the other
+fingerprint of such a pair flips the other way.)
+
+A value of over `hot` fingerprints, as near copies have it, would be fetched by as many probes. Such values are split by
+the remaining bits: whoever probes or holds one gets, for each bit, the key of the fingerprint with that bit
+flipped, and its own. Two fingerprints within two bits always meet at such a key (one flips one of the differing bits, the
+other the other), and a key never holds more than 65, however many near copies there are. Nothing is capped.
 
 Components are found by alternating large-star and small-star steps over distinct fingerprints,
 each step written to the shared folder.
@@ -81,26 +84,65 @@ def _prints(batches, shingle: int):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_.view(np.int64)), *map(part.column, rest)], ["doc_id", "fp", *rest])
 
 
-def ball(fp, segments: int = 2):
-    """Keys of the radius-1 balls within each segment: the fingerprint, and each of its one-bit changes."""
+def _bits(masks) -> list[int]:
+    return [m - 2**64 if m >= 2**63 else m for m in masks]
+
+
+def _flipped(fp, masks):
+    """The fingerprint, and itself with each of the masks' bits changed."""
+    return F.array(fp, *[fp.bitwiseXOR(F.lit(m).cast("long")) for m in _bits(masks)])
+
+
+def tables(prints: DataFrame, segments: int) -> DataFrame:
+    """(segment, value, fp): a row for each segment; value has the segment's bits, the others are 0."""
+    width = 64 // segments
+    held = [F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseAND(F.lit(_bits([((1 << width) - 1) << (s * width)])[0]).cast("long")).alias("value")) for s in range(segments)]
+    return prints.select("fp", F.explode(F.array(*held)).alias("t")).select("t.segment", "t.value", "fp")
+
+
+def probes(prints: DataFrame, segments: int, radius: int) -> DataFrame:
+    """(segment, value, fp): the ball about each segment's value: itself and, at radius 1, each 0 bit set."""
     width = 64 // segments
-    masks = [[(1 << (s * width + b)) for b in range(width)] for s in range(segments)]
-    flips = [m - 2**64 if m >= 2**63 else m for segment in masks for m in segment]
-    return F.array(fp, *[fp.bitwiseXOR(F.lit(m).cast("long")) for m in flips])
-
-
-def links(prints: DataFrame, distance: int = 2) -> DataFrame:
-    """Links (a, b) that connect all distinct fingerprints `fp` within the distance, verified; each bucket is a star."""
-    if distance not in (1, 2):
-        raise ValueError("balls of radius 1 meet at distances up to 2")
-    keyed = prints.select("fp", F.explode(ball(F.col("fp"))).alias("key"))
-    # a bucket has 65 fingerprints at most, so its list is bounded
-    met = keyed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("all")).filter(F.size("all") > 1)
-    if distance == 2:
-        pairs = met.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
+    rows = tables(prints, segments)
+    if not radius:
+        return rows
+    arrays = F.lit(None)
+    for s in range(segments):
+        masks = [F.lit(m).cast("long") for m in _bits([1 << (s * width + b) for b in range(width)])]
+        flips = F.filter(F.array(*[F.when(F.col("value").bitwiseAND(m) == 0, F.col("value").bitwiseOR(m)) for m in masks]), lambda v: v.isNotNull())
+        arrays = F.when(F.col("segment") == s, F.concat(F.array("value"), flips)).otherwise(arrays)
+    return rows.select("segment", F.explode(arrays).alias("value"), "fp")
+
+
+def links(prints: DataFrame, distance: int = 2, segments: int = 2, hot: int = 64) -> DataFrame:
+    """Links (a, b), a < b, of all distinct fingerprints `fp` within the distance (at hot values, links that connect them)."""
+    radius = distance // segments
+    if distance not in (1, 2) or not 1 <= segments <= 8 or 64 % segments or radius > 1:
+        raise ValueError("balls have radius 0 or 1, and hot values are split for distances up to 2")
+    # few rows make many probes: they are dealt out first
+    prints = common.written(prints.select("fp").repartition("fp"))
+    held, asked = tables(prints, segments), probes(prints, segments, radius)
+    many = common.written(held.groupBy("segment", "value").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("segment", "value"))
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
+    on = ["segment", "value"]
+    if not (split := not many.isEmpty()):
+        few, all_ = held, asked
     else:
-        pairs = met.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a < b")
-    return pairs.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance).distinct()
+        few, all_ = held.join(many, on, "left_anti"), asked.join(many, on, "left_anti")
+    met = all_.select(*on, F.col("fp").alias("a")).join(few.select(*on, F.col("fp").alias("b")), on).filter("a != b").filter(near("a", "b"))
+    found = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    if split:
+        about = held.union(asked).join(many, on, "left_semi").select("fp").distinct()
+        keyed = about.repartition("fp").select("fp", F.explode(_flipped(F.col("fp"), [1 << b for b in range(64)])).alias("key"))
+        # a key has 65 fingerprints at most, so its list is bounded
+        alike = keyed.groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("all")).filter(F.size("all") > 1)
+        if distance == 2:
+            # all at a key are within two bits, so a star connects them
+            pairs = alike.select(F.element_at("all", 1).alias("a"), F.explode(F.slice("all", 2, 65)).alias("b"))
+        else:
+            pairs = alike.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).filter("a < b")
+        found = found.union(pairs.filter(near("a", "b")))
+    return found.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -132,7 +174,9 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False) -> DataFrame:
+def simhash_components(
+    docs: DataFrame, shingle: int = 3, distance: int = 2, segments: int = 2, hot: int = 64, id_col: str = "doc_id", text_col: str = "text", keep_key: bool = False
+) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
     With keep_key also root (one fingerprint of the component, which names it even where ids repeat) and h (a hash of the text).
@@ -143,7 +187,7 @@ def simhash_components(docs: DataFrame, shingle: int = 3, distance: int = 2, id_
         texts, kind, more = texts.withColumn("h", F.xxhash64("text")), kind + ", h long", ["root", "h"]
     prints = common.written(texts.mapInArrow(common.trimmed(lambda it: _prints(it, shingle)), kind))
     one = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    found = common.written(components(links(one, distance)))
+    found = common.written(components(links(one, distance, segments, hot)))
     # a component's smallest doc_id
     named = one.join(found, one.fp == found.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     linked = named.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -133,7 +133,8 @@ def test_simhash_matches_brute_force(docs):
     assert Counter(map(tuple, got.collect())) == brute_components([(r[0], r[1]) for r in documents()])
 
 
-def test_simhash_near_copies(spark):
+@pytest.mark.parametrize("options", [{}, {"hot": 1}, {"segments": 4}, {"segments": 1, "distance": 1}, {"segments": 4, "distance": 1, "hot": 2}])
+def test_simhash_near_copies(spark, options):
     r = random.Random(3)
     rows = []
     for g in range(6):
@@ -144,10 +145,39 @@ def test_simhash_near_copies(spark):
                 own[r.randrange(400)] = f"e{r.randrange(9)}"
             rows.append((len(rows), " ".join(own)))
         rows.append((len(rows), " ".join(f"u{g}{r.randrange(900)}" for _ in range(50))))
-    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"))
-    want = brute_components(rows)
+    got = simhash.simhash_components(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    want = brute_components(rows, options.get("distance", 2))
     assert Counter(map(tuple, got.collect())) == want
-    assert len({c for _, _, c in want}) < 100
+    assert len({c for _, _, c in want}) < 130
+
+
+@pytest.mark.parametrize("hot", [1, 8, 1000])
+def test_links_of_crowded_segments(spark, hot):
+    """Fingerprints that share segments: links are all within two bits, and connect what all pairs connect."""
+    r = random.Random(hot)
+    base = [r.getrandbits(64) for _ in range(3)] + [0, 2**64 - 1]
+    prints = {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (r.randrange(3) == 0) * (1 << r.randrange(32)) for b in base for _ in range(120)} | set(base)
+    signed = lambda v: v - 2**64 if v >= 2**63 else v
+    found = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), hot=hot).collect()
+    assert all((x.a % 2**64 ^ x.b % 2**64).bit_count() <= 2 and x.a < x.b for x in found)
+
+    def roots(pairs):
+        top = {p: p for p in prints}
+
+        def find(p):
+            while top[p] != p:
+                p = top[p]
+            return p
+
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            top[max(a, b)] = min(a, b)
+        return {p: find(p) for p in prints}
+
+    pairs = [(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2]
+    assert roots((x.a % 2**64, x.b % 2**64) for x in found) == roots(pairs)
+    if hot == 1000:
+        assert {(min(x.a % 2**64, x.b % 2**64), max(x.a % 2**64, x.b % 2**64)) for x in found} == set(pairs)
 
 
 def test_components_of_chains(spark):
