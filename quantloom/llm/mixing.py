@@ -7,14 +7,15 @@ random offset is added, and a document is taken once for each integer boundary t
 crosses, so that the copies taken differ from the expected ones by less than one a document.
 
 The prefix sum runs in two levels, so that a source of any share of the rows is many tasks' work:
-documents are dealt by (source, size class, bucket); sums of these groups give each its start. Size
-classes run in order, so the sample is also spread evenly over sizes and the words taken stay near
+documents are dealt by (source, size class, bucket), with so many buckets that a group has about `rows` documents at most;
+sums of these groups give each its start. Size classes run in order, so the sample is also spread evenly over sizes and the words taken stay near
 the target. Expected copies are fixed-point integers: results do not depend on the order of
 additions, and reruns agree.
 
 Edge cases: a null text has size 0; a null source is a source of its own, last in order. Sources of
 size 0 have target 0. Rows that are alike in every respect may swap their copies. An empty table
-gives an empty result. Names of further columns cannot clash: only id, text and source are read.
+gives an empty result. Names of further columns cannot clash: only id, text and source are read, and
+in mixed() a row goes through as one struct.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from . import common
 
 #: Expected copies are multiples of 2**-24.
 ONE = 1 << 24
-BUCKETS = 16
+BUCKETS, ROWS = 16, 1 << 17
 
 
 def size_of(text: Column) -> Column:
@@ -57,45 +58,59 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     return leveled.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
 
 
-def expected_mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, keep_key: bool = False) -> DataFrame:
-    """Per row: doc_id, size, source, source_size, target, copies, taken (= copies * size)."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), (size_of(F.col(text_col)) if size is None else size).alias("size"), F.xxhash64(F.lit(seed), F.col(text_col).cast("string"), F.col(id_col).cast("long")).alias("h"))
-    # a class is an eighth of an octave; (class, bucket) is one integer, and groups follow in its order
-    part = F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(F.lit(-1)).cast("int") * BUCKETS + F.pmod("h", F.lit(BUCKETS)).cast("int")
-    narrow = common.written(narrow.withColumn("part", part))
-    groups = narrow.groupBy("source", "part").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+def _plan(docs: DataFrame, weights, share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str, size: Column | None, rows: int):
+    """Of docs, the columns that the sampling reads, and the groups: (s, p, source_size, target, each, start)."""
+    text, source, doc_id = F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.col(id_col).cast("long")
+    columns = [doc_id.alias("doc_id"), source.alias("source"), (size_of(text) if size is None else size).alias("size"), F.xxhash64(F.lit(seed), text, doc_id).alias("h")]
+    narrow = common.written(docs.select(*columns))
+    buckets = max(BUCKETS, -(-narrow.count() // rows))
+
+    def part():
+        # a class is an eighth of an octave; (class, bucket) is one integer, and groups follow in its order
+        octave = F.when(F.col("size") > 0, F.floor(F.log2("size") * 8)).otherwise(F.lit(-1)).cast("long")
+        return octave * buckets + F.pmod("h", F.lit(buckets))
+
+    groups = narrow.groupBy("source", part().alias("part")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sources = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     sources = sources.withColumn("each", F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long"))
     sources = sources.withColumnRenamed("source", "of")
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\0"))), F.lit(ONE))
     starts = groups.join(sources, F.col("source").eqNullSafe(F.col("of"))).select("source", "part", "n", "source_size", "target", "each")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("source", "part", "source_size", "target", "each", (F.coalesce(F.sum(F.col("n") * F.col("each")).over(before), F.lit(0)) + offset).alias("start"))
-    starts = common.written(starts).withColumnRenamed("source", "s").withColumnRenamed("part", "p")
-    found = narrow.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    start = F.coalesce(F.sum(F.col("n") * F.col("each")).over(before), F.lit(0)) + offset
+    starts = common.written(starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "source_size", "target", "each", start.alias("start")))
+    return narrow, columns, part, starts
+
+
+def _crossings(rows: DataFrame, starts: DataFrame) -> DataFrame:
+    """Adds copies to rows of doc_id, source, h and part: the integer boundaries that each row's interval crosses."""
+    found = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
     upto = Window.partitionBy("source", "part").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("start") + F.sum("each").over(upto)
     crossed = F.shiftright(end, 24) - F.shiftright(end - F.col("each"), 24)
-    out = found.withColumn("copies", crossed.cast("int"))
-    return out.select("doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), *(["h"] if keep_key else []))
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    taken = common.written(expected_mix(docs, keep_key=True, **options).select("doc_id", "source", "h", "copies"))
-    seed = options.get("seed", 0)
-    doc_id, source, text = (F.col(options.get(k, d)) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), doc_id.cast("long").alias("i"), source.cast("string").alias("s"), F.xxhash64(F.lit(seed), text.cast("string"), doc_id.cast("long")).alias("k"))
-    counts = taken.groupBy("doc_id", "source", "h").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
-    once = counts.filter("n = 1 and copies > 0").withColumnRenamed("doc_id", "di").withColumnRenamed("source", "so").withColumnRenamed("h", "ha")
-    single = rows.join(once, rows.i.eqNullSafe(once.di) & rows.s.eqNullSafe(once.so) & (rows.k == once.ha)).select("__row", "copies")
-    again = common.written(counts.filter("n > 1").select("doc_id", "source", "h"))
-    if not again.isEmpty():
-        # repeated rows: number them on both sides, and match the numbers
-        mine = taken.join(again.withColumnsRenamed({"doc_id": "di", "source": "so", "h": "ha"}), taken.doc_id.eqNullSafe(F.col("di")) & taken.source.eqNullSafe(F.col("so")) & (taken.h == F.col("ha"))).select("doc_id", "source", "h", "copies")
-        mine = mine.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("copies")))
-        theirs = rows.join(again, again.doc_id.eqNullSafe(rows.i) & again.source.eqNullSafe(rows.s) & (again.h == rows.k)).select("__row", "i", "s", "k")
-        theirs = theirs.withColumn("no", F.row_number().over(Window.partitionBy("i", "s", "k").orderBy(F.lit(1))))
-        both = theirs.join(mine, mine.doc_id.eqNullSafe(theirs.i) & mine.source.eqNullSafe(theirs.s) & (mine.h == theirs.k) & (mine.nth == theirs.no)).filter("copies > 0")
-        single = single.union(both.select("__row", F.col("copies").cast("long")))
-    return single.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("__row.*")
+    return found.withColumn("copies", crossed.cast("int"))
+
+
+def expected_mix(
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, rows: int = ROWS, keep_key: bool = False,
+) -> DataFrame:
+    """Per row: doc_id, size, source, source_size, target, copies, taken (= copies * size); with keep_key also h and part, the order of rows."""
+    narrow, _, part, starts = _plan(docs, weights, share, most, seed, id_col, text_col, source_col, size, rows)
+    out = _crossings(narrow.withColumn("part", part()), starts)
+    taken = (F.col("copies") * F.col("size")).cast("long").alias("taken")
+    return out.select("doc_id", "size", "source", "source_size", "target", "copies", taken, *(["h", "part"] if keep_key else []))
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size: Column | None = None, rows: int = ROWS,
+) -> DataFrame:
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs.
+
+    Whole rows are dealt to the groups, once; there is no join of copies back to rows, so rows that are alike need no numbers.
+    """
+    _, columns, part, starts = _plan(docs, weights, share, most, seed, id_col, text_col, source_col, size, rows)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *columns).withColumn("part", part())
+    taken = _crossings(whole, starts).filter("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

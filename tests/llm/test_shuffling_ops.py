@@ -215,6 +215,33 @@ def test_mixing(docs):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.expected_mix(docs).collect()), key=str)
 
 
+@pytest.mark.parametrize("options", [{}, {"rows": 2}, {"seed": 9, "share": 0.7}])
+def test_taken_is_the_prefix_sum_and_its_crossings(spark, docs, options):
+    """Expected copies are summed by source in the order (part, h, id), from an offset in 0..1; a row is taken once for each integer crossed."""
+    one = 1 << 24
+    got = mixing.expected_mix(docs, keep_key=True, **options).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.source] += r["size"]
+    want = water(sizes, share=options.get("share", 1.5))
+    buckets = max(16, -(-len(got) // options.get("rows", 1 << 17)))
+    for source in sizes:
+        rows = sorted((r for r in got if r.source == source), key=lambda r: (r.part, r.h, LAST if r.doc_id is None else r.doc_id))
+        each = round(want[source] / sizes[source] * one) if sizes[source] else 0
+        ends = [each * (k + 1) for k in range(len(rows))]
+        for r, end in zip(rows, ends, strict=True):
+            assert r.part % buckets == r.h % buckets and (r["size"] == 0) == (r.part < 0)
+            assert r.copies in (each // one, each // one + 1) and r.taken == r.copies * r["size"]
+        # the offset is one number for the whole source: the running total of copies tells it within an interval
+        total, low, high = 0, 0, one - 1
+        for r, end in zip(rows, ends, strict=True):
+            total += r.copies
+            low, high = max(low, total * one - end), min(high, (total + 1) * one - end - 1)
+        assert low <= high, (source, low, high)
+    classes = {r.part // buckets: {x["size"] for x in got if x.part // buckets == r.part // buckets} for r in got}
+    assert all(max(v) <= min(v) * 2 ** (1 / 8) + 1 for v in classes.values())
+
+
 def test_mixing_is_near_its_targets_and_emits_rows(spark):
     r = random.Random(1)
     rows = [(i, "w " * r.randrange(1, 200), "hot" if r.random() < 0.6 else f"s{i % 4}") for i in range(3000)]
