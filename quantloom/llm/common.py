@@ -140,25 +140,30 @@ class Words:
         self.n = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word, alike in every process: a polynomial of mixed bytes, from prefix sums."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = len(self.buf)
-        if len(_POWERS[0]) < size:
-            with np.errstate(over="ignore"):
-                for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-                    steps = np.full(max(size, SLICE_BYTES), b, np.uint64)
-                    steps[0] = 1
-                    _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-        sums = np.zeros(size + 1, np.uint64)
-        np.cumsum(_MIX[self.buf] * _POWERS[0][:size], out=sums[1:])
-        h = (sums[self.end] - sums[self.start]) * _POWERS[1][self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        return mixed(h)
+        """A 64-bit hash of each word."""
+        return span_hashes(self.buf, self.start, self.end)
 
     def word(self, i: int) -> bytes:
         return self.buf[self.start[i] : self.end[i]].tobytes()
 
 
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of all bytes of each span, alike in every process: a polynomial of mixed bytes, from prefix sums."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = len(buf)
+    if len(_POWERS[0]) < size + 1:
+        with np.errstate(over="ignore"):
+            for k, b in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+                steps = np.full(max(size, SLICE_BYTES) + 1, b, np.uint64)
+                steps[0] = 1
+                _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(_MIX[buf] * _POWERS[0][:size], out=sums[1:])
+    h = (sums[end] - sums[start]) * _POWERS[1][start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mixed(h)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers whose every bit depends on all (the 64-bit finaliser of MurmurHash3)."""
     h = h ^ (h >> np.uint64(33))

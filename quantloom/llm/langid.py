@@ -7,8 +7,9 @@ is the label of the largest summed marginals over words with letters; the score
 
 Learning. Training texts carry one label each, so sequences for training are spliced from stretches
 of different texts, as in code-switched text; labels and transitions are then both observed. The
-sample is bounded: `sample_rows` rows by hash, an equal part for each of the `languages` most frequent languages, and of each a stretch of `sample_words`
-words from a hashed place. Prediction is over whole texts, of any length, and uses nothing but the text.
+sample is bounded by `sample_rows` rows, of smallest hash and an equal part for each language (at least one row; with more languages
+than rows, the most frequent ones have a row). Of a sampled row it takes a stretch of `sample_words` words from a hashed place.
+Prediction is over whole texts, of any length, and uses nothing but the text.
 
 Work per slice of texts: distinct words are scored once, and forward-backward steps through all
 texts of the slice together, longest first, so its cost follows the words.
@@ -24,13 +25,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .common import Words, mixed, slices
 
-BUCKETS = 1 << 17
+#: Weights are a table of 2**BITS buckets a label, and of 2**TABLE_BITS numbers at most over all labels.
+BITS, TABLE_BITS = 17, 24
 AFFIXES = (1, 2, 3, 4)
 UNKNOWN = "und"
 
@@ -41,12 +43,14 @@ _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 class _Features:
     """Buckets of the features of distinct words, given as spans of a byte array."""
 
-    def __init__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, lexicon: np.ndarray):
-        start, end = start.copy(), end.copy()
-        # punctuation at the ends is no part of a word here
-        for _ in range(8):
-            start += (start < end) & ~_LETTER[buf[np.minimum(start, len(buf) - 1)]]
-            end -= (start < end) & ~_LETTER[buf[np.maximum(end - 1, 0)]]
+    def __init__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, lexicon: np.ndarray, bits: int = BITS):
+        self.bits = bits
+        # signs at the ends, however many, are no part of a word here: from its first letter to its last
+        letters = np.flatnonzero(_LETTER[buf])
+        first, last = np.searchsorted(letters, start), np.searchsorted(letters, end) - 1
+        some = first <= last
+        start = np.where(some, letters[np.minimum(first, len(letters) - 1)], start) if len(letters) else start
+        end = np.where(some, letters[last] + 1, start) if len(letters) else start
         size = end - start
         self.lettered = size > 0
         at = _spread(start, size)
@@ -65,7 +69,6 @@ class _Features:
         grams = [self._bucket(raw * np.uint64(512) + right, 1), self._bucket((left * np.uint64(512) + raw) * np.uint64(512) + right, 2)]
         self.word = np.concatenate([word, word])
         self.bucket = np.concatenate(grams)
-        whole = np.zeros(len(size), np.uint64)
         prefix, suffix = np.zeros(len(size), np.uint64), np.zeros(len(size), np.uint64)
         for k in AFFIXES:
             some = np.flatnonzero(size >= k)
@@ -73,19 +76,14 @@ class _Features:
             suffix[some] = suffix[some] * np.uint64(257) + raw[ends[some] - k]
             self._add(some, self._bucket(prefix[some], 2 + k))
             self._add(some, self._bucket(suffix[some], 6 + k))
-        for k in range(int(size.max(initial=0))):
-            some = np.flatnonzero(size > k) if k < 24 else np.zeros(0, np.int64)
-            if not len(some):
-                break
-            whole[some] = mixed(whole[some] * np.uint64(257) + raw[starts[some] + k] + np.uint64(1))
-        self.whole = whole
+        self.whole = whole = common.span_hashes(buf, start, end)
         if len(lexicon):
             near = np.minimum(np.searchsorted(lexicon, whole), len(lexicon) - 1)
             known = np.flatnonzero((lexicon[near] == whole) & self.lettered)
             self._add(known, self._bucket(whole[known], 11))
 
     def _bucket(self, value: np.ndarray, kind: int) -> np.ndarray:
-        return (mixed(value ^ (np.uint64(kind) << np.uint64(56))) >> np.uint64(47)).astype(np.int64)
+        return (mixed(value ^ (np.uint64(kind) << np.uint64(56))) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _add(self, word: np.ndarray, bucket: np.ndarray) -> None:
         self.word = np.concatenate([self.word, word])
@@ -146,7 +144,7 @@ class Crf:
         if not len(words.start):
             return np.zeros((0, len(self.labels)), np.float32), np.zeros(0, bool)
         _, at, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        found = _Features(words.buf, words.start[at], words.end[at], self.lexicon)
+        found = _Features(words.buf, words.start[at], words.end[at], self.lexicon, (len(self.weights) - 1).bit_length())
         score = found.scores(self.weights, len(at))
         emit = np.exp(np.clip(score - score.max(axis=1, keepdims=True), -20, 0)).astype(np.float32)
         some = words.n > 0
@@ -163,18 +161,20 @@ def train(texts: list[tuple[str, str]], length: int = 96, epochs: int = 4, batch
     words = Words(pa.array([t for _, t in texts]), lower=True)
     label = np.array([labels.index(x) for x, _ in texts])
     n_labels = len(labels)
-    bare = _Features(words.buf, words.start, words.end, np.zeros(0, np.uint64))
+    bits = max(8, min(BITS, TABLE_BITS - (n_labels - 1).bit_length()))
+    buckets = 1 << bits
+    bare = _Features(words.buf, words.start, words.end, np.zeros(0, np.uint64), bits)
     own = np.repeat(label, words.n)
     frequent = []
     for k in range(n_labels):
         value, count = np.unique(bare.whole[(own == k) & bare.lettered], return_counts=True)
         frequent.append(value[np.argsort(-count, kind="stable")[:lexicon_size]])
     lexicon = np.unique(np.concatenate(frequent))
-    found = _Features(words.buf, words.start, words.end, lexicon)
+    found = _Features(words.buf, words.start, words.end, lexicon, bits)
     order = np.argsort(found.word, kind="stable")
     bucket, count = found.bucket[order], np.bincount(found.word, minlength=len(own))
     offset = np.cumsum(count) - count
-    weights, squares = np.zeros((BUCKETS, n_labels)), np.full((BUCKETS, n_labels), 1e-6)
+    weights, squares = np.zeros((buckets, n_labels)), np.full((buckets, n_labels), 1e-6)
     step, step_squares = np.zeros((n_labels, n_labels)), np.full((n_labels, n_labels), 1e-6)
     begin, begin_squares = np.zeros(n_labels), np.full(n_labels, 1e-6)
     by_label = [np.flatnonzero((label == k) & (words.n > 0)) for k in range(n_labels)]
@@ -190,7 +190,7 @@ def train(texts: list[tuple[str, str]], length: int = 96, epochs: int = 4, batch
             p, pair = forward_backward(emit, first, np.full(batch, length), np.exp(step), np.exp(begin), pairs=True)
             p[np.arange(len(y)), y] -= 1
             for k in range(n_labels):
-                g = np.bincount(index, p[each, k], BUCKETS) / batch
+                g = np.bincount(index, p[each, k], buckets) / batch
                 some = np.flatnonzero(g)
                 squares[some, k] += g[some] ** 2
                 weights[some, k] -= rate * g[some] / np.sqrt(squares[some, k])
@@ -225,11 +225,12 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, sample_rows: int = 4000, sample_words: int = 100, languages: int = 200, seed: int = 0, **options) -> Crf | None:
+def fit(docs: DataFrame, sample_rows: int = 4000, sample_words: int = 100, seed: int = 0, **options) -> Crf | None:
     """Learns from text and lang of rows that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null").filter(~held_out())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter("text is not null and lang is not null").filter(~held_out())
     # every language gets an equal part of the bound, so that a rare one is learned too
-    names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
     if not names:
         return None
     each = max(1, sample_rows // len(names))
@@ -243,18 +244,15 @@ def fit(docs: DataFrame, sample_rows: int = 4000, sample_words: int = 100, langu
                 out.append(b" ".join(words[start : start + sample_words]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(out, pa.string())], ["lang", "h", "text"])
 
-    # each row by the hash of its id, at a rate that expects a quarter more rows of a language than its part
+    # each row by the hash of its id and text, at a rate that expects twice a language's part, and five rows more
     scale = 1 << 40
-    rate = F.create_map(*[x for r in names for x in (F.lit(r.lang), F.lit(min(scale, 5 * scale * each // (4 * r.n))))])
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(scale))).filter(F.col("h") < F.element_at(rate, F.col("lang")))
+    rate = F.create_map(*[x for r in names for x in (F.lit(r.lang), F.lit(min(scale, scale * (2 * each + 5) // r.n)))])
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(scale))).filter(F.col("h") < F.element_at(rate, F.col("lang")))
     got = hashed.select("lang", "h", "text").mapInArrow(common.trimmed(stretch), "lang string, h long, text string")
-    # bounded: about sample_rows stretches of sample_words words
-    chosen, count = [], Counter()
-    for r in sorted(got.limit(2 * sample_rows).collect(), key=lambda r: (r.h, r.lang, r.text)):
-        count[r.lang] += 1
-        if count[r.lang] <= each:
-            chosen.append((r.lang, r.text))
-    return train(chosen, seed=seed, **options)
+    # of each language the rows of smallest hash; the bound on all of them holds whatever the hashes are
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    chosen = got.withColumn("nth", nth).filter(F.col("nth") <= each).orderBy("nth", "lang").limit(sample_rows).collect()
+    return train([(r.lang, r.text) for r in sorted(chosen, key=lambda r: (r.h, r.lang, r.text))], seed=seed, **options)
 
 
 def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

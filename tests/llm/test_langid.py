@@ -1,12 +1,14 @@
 """Language ID: forward-backward against enumeration, held-out accuracy, code-switched text, awkward rows."""
 
 import itertools
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import SCHEMA, documents
 
-from quantloom.llm import langid as L
+from quantloom.llm import common, langid as L
 from quantloom.llm.common import table
 
 SF = "/root/testdata/sf0.01"
@@ -62,3 +64,26 @@ def test_awkward_rows(spark, model):
     full = L.identified(docs).collect()
     assert len(full) == len(rows) and L.identified(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in L.identified(docs.selectExpr("doc_id", "text", "cast(null as string) lang")).collect()} == {"und"}
+
+
+def test_words_are_hashed_whole_and_freed_of_all_signs():
+    long = "x" * 30
+    words = common.Words(pa.array([f"{long}a {long}b {'(' * 20}word{')' * 20} word ###### 12 1a2"]))
+    found = L._Features(words.buf, words.start, words.end, np.zeros(0, np.uint64))
+    assert found.lettered.tolist() == [True, True, True, True, False, False, True]
+    assert found.whole[0] != found.whole[1] and found.whole[2] == found.whole[3]
+    own = [sorted(found.bucket[found.word == k].tolist()) for k in range(7)]
+    assert own[2] == own[3] and own[4] == own[5] == []
+
+
+def test_rare_languages_are_learned_and_reruns_agree(spark):
+    r, rows = random.Random(1), []
+    for k in range(260):
+        own = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("ka", "lo", "mi", "nu", "re")]
+        rows += [(1000 * k + j, " ".join(r.choice(own) for _ in range(30)), f"l{k:03d}") for j in range(3 if k else 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    model = L.fit(docs, sample_rows=300, epochs=2)
+    assert len(model.labels) > 250 and model.weights.size <= 1 << L.TABLE_BITS
+    again = L.fit(docs.repartition(3), sample_rows=300, epochs=2)
+    assert model.labels == again.labels and np.array_equal(model.weights, again.weights)
+    assert len(L.fit(docs, sample_rows=10, epochs=1).labels) <= 10
