@@ -7,8 +7,8 @@ word starts over a sample of labelled documents on the executors and keeps the `
 strongest association. In the chain, the models for later categories are trained with out-of-fold
 probabilities of earlier ones, so that they see inputs as good as at prediction, not better.
 
-The sample is the `sample_rows` labelled documents of smallest hash; everything else is over all
-rows. Model size is bounded by `features`.
+The sample is the `sample_rows` labelled documents of smallest hash, of each one row (of rows that share an id, the
+text that is first by code point); everything else is over all rows. Model size is bounded by `features`.
 
 Edge cases: null and empty texts have no features and get the score of such a text; of repeated
 labels of a document the largest counts; without any labelled document, or any toxic one, all scores
@@ -135,7 +135,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
     sample = sample.select("doc_id", *[F.coalesce(F.expr(e), F.lit(False)).cast("int").alias(f"y{k}") for k, (_, e) in enumerate(categories)])
     last = f"y{len(names) - 1}"
     texts = common.ids_and_texts(docs, id_col, text_col).filter("text is not null")
-    rows = common.written(texts.join(F.broadcast(sample), "doc_id"))
+    # a row an id, however often the table repeats it, so that sample_rows bounds what the driver collects
+    marked = [F.first(f"y{k}").alias(f"y{k}") for k in range(len(names))]
+    rows = common.written(texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), *marked))
 
     def count(batches):
         for batch in batches:
@@ -159,13 +161,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
         reader = Reader(affixes)
         for batch in batches:
             found = [(reader.counts(t), _dense(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(batch.column(f"y{k}") for k in range(len(names))), pa.array([list(c) for c, _ in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c, _ in found], pa.list_(pa.int32())), pa.array([d for _, d in found], pa.list_(pa.float64()))],
-                ["doc_id", *(f"y{k}" for k in range(len(names))), "at", "n", "dense"],
-            )
+            at, n = (pa.array([list(f(c)) for c, _ in found], pa.list_(pa.int32())) for f in (Counter.keys, Counter.values))
+            marks_ = [f"y{k}" for k in range(len(names))]
+            columns = [batch.column("doc_id"), *map(batch.column, marks_), at, n, pa.array([d for _, d in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", *marks_, "at", "n", "dense"])
 
     # bounded: sample_rows rows of at most `features` counts
-    got = rows.mapInArrow(common.trimmed(read), "doc_id long, " + "".join(f"y{k} int, " for k in range(len(names))) + "at array<int>, n array<int>, dense array<double>").collect()
+    kinds = "doc_id long, " + "".join(f"y{k} int, " for k in range(len(names))) + "at array<int>, n array<int>, dense array<double>"
+    got = rows.mapInArrow(common.trimmed(read), kinds).collect()
     x = np.array([_row(dict(zip(r.at, r.n, strict=True)), r.dense, len(affixes)) for r in got])
     y = np.array([[r[f"y{k}"] for k in range(len(names))] for r in got], float)
     order = np.argsort([r.doc_id for r in got], kind="stable")

@@ -1,5 +1,8 @@
 """Toxicity: held-out accuracy on the labels, clean documents left alone, and awkward rows."""
 
+import math
+import re
+
 import numpy as np
 from fixtures import SCHEMA, documents
 from pyspark.sql import functions as F
@@ -46,3 +49,42 @@ def test_awkward_rows(spark):
         assert got.count() == len(documents())
         assert X.clean(docs, marks).columns == docs.columns
         assert X.toxicity(docs.limit(0), marks).count() == 0
+
+
+def plain_scores(text, chain):
+    """The chain's probabilities, word by word and model by model."""
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    x = [math.log1p(sum(w == a if not a.endswith("~") else w.startswith(a[:-1]) and len(w) > len(a) - 1 for w in words)) for a in chain.names]
+    raw = (text or "").encode()
+    n = max(1, len(raw))
+    x += [sum(33 <= b < 127 and not chr(b).isalnum() for b in raw) / n, sum(65 <= b <= 90 for b in raw) / n] if text else [0.0, 0.0]
+    x = [v / s for v, s in zip(x, chain.scale, strict=True)]
+    out = []
+    for w in chain.weights:
+        fed = [math.log(q / (1 - q)) / 4 for p in out if (q := min(max(p, 1e-4), 1 - 1e-4))]
+        z = w[0] + sum(a * b for a, b in zip(w[1:], [*x, *fed], strict=True))
+        out.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+    return out
+
+
+def test_scores_are_the_chain_by_hand(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    chain = X.fit(docs, labels)
+    assert len(chain.weights) == 3 and [len(w) - len(chain.weights[0]) for w in chain.weights] == [0, 1, 2]
+    got = X.scored(docs, chain).select("text", "toxicity.*").collect()
+    assert len(got) == docs.count()
+    for r in got:
+        want = plain_scores(r.text, chain)
+        assert np.allclose([r.p_toxic_junk, r.p_toxic_fluent, r.p_toxic], want, atol=1e-9) and r.toxic == (want[-1] >= 0.5)
+    assert 0 < sum(r.toxic for r in got) < len(got) / 2
+
+
+def test_the_sample_is_bounded_by_rows_where_ids_repeat(spark, monkeypatch):
+    rows = [(k % 40, f"{'bad moronic idiot' if k % 2 else 'kind calm words'} number {k // 40}") for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    seen = []
+    fit_chain = X.fit_chain
+    monkeypatch.setattr(X, "fit_chain", lambda x, y, fold: seen.append(len(x)) or fit_chain(x, y, fold))
+    got = X.toxicity(docs, labels, sample_rows=30).collect()
+    assert seen == [30] and len(got) == 4000 and all(r.toxic == bool(r.doc_id % 2) for r in got)
