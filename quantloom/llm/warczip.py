@@ -14,8 +14,10 @@ lost or repeated task leaves a file that nothing refers to.
 Of records with equal payloads of `least` bytes or more, the one with the smallest page_id is the
 response and the others are revisits, with no payload. A page_id that is null comes last. Repeated
 rows with one page_id count as one page for this: of them the record that comes first in its digest group
-cannot be told apart, so all keep their payload. Null html is an empty payload. Other columns are
-ignored. An empty table gives no archive and an empty result.
+cannot be told apart, so all keep their payload. Null html is an empty payload. Control characters of a url are left out
+of its header, as a header is one line; a null url has no header. Other columns are ignored. An empty table gives no archive and an empty
+result. A damaged archive (no directory, a cut file, an index or record of another digest or length) raises ValueError
+and names the file: records are never left out silently.
 """
 
 from __future__ import annotations
@@ -38,7 +40,8 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Signatures and marks of the ZIP format.
 LOCAL, CENTRAL, END, END64, LOCATOR64 = 0x04034B50, 0x02014B50, 0x06054B50, 0x06064B50, 0x07064B50
 FULL16, FULL32, ZIP64_FIELD = 0xFFFF, 0xFFFFFFFF, 0x0001
-SALTS = 16
+#: A digest with more than this part of all pages is hot; there are fewer such digests than its inverse.
+HOT_PART = 1 / 4096
 
 
 def opened(uri: str, write: bool = False):
@@ -170,13 +173,20 @@ def dealt(pages: DataFrame, least: int = 100) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     place = F.coalesce("page_id", F.lit(LAST))
-    repeated = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min(place).alias("one"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("of"), "one")
-    # a digest may be a third of all pages: it is dealt out over salts, and its one row repeated for each
-    salted = repeated.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALTS)])))
-    rows = rows.withColumn("s", F.pmod(F.hash("page_id", "url"), F.lit(SALTS)))
-    rows = rows.join(salted, (F.col("digest") == F.col("of")) & (F.col("s") == F.col("salt")) & (F.col("size") >= least), "left")
-    later = F.col("one") < place
-    return rows.select("page_id", "url", "payload", "size", "digest", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("one")).alias("refers_to"))
+    # digests are counted from narrow rows; a hot one (there are fewer than 1 / HOT_PART) is broadcast, the others are joined by digest
+    counted = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.min(place).alias("one"), F.count("*").alias("n")).filter("n > 1")
+    counted = common.written(counted)
+    bound = max(16.0, HOT_PART * (counted.agg(F.sum("n")).first()[0] or 0))
+    hot = counted.filter(F.col("n") > bound).select(F.col("digest").alias("hot_digest"), F.col("one").alias("hot_one"))
+    few = counted.filter(F.col("n") <= bound).select(F.col("digest").alias("of"), "one")
+    rows = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot_digest"), "left")
+    # rows that are settled have a key of their own each, and meet nobody
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url", "digest").cast("string"))
+    key = F.when(F.col("hot_one").isNotNull() | (F.col("size") < least), own).otherwise(F.col("digest"))
+    rows = rows.withColumn("key", key).join(few, F.col("key") == F.col("of"), "left").withColumn("first", F.coalesce("hot_one", "one"))
+    later = F.col("first") < place
+    kind = F.when(later, "revisit").otherwise("response").alias("record_type")
+    return rows.select("page_id", "url", "payload", "size", "digest", kind, F.when(later, F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_bytes: int = 128 << 20, zip64: bool | None = None) -> DataFrame:
@@ -218,7 +228,12 @@ def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
         for batch in batches:
             for uri in batch.column("uri").to_pylist():
                 with opened(uri) as file:
-                    found = members(file)
+                    try:
+                        found = members(file)
+                    except (ValueError, struct.error, UnicodeDecodeError, StopIteration) as error:
+                        raise ValueError(f"{uri}: a damaged archive: {error}") from error
+                    if not {INDEX, DATA} <= found.keys():
+                        raise ValueError(f"{uri}: no stored {INDEX} or {DATA}")
                     offset, size, crc = found[INDEX]
                     text = _range(file, offset, size)
                     if zlib.crc32(text) != crc:
@@ -234,7 +249,10 @@ def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
                 rows, held = [], 0
                 with opened(uri) as file:
                     for offset, n in zip(offsets, lengths, strict=True):
-                        fields, payload = parsed(zlib.decompress(_range(file, offset, n), 31))
+                        try:
+                            fields, payload = parsed(zlib.decompress(_range(file, offset, n), 31))
+                        except (zlib.error, ValueError) as error:
+                            raise ValueError(f"{uri}: a damaged record at {offset}: {error}") from error
                         name = lambda k: None if (v := fields.get(k)) is None or v == "<urn:page:null>" else int(v[len("<urn:page:") : -1])
                         full, kind = int(fields["x-payload-length"]), fields["warc-type"]
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")

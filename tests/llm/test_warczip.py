@@ -68,5 +68,44 @@ def test_reads_other_zips():
         Z.members(pa.BufferReader(b"no zip at all"))
 
 
+def test_urls_are_one_line(spark):
+    found = {r.page_id: r.url for r in Z.packaged(spark.createDataFrame(rows(), SCHEMA)).collect()}
+    assert found[7] == "uX: y" and found[9] is None and found[5] == "http://a/1"
+
+
+@pytest.mark.parametrize("harm", ["cut", "record", "index", "directory", "no zip", "other member"])
+def test_damaged_archives_raise(spark, tmp_path, harm):
+    pages = spark.createDataFrame([(k, "u", f"page {k} " * 30, "c", 1) for k in range(20)], SCHEMA).coalesce(1)
+    uri = Z.write_archives(pages, str(tmp_path)).first().uri
+    data = bytearray(open(uri, "rb").read())
+    with Z.opened(uri) as file:
+        places = Z.members(file)
+    if harm == "cut":
+        data = data[: len(data) // 2]
+    elif harm == "record":
+        data[places[Z.DATA][0] + 40] ^= 0xFF
+    elif harm == "index":
+        data[places[Z.INDEX][0] + 8] ^= 0x01
+    elif harm == "directory":
+        data[-60] ^= 0xFF
+    elif harm == "no zip":
+        data = bytearray(b"not a zip")
+    else:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("another", b"x")
+        data = bytearray(out.getvalue())
+    name = tmp_path / "harmed.wacz"
+    name.write_bytes(bytes(data))
+    with pytest.raises(Exception, match="harmed.wacz"):
+        Z.read_archives(spark.createDataFrame([(str(name),)], "uri string")).collect()
+
+
+def test_a_hot_payload(spark):
+    data = [(k, f"http://h/{k}", "<p>" + "same" * 40, "c", 1) for k in range(3, 400)] + [(1000 + k, "u", "<p>" + f"{k // 2} " * 80, "c", 1) for k in range(100)]
+    got = Z.packaged(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute(data)
+
+
 def test_empty(spark):
     assert Z.packaged(spark.createDataFrame([], SCHEMA)).count() == 0
