@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, langid, mergedrop, mixing, quality, secrets, simhash, substring, toxicity, warczip
+from . import chroma, common, langid, mergedrop, mixing, quality, secrets, simhash, substring, toxicity, warczip
 from .common import table
 
 
@@ -14,7 +14,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = quality.ledger(table(spark, sf_dir, "documents"))
+    entries = common.written(quality.ledger(table(spark, sf_dir, "documents")))
     base, full = quality.POLICIES[0], quality.POLICIES[-1]
     return entries.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -22,6 +22,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2b_quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy drops, alone and together, by bitwise aggregation of the stored ledger."""
+    return quality.ablations(common.written(quality.ledger(table(spark, sf_dir, "documents"))))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
@@ -54,7 +59,11 @@ def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chroma.search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", chroma.rendered)
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_quality_rules, op3_language_id, op4_toxicity, op5_warc_zip, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash, op10_chroma)}
+_ALL = (
+    op1_mixing, op2_quality_rules, op3_language_id, op4_toxicity, op5_warc_zip, op6_secrets, op7_merge_dropout, op8_substring_dedup, op9_simhash,
+    op10_chroma, op2b_quality_ablations,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -79,6 +88,15 @@ b AS (SELECT *, CAST(CASE WHEN n_words < 10 THEN 1 ELSE 0 END + CASE WHEN 100 *
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+ABLATIONS_SQL = f"""
+WITH q AS ({OP2_SQL}),
+r(bit, rule) AS (VALUES (1, 'few_words'), (2, 'repeated_windows'), (4, 'symbols'), (8, 'duplicate_lines'), (16, 'capitals'), (32, 'shouting'), (64, 'word_length')),
+p(policy, mask) AS (VALUES ('2024-base', 3), ('2024-lines', 15), ('2025-full', 127))
+SELECT policy, rule, count(*) AS documents, count(*) FILTER ((fail_bits & mask) = 0) AS kept, count(*) FILTER ((fail_bits & bit) <> 0) AS failed,
+  count(*) FILTER ((fail_bits & mask) = bit) AS failed_alone, count(*) FILTER ((fail_bits & mask & ~bit) = 0) AS kept_without
+FROM q, p, r WHERE (mask & bit) <> 0 GROUP BY policy, rule
+"""
+
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, {_WORDS} AS w FROM documents),
 u AS (SELECT r, doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
@@ -97,4 +115,4 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND one < page_id THEN one END AS refers_to FROM m
 """
 
-ORACLES: dict[str, str] = {"op5_warc_zip": OP5_SQL, "op2_quality_rules": OP2_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {"op5_warc_zip": OP5_SQL, "op2_quality_rules": OP2_SQL, "op2b_quality_ablations": ABLATIONS_SQL, "op8_substring_dedup": OP8_SQL}
