@@ -7,7 +7,8 @@ value is the candidate, and a sensitive word in KEY counts as well. Its marginal
 candidate less that of the surroundings alone, both primed with a dictionary of identifiers, words
 of code and the surroundings' kind. Words, identifiers and repeats of what stands around cost few
 bytes; random strings cost nearly their entropy. A candidate of `bits` or more per character whose
-span meets no base span is reported as `novel`.
+span meets no base span is reported as `novel`. The costs of 16 to 24 random characters and of as long a mixed-case
+identifier of several words overlap; `bits` is set so that random ones are caught, so some such identifiers are reported too.
 
 Positions count code points; ends are exclusive. Matches are leftmost and do not overlap within a
 kind; kinds may overlap each other.

@@ -6,7 +6,6 @@ from collections import Counter
 import numpy as np
 import pytest
 from fixtures import SCHEMA, documents
-from test_shuffling_ops import brute_components
 
 import corpus_pipeline as P
 from quantloom.llm import mixing, nearcopies, secrets, toxicity
@@ -21,6 +20,37 @@ def docs(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+def _shingles(text, k=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {b" ".join(w)} if w else set()
+
+
+def brute_groups(rows):
+    """The smallest id that each row reaches over pairs of a similarity of 0.8 or more of their 5-word shingles."""
+    sets, root = [_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or both >= 0.8 * len(sets[a] | sets[b]):
+                root[find(a)] = find(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return [least.get(find(k)) for k in range(len(rows))]
+
+
+def brute_kept(rows):
+    """Ids that stay: of each group the smallest."""
+    return {i for i in brute_groups(rows) if i is not None}
+
+
 def test_stages_keep_columns_and_take_effect(spark, docs):
     stages = dict(P.STAGES)
     assert list(stages) == ["toxicity", "simhash", "secrets", "mixing", "sentencepiece"]
@@ -28,8 +58,7 @@ def test_stages_keep_columns_and_take_effect(spark, docs):
     assert first.columns == docs.columns and first.count() <= docs.count()
     kept = stages["simhash"](spark, docs, SF)
     assert kept.columns == docs.columns
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = {i for i, _, c in brute_components(rows) if i is not None and i == c}
+    want = brute_kept([(r.doc_id, r.text) for r in docs.collect()])
     assert Counter(r.doc_id for r in kept.collect() if r.doc_id is not None) == Counter(want)
     assert sum(r.doc_id is None for r in kept.collect()) == 2
     clean = {r.doc_id: r for r in stages["secrets"](spark, docs, SF).collect()}
@@ -63,11 +92,6 @@ def test_repeated_ids_are_judged_by_their_texts(spark):
     assert {r.text for r in got if r.doc_id != 9} == {one, two}
 
 
-def _shingles(text, k=5):
-    w = (text or "").encode().lower().split()
-    return {b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {b" ".join(w)} if w else set()
-
-
 @pytest.mark.parametrize("block", [4096, 4])
 def test_components_are_those_of_all_pairs(spark, block):
     """Planted copies of similarity about 0.6 to 1, in groups large and small, against all pairs."""
@@ -80,29 +104,12 @@ def test_components_are_those_of_all_pairs(spark, block):
                 own[r.randrange(200)] = f"e{r.randrange(5000)}"
             rows.append((len(rows), " ".join(own)))
     rows += [(900 + k, t) for k, t in enumerate(["", " ", "one two", "One  two", "one two three"])] + [(None, rows[0][1]), (None, None)]
-    sets = [_shingles(t) for _, t in rows]
-    root = list(range(len(rows)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(rows)):
-        for b in range(a):
-            both = len(sets[a] & sets[b])
-            if sets[a] == sets[b] or both >= 0.8 * len(sets[a] | sets[b]):
-                root[find(a)] = find(b)
-    least = {}
-    for k, (i, _) in enumerate(rows):
-        if i is not None:
-            least[find(k)] = min(least.get(find(k), i), i)
-    want = Counter((i, least.get(find(k))) for k, (i, _) in enumerate(rows))
+    want = Counter((i, g) for (i, _), g in zip(rows, brute_groups(rows), strict=True))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = nearcopies.jaccard_components(docs, block=block).select("doc_id", "component_id").collect()
     assert Counter(map(tuple, got)) == want
     kept = Counter(x.doc_id for x in P.drop_near_copies(spark, docs, SF).collect())
-    assert kept == Counter({i: 1 for i in least.values()}) + Counter({None: 2}) and 20 < len(kept) < 150
+    assert kept == Counter({i: 1 for i in brute_kept(rows)}) + Counter({None: 2}) and 20 < len(kept) < 150
 
 
 def test_copies_of_similarity_0_8_are_found():

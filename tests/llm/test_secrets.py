@@ -65,21 +65,61 @@ def test_empty(spark):
     assert S.scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def plain_novel(text, base, novelty, bits=5.0, context=80):
+    """The rule, run by run, with plain loops: what a run's value is, what makes it sensitive, and what it costs."""
+    out, k = [], 0
+    token = set(string.ascii_letters + string.digits + "+/_=-")
+    words = [m.span() for m in re.finditer("password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private|signature|session|cookie|aws|ssh", text, re.I)]
+    while k < len(text):
+        if text[k] not in token:
+            k += 1
+            continue
+        begin = k
+        while k < len(text) and text[k] in token:
+            k += 1
+        if k - begin < 16:
+            continue
+        body = text[begin:k].rstrip("=")
+        cut = body.rfind("=") + 1
+        start = begin + cut if k - begin - cut >= 16 else begin
+        near = any(b <= begin and begin - b <= context for _, b in words)
+        named = start > begin and re.search(S.SENSITIVE, text[begin:start])
+        value = text[start:k]
+        kinds = any(c.islower() for c in value) + any(c.isupper() for c in value) + any(c.isdigit() for c in value)
+        if not (near or named) or kinds < 2 or any(x < k and start < y for x, y, _ in base):
+            continue
+        around = (text[max(0, start - context) : start] + text[k : k + context]).encode()
+        alone, both = (len(novelty.compressor.compress(x)) for x in (around, around + value.encode()))
+        if 8 * (both - alone) / len(value.encode()) >= bits:
+            out.append((start, k, "novel"))
+    return out
+
+
 def test_novel_spans_against_every_run_of_a_long_text():
-    r, novelty, bits, context = random.Random(5), S.Novelty(), 5.0, 80
+    r, novelty = random.Random(5), S.Novelty()
     key = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
-    text = "\n".join(f"token = {key(20)} and session bearer {key(r.randint(10, 99))} secret{key(18)} {key(30)}" for _ in range(150))
-    base, want = S.base_spans(text), []
-    near = [m.end() for m in S.SENSITIVE.finditer(text)]
-    for m in S.TOKEN.finditer(text):
-        a, b, run = *m.span(), m[0]
-        sensitive = any(e <= a and a + 16 <= e + context for e in near)
-        mixed = sum((any(c.islower() for c in run), any(c.isupper() for c in run), any(c.isdigit() for c in run))) >= 2
-        if sensitive and mixed and not any(x < b and a < y for x, y, _ in base):
-            around = text[max(0, a - context) : a] + text[b : b + context]
-            if novelty.bits(around.encode(), run.encode()) >= bits:
-                want.append((a, b, "novel"))
-    assert len(want) > 100 and S.novel_spans(text, base, novelty, bits, context) == want
+    line = lambda: f"token = {key(20)} and session bearer {key(r.randint(10, 99))} secret{key(18)} {key(30)} auth={key(24)}== x={key(15)} a {'filler ' * r.randrange(12)}{key(20)}"
+    text = "\n".join(line() for _ in range(150))
+    base = S.base_spans(text)
+    want = plain_novel(text, base, novelty)
+    assert len(want) > 300 and S.novel_spans(text, base, novelty, 5.0, 80) == want
+
+
+def test_recall_of_planted_keys():
+    """Random keys in the usual forms: all are caught, by a base pattern or by novelty, and of plain values none."""
+    r, novelty = random.Random(8), S.Novelty()
+    alphabet = string.ascii_letters + string.digits
+    forms = ["access_key={}", "auth={}", "pwd={}", "aws_access_key_id={}", "private_key: {}", "private_key:{}", "SESSION_COOKIE={}", "cookie: {}", "signature {}", "ssh-key = '{}'", "X-Auth-Key: {}"]
+    for form in forms:
+        caught = wrong = 0
+        for _ in range(40):
+            value = "".join(r.choice(alphabet) for _ in range(r.randint(20, 44)))
+            text = f"some line before it\n{form.format(value)}\nand one after"
+            start = text.index(value)
+            caught += any(a <= start and start + len(value) <= b for a, b, _ in S.spans(text, novelty))
+            plain = r.choice(["true", "localhost", "application/json;charset=utf-8", "00000000-0000-0000-0000-000000000000", "configuration", "getElementById", "abcdefghijklmnopqrstuvwxyz0123456789"])
+            wrong += bool(S.spans(f"some line before it\n{form.format(plain)}\nand one after", novelty))
+        assert caught == 40 and wrong == 0, (form, caught, wrong)
 
 
 def test_values_glued_to_their_names_are_measured():
