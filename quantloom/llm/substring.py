@@ -1,21 +1,24 @@
 """Substring dedup: word sequences of a length or more that occur earlier are removed.
 
-Method. Broadcast suffix automata of reference shards, with documents streamed against them for
-matching statistics. Taking the whole corpus as reference would stream every document past every
-shard, which is quadratic, so the reference holds the hottest passages only, and an exact window
-index does what is left:
-
-1. Minimizers. A window of `min_words` words is represented by its smallest hash of `seed_words`
-   consecutive words. Equal windows have equal minimizers, so only runs of windows whose minimizer
-   occurs again can repeat; about a sixth of a web-like corpus goes on from here.
-2. Reference. For the `reference_passages` most frequent minimizers, the passage about the earliest
-   occurrence. Windows in it contain that minimizer, so their earliest occurrence is there.
-   `shard_words` words make a shard; each is one suffix automaton, and all are broadcast: the size is
-   bounded by these parameters and does not grow with the corpus.
-3. Candidate runs stream through the automata. A window that ends where the matching statistic is
-   `min_words` or more occurs in the reference: it is removed unless it is that occurrence.
-   Very frequent passages thus make no hot key in the next step.
-4. Other candidate windows go by hash to their first occurrence; later ones are removed.
+Method. Suffix automata of reference shards, with documents streamed against them for matching
+statistics: a window of `min_words` words that ends where the statistic reaches `min_words` occurs in the
+reference. One broadcast reference would have to grow with the corpus, and streaming every document past
+every shard is quadratic, so shards are chosen by minimizer:
+
+1. Minimizers. A window is represented by its smallest hash of `seed_words` consecutive words. Equal windows
+   have equal minimizers, so only runs of windows whose minimizer occurs again can repeat. Runs of one
+   minimizer in a slice of texts are one row of the shuffle that counts them, so a common line is no hot key.
+2. Broadcast shards. For the `reference_passages` most frequent minimizers, the passage about the earliest
+   occurrence, up to `passage_words` words of it. Windows in it contain that minimizer, so their earliest occurrence is there.
+   `shard_words` words make a shard, one suffix automaton; a run streams through the shard of its own minimizer. The
+   size is bounded by these parameters and does not grow with the corpus.
+3. Dealt shards. The words of the other runs go by minimizer to a task, in order of documents. There the shard of a
+   minimizer is the automaton of its runs so far: a run streams through it, loses the windows found, and is added if it has any
+   others. A minimizer has fewer than `hot_count` runs here.
+4. What the broadcast shards leave of frequent minimizers, as the varied surroundings of a common phrase, is dealt
+   window by window, by the window's hash; equal ones of a slice are settled there. Its shard is that window.
+
+Words are compared by 48 bits of their hashes, all `min_words` of a window, in every route.
 
 Edge cases: null and empty texts have no words, and an empty table gives an empty result. Rows
 without an id come last in the order. Rows with equal id and text are one document and get the same
@@ -27,7 +30,6 @@ ones go, if there are `min_words` at least. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +105,18 @@ class SuffixAutomaton:
             held = min(held, size)
             yield held, where[state]
 
+    def repeats(self, tokens, size: int):
+        """For an empty automaton: the starts of the windows of a sequence that it has at an earlier start too."""
+        state = held = 0
+        for i, token in enumerate(tokens):
+            self._extend(token, i)
+            # the state of the last `size` tokens; a split may have moved them to a link
+            state, held = self.next[state][token], min(held + 1, size)
+            while self.length[self.link[state]] >= held:
+                state = self.link[state]
+            if held == size and self.where[state] < i:
+                yield i - size + 1
+
 
 def _minimizers(h: np.ndarray, seed: int, size: int):
     """Runs of windows with one minimizer: its hash, first window, number of windows, and whether it stands at several places of the run."""
@@ -115,65 +129,187 @@ def _minimizers(h: np.ndarray, seed: int, size: int):
 
 
 def _runs(batches, seed: int, size: int):
+    """A row for each minimizer of a slice: its first run, how many runs and whether any repeats in itself, and the other runs."""
     for batch in batches:
         for part in slices(batch):
             words, out = Words(part.column("text")), []
             h = words.hashes()
-            for doc, tie, a, b in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), words.first[:-1], words.first[1:], strict=True):
+            docs, ties = part.column("doc_id").to_pylist(), part.column("tie").to_pylist()
+            for doc, tie, a, b in zip(docs, ties, words.first[:-1], words.first[1:], strict=True):
                 if b - a >= size:
                     key, first, n, again = _minimizers(h[a:b], seed, size)
-                    out.append((np.full(len(key), doc), np.full(len(key), tie), key, first, n, again))
-            if out:
-                doc, tie, key, first, n, again = (np.concatenate(x) for x in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc.astype(np.int64)), pa.array(tie.astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(again)], ["key", "doc_id", "tie", "first", "n", "again"])
+                    out.append((np.full(len(key), doc, np.int64), np.full(len(key), tie, np.int64), key, first, n, again))
+            if not out:
+                continue
+            doc, tie, key, first, n, again = (np.concatenate(x) for x in zip(*out, strict=True))
+            order = np.lexsort((first, tie, doc, key))
+            doc, tie, key, first, n, again = doc[order], tie[order], key[order], first[order].astype(np.int32), n[order].astype(np.int32), again[order]
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            times = np.diff(np.r_[start, len(key)])
+            rest = np.ones(len(key), bool)
+            rest[start] = False
+            others = pa.StructArray.from_arrays([pa.array(x[rest]) for x in (doc, tie, first, n, again)], list(_RUN))
+            ends = np.cumsum(times - 1)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), others, mask=pa.array(times == 1))
+            inside = np.logical_or.reduceat(again, start)
+            columns = [key, doc, tie, first, n, again]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[start]) for x in columns), pa.array(times), pa.array(inside), lists], ["key", *_RUN, "times", "inside", "others"])
+
+
+_RUN = ("doc_id", "tie", "first", "n", "again")
+_RUN_TYPE = "doc_id long, tie long, first int, n int, again boolean"
+#: How the windows of a run are settled: by the shard of its minimizer, dealt by window, or through a broadcast shard first.
+RARE, COMMON, HOT = 0, 1, 2
+TOKEN = 6
+
+
+def _bytes(h: np.ndarray) -> np.ndarray:
+    """The first TOKEN bytes of each hash, one row each."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :TOKEN]
+
+
+def _tokens(raw: bytes) -> list[int]:
+    some = np.frombuffer(raw, np.uint8).reshape(-1, TOKEN)
+    wide = np.zeros((len(some), 8), np.uint8)
+    wide[:, :TOKEN] = some
+    return wide.view(np.int64)[:, 0].tolist()
+
+
+class _Dealt:
+    """Rows for the dealt shards: (deal, doc_id, tie, first, again, words, gone)."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+
+    def add(self, deal, doc, tie, first, again, words, gone=()):
+        self.rows.append((deal, doc, tie, first, again, words, gone))
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()))
+        columns = zip(*self.rows, strict=True) if self.rows else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["deal", "doc_id", "tie", "first", "again", "words", "gone"])
+
+
+_DEALT = "deal long, doc_id long, tie long, first int, again boolean, words binary, gone array<int>"
 
 
-def _windows(batches, size: int, shards) -> object:
-    """Candidate windows that the reference does not settle (settled false), and those it removes (settled true)."""
-    automata = [pickle.loads(x) for x in shards.value] if shards is not None else []
+def _dealt(batches, size: int, shared):
+    """Candidate runs and windows for the dealt shards, and what the broadcast shards and the slice itself remove."""
+    place, automata = shared.value if shared is not None else ({}, [])
     for batch in batches:
         for part in slices(batch):
-            words, out = Words(part.column("text")), []
+            words, out = Words(part.column("text")), _Dealt()
             h = words.hashes()
-            for doc, tie, a, b, runs in zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), words.first[:-1], words.first[1:], part.column("runs").to_pylist(), strict=True):
-                own = h[a:b]
-                w = windows(own, size).view(np.int64)
-                open_, hot = np.zeros(len(w), bool), np.zeros(len(w), bool)
-                for r in runs or ():
-                    open_[r["first"] : r["first"] + r["n"]] = True
-                    if r["hot"]:
-                        hot[r["first"] : r["first"] + r["n"]] = True
-                gone = np.zeros(len(w), bool)
-                for x, y in _spans(hot) if automata else ():
-                    tokens = own[x : y + size - 1].view(np.int64).tolist()
-                    for automaton in automata:
-                        for i, (held, where) in enumerate(automaton.matching(tokens, size)):
-                            if held >= size:
-                                start = x + i - size + 1
-                                open_[start] = False
-                                gone[start] |= where != ((doc, tie), start + size)
-                at = np.flatnonzero(open_ | gone)
-                # settled windows need no partner, so they are dealt by place, not by a hash that many share
-                spread = mixed(at.astype(np.uint64) + np.uint64((doc * 0x9E3779B97F4A7C15 + tie) % 2**64)).view(np.int64)
-                out.append((np.where(gone[at], spread, w[at]), np.full(len(at), doc, np.int64), np.full(len(at), tie, np.int64), at.astype(np.int32), gone[at]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["w", "doc_id", "tie", "start", "settled"])
-
-
-def _spans(mask: np.ndarray):
-    edges = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
-    return zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True)
+            single: list[tuple] = []
+            seen: set[tuple[int, int]] = set()
+            for k, (doc, tie, a, b, runs) in enumerate(
+                zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), words.first[:-1], words.first[1:], part.column("runs").to_pylist(), strict=True)
+            ):
+                if (doc, tie) in seen:
+                    # a repeated row of one document
+                    continue
+                seen.add((doc, tie))
+                own, raw, gone, open_ = h[a:b], None, [], []
+                for r in runs:
+                    first, n = r["first"], r["n"]
+                    if r["route"] == RARE:
+                        raw = _bytes(own) if raw is None else raw
+                        out.add(r["key"], doc, tie, first, r["again"], raw[first : first + n + size - 1].tobytes())
+                        continue
+                    left = range(first, first + n)
+                    if r["route"] == HOT and r["key"] in place:
+                        tokens, left = _tokens(_bytes(own[first : first + n + size - 1]).tobytes()), []
+                        for i, (held, where) in enumerate(automata[place[r["key"]]].matching(tokens, size)):
+                            at = first + i - size + 1
+                            if at >= first:
+                                if held < size:
+                                    left.append(at)
+                                elif where != ((doc, tie), at + size):
+                                    gone.append(at)
+                    open_ += left
+                if open_:
+                    single.append((k, doc, tie, own, np.array(open_)))
+                if gone:
+                    # what is settled meets nobody, so it is dealt by place
+                    out.add(_spread(doc, tie), doc, tie, -1, False, b"", gone)
+            _add_windows(single, size, out)
+            if out.rows:
+                yield out.batch()
+
+
+def _spread(doc: int, tie: int) -> int:
+    return int(mixed(np.array([(doc * 0x9E3779B97F4A7C15 + tie) % 2**64], np.uint64)).view(np.int64)[0])
+
+
+def _add_windows(single, size: int, out: _Dealt) -> None:
+    """Of equal windows of a slice, the earliest goes on; the others are gone."""
+    if not single:
+        return
+    rows, content, hashes = [], [], []
+    for k, (_, doc, tie, own, at) in enumerate(single):
+        rows.append(np.column_stack([np.full(len(at), k), at]))
+        content.append(sliding_window_view(_bytes(own), size, axis=0)[at].transpose(0, 2, 1).reshape(len(at), -1))
+        hashes.append(windows(own, size)[at].view(np.int64))
+    rows, hashes = np.concatenate(rows), np.concatenate(hashes)
+    content = np.ascontiguousarray(np.concatenate(content)).view(f"V{size * TOKEN}")[:, 0]
+    doc, tie = (np.array([x[i] for x in single])[rows[:, 0]] for i in (1, 2))
+    order = np.lexsort((rows[:, 1], tie, doc))
+    _, one, which = np.unique(content[order], return_index=True, return_inverse=True)
+    earliest = np.zeros(len(order), bool)
+    earliest[order[one]] = True
+    lost: dict[int, list[int]] = {}
+    for k in np.flatnonzero(~earliest).tolist():
+        lost.setdefault(int(rows[k, 0]), []).append(int(rows[k, 1]))
+    for k, starts in lost.items():
+        out.add(_spread(single[k][1], single[k][2]), single[k][1], single[k][2], -1, False, b"", starts)
+    for k in np.flatnonzero(earliest).tolist():
+        out.add(int(hashes[k]), int(doc[k]), int(tie[k]), int(rows[k, 1]), False, content[k].tobytes())
+
+
+def _judged(batches, size: int):
+    """Rows in order of (deal, doc_id, tie, first); a deal may span batches. Emits the starts of windows that occur earlier."""
+    deal, shard, waiting, last = None, None, None, None
+    for batch in batches:
+        out: list[tuple] = []
+        for now, doc, tie, first, again, raw, gone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if first < 0:
+                out.append((doc, tie, gone))
+                continue
+            if now != deal:
+                deal, shard, waiting = now, None, None
+            elif (doc, tie, first) == last:
+                # a repeated row of one document
+                continue
+            last = (doc, tie, first)
+            tokens, found = _tokens(raw), set()
+            if waiting is not None:
+                shard = shard or SuffixAutomaton()
+                shard.add(waiting, None, 0)
+                waiting = None
+            if shard is not None:
+                found = {first + i - size + 1 for i, (held, _) in enumerate(shard.matching(tokens, size)) if held >= size}
+            if again:
+                found.update(first + i for i in SuffixAutomaton().repeats(tokens, size))
+            # the last run of a deal is never added
+            if len(found) < len(tokens) - size + 1 or (again and shard is None):
+                waiting = tokens
+            if found:
+                out.append((doc, tie, list(found)))
+        columns = zip(*out, strict=True) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc_id", "tie", "starts"])
 
 
 def _passages(batches, size: int):
-    """The words about the hot runs that are asked for, as hashes."""
+    """The words about the hot runs that are asked for, as tokens."""
     for batch in batches:
         rows: list[tuple] = []
         words = Words(batch.column("text"))
-        h = words.hashes().view(np.int64)
+        h = words.hashes()
         for doc, tie, a, b, runs in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), words.first[:-1], words.first[1:], batch.column("runs").to_pylist(), strict=True):
-            rows += [(doc, tie, r["first"], h[a:b][r["first"] : r["first"] + r["n"] + size - 1].tolist()) for r in runs]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "tie", "first", "words"])
+            rows += [(doc, tie, r["first"], r["key"], _tokens(_bytes(h[a:b][r["first"] : r["first"] + r["n"] + size - 1]).tobytes())) for r in runs]
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+        columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "tie", "first", "key", "words"])
 
 
 def _kept(batches, size: int):
@@ -194,54 +330,82 @@ def _kept(batches, size: int):
                 yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, min_words: int = 20, seed_words: int = 7, reference_passages: int = 2048, hot_count: int = 64, shard_words: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_removed, kept_sha256 and kept_text (the words kept, joined by spaces)."""
-    spark = docs.sparkSession
-    size, seed = min_words, min(seed_words, min_words)
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, tie and copy (a row with a smaller id has the same text)."""
     texts = common.ids_and_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("digest", F.unhex(F.md5("text")))
     # only ids that have several texts need more than the id to tell documents apart
-    shared = common.written(texts.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg((F.min("x") < F.max("x")).alias("many")).filter("many"))
-    texts = texts.join(shared, "doc_id", "left").select("doc_id", "text", "digest", F.when(F.col("many"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tie"))
+    shared = texts.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg((F.min("x") < F.max("x")).alias("many")).filter("many")
+    texts = texts.join(common.written(shared), "doc_id", "left")
+    texts = texts.select("doc_id", "text", "digest", F.when(F.col("many"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tie"))
     copies = common.written(texts.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).filter("n > 1").select("digest", "one"))
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
-    marked = texts.join(copies, "digest", "left").select("doc_id", "tie", "text", F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy"))
-    single = marked.filter("not copy")
+    copy = F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy")
+    return texts.join(copies, "digest", "left").select("doc_id", "tie", "text", copy)
 
-    runs = single.mapInArrow(common.trimmed(lambda it: _runs(it, seed, size)), "key long, doc_id long, tie long, first int, n int, again boolean")
+
+def _repeated_runs(single: DataFrame, seed: int, size: int) -> DataFrame:
+    """Runs whose minimizer occurs again: key, times, whether the run is the earliest of its key, and the run."""
+    rows = single.mapInArrow(common.trimmed(lambda it: _runs(it, seed, size)), f"key long, {_RUN_TYPE}, times long, inside boolean, others array<struct<{_RUN_TYPE}>>")
     key = Window.partitionBy("key")
-    runs = runs.select("*", F.count("*").over(key).alias("times"), F.max("again").over(key).alias("inside"), F.min(F.struct("doc_id", "tie", "first", "n")).over(key).alias("earliest")).filter((F.col("times") > 1) | F.col("inside"))
-    runs = common.written(runs.select("doc_id", "tie", "first", "n", "key", "times", "earliest"))
+    place = F.struct("doc_id", "tie", "first")
+    rows = rows.withColumns({"times": F.sum("times").over(key), "inside": F.max("inside").over(key), "earliest": place == F.min(place).over(key)})
+    rows = rows.filter((F.col("times") > 1) | F.col("inside"))
+    mine = F.array(F.struct(*_RUN, F.col("earliest")))
+    rest = F.transform(F.coalesce("others", F.array().cast(f"array<struct<{_RUN_TYPE}>>")), lambda r: F.struct(*[r[c].alias(c) for c in _RUN], F.lit(False).alias("earliest")))
+    return rows.select("key", "times", F.explode(F.concat(mine, rest)).alias("r")).select("key", "times", "r.*")
+
+
+def substring_dedup(
+    docs: DataFrame, min_words: int = 20, seed_words: int = 7, reference_passages: int = 2048, hot_count: int = 64,
+    passage_words: int = 256, shard_words: int = 50_000, id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
+    """Per row: doc_id, n_words, n_removed, kept_sha256 and kept_text (the words kept, joined by spaces)."""
+    spark = docs.sparkSession
+    size, seed = min_words, min(seed_words, min_words)
+    marked = _identified(docs, id_col, text_col)
+    single = marked.filter("not copy").select("doc_id", "tie", "text")
+    runs = common.written(_repeated_runs(single, seed, size))
     common.release(spark)
 
-    hottest = runs.filter(F.col("times") >= hot_count).filter("doc_id = earliest.doc_id and tie = earliest.tie and first = earliest.first").dropDuplicates(["key"]).select("doc_id", "tie", "first", "n", "key", "times").orderBy(F.desc("times"), "key").limit(reference_passages)
-    hottest = common.written(hottest)
-    shards = None
+    frequent = F.col("times") >= hot_count
+    hottest = runs.filter(frequent & F.col("earliest")).dropDuplicates(["key"]).select("doc_id", "tie", "first", "n", "key", "times")
+    hottest = common.written(hottest.orderBy(F.desc("times"), "key").limit(reference_passages))
+    shared = None
     if not hottest.isEmpty():
-        wanted = hottest.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "n")).alias("runs"))
-        found = texts.join(F.broadcast(wanted), ["doc_id", "tie"]).mapInArrow(common.trimmed(lambda it: _passages(it, size)), "doc_id long, tie long, first int, words array<long>")
-        shards = spark.sparkContext.broadcast(_automata(found.collect(), shard_words))
+        passage = F.struct("first", F.least("n", F.lit(max(1, passage_words - size + 1))).alias("n"), "key")
+        wanted = hottest.groupBy("doc_id", "tie").agg(F.collect_list(passage).alias("runs"))
+        found = single.join(F.broadcast(wanted), ["doc_id", "tie"])
+        found = found.mapInArrow(common.trimmed(lambda it: _passages(it, size)), "doc_id long, tie long, first int, key long, words array<long>")
+        # reference_passages rows of at most passage_words words
+        shared = spark.sparkContext.broadcast(_automata(found.collect(), shard_words))
     hot = F.broadcast(hottest.select("key", F.lit(True).alias("hot")))
-    wanted = runs.join(hot, "key", "left").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "n", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
+    route = F.when(F.col("hot"), HOT).when(frequent, COMMON).otherwise(RARE).alias("route")
+    wanted = runs.join(hot, "key", "left").groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "n", "again", "key", route)).alias("runs"))
     wanted = common.written(wanted)
-    found = single.join(wanted, ["doc_id", "tie"]).select("doc_id", "tie", "text", "runs").mapInArrow(common.trimmed(lambda it: _windows(it, size, shards)), "w long, doc_id long, tie long, start int, settled boolean")
-    first = F.min(F.struct("doc_id", "tie", "start")).over(Window.partitionBy("w", "settled"))
-    found = found.select("doc_id", "tie", "start", "settled", first.alias("one"))
-    gone = found.filter(F.col("settled") | (F.struct("doc_id", "tie", "start") > F.col("one"))).groupBy("doc_id", "tie").agg(F.collect_set("start").alias("starts"))
-    gone = common.written(gone)
+    common.drop_written(runs)
+    dealt = single.join(wanted, ["doc_id", "tie"]).mapInArrow(common.trimmed(lambda it: _dealt(it, size, shared)), _DEALT)
+    dealt = dealt.repartition("deal").sortWithinPartitions("deal", "doc_id", "tie", "first")
+    found = dealt.mapInArrow(common.trimmed(lambda it: _judged(it, size)), "doc_id long, tie long, starts array<int>")
+    gone = common.written(found.groupBy("doc_id", "tie").agg(F.flatten(F.collect_list("starts")).alias("starts")))
+    common.drop_written(wanted)
     common.release(spark)
-    out = marked.join(gone, ["doc_id", "tie"], "left").select("doc_id", "text", "copy", "starts").mapInArrow(common.trimmed(lambda it: _kept(it, size)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
+    out = marked.join(gone, ["doc_id", "tie"], "left").select("doc_id", "text", "copy", "starts").mapInArrow(common.trimmed(lambda it: _kept(it, size)), kinds)
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 
-def _automata(rows, shard_words: int) -> list[bytes]:
-    """Suffix automata of the passages, each of about shard_words words; passages of many are one shard's."""
-    made, held, current = [], 0, SuffixAutomaton()
-    for doc, tie, first, words in sorted(set((r.doc_id, r.tie, r.first, tuple(r.words)) for r in rows)):
+def _automata(rows, shard_words: int) -> tuple[dict[int, int], list[SuffixAutomaton]]:
+    """The shard of each minimizer, and the shards: automata of about shard_words words of passages."""
+    place, made, held = {}, [SuffixAutomaton()], 0
+    for doc, tie, first, key, words in sorted((r.doc_id, r.tie, r.first, r.key, tuple(r.words)) for r in rows):
+        if key in place:
+            continue
         if held and held + len(words) > shard_words:
-            made.append(pickle.dumps(current))
-            held, current = 0, SuffixAutomaton()
-        current.add(words, (doc, tie), first)
+            made.append(SuffixAutomaton())
+            held = 0
+        made[-1].add(words, (doc, tie), first)
+        place[key] = len(made) - 1
         held += len(words)
-    return [*made, pickle.dumps(current)]
+    return place, made

@@ -78,6 +78,46 @@ def test_substring_texts_that_share_an_id_are_documents_of_their_own(spark, hot)
     assert "short text" in {x.kept_text for x in got} and " ".join(own[30:]) in {x.kept_text for x in got}
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_count": 2}, {"hot_count": 2, "reference_passages": 3, "passage_words": 24}, {"hot_count": 3, "reference_passages": 0}])
+def test_substring_periodic_and_common_texts(spark, options):
+    """Periods of one word and more, a common phrase in varied surroundings, repeated and null ids with unlike texts."""
+    r = random.Random(4)
+    period = [["aa"] * 400, ["aa", "bb"] * 150, [f"c{k % 7}" for k in range(500)], [f"c{k % 7}" for k in range(3, 90)], ["aa"] * 19, ["aa"] * 20]
+    phrase = [f"ph{k}" for k in range(12)]
+    rows = [(10 * k, " ".join(x)) for k, x in enumerate(period)]
+    around = [[f"z{r.randrange(6)}" for _ in range(9)] for _ in range(5)]
+    for k in range(60):
+        rows.append((100 + k, " ".join([f"y{k}", *r.choice(around), *phrase, *r.choice(around), f"x{k}", *r.choice(period)[: r.randrange(60)]])))
+    rows += [(700, " ".join(["q", *phrase, *around[0]])), (700, " ".join(["q2", *phrase, *around[1], *["aa"] * 25])), (None, " ".join(around[2] * 4)), (None, "short")]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **options)
+    own = [(i, t) for i, t in rows if i is not None and i != 700]
+    # of rows that share an id, the order is by a hash of the text; the others are as in brute force
+    found = Counter(map(tuple, got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()))
+    assert sum(found.values()) == len(rows)
+    want = brute_substring(own)
+    assert not want - found
+
+
+def test_repeats_of_a_sequence_in_itself():
+    r = random.Random(6)
+    for size in (1, 3, 6):
+        for _ in range(60):
+            tokens = [r.randrange(3) for _ in range(r.randrange(40))] + [1, 2] * r.randrange(8) + [0] * r.randrange(12)
+            want = [k for k in range(len(tokens) - size + 1) if any(tokens[j : j + size] == tokens[k : k + size] for j in range(k))]
+            assert list(substring.SuffixAutomaton().repeats(tokens, size)) == want
+
+
+def test_automata_decide_every_removal(spark, monkeypatch):
+    """Where no automaton finds anything, only copies lose words."""
+    rows = [(r[0], r[1]) for r in documents() if r[0] is not None]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lost = lambda **o: sum(r.n_removed for r in substring.substring_dedup(docs, **o).collect())
+    full = lost()
+    monkeypatch.setattr(substring, "_judged", lambda batches, size: iter(()))
+    copies = lost(hot_count=10**6)
+    assert 0 < copies < full
+
+
 def test_automaton_matches_naive():
     r = random.Random(5)
     passages = [[r.randrange(4) for _ in range(40)] for _ in range(5)]
