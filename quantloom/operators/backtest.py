@@ -5,8 +5,9 @@ book has grown to V = 1 + sum(w0 * (C - 1)) and the weights are w0 * C / V. So g
 sizes of fills come from running products and sums over windows. Only equity is recursive, since
 market impact depends on it; that is one scalar a session and configuration, a pandas group of daily rows.
 
-All configurations run in one plan, dealt by configuration: windows along assets and across them need no
-further shuffle. Fills are at the next open, the next close, or (optimistic) the same close.
+All configurations run in one plan. For a universe of up to ONE_TASK assets it is dealt by configuration, and windows
+along assets and across them need no further shuffle; a larger one is dealt by (configuration, asset) and by (configuration,
+session) in turn, so that no task holds a whole configuration. Fills are at the next open, the next close, or (optimistic) the same close.
 
 Targets (config_id, asset, n, w) must have every asset at every session; a NULL target or price is 0.
 """
@@ -23,6 +24,8 @@ from ..config import CostModel
 from ..functions.windows import SO_FAR, across, along, filled, ratio, rolling
 from .align import Market
 
+#: Up to so many assets a configuration (all of its sessions) is one task's work.
+ONE_TASK = 500
 EXECUTIONS = ("next_open", "next_close", "same_close")
 KEY = ("config_id",)
 CHANGED, LIVE, SPELL = 1e-12, 1e-12, 1e-9
@@ -42,12 +45,20 @@ class Settings:
 
 @dataclass
 class Simulation:
-    """daily (config_id, n, ret, gross, cost, turnover, participation, equity), and per asset exposure and contribution."""
+    """daily (config_id, n, ret, gross, cost, turnover, participation, held, equity), and per asset exposure and contribution.
+
+    held is equity before the session, equity after it; both start from 1.
+    """
 
     daily: DataFrame
     by_asset: DataFrame
 
 
+def dealt(rows: DataFrame, n_assets: int) -> DataFrame:
+    """Rows by configuration where one is small; else as they are, and each window deals them by its own keys."""
+    return rows.repartition("config_id") if n_assets <= ONE_TASK else rows
+
+
 def inputs(market: Market) -> DataFrame:
     """Return legs, and volatility and traded value known before each session."""
     w = along()
@@ -101,7 +112,7 @@ def _equity(settings: Settings):
         equity, out = 1.0, []
         for k, d in enumerate(pdf.itertuples(index=False)):
             if equity <= 0 or (k == 0 and not early):
-                out.append((0.0, 0.0, 0.0, 0.0, 0.0, equity))
+                out.append((0.0, 0.0, 0.0, 0.0, 0.0, equity, equity))
                 continue
             held = equity
             cost = d.linear + d.impact * held**0.5
@@ -110,8 +121,8 @@ def _equity(settings: Settings):
             if k:
                 growth *= 1 + d.cash * (rf if d.cash >= 0 else rf + spread) - borrow * d.short
             equity *= growth
-            out.append((growth - 1 if equity > 0 else -1.0, gross, cost, d.turnover, d.share * held, held))
-        return pdf[["config_id", "n"]].assign(**dict(zip(("ret", "gross", "cost", "turnover", "participation", "held"), map(list, zip(*out, strict=True)), strict=True)))
+            out.append((growth - 1 if equity > 0 else -1.0, gross, cost, d.turnover, d.share * held, held, equity))
+        return pdf[["config_id", "n"]].assign(**dict(zip(("ret", "gross", "cost", "turnover", "participation", "held", "equity"), map(list, zip(*out, strict=True)), strict=True)))
 
     return run
 
@@ -122,8 +133,9 @@ def simulate(targets: DataFrame, market: Market, settings: Settings, features: D
         raise ValueError(f"execution is one of {EXECUTIONS}")
     costs = settings.costs
     features = inputs(market) if features is None else features
-    rows = targets.select("config_id", "asset", "n", "w").join(features, ["asset", "n"]).repartition("config_id")
-    rows = rows.withColumn("n0", F.min("n").over(Window.partitionBy(*KEY)))
+    rows = dealt(targets.select("config_id", "asset", "n", "w").join(features, ["asset", "n"]), len(market.assets))
+    # targets have every asset at every session, so an asset's first session is the configuration's
+    rows = rows.withColumn("n0", F.min("n").over(along(*KEY).rowsBetween(*SO_FAR)))
     rows = _positions(rows, settings.execution)
     size = F.abs("delta")
     value = F.when((F.col("adv") > 0), F.col("adv"))
@@ -136,7 +148,7 @@ def simulate(targets: DataFrame, market: Market, settings: Settings, features: D
         F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.sum("linear").alias("linear"), F.sum("impact").alias("impact"), F.sum("size").alias("turnover"), F.coalesce(F.max("share"), F.lit(0.0)).alias("share"),
         (1 - F.sum("end")).alias("cash"), F.sum(F.greatest(F.lit(0.0), -F.col("end"))).alias("short"),
     )
-    kinds = "config_id string, n long, ret double, gross double, cost double, turnover double, participation double, held double"
+    kinds = "config_id string, n long, ret double, gross double, cost double, turnover double, participation double, held double, equity double"
     daily = days.groupBy("config_id").applyInPandas(_equity(settings), kinds)
     return Simulation(daily, _attributed(rows, daily))
 

@@ -25,12 +25,13 @@ def regimes(bench: DataFrame, periods: int = 252) -> DataFrame:
     return rows.select("n", "date", trend.alias("trend"), vol.alias("vol"))
 
 
-def correlations(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, a, b, corr) for pairs of assets a before b, over sessions that both have. returns: (keys, asset, n, r)."""
-    left = returns.filter("r is not null").select(*keys, "n", F.col("asset").alias("a"), F.col("r").alias("x"))
-    right = returns.filter("r is not null").select(*keys, "n", F.col("asset").alias("b"), F.col("r").alias("y"))
-    moments = [F.count("*").alias("m"), corr("x", "y").alias("corr")]
-    return left.join(right, [*keys, "n"]).filter("a < b").groupBy(*keys, "a", "b").agg(*moments).select(*keys, "a", "b", F.when(F.col("m") > 1, F.col("corr")).alias("corr"))
+def correlations(returns: DataFrame, keys: tuple[str, ...] = (), count: bool = False) -> DataFrame:
+    """(keys, a, b, corr) for pairs of assets a before b, over the sessions that both have (with count, m of them). returns: (keys, asset, n, r)."""
+    known = returns.filter("r is not null")
+    left = known.select(*keys, "n", F.col("asset").alias("a"), F.col("r").alias("x"))
+    right = known.select(*keys, "n", F.col("asset").alias("b"), F.col("r").alias("y"))
+    pairs = left.join(right, [*keys, "n"]).filter("a < b").groupBy(*keys, "a", "b").agg(F.count("*").alias("m"), corr("x", "y").alias("corr"))
+    return pairs.select(*keys, "a", "b", F.when(F.col("m") > 1, F.col("corr")).alias("corr"), *(["m"] if count else []))
 
 
 def average_correlation(market: Market, window: int = 63, history: int = 756, step: int = 21) -> DataFrame:

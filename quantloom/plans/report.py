@@ -10,6 +10,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..config import cost_model
 from ..operators import market as context
 from ..operators import metrics
 from .research import Result
@@ -62,7 +63,8 @@ def save_tables(r: Result, folder: Path, data: dict[str, pd.DataFrame]) -> None:
         v.to_csv(out / f"sensitivity_{k.replace('+', '_')}.csv", index=False)
     if len(r.scan):
         r.scan.to_csv(out / "opportunity_scan.csv", index=False)
-    facts = {"config": dataclasses.asdict(r.config), "period": [r.windows["start"], r.market.sessions()[-1]], "n_trials": r.n_trials, "sr_std": r.sr_std, "selected": r.selected, "ranking": r.ranking.to_dict("records")}
+    costs = cost_model(r.config.cost_preset)
+    facts = {"config": dataclasses.asdict(r.config), "costs": dataclasses.asdict(costs) | {"text": costs.describe()}, "period": [r.windows["start"], r.market.sessions()[-1]], "n_trials": r.n_trials, "sr_std": r.sr_std, "selected": r.selected, "ranking": r.ranking.to_dict("records")}
     (out / "summary.json").write_text(json.dumps(facts, default=str, indent=1))
 
 
@@ -100,7 +102,7 @@ def _ranking(r: Result) -> str:
 
 def _strategy(name: str, v: dict) -> str:
     d, verdict = v["strategy_def"], v["verdict"]
-    checks = [{"Check": c.name, "Value": c.shown, "Wanted": c.threshold, "Passed": MARKS[c.passed], "Kind": c.kind} for c in verdict.checks]
+    checks = [{"Check": c.name, "Value": c.value, "Wanted": c.wanted, "Passed": MARKS[c.passed], "Kind": c.kind} for c in verdict.checks]
     samples = [{"Sample": s, "Sharpe": plain(m.get("sharpe")), "Growth": percent(m.get("cagr")), "Largest fall": percent(m.get("max_drawdown")), "Trades": m.get("n_trades", "n/a")} for s, m in (("in", v["is"]), ("out", v["oos"]), ("walk-forward", v["wf"]))]
     windows = [{"Test": f"{w['test_start']} to {w['test_end']}", "Parameters": w["label"], "Training": plain(w["train_sharpe"]), "Result": plain(w["test_sharpe"])} for w in v["windows"]]
     numbers = lambda frame: [{k: plain(x) if isinstance(x, float) else x for k, x in row.items() if k != "config_id"} for row in frame.to_dict("records")]

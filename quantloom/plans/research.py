@@ -206,13 +206,15 @@ class Research:
             v["psr"], v["dsr"] = (metrics.psr(row, b, periods) if row else 0.0 for b in (0.0, luck))
             v["t_stat"] = row["mean"] / row["sd"] * math.sqrt(row["m"]) if row and row["sd"] else 0.0
             v.setdefault("ci", limits.get(name, (math.nan, math.nan)))
-            v["verdict"] = evaluation.evaluate(v, self.config.criteria, self.has_volume)
+        verdicts = evaluation.evaluate(self.spark, out.strategies.values(), self.config.criteria, self.has_volume)
+        for v, verdict in zip(out.strategies.values(), verdicts, strict=True):
+            v["verdict"] = verdict
 
     def _overlays(self, out: Result) -> list[Strategy]:
         """Overlays for strategies with an edge that fail on risk."""
         more = []
         for name, v in out.strategies.items():
-            failed = {c.name for c in v["verdict"].failures} & evaluation.RISK
+            failed = set(v["verdict"].missed) & evaluation.RISK
             edge = evaluation.number(v["wf"].get("sharpe"), 0.0) > 0.2
             if v["verdict"].status == "VALIDATED":
                 out.log.append(f"{name}: kept as it is")
@@ -237,7 +239,7 @@ class Research:
         if out.returns is None or len(out.strategies) < 2:
             return {}
         rows = out.returns.select("n", F.col("config_id").alias("asset"), "r")
-        return {(r.a, r.b): (10**9, r.corr) for r in context.correlations(rows).filter("corr is not null").collect()}
+        return {(r.a, r.b): (r.m, r.corr) for r in context.correlations(rows, count=True).filter("corr is not null").collect()}
 
     def _blend(self, out: Result) -> dict | None:
         """Selected strategies by inverse volatility, set at the first known value of each month."""

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.windows import across, along, annual_vol, before, cap_gross, change, filled, hold, ratio, rolling, rsi, selected, series, state, turn_of_month
 from ..operators.align import Market
+from ..operators.backtest import dealt
 
 CONFIG = ("config_id",)
 
@@ -59,6 +60,11 @@ class Strategy:
     def label(self, params: dict) -> str:
         return f"{self.name}({','.join(f'{k}={v}' for k, v in params.items() if k in self.grid)})"
 
+    def describe(self) -> dict:
+        """What a reader needs to know of the rule."""
+        side = "long only" if self.long_only else "long and short"
+        return {"name": self.name, "family": self.family, "side": side, "needs": self.min_assets, "thesis": self.thesis, "rules": self.rules, "defaults": dict(self.defaults), "grid": dict(self.grid)}
+
     def applicable(self, market: Market) -> tuple[bool, str]:
         n = len(market.assets)
         return (True, "") if n >= self.min_assets else (False, f"needs {self.min_assets} assets, the universe has {n}")
@@ -94,8 +100,8 @@ def _base(market: Market) -> DataFrame:
 
 
 def _with_sets(features: DataFrame, market: Market, sets: list[dict], *columns: str) -> DataFrame:
-    """Features by parameter sets, dealt by configuration: windows along assets and across them then need no further shuffle."""
-    return features.select("asset", "ord", "n", *columns).crossJoin(_sets(market, sets)).repartition("config_id")
+    """Features by parameter sets."""
+    return dealt(features.select("asset", "ord", "n", *columns).crossJoin(_sets(market, sets)), len(market.assets))
 
 
 def _out(rows: DataFrame, w: Column) -> DataFrame:
@@ -286,6 +292,7 @@ def _pairs(market: Market, sets: list[dict]) -> DataFrame:
     return _out(grid.join(total, ["config_id", "asset", "n"], "left"), F.coalesce("w", F.lit(0.0)))
 
 
+#: Names, default parameters, grids and the number of assets that a rule needs.
 STRATEGIES = {
     s.name: s
     for s in (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quantloom.config import COSTS, Criteria, ResearchConfig, from_preset
 from quantloom.operators.align import market
-from quantloom.operators.market import regimes
+from quantloom.operators.market import correlations, regimes
 from quantloom.plans import evaluation as E
 from quantloom.plans import validation as V
 from quantloom.plans.strategies import STRATEGIES, Strategy, overlay, strategy
@@ -121,23 +121,38 @@ def facts(**more):
     return {"wf": wf | more.pop("wf", {}), "is": {"sharpe": 1.3}, "stress": {"base": 1.2, "costs_x2": 1.0, "delay_1_session": 1.1}, "dsr": 0.95, "psr": 0.99, "robust": 0.8, "lookahead": {"passed": True, "max_abs_diff": 0.0}, "regimes": [1.0, 0.5, 0.2], "top_share": 0.3, "n_assets": 5, "thesis": "x"} | more
 
 
-def test_verdicts():
-    ok = E.evaluate(facts(), Criteria(), True)
-    assert ok.status == "VALIDATED" and len(ok.checks) == 16 and not ok.reasons and ok.score > 80
-    assert E.evaluate(facts(dsr=0.5), Criteria(), True).status == "PROMISING"
-    bad = E.evaluate(facts(wf={"max_drawdown": 0.4}), Criteria(), True)
-    assert bad.status == "REJECTED" and "Maximum drawdown" in bad.reasons[0]
-    assert next(c for c in E.evaluate(facts(), Criteria(), False).checks if "volume" in c.name).passed is None
-
-
-def test_ranking_and_selection():
-    rows = [{"strategy": n, "verdict": E.evaluate(f, Criteria(), True)} | f for n, f in (("a", facts(dsr=0.5)), ("b", facts()), ("b+regime", facts(robust=0.7)), ("c", facts(wf={"sharpe": 0.1})), ("d", facts(dsr=0.2)))]
+def test_verdicts(spark):
+    cases = [facts(), facts(dsr=0.5), facts(wf={"max_drawdown": 0.4}), facts(dsr=None, top_share=float("nan"), regimes=[], n_assets=1, thesis="")]
+    ok, promising, bad, unknown = E.evaluate(spark, cases, Criteria(), True)
+    assert ok.status == "VALIDATED" and len(ok.checks) == 16 and not ok.reasons and all(c.passed for c in ok.checks)
+    # 30 * 0.8 + 15 * 0.95 + 10 * (0.8 + 0.8 + 1 / 1.2 + 1) + 5 * (0.9 + 1 + 0.7)
+    assert ok.score == pytest.approx(85.6, abs=0.051)
+    assert promising.status == "PROMISING" and promising.missed == ["Deflated Sharpe"]
+    assert bad.status == "REJECTED" and bad.missed == ["Maximum drawdown"] and bad.reasons == ["Maximum drawdown (40.0%, wanted < 30%)"]
+    passed = {c.name: c.passed for c in unknown.checks}
+    assert unknown.status == "PROMISING" and passed["Gains across trends"] is None and passed["Largest asset's share of gains"] is None and not passed["Has a rationale"]
+    (dry,) = E.evaluate(spark, [facts()], Criteria(), False)
+    assert next(c for c in dry.checks if "volume" in c.name).passed is None
+    assert E.evaluate(spark, [], Criteria(), True) == []
+
+
+def test_ranking_and_selection(spark):
+    cases = {"a": facts(dsr=0.5), "b": facts(), "b+regime": facts(robust=0.7), "c": facts(wf={"sharpe": 0.1}), "d": facts(dsr=0.2)}
+    verdicts = E.evaluate(spark, cases.values(), Criteria(), True)
+    rows = [{"strategy": n, "verdict": v} | f for (n, f), v in zip(cases.items(), verdicts, strict=True)]
     ranked = E.ranking(rows)
     assert ranked.strategy.tolist() == ["b", "b+regime", "a", "d", "c"] and ranked["rank"].tolist() == [1, 2, 3, 4, 5]
+    # a and d share enough sessions to be told alike, a and b do not
     chosen, why = E.select(ranked, {("a", "d"): (500, 0.9), ("a", "b"): (50, 0.99)}, 5)
     assert chosen == ["b", "a"] and set(why) == {"b+regime", "d"}
 
 
+def test_correlations_count_common_sessions(spark):
+    rows = [("a", n, float(n % 5)) for n in range(50)] + [("b", n, float(n % 5) if n != 33 else None) for n in range(30, 80)]
+    (got,) = correlations(spark.createDataFrame(rows, "asset string, n long, r double"), count=True).collect()
+    assert (got.a, got.b, got.m) == ("a", "b", 19) and got.corr == pytest.approx(1)
+
+
 def test_presets_and_costs():
     c = from_preset("crypto", capital=5.0, start=None)
     assert c.periods_per_year == 365 and c.capital == 5.0 and c.start == "2018-01-01"
