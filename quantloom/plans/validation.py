@@ -57,9 +57,9 @@ def neighbours(sets: list[dict], grid: dict[str, list]) -> list[list[int]]:
 
 
 def plateau(ratios: list[float], near: list[list[int]]) -> int:
-    """The set whose Sharpe ratio stands on the best plateau: an isolated peak is pulled halfway to its neighbours' mean; the first of equals."""
+    """The set whose Sharpe ratio stands on the best plateau: an isolated peak is pulled halfway to its neighbours' mean; the first of equals (to 12 digits)."""
     score = [min(s, (s + sum(ratios[j] for j in nb) / len(nb)) / 2) if nb else s for s, nb in zip(ratios, near, strict=True)]
-    return max(range(len(score)), key=lambda k: (score[k], -k))
+    return max(range(len(score)), key=lambda k: (round(score[k], 12), -k))
 
 
 def walk_forward_windows(days: list[dt.date], start: dt.date, train_years: float, test_years: float, anchored: bool = False) -> list[dict]:
