@@ -6,7 +6,7 @@ It shares no formula with the simulation's windows: weights drift, fill and earn
 from __future__ import annotations
 
 from ..config import COSTS, CostModel, ResearchConfig
-from .oracles import _BARS, _REGIMES, _SHARPE, ORACLES, _chosen, _hold, _roll, _vol, _with
+from .oracles import _BARS, _BENCH_DD, _REGIMES, _SHARPE, ORACLES, _chosen, _hold, _roll, _vol, _with
 from .strategies import STRATEGIES
 from .validation import neighbours
 
@@ -157,6 +157,15 @@ sc AS (SELECT n, CASE WHEN v IS NULL THEN 1.0 WHEN v = 0 THEN 1.0 ELSE floor(lea
 )
 
 
+BOOKS["crises"] = _with(
+    """SELECT asset AS config_id, 'Benchmark drawdown ' || peak || ' to ' || trough AS episode, round(product(1 + coalesce(feat.r, 0.0)) - 1, 6) AS strategy, round(product(1 + bret.r) - 1, 6) AS benchmark
+  FROM deep JOIN feat ON feat.date BETWEEN peak AND trough JOIN bret ON bret.n = feat.n GROUP BY asset, peak, trough""",
+    _BARS,
+    _BENCH_DD,
+    "deep AS (SELECT arg_min(prior, n) AS peak, arg_min(date, dd) AS trough FROM isl WHERE dd < 0 GROUP BY island HAVING -min(dd) >= 0.01 ORDER BY -min(dd) DESC, 1 LIMIT 3)",
+)
+
+
 def _low_vol(p: dict) -> str:
     size = "1 / vol" if p["weighting"] == "inverse_vol" else "1.0"
     hold = _hold("share", p["rebalance"], "d").replace("round(", "(").replace(", 6) AS w", ") AS w")
@@ -279,6 +288,14 @@ one AS (SELECT * FROM adf WHERE t < -3 QUALIFY row_number() OVER (PARTITION BY f
 two AS (SELECT c.* FROM adf c JOIN one USING (f_end) WHERE c.t < -3 AND c.y NOT IN (one.y, one.x) AND c.x NOT IN (one.y, one.x) QUALIFY row_number() OVER (PARTITION BY c.f_end ORDER BY c.t, c.yo, c.xo) = 1),
 three AS (SELECT c.* FROM adf c JOIN one USING (f_end) JOIN two USING (f_end) WHERE c.t < -3 AND c.y NOT IN (one.y, one.x, two.y, two.x) AND c.x NOT IN (one.y, one.x, two.y, two.x) QUALIFY row_number() OVER (PARTITION BY c.f_end ORDER BY c.t, c.yo, c.xo) = 1),
 prs AS (SELECT f_end, y, x, beta, t FROM one UNION ALL SELECT f_end, y, x, beta, t FROM two UNION ALL SELECT f_end, y, x, beta, t FROM three)"""
+BOOKS["leave_one_out"] = _with(
+    f"""SELECT config_id, round({_SHARPE.format(x='ret')}, 6) AS sharpe FROM (WITH RECURSIVE book AS (SELECT s.config_id || '|' || o.asset AS config_id, s.asset, s.n, CASE WHEN s.asset = o.asset THEN 0.0 ELSE s.w END AS w FROM stitched_ s JOIN largest o ON o.config_id = s.config_id),
+  {walk('next_open').strip()} SELECT config_id, n, ret FROM daily) JOIN cal USING (n), opened WHERE date >= day GROUP BY config_id""",
+    *_CHOSEN,
+    "stitched_ AS MATERIALIZED (SELECT * FROM stitched)",
+    f"""gained AS (SELECT config_id, asset, sum(contribution) AS pnl FROM {_walked('SELECT * FROM by_asset', 'next_open', _COSTS, _ASSETS)} JOIN cal USING (n), opened WHERE date >= day GROUP BY config_id, asset),
+largest AS (SELECT config_id, asset FROM gained QUALIFY row_number() OVER (PARTITION BY config_id ORDER BY abs(pnl) DESC, asset) <= 6)""",
+)
 BOOKS["formation_pairs"] = _with("SELECT f_end, y, x, round(beta, 6) AS beta, round(t, 6) AS t FROM prs", _BARS, _FORMATION)
 
 #: A pair's spread from 20 sessions before its period to the period's end; in it, a position of -1, 0 or 1.

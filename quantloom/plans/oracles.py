@@ -86,7 +86,10 @@ ORACLES = {
     "returns": _with("SELECT asset, n, date, round(r, 6) AS r FROM feat", _BARS),
     "quality": _with(
         """SELECT m.asset, CASE WHEN least_ <= 0 OR jumps > 0 OR flat >= 5 OR date_diff('day', (SELECT min(date) FROM cal), first) > 30 OR date_diff('day', last, (SELECT max(date) FROM cal)) > 7 OR missing > 0.02 * expected THEN 'check' ELSE 'ok' END AS status,
-  first, last, observations, missing AS missing_sessions, round(top, 6) AS max_abs_daily_move FROM m JOIN x ON m.asset = x.asset""",
+  first, last, observations, missing AS missing_sessions, round(top, 6) AS max_abs_daily_move,
+  concat_ws('; ', CASE WHEN least_ <= 0 THEN 'prices of zero or less' END, CASE WHEN jumps > 0 THEN jumps || ' moves over 25%' END, CASE WHEN flat >= 5 THEN 'unchanged for ' || flat || ' days' END,
+    CASE WHEN date_diff('day', (SELECT min(date) FROM cal), first) > 30 THEN 'starts ' || first END, CASE WHEN date_diff('day', last, (SELECT max(date) FROM cal)) > 7 THEN 'ends ' || last END,
+    CASE WHEN missing > 0.02 * expected THEN missing || ' sessions missing' END) AS flags FROM m JOIN x ON m.asset = x.asset""",
         _BARS,
         """q1 AS (SELECT asset, date, close, close / lag(close) OVER w - 1 AS mv, coalesce(close = lag(close) OVER w, false) AS fl FROM raw WINDOW w AS (PARTITION BY asset ORDER BY date)),
 q2 AS (SELECT *, sum(CASE WHEN fl THEN 0 ELSE 1 END) OVER (PARTITION BY asset ORDER BY date) AS st FROM q1),

@@ -38,7 +38,7 @@ def aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_market(spark, sf_dir).quality.select("asset", "status", "first", "last", "observations", "missing_sessions", "max_abs_daily_move"))
+    return rounded(_market(spark, sf_dir).quality.select("asset", "status", "first", "last", "observations", "missing_sessions", "max_abs_daily_move", "flags"))
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +212,35 @@ def concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(validation.concentration(validation.contributions(sim.by_asset, m.bench, validation.first_day(w["wf"]))))
 
 
+def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sharpe ratios of the walk-forward books with the weights of one of their largest assets at 0."""
+    m, books, _, w = _books(spark, sf_dir)
+    s, start, features = Settings(COSTS["us_etf"], periods=PERIODS), validation.first_day(w["wf"]), written(inputs(m))
+    pnl = written(validation.contributions(simulate(books, m, s, features).by_asset, m.bench, start))
+    rows = validation.dated(simulate(validation.leave_one_out(books, pnl), m, s, features).daily, m.bench, start)
+    return rounded(rows.groupBy("config_id").agg(metrics.sharpe("r", PERIODS).alias("sharpe")))
+
+
+def crises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asset's return over the benchmark's deepest falls."""
+    m = _market(spark, sf_dir)
+    r = m.returns().select(F.col("asset").alias("config_id"), "n", "date", F.coalesce("r", F.lit(0.0)).alias("r"))
+    return rounded(validation.crises(r, m.bench_returns(), False, m.sessions()[0], least=0.01))
+
+
+def lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest change of a strategy's targets where its history is cut off."""
+    found = validation.lookahead(STRATEGIES.values(), _market(spark, sf_dir))
+    return spark.createDataFrame([(k, v["passed"], v["max_abs_diff"]) for k, v in found.items()], "strategy string, passed boolean, max_abs_diff double")
+
+
+def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each asset's returns: the probability of a Sharpe ratio above 0, and bootstrap limits of the ratio."""
+    r = _market(spark, sf_dir).returns().select(F.col("asset").alias("config_id"), "n", "date", "r")
+    rows = [(x["config_id"], metrics.psr(x, 0.0, PERIODS)) for x in metrics.summary(r, None, PERIODS).collect()]
+    return rounded(spark.createDataFrame(rows, "config_id string, psr double").join(metrics.bootstrap(r, PERIODS, 200, 7), "config_id"))
+
+
 def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, sim = _simulated(spark, sf_dir)
     return rounded(blend(validation.dated(sim.daily, m.bench), 4))
@@ -230,8 +259,15 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "bars": bars, "aligned_bars": aligned_bars, "quality": quality, "returns": returns, "regimes": regimes, "breadth": breadth, "avg_corr": avg_corr, "overview": overview, "scan": scan, "rsi": rsi_14,
-    **{f"weights_{s}": _weights(s) for s in STRATEGIES}, "overlay_regime": _overlaid("vol_managed", "regime"), "overlay_voltarget": _overlaid("xs_momentum", "voltarget"), "grid_weights": grid_weights, "formation_pairs": formation_pairs,
-    **{f"bt_daily_{e}": _bt(e) for e in ("next_open", "next_close", "same_close")}, "trades": trade_spells, "metrics_benchmark": metrics_benchmark, "metrics_assets": metrics_assets, "metrics_books": metrics_books, "drawdown": drawdown, "yearly": yearly, "rolling_sharpe": rolling_sharpe,
-    "drawdown_episodes": drawdown_episodes, "regime_breakdown": regime_breakdown, "sensitivity": sensitivity, "robustness": robustness, "select_params": select_params, "walk_forward": walk_forward, "stress": stress, "concentration": concentration, "blend": blended, "ranking": ranking,
+    "bars": bars, "aligned_bars": aligned_bars, "quality": quality, "returns": returns, "regimes": regimes, "breadth": breadth,
+    "avg_corr": avg_corr, "overview": overview, "scan": scan, "rsi": rsi_14,
+    **{f"weights_{s}": _weights(s) for s in STRATEGIES},
+    "overlay_regime": _overlaid("vol_managed", "regime"), "overlay_voltarget": _overlaid("xs_momentum", "voltarget"),
+    "grid_weights": grid_weights, "formation_pairs": formation_pairs,
+    **{f"bt_daily_{e}": _bt(e) for e in ("next_open", "next_close", "same_close")},
+    "trades": trade_spells, "metrics_benchmark": metrics_benchmark, "metrics_assets": metrics_assets, "metrics_books": metrics_books,
+    "drawdown": drawdown, "yearly": yearly, "rolling_sharpe": rolling_sharpe, "drawdown_episodes": drawdown_episodes,
+    "regime_breakdown": regime_breakdown, "sensitivity": sensitivity, "robustness": robustness, "select_params": select_params,
+    "walk_forward": walk_forward, "stress": stress, "concentration": concentration, "leave_one_out": leave_one_out, "crises": crises,
+    "lookahead": lookahead, "significance": significance, "blend": blended, "ranking": ranking,
 }

@@ -151,10 +151,10 @@ def drawdown_episodes(bench: DataFrame, top: int = 3, least: float = 0.08) -> Da
 CRISES = {"GFC 2007-09": ("2007-10-09", "2009-03-09"), "Euro debt 2011": ("2011-04-29", "2011-10-03"), "China deval 2015": ("2015-07-20", "2016-02-11"), "Q4 2018 selloff": ("2018-09-20", "2018-12-24"), "COVID crash 2020": ("2020-02-19", "2020-03-23"), "Inflation bear 2022": ("2022-01-03", "2022-10-12")}
 
 
-def crises(returns: DataFrame, bench: DataFrame, named: bool, start: dt.date) -> DataFrame:
+def crises(returns: DataFrame, bench: DataFrame, named: bool, start: dt.date, least: float = 0.08) -> DataFrame:
     """(config_id, episode, strategy, benchmark): returns over the benchmark's deepest falls since start, and over known crises that are covered whole."""
     spark = returns.sparkSession
-    falls = drawdown_episodes(bench.filter(F.col("date") >= F.lit(start))).select(F.concat(F.lit("Benchmark drawdown "), F.col("peak").cast("string"), F.lit(" to "), F.col("trough").cast("string")).alias("episode"), F.col("peak").alias("lo"), F.col("trough").alias("hi"))
+    falls = drawdown_episodes(bench.filter(F.col("date") >= F.lit(start)), least=least).select(F.concat(F.lit("Benchmark drawdown "), F.col("peak").cast("string"), F.lit(" to "), F.col("trough").cast("string")).alias("episode"), F.col("peak").alias("lo"), F.col("trough").alias("hi"))
     if named:
         ends = returns.agg(F.min("date").alias("a"), F.max("date").alias("b"))
         known = spark.createDataFrame([(k, *map(dt.date.fromisoformat, v)) for k, v in CRISES.items()], "episode string, lo date, hi date").crossJoin(ends).filter("lo >= a and hi <= b").select("episode", "lo", "hi")
