@@ -51,7 +51,7 @@ class Simulation:
     """
 
     daily: DataFrame
-    by_asset: DataFrame
+    by_asset: DataFrame | None
 
 
 def dealt(rows: DataFrame, n_assets: int) -> DataFrame:
@@ -103,19 +103,18 @@ def _positions(rows: DataFrame, execution: str) -> DataFrame:
 def _equity(settings: Settings):
     """Runs one configuration's days: impact takes the square root of equity at the close before."""
     rf = settings.risk_free_rate / settings.periods
-    spread = settings.costs.financing_spread_bps / 1e4 / settings.periods
-    borrow = settings.costs.borrow_bps / 1e4 / settings.periods
     early = settings.execution == "same_close"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("n")
-        equity, out = 1.0, []
+        equity, out, scale = 1.0, [], float(pdf["scale"].iloc[0])
+        spread, borrow = (scale * x / 1e4 / settings.periods for x in (settings.costs.financing_spread_bps, settings.costs.borrow_bps))
         for k, d in enumerate(pdf.itertuples(index=False)):
             if equity <= 0 or (k == 0 and not early):
                 out.append((0.0, 0.0, 0.0, 0.0, 0.0, equity, equity))
                 continue
             held = equity
-            cost = d.linear + d.impact * held**0.5
+            cost = scale * (d.linear + d.impact * held**0.5)
             growth = (1 + d.g1) * (1 - cost) * (1 + d.g2) if k else 1 - cost
             gross = (growth / (1 - cost) - 1 if cost < 1 else -1.0) if k else 0.0
             if k:
@@ -127,8 +126,12 @@ def _equity(settings: Settings):
     return run
 
 
-def simulate(targets: DataFrame, market: Market, settings: Settings, features: DataFrame | None = None) -> Simulation:
-    """Simulates all configurations of the targets."""
+def simulate(targets: DataFrame, market: Market, settings: Settings, features: DataFrame | None = None, scales: tuple[int, ...] = ()) -> Simulation:
+    """Simulates all configurations of the targets.
+
+    With scales, each at these multiples of the costs, under the id `configuration|x<scale>`: fills and weights do not depend on
+    costs, so they are shared, and only equity differs. Contributions are those of the costs as they are, and left out.
+    """
     if settings.execution not in EXECUTIONS:
         raise ValueError(f"execution is one of {EXECUTIONS}")
     costs = settings.costs
@@ -148,9 +151,14 @@ def simulate(targets: DataFrame, market: Market, settings: Settings, features: D
         F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.sum("linear").alias("linear"), F.sum("impact").alias("impact"), F.sum("size").alias("turnover"), F.coalesce(F.max("share"), F.lit(0.0)).alias("share"),
         (1 - F.sum("end")).alias("cash"), F.sum(F.greatest(F.lit(0.0), -F.col("end"))).alias("short"),
     )
+    if scales:
+        several = days.sparkSession.createDataFrame([(float(k), f"|x{k}") for k in scales], "scale double, mark string")
+        days = days.crossJoin(F.broadcast(several)).withColumn("config_id", F.concat("config_id", "mark")).drop("mark")
+    else:
+        days = days.withColumn("scale", F.lit(1.0))
     kinds = "config_id string, n long, ret double, gross double, cost double, turnover double, participation double, held double, equity double"
     daily = days.groupBy("config_id").applyInPandas(_equity(settings), kinds)
-    return Simulation(daily, _attributed(rows, daily))
+    return Simulation(daily, None if scales else _attributed(rows, daily))
 
 
 def _attributed(rows: DataFrame, daily: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -80,8 +80,12 @@ class Research:
         self.has_volume = m.has_volume
         days = m.sessions()
         self.windows = windows = plan_windows(days, c)
-        facts = context.overview(m, periods).first().asDict()
-        out = Result(c, m, windows, {"facts": facts, "interpretation": context.interpret(facts)}, validation.frame(context.scan(m, periods)), notes=list(c.notes))
+        # what does not wait for the strategies runs beside them
+        aside = ThreadPoolExecutor(3)
+        facts = aside.submit(lambda: context.overview(m, periods).first().asDict())
+        scan = aside.submit(lambda: validation.frame(context.scan(m, periods)))
+        out = Result(c, m, windows, {}, pd.DataFrame(), notes=list(c.notes))
+        baselines = aside.submit(self._baselines, out)
         if windows["short"]:
             out.notes.append(f"A short history: {windows['train_years']} years of training and {windows['test_years']} of test.")
         if c.source == "synthetic":
@@ -100,7 +104,9 @@ class Research:
             if more:
                 out.strategies |= self._validated(more)
                 self._significance(out)
-        self._baselines(out)
+        baselines.result()
+        out.overview, out.scan = {"facts": facts.result(), "interpretation": context.interpret(facts.result())}, scan.result()
+        aside.shutdown()
         rows = [{"strategy": k} | v for k, v in out.strategies.items()]
         out.ranking = evaluation.ranking(rows)
         out.returns = validation._union([v["returns"] for v in out.strategies.values()]) if rows else None
@@ -123,9 +129,20 @@ class Research:
         periods, rf, start = s.periods, s.risk_free_rate, validation.first_day(w["wf"])
         # independent jobs run side by side: each is a few short stages, which leave most of a cluster idle
         pool = ThreadPoolExecutor(6)
-        looks = pool.submit(validation.lookahead, strategies, m)
-        targets, sets = validation.grid_targets(strategies, m, c.max_grid, c.seed)
-        targets = written(targets)
+        # the grid has each strategy's default set, so look-ahead need not compute its targets from the whole history again
+        ready: Future = Future()
+        looks = pool.submit(validation.lookahead, strategies, m, whole=ready.result)
+        try:
+            targets, sets = validation.grid_targets(strategies, m, c.max_grid, c.seed)
+            targets = written(targets)
+            usual = [(f"{st.name}#{sets[st.name].index(st.defaults):02d}", st.name) for st in strategies if st.defaults in sets[st.name]]
+            renamed = F.broadcast(self.spark.createDataFrame(usual, "config_id string, name string"))
+            whole = targets.join(renamed, "config_id").select(F.col("name").alias("config_id"), "asset", "ord", "n", "w")
+            others = [st.targets(m, ids=[st.name]) for st in strategies if st.defaults not in sets[st.name]]
+            ready.set_result(validation._union([whole, *others]))
+        except BaseException as error:
+            ready.set_exception(error)
+            raise
         sim = simulate(targets, m, s, self.features)
         daily = written(sim.daily)
         returns = validation.dated(daily, m.bench)

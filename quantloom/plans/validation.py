@@ -7,27 +7,34 @@ interval join and one aggregation. What comes to the driver is a row a configura
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import SO_FAR, corr
 from ..operators.align import Market
 from ..operators.backtest import Settings, simulate
 from ..operators.metrics import drawdowns, growth, max_drawdown, sharpe
+from .stages import written
 from .strategies import Strategy
 
 
-def lookahead(strategies: Iterable[Strategy], market: Market, cuts=(0.45, 0.7, 0.9), tolerance: float = 1e-9) -> dict[str, dict]:
-    """Largest difference between targets from whole and from cut-off histories, by strategy (default parameters)."""
+def lookahead(strategies: Iterable[Strategy], market: Market, cuts=(0.45, 0.7, 0.9), tolerance: float = 1e-9, whole: Callable[[], DataFrame] | None = None) -> dict[str, dict]:
+    """Largest difference between targets from whole and from cut-off histories, by strategy (default parameters).
+
+    whole: gives targets from the whole history under the strategies' names, once they are known; called when those of cut-off ones are.
+    """
     strategies, days = list(strategies), market.sessions()
     union = lambda m: _union([s.targets(m, ids=[s.name]) for s in strategies])
-    whole = union(market)
     parts = _union([union(market.between(end=days[int(len(days) * c)])).withColumn("end", F.lit(int(len(days) * c))) for c in cuts])
-    both = whole.select("config_id", "asset", "n", "w").join(parts.select("config_id", "asset", "n", F.col("w").alias("v"), "end"), ["config_id", "asset", "n"])
-    worst = {r.config_id: r.d for r in both.groupBy("config_id").agg(F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("d")).collect()}
+    keys = ["config_id", "asset", "n"]
+    if whole is not None:
+        parts = written(parts)
+    both = (whole() if whole else union(market)).select(*keys, "w").join(parts.select(*keys, F.col("w").alias("v"), "end"), keys)
+    off = F.max(F.abs(F.coalesce("w", F.lit(0.0)) - F.coalesce("v", F.lit(0.0)))).alias("d")
+    worst = {r.config_id: r.d for r in both.groupBy("config_id").agg(off).collect()}
     return {s.name: {"passed": worst[s.name] <= tolerance, "max_abs_diff": worst[s.name]} for s in strategies}
 
 
@@ -120,14 +127,24 @@ def robustness(sens: DataFrame) -> DataFrame:
 
 
 def stress(books: DataFrame, market: Market, settings: Settings, start, base: DataFrame, features: DataFrame) -> DataFrame:
-    """(config_id, scenario, sharpe) of walk-forward books under harsher costs and other fills. base: their returns (config_id, n, date, r)."""
-    scenarios = {f"costs_x{k}": settings.but(costs=settings.costs.scaled(k)) for k in (2, 3)}
+    """(config_id, scenario, sharpe) of walk-forward books under harsher costs and other fills. base: their returns (config_id, n, date, r).
+
+    Multiples of the costs share fills and weights, so they are one simulation.
+    """
+    other = {}
     if settings.execution != "next_close":
-        scenarios["delay_1_session"] = settings.but(execution="next_close")
+        other["delay_1_session"] = settings.but(execution="next_close")
     if settings.execution != "same_close":
-        scenarios["same_close_optimistic"] = settings.but(execution="same_close")
-    score = lambda rows, name: rows.groupBy("config_id").agg(sharpe("r", settings.periods, settings.risk_free_rate).alias("sharpe")).withColumn("scenario", F.lit(name))
-    return _union([score(base, "base"), *[score(dated(simulate(books, market, s, features).daily, market.bench, start), name) for name, s in scenarios.items()]])
+        other["same_close_optimistic"] = settings.but(execution="same_close")
+
+    def score(rows: DataFrame, name: Column) -> DataFrame:
+        return rows.withColumn("scenario", name).groupBy("config_id", "scenario").agg(sharpe("r", settings.periods, settings.risk_free_rate).alias("sharpe"))
+
+    costly = simulate(books, market, settings, features, scales=(2, 3)).daily
+    costly = costly.withColumn("scale", F.substring_index("config_id", "|x", -1)).withColumn("config_id", F.expr("substring(config_id, 1, length(config_id) - length(scale) - 2)"))
+    costly = costly.join(F.broadcast(market.bench.select("n", "date")), "n").filter(F.col("date") >= F.lit(start)).withColumn("r", F.col("ret"))
+    rest = [score(dated(simulate(books, market, s, features).daily, market.bench, start), F.lit(name)) for name, s in other.items()]
+    return _union([score(base, F.lit("base")), score(costly, F.concat(F.lit("costs_x"), "scale")), *rest])
 
 
 def regime_breakdown(returns: DataFrame, bench: DataFrame, regimes: DataFrame, periods: int, rf: float, least: int = 40) -> DataFrame:
