@@ -91,13 +91,13 @@ def _market(r: Result) -> str:
     scan = [{k: plain(v) if isinstance(v, float) else v for k, v in row.items()} for row in r.scan.sort_values([c for c in ("momentum_rank", "asset") if c in r.scan]).to_dict("records")]
     macro = "" if r.macro is None else "\n### Macro series\n\n" + table(r.macro.to_dict("records"))
     quality = [] if r.market.quality is None else [x.asDict() for x in r.market.quality.collect()]
-    return "## 2. Market\n\n" + table(facts) + "\n" + "\n".join(f"- {s}" for s in r.overview["interpretation"]) + "\n\n### Scan\n\n" + table(scan) + macro + "\n### Data quality\n\n" + table(quality)
+    return "## 3. Market\n\n" + table(facts) + "\n" + "\n".join(f"- {s}" for s in r.overview["interpretation"]) + "\n\n### Scan\n\n" + table(scan) + macro + "\n### Data quality\n\n" + table(quality)
 
 
 def _ranking(r: Result) -> str:
     rows = [{"Rank": x["rank"], "Strategy": x["strategy"], "Status": x["status"], "Score": x["score"], "Sharpe": plain(x["wf_sharpe"]), "Growth": percent(x["wf_cagr"]), "Largest fall": percent(x["wf_max_dd"]), "Deflated": plain(x["dsr"]), "Robust": plain(x["robustness"]), "Turnover": plain(x["annual_turnover"], 1), "Issue": x["main_issue"]} for x in r.ranking.to_dict("records")]
     rest = "".join(f"- {k}: {v}\n" for k, v in [*r.left_out.items(), *r.skipped])
-    return "## 3. Ranking\n\n" + table(rows) + ("\nLeft out:\n\n" + rest if rest else "")
+    return "## 4. Ranking\n\n" + table(rows) + ("\nLeft out:\n\n" + rest if rest else "")
 
 
 def _strategy(name: str, v: dict) -> str:
@@ -120,16 +120,69 @@ def _advice(r: Result) -> str:
         share = v["wf"].get("max_participation") or 0.0
         room = c.capital * c.criteria.max_adv_participation / share if share > 0 else math.nan
         rows.append({"Strategy": name, "Capacity": plain(room, 0), "Stop at a fall of": percent(min(0.5, 1.5 * v["wf"]["max_drawdown"])), "Parameters": ", ".join(f"{k}={x}" for k, x in v["deployed"].items())})
-    return "## 5. What to do\n\n" + table(rows) + "\nCapacity is where the largest trade would reach the allowed share of daily volume. The stop is one and a half times the largest fall of the walk-forward, half of the capital at most.\n"
+    return "## 7. What to do\n\n" + table(rows) + "\nCapacity is where the largest trade would reach the allowed share of daily volume. The stop is one and a half times the largest fall of the walk-forward, half of the capital at most.\n"
 
 
 def _risks(r: Result) -> str:
-    return "## 6. Limits\n\n- Fills are modelled, not observed; daily bars hide what happens within a day.\n- Only prices and volumes are used.\n- Trying many rules finds luck: ratios are deflated for all trials, which helps but does not prove.\n- Past regimes may not return.\n"
+    return "## 8. Limits\n\n- Fills are modelled, not observed; daily bars hide what happens within a day.\n- Only prices and volumes are used.\n- Trying many rules finds luck: ratios are deflated for all trials, which helps but does not prove.\n- Past regimes may not return.\n"
+
+
+def _findings(r: Result) -> str:
+    """What holds over all strategies, in sentences."""
+    wf = {k: v["wf"] for k, v in r.strategies.items()}
+    known = {k: m["sharpe"] for k, m in wf.items() if m.get("sharpe") is not None}
+    lines = []
+    if known:
+        best, worst = max(known, key=known.get), min(known, key=known.get)
+        lines.append(f"Out of sample, {best} did best (Sharpe ratio {plain(known[best])}) and {worst} worst ({plain(known[worst])}).")
+        ahead = sum(m["sharpe"] > (m.get("benchmark_sharpe") or 0.0) for m in wf.values() if m.get("sharpe") is not None)
+        lines.append(f"{ahead} of {len(known)} had a higher ratio than the benchmark.")
+    missed: dict[str, int] = {}
+    for v in r.strategies.values():
+        for name in v["verdict"].missed:
+            missed[name] = missed.get(name, 0) + 1
+    lines += [f"{n} failed on: {name}." for name, n in sorted(missed.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    lines.append(f"{r.n_trials} configurations were tried; by luck alone their best would be expected to look good, and ratios are deflated for that.")
+    return "## 2. Findings\n\n" + "\n".join(f"- {x}" for x in lines) + "\n"
+
+
+def _comparison(r: Result) -> str:
+    """Walk-forward books beside the blend, buying and holding, and the benchmark."""
+    books = {k: v["wf"] for k, v in r.strategies.items()}
+    if r.blend:
+        books["blend"] = r.blend["metrics"]
+    books |= {"buy and hold": r.baseline, "benchmark": r.benchmark.get("wf", {})}
+    kinds = (("Growth", "cagr", percent), ("Volatility", "ann_vol", percent), ("Sharpe", "sharpe", plain), ("Sortino", "sortino", plain), ("Largest fall", "max_drawdown", percent), ("Positive years", "positive_years", percent), ("Beta", "beta", plain))
+    return "## 6. Comparison\n\n" + table([{"Book": k} | {title: show(m.get(c)) for title, c, show in kinds} for k, m in books.items()])
+
+
+def _final_check(r: Result) -> str:
+    """Whether the run itself can be trusted."""
+    looks = {k: v["lookahead"]["passed"] for k, v in r.strategies.items()}
+    flagged = [] if r.market.quality is None else [x.asset for x in r.market.quality.filter("status <> 'ok'").collect()]
+    rows = [
+        {"Question": "Does any rule look ahead?", "Answer": "no" if all(looks.values()) else ", ".join(k for k, ok in looks.items() if not ok)},
+        {"Question": "Are results out of sample?", "Answer": f"yes, over {len(r.windows['wf'])} walk-forward windows"},
+        {"Question": "Are costs in?", "Answer": cost_model(r.config.cost_preset).describe()},
+        {"Question": "Is the number of trials accounted for?", "Answer": f"yes, {r.n_trials}"},
+        {"Question": "Is the history long enough?", "Answer": "no, windows were shortened" if r.windows["short"] else "yes"},
+        {"Question": "Are the data clean?", "Answer": "yes" if not flagged else f"see the quality flags of {', '.join(flagged)}"},
+    ]
+    return "## 9. Final check\n\n" + table(rows)
+
+
+def _appendices(r: Result) -> str:
+    settings = [{"Setting": k, "Value": v} for k, v in dataclasses.asdict(r.config).items() if k not in ("criteria", "notes")]
+    limits = [{"Threshold": k, "Value": v} for k, v in dataclasses.asdict(r.config.criteria).items()]
+    rules = [{"Strategy": k, "Family": v["strategy_def"].family, "Grid": "; ".join(f"{p}: {x}" for p, x in v["strategy_def"].grid.items())} for k, v in r.strategies.items()]
+    again = f"python -m quantloom research --source {r.config.source} --universe {','.join(r.config.universe)} --benchmark {r.config.benchmark} --start {r.config.start}"
+    return f"## Appendix A: settings\n\n{table(settings)}\n{table(limits)}\n## Appendix B: strategies and how to run this again\n\n{table(rules)}\n    {again}\n"
 
 
 def markdown(r: Result) -> str:
-    log = "## 7. Overlays tried\n\n" + ("".join(f"- {x}\n" for x in r.log) or "_none_\n")
-    return "\n".join([_header(r), _summary(r), _market(r), _ranking(r), "## 4. Strategies\n", *(_strategy(k, v) for k, v in r.strategies.items()), _advice(r), _risks(r), log])
+    log = "## 10. Overlays tried\n\n" + ("".join(f"- {x}\n" for x in r.log) or "_none_\n")
+    details = ["## 5. Strategies\n", *(_strategy(k, v) for k, v in r.strategies.items())]
+    return "\n".join([_header(r), _summary(r), _findings(r), _market(r), _ranking(r), *details, _comparison(r), _advice(r), _risks(r), _final_check(r), log, _appendices(r)])
 
 
 def draw(data: dict[str, pd.DataFrame], folder: Path) -> list[str]:

@@ -214,10 +214,25 @@ def _month_turn(market: Market, sets: list[dict]) -> DataFrame:
     return _out(rows, F.when(inside & F.col("close").isNotNull(), 1.0).otherwise(0.0) / F.col("avail"))
 
 
+#: Assets are paired in blocks of so many, so that a task holds two blocks of a window at most.
+BLOCK = 64
+
+
+def _dot(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+
+def _centred(values: Column) -> Column:
+    mean = F.aggregate(values, F.lit(0.0), lambda t, x: t + x) / F.size(values)
+    return F.transform(values, lambda x: x - mean)
+
+
 def formations(market: Market, formation: int, reform: int, n_pairs: int, max_t: float) -> DataFrame:
     """(f_end, y, x, beta, t): disjoint pairs of each formation window, the most stationary first.
 
-    Pairs meet only within a window, and each window's statistics are regressions as aggregates.
+    An asset's window is one row: its centred log prices, their lags and their steps as arrays, and the products of these with
+    themselves. A pair needs five products of arrays more, and its regression and test follow from the products, since
+    the spread's lag and step are py - beta * px of the assets' own; so a pair is a row, and never a row a session.
     """
     total = market.bench.count()
     prices = market.bars.filter((F.col("close") > 0)).select("asset", "ord", "n", F.ln("close").alias("p"))
@@ -225,18 +240,29 @@ def formations(market: Market, formation: int, reform: int, n_pairs: int, max_t:
     first = F.greatest(F.lit(0), F.floor((F.col("n") - formation) / reform) + 1)
     last = F.least(F.floor(F.col("n") / reform), F.floor(F.lit((total - 1 - formation) / reform)))
     windows = prices.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("f_end", F.col("k") * reform + formation)
-    whole = windows.groupBy("f_end", "asset").agg(F.count("*").alias("c")).filter(F.col("c") == formation).select("f_end", "asset")
-    windows = windows.join(whole, ["f_end", "asset"])
-    left = windows.select("f_end", "n", F.col("asset").alias("y"), F.col("ord").alias("yo"), F.col("p").alias("py"))
-    right = windows.select("f_end", "n", F.col("asset").alias("x"), F.col("ord").alias("xo"), F.col("p").alias("px"))
-    both = left.join(right, ["f_end", "n"]).filter("yo < xo")
-    one = ["f_end", "y", "x"]
-    fits = both.groupBy(*one).agg((F.covar_pop("py", "px") / F.nullif(F.var_pop("px"), F.lit(0.0))).alias("beta")).filter("beta > 0")
-    rest = both.join(fits, one).withColumn("e", F.col("py") - F.col("beta") * F.col("px"))
-    rest = rest.withColumn("l", F.lag("e").over(Window.partitionBy(*one).orderBy("n"))).withColumn("d", F.col("e") - F.col("l")).filter("l is not null")
-    slope, sxx, sxy, syy = (f(F.col("d"), F.col("l")) for f in (F.regr_slope, F.regr_sxx, F.regr_sxy, F.regr_syy))
-    variance = F.nullif(sxx, F.lit(0.0))
-    tests = rest.groupBy(*one).agg(F.first("beta").alias("beta"), F.first("yo").alias("yo"), F.first("xo").alias("xo"), (slope / F.sqrt(F.nullif(F.greatest(F.lit(0.0), syy - slope * sxy), F.lit(0.0)) / (formation - 3) / variance)).alias("t"))
+    whole = windows.groupBy("f_end", "asset", "ord").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("s")).filter(F.size("s") == formation)
+    whole = whole.withColumn("raw", F.col("s.p")).withColumn("late", F.slice("raw", 2, formation - 1)).withColumn("early", F.slice("raw", 1, formation - 1))
+    steps = F.zip_with("late", "early", lambda x, y: x - y)
+    whole = whole.select("f_end", "asset", "ord", _centred(F.col("raw")).alias("p"), _centred(F.col("early")).alias("l"), _centred(steps).alias("d"))
+    whole = whole.select("*", _dot("p", "p").alias("pp"), _dot("l", "l").alias("ll"), _dot("d", "l").alias("dl"), _dot("d", "d").alias("dd"))
+    blocks = -(-len(market.assets) // BLOCK)
+    own = F.floor(F.col("ord") / BLOCK).cast("int")
+    side = lambda s: [F.col(c).alias(f"{s}_{c}") for c in ("asset", "ord", "p", "l", "d", "pp", "ll", "dl", "dd")]
+    left = whole.select("f_end", own.alias("yb"), F.explode(F.sequence(own, F.lit(blocks - 1))).alias("xb"), *side("y"))
+    right = whole.select("f_end", F.explode(F.sequence(F.lit(0), own)).alias("yb"), own.alias("xb"), *side("x"))
+    both = left.join(right, ["f_end", "yb", "xb"]).filter("y_ord < x_ord")
+    both = both.withColumn("beta", _dot("y_p", "x_p") / F.nullif("x_pp", F.lit(0.0))).filter("beta > 0")
+    both = both.withColumns({"yl_xl": _dot("y_l", "x_l"), "yd_xl": _dot("y_d", "x_l"), "yl_xd": _dot("y_l", "x_d"), "yd_xd": _dot("y_d", "x_d")})
+    # products of the spread's lag and step with each other
+    spread = both.select(
+        "f_end", F.col("y_asset").alias("y"), F.col("x_asset").alias("x"), F.col("y_ord").alias("yo"), F.col("x_ord").alias("xo"), "beta",
+        F.expr("y_ll - 2 * beta * yl_xl + beta * beta * x_ll").alias("sxx"),
+        F.expr("y_dl - beta * (yd_xl + yl_xd) + beta * beta * x_dl").alias("sxy"),
+        F.expr("y_dd - 2 * beta * yd_xd + beta * beta * x_dd").alias("syy"),
+    )
+    slope, variance = F.col("sxy") / F.nullif("sxx", F.lit(0.0)), F.nullif("sxx", F.lit(0.0))
+    left_over = F.nullif(F.greatest(F.lit(0.0), F.col("syy") - slope * F.col("sxy")), F.lit(0.0))
+    tests = spread.select("f_end", "y", "x", "yo", "xo", "beta", (slope / F.sqrt(left_over / (formation - 3) / variance)).alias("t"))
 
     def disjoint(pdf: pd.DataFrame) -> pd.DataFrame:
         used, keep = set(), []

@@ -7,6 +7,7 @@ import pytest
 from simulator import simulate as plain
 
 from quantloom.config import COSTS, CostModel, cost_model
+from quantloom.operators import backtest
 from quantloom.operators.align import Market
 from quantloom.operators.backtest import Settings, buy_and_hold, simulate, trades
 
@@ -148,3 +149,43 @@ def test_unknown_execution(spark):
         run(spark, [[0.0]] * 2, [[1.0]] * 2, execution="never")
     with pytest.raises(KeyError):
         cost_model("free lunch")
+
+
+def random_case(spark, days=70, n=3, seed=5):
+    r = random.Random(seed)
+    close = [[100.0] * n]
+    for _ in range(days - 1):
+        close.append([x * (1 + r.gauss(0, 0.02)) for x in close[-1]])
+    target = [[0.0] * n]
+    for _ in range(days - 1):
+        target.append(target[-1] if r.random() < 0.7 else [r.uniform(-0.5, 0.8) for _ in range(n)])
+    return panel(spark, close, volume=500.0), book(spark, target)
+
+
+def test_multiples_of_costs_are_simulations_of_their_own(spark):
+    m, targets = random_case(spark)
+    settings = Settings(COSTS["us_equity"])
+    got = {(r.config_id, r.n): r for r in simulate(targets, m, settings, scales=(1, 3)).daily.collect()}
+    for k in (1, 3):
+        for r in simulate(targets, m, settings.but(costs=settings.costs.scaled(k))).daily.collect():
+            own = got[f"c|x{k}", r.n]
+            assert own.ret == pytest.approx(r.ret, abs=1e-12) and own.cost == pytest.approx(r.cost, abs=1e-12) and own.equity == pytest.approx(r.equity)
+    assert len(got) == 140
+
+
+@pytest.mark.parametrize("execution", ["next_open", "same_close"])
+def test_large_universes_are_dealt_otherwise_with_the_same_result(spark, monkeypatch, execution):
+    m, targets = random_case(spark, seed=6)
+    settings = Settings(COSTS["us_equity"], execution)
+    rows = lambda: {r.n: r for r in simulate(targets, m, settings).daily.collect()}
+    want = rows()
+    monkeypatch.setattr(backtest, "ONE_TASK", 0)
+    assert "hashpartitioning(config_id" not in backtest.dealt(targets, 3)._jdf.queryExecution().toString()
+    got = rows()
+    assert got.keys() == want.keys() and all(got[n].ret == pytest.approx(want[n].ret, abs=1e-12) for n in want)
+    # equity before and after a session
+    e = 1.0
+    for n in sorted(got):
+        assert got[n].held == pytest.approx(e)
+        e *= 1 + got[n].ret
+        assert got[n].equity == pytest.approx(e)

@@ -10,13 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantloom import cli
-from quantloom.config import ResearchConfig
+from quantloom.config import COSTS, ResearchConfig
 from quantloom.functions.stats import bootstrap_sharpe, expected_best, probabilistic_sharpe
 from quantloom.functions.windows import along, rsi, selected, state, turn_of_month
 from quantloom.operators import market as context
-from quantloom.operators import metrics
+from quantloom.operators import align, metrics
 from quantloom.operators.align import market
-from quantloom.plans import report
+from quantloom.plans import report, strategies
 from quantloom.plans.research import Research, blend
 from quantloom.plans.strategies import STRATEGIES, formations
 from quantloom.sources import csv, synthetic, yahoo
@@ -168,6 +168,19 @@ def test_significance(spark):
     assert (got.low, got.high) == pytest.approx((low, high))
 
 
+def test_pairs_of_blocks(spark, monkeypatch):
+    """Blocks of two assets give the pairs that one block gives."""
+    r = np.random.default_rng(4)
+    common = np.cumsum(r.normal(0, 0.01, 330))
+    rows = [(f"A{i}", i, t, float(100 * np.exp(common[t] * (1 + i % 2) + 0.01 * r.normal()))) for i in range(7) for t in range(330) if not (i == 6 and t < 20)]
+    bars = spark.createDataFrame(rows, "asset string, ord int, n long, close double")
+    bench = spark.createDataFrame([(t, 1.0) for t in range(330)], "n long, close double")
+    m = align.Market(bars, bench, [f"A{i}" for i in range(7)], "B")
+    one = sorted(map(tuple, formations(m, 252, 30, 3, -2.0).collect()))
+    monkeypatch.setattr(strategies, "BLOCK", 2)
+    assert len(one) >= 6 and sorted(map(tuple, formations(m, 252, 30, 3, -2.0).collect())) == one
+
+
 def test_blend_and_correlations(spark):
     r = np.random.default_rng(3)
     a, b = r.normal(0, 0.01, 120), r.normal(0, 0.03, 120)
@@ -194,8 +207,10 @@ def test_research_end_to_end(spark, tmp_path):
         assert v["lookahead"]["passed"] and v["dsr"] <= v["psr"] + 1e-12 and len(v["verdict"].checks) == 16
     path = report.write(r, str(tmp_path))
     text = path.read_text()
-    assert all(f"## {k}." in text for k in range(1, 8)) and (tmp_path / "results/ranking.csv").exists()
-    assert json.loads((tmp_path / "results/summary.json").read_text())["n_trials"] == r.n_trials
+    assert all(f"## {k}." in text for k in range(1, 11)) and "Appendix A" in text and "Appendix B" in text and (tmp_path / "results/ranking.csv").exists()
+    summary = json.loads((tmp_path / "results/summary.json").read_text())
+    assert summary["n_trials"] == r.n_trials and summary["costs"]["commission_bps"] == COSTS[c.cost_preset].commission_bps
+    assert STRATEGIES["low_vol"].describe()["grid"] == STRATEGIES["low_vol"].grid
 
 
 def test_command_line(capsys):
