@@ -40,11 +40,22 @@ class Market:
         return self.bench.select("n", "date", F.coalesce(ratio(F.col("close"), F.lag("close").over(series())) - 1, F.lit(0.0)).alias("r"))
 
     def subset(self, assets: list[str]) -> Market:
-        return Market(self.bars.filter(F.col("asset").isin(assets)), self.bench, [a for a in self.assets if a in assets], self.benchmark, self.source, self.quality)
+        return Market(
+            self.bars.filter(F.col("asset").isin(assets)),
+            self.bench,
+            [a for a in self.assets if a in assets],
+            self.benchmark,
+            self.source,
+            self.quality,
+        )
 
     def between(self, start=None, end=None) -> Market:
         """Sessions from start to end, both included; ordinals stay."""
-        keep = lambda df: df.filter((F.lit(True) if start is None else F.col("date") >= F.lit(start).cast("date")) & (F.lit(True) if end is None else F.col("date") <= F.lit(end).cast("date")))
+        keep = lambda df: df.filter(
+            (
+                F.lit(True) if start is None else F.col("date") >= F.lit(start).cast("date")
+            ) & (F.lit(True) if end is None else F.col("date") <= F.lit(end).cast("date"))
+        )
         return Market(keep(self.bars), keep(self.bench), self.assets, self.benchmark, self.source, self.quality)
 
     def sessions(self) -> list:
@@ -60,7 +71,12 @@ def _finite(x: str) -> Column:
 def clean(raw: DataFrame) -> DataFrame:
     """Typed columns, NaN and infinities as NULL, one row an asset and date."""
     have = set(raw.columns)
-    rows = raw.select("asset", F.col("date").cast("date").alias("date"), *[(_finite(f) if f in have else F.lit(None).cast("double")).alias(f) for f in FIELDS], (F.col("seq") if "seq" in have else F.lit(0)).cast("long").alias("seq"))
+    rows = raw.select(
+        "asset",
+        F.col("date").cast("date").alias("date"),
+        *[(_finite(f) if f in have else F.lit(None).cast("double")).alias(f) for f in FIELDS],
+        (F.col("seq") if "seq" in have else F.lit(0)).cast("long").alias("seq"),
+    )
     # the last row of a date, by seq; rows of equal seq by value, so that reruns agree
     last = F.max_by(F.struct(*FIELDS), F.struct("seq", *FIELDS)).alias("row")
     return rows.groupBy("asset", "date").agg(last).select("asset", "date", "row.*")
@@ -87,24 +103,48 @@ def aligned(rows: DataFrame, sessions: DataFrame, assets: DataFrame, most: int =
     grid = grid.withColumn("close", F.when(F.col("n") - last_n <= most, filled("raw_close", w)))
     made = F.col("raw_close").isNull() & F.col("close").isNotNull()
     price = lambda f: F.when(made, F.col("close")).otherwise(F.coalesce(f"raw_{f}", "close")).alias(f)
-    return grid.select("asset", "ord", "n", "date", price("open"), price("high"), price("low"), "close", F.when(made, 0.0).otherwise(F.col("raw_volume")).alias("volume"))
+    return grid.select(
+        "asset",
+        "ord",
+        "n",
+        "date",
+        price("open"),
+        price("high"),
+        price("low"),
+        "close",
+        F.when(made, 0.0).otherwise(F.col("raw_volume")).alias("volume"),
+    )
 
 
 def quality_report(rows: DataFrame, sessions: DataFrame, tickers: DataFrame) -> DataFrame:
     """Facts about each ticker's raw closes within the calendar, and flags for what looks wrong. tickers: (asset)."""
     ends = sessions.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))
-    inside = rows.join(F.broadcast(tickers), "asset").crossJoin(F.broadcast(ends)).filter(F.col("close").isNotNull() & F.col("date").between(F.col("lo"), F.col("hi")))
+    inside = rows.join(F.broadcast(tickers), "asset").crossJoin(F.broadcast(ends)).filter(
+        F.col("close").isNotNull() & F.col("date").between(F.col("lo"), F.col("hi"))
+    )
     w = Window.partitionBy("asset").orderBy("date")
-    inside = inside.withColumn("move", ratio(F.col("close"), F.lag("close").over(w)) - 1).withColumn("flat", F.coalesce(F.col("close") == F.lag("close").over(w), F.lit(False)))
+    inside = inside.withColumn("move", ratio(F.col("close"), F.lag("close").over(w)) - 1).withColumn(
+        "flat",
+        F.coalesce(F.col("close") == F.lag("close").over(w), F.lit(False)),
+    )
     # a stretch of unchanged closes: the number of changes so far names it
     inside = inside.withColumn("stretch", F.sum(F.when(~F.col("flat"), 1).otherwise(0)).over(w))
     inside = inside.withColumn("run", F.sum(F.col("flat").cast("int")).over(Window.partitionBy("asset", "stretch")))
     facts = inside.groupBy("asset").agg(
         F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("observations"), F.max(F.abs("move")).alias("max_abs_daily_move"),
-        F.min("close").alias("least"), F.sum(F.when(F.abs("move") > 0.25, 1).otherwise(0)).alias("jumps"), F.max("run").alias("flat_run"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.min("close").alias("least"), F.sum(
+            F.when(F.abs("move") > 0.25, 1).otherwise(0)
+        ).alias("jumps"), F.max("run").alias("flat_run"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
     )
     spans = facts.select("asset", "first", "last").join(sessions.select("date"), F.col("date").between(F.col("first"), F.col("last")))
-    gaps = spans.join(rows.filter("close is not null").select("asset", "date", F.lit(1).alias("hit")), ["asset", "date"], "left").groupBy("asset").agg(F.count("*").alias("expected"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing_sessions"))
+    gaps = spans.join(rows.filter("close is not null").select(
+        "asset",
+        "date",
+        F.lit(1).alias("hit"),
+    ), ["asset", "date"], "left").groupBy("asset").agg(
+        F.count("*").alias("expected"),
+        F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missing_sessions"),
+    )
     known = rows.select("asset").distinct().withColumn("known", F.lit(True))
     out = tickers.join(facts, "asset", "left").join(gaps, "asset", "left").join(known, "asset", "left")
     flag = lambda when, text: F.when(when, text)
@@ -116,11 +156,32 @@ def quality_report(rows: DataFrame, sessions: DataFrame, tickers: DataFrame) ->
         flag(F.datediff("hi", "last") > 7, F.concat(F.lit("ends "), F.col("last").cast("string"))),
         flag(F.col("missing_sessions") > 0.02 * F.col("expected"), F.concat(F.col("missing_sessions").cast("string"), F.lit(" sessions missing"))),
     ))
-    status = F.when(F.col("known").isNull(), "missing").when(F.col("observations").isNull(), "no data in range").when(F.size(flags) > 0, "check").otherwise("ok")
-    return out.select("asset", status.alias("status"), "first", "last", "observations", F.col("missing_sessions").cast("long").alias("missing_sessions"), "max_abs_daily_move", F.when(F.col("observations").isNotNull(), F.array_join(flags, "; ")).alias("flags"))
-
-
-def market(raw: DataFrame, universe: list[str], benchmark: str, start=None, end=None, most: int = 5, source: str = "unknown", least_sessions: int = 300) -> Market:
+    status = F.when(F.col("known").isNull(), "missing").when(
+        F.col("observations").isNull(),
+        "no data in range",
+    ).when(F.size(flags) > 0, "check").otherwise("ok")
+    return out.select(
+        "asset",
+        status.alias("status"),
+        "first",
+        "last",
+        "observations",
+        F.col("missing_sessions").cast("long").alias("missing_sessions"),
+        "max_abs_daily_move",
+        F.when(F.col("observations").isNotNull(), F.array_join(flags, "; ")).alias("flags"),
+    )
+
+
+def market(
+    raw: DataFrame,
+    universe: list[str],
+    benchmark: str,
+    start=None,
+    end=None,
+    most: int = 5,
+    source: str = "unknown",
+    least_sessions: int = 300,
+) -> Market:
     """Aligned market data; raises where the benchmark is missing or short, or nothing of the universe has data."""
     spark, rows = raw.sparkSession, clean(raw)
     universe = list(dict.fromkeys(universe))

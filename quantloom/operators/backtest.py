@@ -64,9 +64,30 @@ def inputs(market: Market) -> DataFrame:
     w = along()
     last = F.lag("close").over(w)
     leg = lambda a, b: F.coalesce(ratio(a, b) - 1, F.lit(0.0))
-    rows = market.bars.select("asset", "ord", "n", "close", "volume", leg(F.col("close"), last).alias("r_cc"), leg(F.col("open"), last).alias("r_on"), leg(F.col("close"), F.col("open")).alias("r_id"))
-    rows = rows.withColumn("sd", rolling(F.stddev_samp, "r_cc", 21, w, 10)).withColumn("value", rolling(F.avg, F.col("close") * F.coalesce("volume", F.lit(0.0)), 20, w, 5))
-    return rows.select("asset", "n", F.col("close").isNotNull().alias("priced"), "r_cc", "r_on", "r_id", F.coalesce(F.lag("sd").over(w), F.lit(0.02)).alias("sigma"), F.lag("value").over(w).alias("adv"))
+    rows = market.bars.select(
+        "asset",
+        "ord",
+        "n",
+        "close",
+        "volume",
+        leg(F.col("close"), last).alias("r_cc"),
+        leg(F.col("open"), last).alias("r_on"),
+        leg(F.col("close"), F.col("open")).alias("r_id"),
+    )
+    rows = rows.withColumn("sd", rolling(F.stddev_samp, "r_cc", 21, w, 10)).withColumn(
+        "value",
+        rolling(F.avg, F.col("close") * F.coalesce("volume", F.lit(0.0)), 20, w, 5),
+    )
+    return rows.select(
+        "asset",
+        "n",
+        F.col("close").isNotNull().alias("priced"),
+        "r_cc",
+        "r_on",
+        "r_id",
+        F.coalesce(F.lag("sd").over(w), F.lit(0.02)).alias("sigma"),
+        F.lag("value").over(w).alias("adv"),
+    )
 
 
 def _positions(rows: DataFrame, execution: str) -> DataFrame:
@@ -77,7 +98,10 @@ def _positions(rows: DataFrame, execution: str) -> DataFrame:
     moved = F.abs(F.col("w") - F.coalesce(lag("w"), F.lit(0.0))) > F.when(F.col("n") == F.col("n0"), 0.0).otherwise(CHANGED)
     rows = rows.withColumn("changed", F.max(moved).over(across_))
     late = execution != "same_close"
-    rows = rows.withColumn("fill", F.coalesce(lag("changed"), F.lit(False)) if late else F.col("changed")).withColumn("target", lag("w") if late else F.col("w"))
+    rows = rows.withColumn(
+        "fill",
+        F.coalesce(lag("changed"), F.lit(False)) if late else F.col("changed"),
+    ).withColumn("target", lag("w") if late else F.col("w"))
     rows = rows.withColumn("segment", F.sum(F.col("fill").cast("int")).over(along_.rowsBetween(*SO_FAR)))
     rows = rows.withColumn("w0", F.coalesce(filled(F.when(F.col("fill"), F.col("target")), along_), F.lit(0.0)))
     within = Window.partitionBy(*KEY, "asset", "segment").orderBy("n")
@@ -87,15 +111,27 @@ def _positions(rows: DataFrame, execution: str) -> DataFrame:
         rows = rows.withColumn("b", product(F.when(F.col("fill"), 1 + F.col("r_id")).otherwise((1 + F.col("r_on")) * (1 + F.col("r_id")))))
         rows = rows.withColumn("a", F.when(F.col("fill"), 1.0).otherwise(F.coalesce(F.lag("b").over(within), F.lit(1.0)) * (1 + F.col("r_on"))))
         rows = rows.withColumn("va", book("a")).withColumn("vb", book("b"))
-        rows = rows.withColumn("exposure", F.col("w0") * F.col("a") / F.nullif("va", F.lit(0.0))).withColumn("end", F.col("w0") * F.col("b") / F.nullif("vb", F.lit(0.0)))
+        rows = rows.withColumn(
+            "exposure",
+            F.col("w0") * F.col("a") / F.nullif("va", F.lit(0.0)),
+        ).withColumn("end", F.col("w0") * F.col("b") / F.nullif("vb", F.lit(0.0)))
         rows = rows.withColumn("start", F.coalesce(lag("end"), F.lit(0.0)))
-        rows = rows.withColumn("g1", F.sum(F.col("start") * F.col("r_on")).over(across_)).withColumn("g2", F.col("vb") / F.nullif("va", F.lit(0.0)) - 1)
+        rows = rows.withColumn(
+            "g1",
+            F.sum(F.col("start") * F.col("r_on")).over(across_),
+        ).withColumn("g2", F.col("vb") / F.nullif("va", F.lit(0.0)) - 1)
         rows = rows.withColumn("contribution", F.col("start") * F.col("r_on") + F.col("exposure") * F.col("r_id"))
         drifted = F.col("start") * (1 + F.col("r_on")) / F.nullif(1 + F.col("g1"), F.lit(0.0))
     else:
         rows = rows.withColumn("b", product(F.when(F.col("fill"), 1.0).otherwise(1 + F.col("r_cc")))).withColumn("vb", book("b"))
-        rows = rows.withColumn("end", F.col("w0") * F.col("b") / F.nullif("vb", F.lit(0.0))).withColumn("exposure", F.coalesce(lag("end"), F.lit(0.0)))
-        rows = rows.withColumn("g1", F.sum(F.col("exposure") * F.col("r_cc")).over(across_)).withColumn("g2", F.lit(0.0)).withColumn("contribution", F.col("exposure") * F.col("r_cc"))
+        rows = rows.withColumn(
+            "end",
+            F.col("w0") * F.col("b") / F.nullif("vb", F.lit(0.0)),
+        ).withColumn("exposure", F.coalesce(lag("end"), F.lit(0.0)))
+        rows = rows.withColumn(
+            "g1",
+            F.sum(F.col("exposure") * F.col("r_cc")).over(across_),
+        ).withColumn("g2", F.lit(0.0)).withColumn("contribution", F.col("exposure") * F.col("r_cc"))
         drifted = F.col("exposure") * (1 + F.col("r_cc")) / F.nullif(1 + F.col("g1"), F.lit(0.0))
     return rows.withColumn("delta", F.when(F.col("fill"), F.col("target") - F.coalesce(drifted, F.lit(0.0))).otherwise(0.0))
 
@@ -121,7 +157,9 @@ def _equity(settings: Settings):
                 growth *= 1 + d.cash * (rf if d.cash >= 0 else rf + spread) - borrow * d.short
             equity *= growth
             out.append((growth - 1 if equity > 0 else -1.0, gross, cost, d.turnover, d.share * held, held, equity))
-        return pdf[["config_id", "n"]].assign(**dict(zip(("ret", "gross", "cost", "turnover", "participation", "held", "equity"), map(list, zip(*out, strict=True)), strict=True)))
+        return pdf[["config_id", "n"]].assign(
+            **dict(zip(("ret", "gross", "cost", "turnover", "participation", "held", "equity"), map(list, zip(*out, strict=True)), strict=True))
+        )
 
     return run
 
@@ -145,10 +183,29 @@ def simulate(targets: DataFrame, market: Market, settings: Settings, features: D
     impact = F.lit(0.0)
     if costs.impact_coef > 0:
         impact = F.coalesce(size * costs.impact_coef * F.col("sigma") * F.sqrt(size * settings.capital / value), F.lit(0.0))
-    rows = rows.withColumn("linear", F.when(F.col("delta") > 0, F.col("delta") * costs.buy_rate).otherwise(-F.col("delta") * costs.sell_rate)).withColumn("impact", impact).withColumn("size", size)
-    rows = rows.select("config_id", "asset", "n", "exposure", "end", "contribution", "g1", "g2", "linear", "impact", "size", (size * settings.capital / value).alias("share"))
+    rows = rows.withColumn(
+        "linear",
+        F.when(F.col("delta") > 0, F.col("delta") * costs.buy_rate).otherwise(-F.col("delta") * costs.sell_rate),
+    ).withColumn("impact", impact).withColumn("size", size)
+    rows = rows.select(
+        "config_id",
+        "asset",
+        "n",
+        "exposure",
+        "end",
+        "contribution",
+        "g1",
+        "g2",
+        "linear",
+        "impact",
+        "size",
+        (size * settings.capital / value).alias("share"),
+    )
     days = rows.groupBy("config_id", "n").agg(
-        F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.sum("linear").alias("linear"), F.sum("impact").alias("impact"), F.sum("size").alias("turnover"), F.coalesce(F.max("share"), F.lit(0.0)).alias("share"),
+        F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.sum("linear").alias("linear"), F.sum("impact").alias("impact"), F.sum("size").alias("turnover"), F.coalesce(
+            F.max("share"),
+            F.lit(0.0),
+        ).alias("share"),
         (1 - F.sum("end")).alias("cash"), F.sum(F.greatest(F.lit(0.0), -F.col("end"))).alias("short"),
     )
     if scales:
@@ -164,7 +221,10 @@ def simulate(targets: DataFrame, market: Market, settings: Settings, features: D
 def _attributed(rows: DataFrame, daily: DataFrame) -> DataFrame:
     """(config_id, asset, n, exposure, contribution): costs of a fill go where the position is live: there, on the next session, else on the one before."""
     w = along(*KEY)
-    rows = rows.join(daily.select("config_id", "n", "held"), ["config_id", "n"]).withColumn("paid", F.col("linear") + F.col("impact") * F.sqrt(F.greatest("held", F.lit(0.0))))
+    rows = rows.join(daily.select("config_id", "n", "held"), ["config_id", "n"]).withColumn(
+        "paid",
+        F.col("linear") + F.col("impact") * F.sqrt(F.greatest("held", F.lit(0.0))),
+    )
     rows = rows.withColumn("live", F.abs("exposure") > LIVE).withColumn("stray", ~F.col("live") & (F.col("paid") != 0))
     no = F.lit(False)
     ahead = F.col("stray") & F.coalesce(F.lead("live").over(w), no)
@@ -180,14 +240,40 @@ def trades(by_asset: DataFrame, sessions: DataFrame) -> DataFrame:
     w = along(*KEY)
     sign = F.when(F.abs("exposure") > SPELL, F.signum("exposure")).otherwise(0.0)
     rows = by_asset.withColumn("sign", sign)
-    rows = rows.withColumn("spell", F.sum(F.when(F.col("sign") != F.coalesce(F.lag("sign").over(w), F.lit(0.0)), 1).otherwise(0)).over(w.rowsBetween(*SO_FAR))).filter("sign != 0")
+    rows = rows.withColumn(
+        "spell",
+        F.sum(F.when(F.col("sign") != F.coalesce(F.lag("sign").over(w), F.lit(0.0)), 1).otherwise(0)).over(w.rowsBetween(*SO_FAR)),
+    ).filter("sign != 0")
     rows = rows.join(F.broadcast(sessions.select("n", "date")), "n")
-    spells = rows.groupBy("config_id", "asset", "spell", "sign").agg(F.min("date").alias("entry"), F.max("date").alias("exit"), F.count("*").cast("int").alias("bars"), F.avg(F.abs("exposure")).alias("avg_weight"), F.sum("contribution").alias("pnl"))
-    return spells.select("config_id", "asset", F.when(F.col("sign") > 0, "long").otherwise("short").alias("direction"), "entry", "exit", "bars", "avg_weight", "pnl")
+    spells = rows.groupBy("config_id", "asset", "spell", "sign").agg(
+        F.min("date").alias("entry"),
+        F.max("date").alias("exit"),
+        F.count("*").cast("int").alias("bars"),
+        F.avg(F.abs("exposure")).alias("avg_weight"),
+        F.sum("contribution").alias("pnl"),
+    )
+    return spells.select(
+        "config_id",
+        "asset",
+        F.when(F.col("sign") > 0, "long").otherwise("short").alias("direction"),
+        "entry",
+        "exit",
+        "bars",
+        "avg_weight",
+        "pnl",
+    )
 
 
 def buy_and_hold(market: Market, config_id: str = "buy_and_hold") -> DataFrame:
     """Targets of equal weights from the first session with all prices (the first one, if there is none)."""
-    whole = market.bars.groupBy("n").agg(F.count("close").alias("k")).agg(F.coalesce(F.min(F.when(F.col("k") == len(market.assets), F.col("n"))), F.min("n")).alias("first"))
+    whole = market.bars.groupBy("n").agg(F.count("close").alias("k")).agg(
+        F.coalesce(F.min(F.when(F.col("k") == len(market.assets), F.col("n"))), F.min("n")).alias("first")
+    )
     rows = market.bars.crossJoin(F.broadcast(whole))
-    return rows.select(F.lit(config_id).alias("config_id"), "asset", "ord", "n", F.when(F.col("n") >= F.col("first"), 1.0 / len(market.assets)).otherwise(0.0).alias("w"))
+    return rows.select(
+        F.lit(config_id).alias("config_id"),
+        "asset",
+        "ord",
+        "n",
+        F.when(F.col("n") >= F.col("first"), 1.0 / len(market.assets)).otherwise(0.0).alias("w"),
+    )

@@ -38,7 +38,9 @@ def aligned_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_market(spark, sf_dir).quality.select("asset", "status", "first", "last", "observations", "missing_sessions", "max_abs_daily_move", "flags"))
+    return rounded(
+        _market(spark, sf_dir).quality.select("asset", "status", "first", "last", "observations", "missing_sessions", "max_abs_daily_move", "flags")
+    )
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +116,12 @@ def _benchmark(spark: SparkSession, sf_dir: str):
 def metrics_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, r = _benchmark(spark, sf_dir)
     got = metrics.summary(r, None, PERIODS)
-    return rounded(got.select("config_id", "m", "total_return", "cagr", "ann_vol", "sharpe", "sortino", "max_drawdown", "skew", "kurtosis", "var_95", "cvar_95", "best_day", "worst_day", "pct_positive_days", "positive_years", "worst_year"))
+    return rounded(
+        got.select(
+            "config_id", "m", "total_return", "cagr", "ann_vol", "sharpe", "sortino", "max_drawdown", "skew", "kurtosis",
+            "var_95", "cvar_95", "best_day", "worst_day", "pct_positive_days", "positive_years", "worst_year",
+        )
+    )
 
 
 def metrics_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +238,10 @@ def crises(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lookahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest change of a strategy's targets where its history is cut off."""
     found = validation.lookahead(STRATEGIES.values(), _market(spark, sf_dir))
-    return spark.createDataFrame([(k, v["passed"], v["max_abs_diff"]) for k, v in found.items()], "strategy string, passed boolean, max_abs_diff double")
+    return spark.createDataFrame(
+        [(k, v["passed"], v["max_abs_diff"]) for k, v in found.items()],
+        "strategy string, passed boolean, max_abs_diff double",
+    )
 
 
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:

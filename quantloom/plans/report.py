@@ -64,23 +64,46 @@ def save_tables(r: Result, folder: Path, data: dict[str, pd.DataFrame]) -> None:
     if len(r.scan):
         r.scan.to_csv(out / "opportunity_scan.csv", index=False)
     costs = cost_model(r.config.cost_preset)
-    facts = {"config": dataclasses.asdict(r.config), "costs": dataclasses.asdict(costs) | {"text": costs.describe()}, "period": [r.windows["start"], r.market.sessions()[-1]], "n_trials": r.n_trials, "sr_std": r.sr_std, "selected": r.selected, "ranking": r.ranking.to_dict("records")}
+    facts = {
+        "config": dataclasses.asdict(r.config),
+        "costs": dataclasses.asdict(costs) | {"text": costs.describe()},
+        "period": [r.windows["start"], r.market.sessions()[-1]],
+        "n_trials": r.n_trials,
+        "sr_std": r.sr_std,
+        "selected": r.selected,
+        "ranking": r.ranking.to_dict("records"),
+    }
     (out / "summary.json").write_text(json.dumps(facts, default=str, indent=1))
 
 
 def _header(r: Result) -> str:
     days = r.market.sessions()
-    rows = [{"": k, " ": v} for k, v in (("Universe", ", ".join(r.market.assets)), ("Benchmark", r.market.benchmark), ("Source", r.market.source), ("Sessions", f"{len(days)}, {days[0]} to {days[-1]}"), ("Trials", r.n_trials), ("Walk-forward", f"{len(r.windows['wf'])} windows, {r.windows['train_years']} years of training, {r.windows['test_years']} of test"), ("Seconds", f"{r.seconds:.0f}"))]
+    rows = [
+        {"": k, " ": v} for k, v in (
+            ("Universe", ", ".join(r.market.assets)),
+            ("Benchmark", r.market.benchmark),
+            ("Source", r.market.source),
+            ("Sessions", f"{len(days)}, {days[0]} to {days[-1]}"),
+            ("Trials", r.n_trials),
+            ("Walk-forward", f"{len(r.windows['wf'])} windows, {r.windows['train_years']} years of training, {r.windows['test_years']} of test"),
+            ("Seconds", f"{r.seconds:.0f}"),
+        )
+    ]
     return f"# Research: {r.config.name}\n\n{table(rows)}\n" + "".join(f"> {n}\n>\n" for n in r.notes)
 
 
 def _summary(r: Result) -> str:
     count = r.ranking.status.value_counts().to_dict()
     b = r.benchmark["wf"]
-    lines = [f"{count.get('VALIDATED', 0)} validated, {count.get('PROMISING', 0)} promising, {count.get('REJECTED', 0)} rejected.", f"The benchmark grew by {percent(b['cagr'])} a year at a Sharpe ratio of {plain(b['sharpe'])}, and fell by {percent(b['max_drawdown'])} at most."]
+    lines = [
+        f"{count.get('VALIDATED', 0)} validated, {count.get('PROMISING', 0)} promising, {count.get('REJECTED', 0)} rejected.",
+        f"The benchmark grew by {percent(b['cagr'])} a year at a Sharpe ratio of {plain(b['sharpe'])}, and fell by {percent(b['max_drawdown'])} at most.",
+    ]
     if r.blend:
         m = r.blend["metrics"]
-        lines.append(f"A blend of {', '.join(r.selected)}: {percent(m['cagr'])} a year, Sharpe ratio {plain(m['sharpe'])}, largest fall {percent(m['max_drawdown'])}.")
+        lines.append(
+            f"A blend of {', '.join(r.selected)}: {percent(m['cagr'])} a year, Sharpe ratio {plain(m['sharpe'])}, largest fall {percent(m['max_drawdown'])}."
+        )
     elif not r.selected:
         lines.append("No strategy is good enough to be chosen.")
     return "## 1. Summary\n\n" + "\n".join(f"- {x}" for x in lines) + "\n"
@@ -88,14 +111,34 @@ def _summary(r: Result) -> str:
 
 def _market(r: Result) -> str:
     facts = [{"Fact": k.replace("_", " "), "Value": plain(v, 3) if isinstance(v, float) else v} for k, v in r.overview["facts"].items()]
-    scan = [{k: plain(v) if isinstance(v, float) else v for k, v in row.items()} for row in r.scan.sort_values([c for c in ("momentum_rank", "asset") if c in r.scan]).to_dict("records")]
+    scan = [
+        {
+            k: plain(v) if isinstance(v, float) else v for k, v in row.items()
+        } for row in r.scan.sort_values([c for c in ("momentum_rank", "asset") if c in r.scan]).to_dict("records")
+    ]
     macro = "" if r.macro is None else "\n### Macro series\n\n" + table(r.macro.to_dict("records"))
     quality = [] if r.market.quality is None else [x.asDict() for x in r.market.quality.collect()]
-    return "## 3. Market\n\n" + table(facts) + "\n" + "\n".join(f"- {s}" for s in r.overview["interpretation"]) + "\n\n### Scan\n\n" + table(scan) + macro + "\n### Data quality\n\n" + table(quality)
+    return "## 3. Market\n\n" + table(facts) + "\n" + "\n".join(
+        f"- {s}" for s in r.overview["interpretation"]
+    ) + "\n\n### Scan\n\n" + table(scan) + macro + "\n### Data quality\n\n" + table(quality)
 
 
 def _ranking(r: Result) -> str:
-    rows = [{"Rank": x["rank"], "Strategy": x["strategy"], "Status": x["status"], "Score": x["score"], "Sharpe": plain(x["wf_sharpe"]), "Growth": percent(x["wf_cagr"]), "Largest fall": percent(x["wf_max_dd"]), "Deflated": plain(x["dsr"]), "Robust": plain(x["robustness"]), "Turnover": plain(x["annual_turnover"], 1), "Issue": x["main_issue"]} for x in r.ranking.to_dict("records")]
+    rows = [
+        {
+            "Rank": x["rank"],
+            "Strategy": x["strategy"],
+            "Status": x["status"],
+            "Score": x["score"],
+            "Sharpe": plain(x["wf_sharpe"]),
+            "Growth": percent(x["wf_cagr"]),
+            "Largest fall": percent(x["wf_max_dd"]),
+            "Deflated": plain(x["dsr"]),
+            "Robust": plain(x["robustness"]),
+            "Turnover": plain(x["annual_turnover"], 1),
+            "Issue": x["main_issue"],
+        } for x in r.ranking.to_dict("records")
+    ]
     rest = "".join(f"- {k}: {v}\n" for k, v in [*r.left_out.items(), *r.skipped])
     return "## 4. Ranking\n\n" + table(rows) + ("\nLeft out:\n\n" + rest if rest else "")
 
@@ -103,12 +146,33 @@ def _ranking(r: Result) -> str:
 def _strategy(name: str, v: dict) -> str:
     d, verdict = v["strategy_def"], v["verdict"]
     checks = [{"Check": c.name, "Value": c.value, "Wanted": c.wanted, "Passed": MARKS[c.passed], "Kind": c.kind} for c in verdict.checks]
-    samples = [{"Sample": s, "Sharpe": plain(m.get("sharpe")), "Growth": percent(m.get("cagr")), "Largest fall": percent(m.get("max_drawdown")), "Trades": m.get("n_trades", "n/a")} for s, m in (("in", v["is"]), ("out", v["oos"]), ("walk-forward", v["wf"]))]
-    windows = [{"Test": f"{w['test_start']} to {w['test_end']}", "Parameters": w["label"], "Training": plain(w["train_sharpe"]), "Result": plain(w["test_sharpe"])} for w in v["windows"]]
-    numbers = lambda frame: [{k: plain(x) if isinstance(x, float) else x for k, x in row.items() if k != "config_id"} for row in frame.to_dict("records")]
+    samples = [
+        {
+            "Sample": s,
+            "Sharpe": plain(m.get("sharpe")),
+            "Growth": percent(m.get("cagr")),
+            "Largest fall": percent(m.get("max_drawdown")),
+            "Trades": m.get("n_trades", "n/a"),
+        } for s, m in (("in", v["is"]), ("out", v["oos"]), ("walk-forward", v["wf"]))
+    ]
+    windows = [
+        {
+            "Test": f"{w['test_start']} to {w['test_end']}",
+            "Parameters": w["label"],
+            "Training": plain(w["train_sharpe"]),
+            "Result": plain(w["test_sharpe"]),
+        } for w in v["windows"]
+    ]
+    numbers = lambda frame: [
+        {k: plain(x) if isinstance(x, float) else x for k, x in row.items() if k != "config_id"} for row in frame.to_dict("records")
+    ]
     parts = [
         f"### {name}: {verdict.status}, {verdict.score}", d.thesis, d.rules, f"Parameters now: {', '.join(f'{k}={x}' for k, x in v['deployed'].items())}. Sharpe ratio with 95 % confidence: {plain(v['ci'][0])} to {plain(v['ci'][1])}; t = {plain(v['t_stat'])}.",
-        table(checks), table(samples), table([{"Scenario": k, "Sharpe": plain(x)} for k, x in v["stress"].items()]), table(windows), table(numbers(v["regime_table"])), table(numbers(v["crises"])), table(numbers(v["pnl"])), table([{"Without": k, "Sharpe": plain(x)} for k, x in v["without"].items()]),
+        table(checks), table(samples), table(
+            [{"Scenario": k, "Sharpe": plain(x)} for k, x in v["stress"].items()]
+        ), table(windows), table(numbers(v["regime_table"])), table(numbers(v["crises"])), table(numbers(v["pnl"])), table(
+            [{"Without": k, "Sharpe": plain(x)} for k, x in v["without"].items()]
+        ),
     ]
     return "\n\n".join(parts)
 
@@ -119,7 +183,14 @@ def _advice(r: Result) -> str:
         v, c = r.strategies[name], r.config
         share = v["wf"].get("max_participation") or 0.0
         room = c.capital * c.criteria.max_adv_participation / share if share > 0 else math.nan
-        rows.append({"Strategy": name, "Capacity": plain(room, 0), "Stop at a fall of": percent(min(0.5, 1.5 * v["wf"]["max_drawdown"])), "Parameters": ", ".join(f"{k}={x}" for k, x in v["deployed"].items())})
+        rows.append(
+            {
+                "Strategy": name,
+                "Capacity": plain(room, 0),
+                "Stop at a fall of": percent(min(0.5, 1.5 * v["wf"]["max_drawdown"])),
+                "Parameters": ", ".join(f"{k}={x}" for k, x in v["deployed"].items()),
+            }
+        )
     return "## 7. What to do\n\n" + table(rows) + "\nCapacity is where the largest trade would reach the allowed share of daily volume. The stop is one and a half times the largest fall of the walk-forward, half of the capital at most.\n"
 
 
@@ -142,7 +213,9 @@ def _findings(r: Result) -> str:
         for name in v["verdict"].missed:
             missed[name] = missed.get(name, 0) + 1
     lines += [f"{n} failed on: {name}." for name, n in sorted(missed.items(), key=lambda x: (-x[1], x[0]))[:5]]
-    lines.append(f"{r.n_trials} configurations were tried; by luck alone their best would be expected to look good, and ratios are deflated for that.")
+    lines.append(
+        f"{r.n_trials} configurations were tried; by luck alone their best would be expected to look good, and ratios are deflated for that."
+    )
     return "## 2. Findings\n\n" + "\n".join(f"- {x}" for x in lines) + "\n"
 
 
@@ -152,7 +225,15 @@ def _comparison(r: Result) -> str:
     if r.blend:
         books["blend"] = r.blend["metrics"]
     books |= {"buy and hold": r.baseline, "benchmark": r.benchmark.get("wf", {})}
-    kinds = (("Growth", "cagr", percent), ("Volatility", "ann_vol", percent), ("Sharpe", "sharpe", plain), ("Sortino", "sortino", plain), ("Largest fall", "max_drawdown", percent), ("Positive years", "positive_years", percent), ("Beta", "beta", plain))
+    kinds = (
+        ("Growth", "cagr", percent),
+        ("Volatility", "ann_vol", percent),
+        ("Sharpe", "sharpe", plain),
+        ("Sortino", "sortino", plain),
+        ("Largest fall", "max_drawdown", percent),
+        ("Positive years", "positive_years", percent),
+        ("Beta", "beta", plain),
+    )
     return "## 6. Comparison\n\n" + table([{"Book": k} | {title: show(m.get(c)) for title, c, show in kinds} for k, m in books.items()])
 
 
@@ -174,7 +255,13 @@ def _final_check(r: Result) -> str:
 def _appendices(r: Result) -> str:
     settings = [{"Setting": k, "Value": v} for k, v in dataclasses.asdict(r.config).items() if k not in ("criteria", "notes")]
     limits = [{"Threshold": k, "Value": v} for k, v in dataclasses.asdict(r.config.criteria).items()]
-    rules = [{"Strategy": k, "Family": v["strategy_def"].family, "Grid": "; ".join(f"{p}: {x}" for p, x in v["strategy_def"].grid.items())} for k, v in r.strategies.items()]
+    rules = [
+        {
+            "Strategy": k,
+            "Family": v["strategy_def"].family,
+            "Grid": "; ".join(f"{p}: {x}" for p, x in v["strategy_def"].grid.items()),
+        } for k, v in r.strategies.items()
+    ]
     again = f"python -m quantloom research --source {r.config.source} --universe {','.join(r.config.universe)} --benchmark {r.config.benchmark} --start {r.config.start}"
     return f"## Appendix A: settings\n\n{table(settings)}\n{table(limits)}\n## Appendix B: strategies and how to run this again\n\n{table(rules)}\n    {again}\n"
 
@@ -182,7 +269,12 @@ def _appendices(r: Result) -> str:
 def markdown(r: Result) -> str:
     log = "## 10. Overlays tried\n\n" + ("".join(f"- {x}\n" for x in r.log) or "_none_\n")
     details = ["## 5. Strategies\n", *(_strategy(k, v) for k, v in r.strategies.items())]
-    return "\n".join([_header(r), _summary(r), _findings(r), _market(r), _ranking(r), *details, _comparison(r), _advice(r), _risks(r), _final_check(r), log, _appendices(r)])
+    return "\n".join(
+        [
+            _header(r), _summary(r), _findings(r), _market(r), _ranking(r), *details, _comparison(r), _advice(r), _risks(r),
+            _final_check(r), log, _appendices(r),
+        ]
+    )
 
 
 def draw(data: dict[str, pd.DataFrame], folder: Path) -> list[str]:

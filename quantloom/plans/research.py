@@ -146,7 +146,9 @@ class Research:
         sim = simulate(targets, m, s, self.features)
         daily = written(sim.daily)
         returns = validation.dated(daily, m.bench)
-        spans = {"is": (w["start"], w["split"]), "eval": (w["start"], None)} | {f"{kind}{k}": (x[f"{kind}_start"], x[f"{kind}_end"]) for k, x in enumerate(w["wf"]) for kind in ("train", "test")}
+        spans = {"is": (w["start"], w["split"]), "eval": (w["start"], None)} | {
+            f"{kind}{k}": (x[f"{kind}_start"], x[f"{kind}_end"]) for k, x in enumerate(w["wf"]) for kind in ("train", "test")
+        }
         scores = {(r.config_id, r.win): r for r in validation.windowed(returns, spans, periods, rf).collect()}
         ratio = lambda i, win: scores[i, win].sharpe if (i, win) in scores else 0.0
         choices, picks, best = [], {}, {}
@@ -158,7 +160,14 @@ class Research:
             for k, x in enumerate(w["wf"]):
                 j = validation.plateau([ratio(i, f"train{k}") for i in ids], near)
                 choices.append((st.name, ids[j], x["test_start"], x["test_end"]))
-                picks[st.name].append(x | {"params": sets[st.name][j], "label": st.label(sets[st.name][j]), "train_sharpe": ratio(ids[j], f"train{k}"), "test_sharpe": ratio(ids[j], f"test{k}")})
+                picks[st.name].append(
+                    x | {
+                        "params": sets[st.name][j],
+                        "label": st.label(sets[st.name][j]),
+                        "train_sharpe": ratio(ids[j], f"train{k}"),
+                        "test_sharpe": ratio(ids[j], f"test{k}"),
+                    }
+                )
         books = written(validation.stitched(targets, choices, m.bench))
         wf = simulate(books, m, s, self.features)
         wf_daily, wf_assets = written(wf.daily), written(wf.by_asset)
@@ -183,7 +192,12 @@ class Research:
         names, last = {v: k for k, v in best.items()}, m.sessions()[-1]
         pnl = written(validation.contributions(wf_assets, m.bench, start))
         summary = pool.submit(summarised, wf_returns, trades(wf_assets, m.bench), wf_daily, wf_assets)
-        samples = {kind: pool.submit(summarised, own.filter(F.col("date").between(F.lit(a), F.lit(b)))) for kind, a, b in (("is", w["start"], w["split"]), ("oos", w["split"], last))}
+        samples = {
+            kind: pool.submit(
+                summarised,
+                own.filter(F.col("date").between(F.lit(a), F.lit(b))),
+            ) for kind, a, b in (("is", w["start"], w["split"]), ("oos", w["split"], last))
+        }
         stressed = pool.submit(collected, validation.stress(books, m, s, start, wf_returns, self.features))
         without = pool.submit(left_out)
         regimes = pool.submit(validation.frame, validation.regime_breakdown(wf_returns, self.bench, self.regimes, periods, rf))
@@ -202,9 +216,22 @@ class Research:
         return {
             st.name: {
                 "strategy_def": st, "sets": sets[st.name], "lookahead": looks[st.name], "is_choice": best[st.name], "windows": picks[st.name], "deployed": picks[st.name][-1]["params"], "wf": summary.get(st.name, {}), "is": samples["is"].get(st.name, {}), "oos": samples["oos"].get(st.name, {}),
-                "robustness": robust[st.name], "robust": robust[st.name]["median_to_best"], "stress": stress[st.name], "regime_table": regimes[regimes.config_id == st.name], "regimes": regimes[(regimes.config_id == st.name) & (regimes.dimension == "trend")].sharpe.tolist(), "crises": crises[crises.config_id == st.name],
-                "pnl": by_asset[by_asset.config_id == st.name].sort_values("pnl", ascending=False), "top_share": shares[st.name].top_asset_share if st.name in shares else None, "without": without.get(st.name, {}), "n_assets": len(m.assets), "thesis": st.thesis, "note": "",
-                "trials": [(scores[i, "eval"].mean, scores[i, "eval"].sd) for i in (f"{st.name}#{k:02d}" for k in range(len(sets[st.name]))) if (i, "eval") in scores], "returns": wf_returns.filter(F.col("config_id") == st.name), "sensitivity": sens.filter(F.col("config_id").startswith(f"{st.name}#")), "daily": wf_daily.filter(F.col("config_id") == st.name),
+                "robustness": robust[st.name], "robust": robust[st.name]["median_to_best"], "stress": stress[st.name], "regime_table": regimes[regimes.config_id == st.name], "regimes": regimes[
+                    (regimes.config_id == st.name) & (regimes.dimension == "trend")
+                ].sharpe.tolist(), "crises": crises[crises.config_id == st.name],
+                "pnl": by_asset[
+                    by_asset.config_id == st.name
+                ].sort_values(
+                    "pnl",
+                    ascending=False,
+                ), "top_share": shares[st.name].top_asset_share if st.name in shares else None, "without": without.get(st.name, {}), "n_assets": len(m.assets), "thesis": st.thesis, "note": "",
+                "trials": [
+                    (scores[i, "eval"].mean, scores[i, "eval"].sd) for i in (
+                        f"{st.name}#{k:02d}" for k in range(len(sets[st.name]))
+                    ) if (i, "eval") in scores
+                ], "returns": wf_returns.filter(F.col("config_id") == st.name), "sensitivity": sens.filter(
+                    F.col("config_id").startswith(f"{st.name}#")
+                ), "daily": wf_daily.filter(F.col("config_id") == st.name),
             }
             for st in strategies
         }
@@ -217,7 +244,9 @@ class Research:
         out.sr_std = pd.Series(trials).std(ddof=1) if len(trials) > 1 else 0.0
         luck = expected_best(out.n_trials, out.sr_std) * math.sqrt(periods)
         todo = [v["returns"] for v in out.strategies.values() if "ci" not in v]
-        limits = {r.config_id: (r.low, r.high) for r in metrics.bootstrap(validation._union(todo), periods, 500, self.config.seed).collect()} if todo else {}
+        limits = {
+            r.config_id: (r.low, r.high) for r in metrics.bootstrap(validation._union(todo), periods, 500, self.config.seed).collect()
+        } if todo else {}
         for name, v in out.strategies.items():
             row = v["wf"]
             v["psr"], v["dsr"] = (metrics.psr(row, b, periods) if row else 0.0 for b in (0.0, luck))

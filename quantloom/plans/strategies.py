@@ -63,7 +63,16 @@ class Strategy:
     def describe(self) -> dict:
         """What a reader needs to know of the rule."""
         side = "long only" if self.long_only else "long and short"
-        return {"name": self.name, "family": self.family, "side": side, "needs": self.min_assets, "thesis": self.thesis, "rules": self.rules, "defaults": dict(self.defaults), "grid": dict(self.grid)}
+        return {
+            "name": self.name,
+            "family": self.family,
+            "side": side,
+            "needs": self.min_assets,
+            "thesis": self.thesis,
+            "rules": self.rules,
+            "defaults": dict(self.defaults),
+            "grid": dict(self.grid),
+        }
 
     def applicable(self, market: Market) -> tuple[bool, str]:
         n = len(market.assets)
@@ -119,11 +128,21 @@ def _over(target: Column, vol: Column) -> Column:
 def _trend(market: Market, sets: list[dict]) -> DataFrame:
     w = along()
     rows = _base(market)
-    rows = rows.select("*", *[change("close", k, w).alias(f"mom_{k}") for k in _values(sets, "lookback")], *[annual_vol("r", k, w).alias(f"vol_{k}") for k in _values(sets, "vol_window")])
+    rows = rows.select(
+        "*",
+        *[change("close", k, w).alias(f"mom_{k}") for k in _values(sets, "lookback")],
+        *[annual_vol("r", k, w).alias(f"vol_{k}") for k in _values(sets, "vol_window")],
+    )
     names = [c for c in rows.columns if c.startswith(("mom_", "vol_"))]
-    rows = _with_sets(rows, market, sets, "avail", *names).withColumn("mom", _pick("lookback", "mom", sets)).withColumn("vol", _pick("vol_window", "vol", sets))
+    rows = _with_sets(rows, market, sets, "avail", *names).withColumn("mom", _pick("lookback", "mom", sets)).withColumn(
+        "vol",
+        _pick("vol_window", "vol", sets),
+    )
     sign = F.when(F.col("mom") > 0, 1.0).when((F.col("mom") < 0) & F.col("allow_short"), -1.0).otherwise(0.0)
-    raw = F.when(F.col("mom").isNotNull() & F.col("vol").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sign * _over(F.col("vol_target"), F.col("vol")) / F.col("avail")))).otherwise(0.0)
+    raw = F.when(
+        F.col("mom").isNotNull() & F.col("vol").isNotNull(),
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), sign * _over(F.col("vol_target"), F.col("vol")) / F.col("avail"))),
+    ).otherwise(0.0)
     rows = rows.withColumn("raw", raw).withColumn("capped", cap_gross("raw", F.col("max_gross"), across(*CONFIG)))
     return _out(rows, hold("capped", F.col("rebalance"), along(*CONFIG)))
 
@@ -131,7 +150,12 @@ def _trend(market: Market, sets: list[dict]) -> DataFrame:
 def _donchian(market: Market, sets: list[dict]) -> DataFrame:
     w = along()
     rows = _base(market)
-    rows = rows.select("*", *[before(F.max, "high", k, w).alias(f"up_{k}") for k in _values(sets, "entry")], *[before(F.min, "low", k, w).alias(f"lo_{k}") for k in _values(sets, "exit")], *[annual_vol("r", k, w).alias(f"vol_{k}") for k in _values(sets, "vol_window")])
+    rows = rows.select(
+        "*",
+        *[before(F.max, "high", k, w).alias(f"up_{k}") for k in _values(sets, "entry")],
+        *[before(F.min, "low", k, w).alias(f"lo_{k}") for k in _values(sets, "exit")],
+        *[annual_vol("r", k, w).alias(f"vol_{k}") for k in _values(sets, "vol_window")],
+    )
     names = [c for c in rows.columns if c.startswith(("up_", "lo_", "vol_"))]
     rows, w = _with_sets(rows, market, sets, "close", "avail", *names), along(*CONFIG)
     rows = rows.withColumn("pos", state(F.col("close") > _pick("entry", "up", sets), F.col("close") < _pick("exit", "lo", sets), w))
@@ -145,7 +169,13 @@ def _donchian(market: Market, sets: list[dict]) -> DataFrame:
 def _vol_managed(market: Market, sets: list[dict]) -> DataFrame:
     rows = _base(market)
     rows = rows.select("*", *[annual_vol("r", k, along()).alias(f"vol_{k}") for k in _values(sets, "vol_window")])
-    rows = _with_sets(rows, market, sets, "avail", *[c for c in rows.columns if c.startswith("vol_")]).withColumn("vol", _pick("vol_window", "vol", sets))
+    rows = _with_sets(
+        rows,
+        market,
+        sets,
+        "avail",
+        *[c for c in rows.columns if c.startswith("vol_")],
+    ).withColumn("vol", _pick("vol_window", "vol", sets))
     scale = F.floor(F.least(_over(F.col("vol_target"), F.col("vol")), F.col("max_leverage")) * 10) / 10
     rows = rows.withColumn("raw", F.when(F.col("vol").isNotNull(), scale / F.col("avail")).otherwise(0.0))
     return _out(rows, hold("raw", F.col("rebalance"), along(*CONFIG)))
@@ -154,7 +184,10 @@ def _vol_managed(market: Market, sets: list[dict]) -> DataFrame:
 def _momentum(market: Market, sets: list[dict]) -> DataFrame:
     w = along()
     pairs = sorted({(s["lookback"], s["skip"]) for s in sets})
-    rows = market.bars.select("*", *[(ratio(F.lag("close", s).over(w) if s else F.col("close"), F.lag("close", k).over(w)) - 1).alias(f"score_{k}_{s}") for k, s in pairs])
+    rows = market.bars.select(
+        "*",
+        *[(ratio(F.lag("close", s).over(w) if s else F.col("close"), F.lag("close", k).over(w)) - 1).alias(f"score_{k}_{s}") for k, s in pairs],
+    )
     rows = _with_sets(rows, market, sets, *[f"score_{k}_{s}" for k, s in pairs])
     score = F.coalesce(*[F.when((F.col("lookback") == k) & (F.col("skip") == s), F.col(f"score_{k}_{s}")) for k, s in pairs])
     rows = rows.withColumn("score", score).withColumn("in", selected("score", F.col("top_frac"), F.lit(True), CONFIG))
@@ -176,7 +209,10 @@ def _low_vol(market: Market, sets: list[dict]) -> DataFrame:
     rows = rows.select("*", *[annual_vol("r", k, along()).alias(f"vol_{k}") for k in _values(sets, "vol_window")])
     rows = _with_sets(rows, market, sets, *[c for c in rows.columns if c.startswith("vol_")]).withColumn("vol", _pick("vol_window", "vol", sets))
     rows = rows.withColumn("in", selected("vol", F.col("frac"), F.lit(False), CONFIG))
-    rows = rows.withColumn("raw", F.when(F.col("in"), F.when(F.col("weighting") == "inverse_vol", _over(F.lit(1.0), F.col("vol"))).otherwise(1.0)).otherwise(0.0))
+    rows = rows.withColumn(
+        "raw",
+        F.when(F.col("in"), F.when(F.col("weighting") == "inverse_vol", _over(F.lit(1.0), F.col("vol"))).otherwise(1.0)).otherwise(0.0),
+    )
     total = F.sum("raw").over(across(*CONFIG))
     rows = rows.withColumn("share", F.when(total > 0, F.col("raw") / total).otherwise(0.0))
     return _out(rows, hold("share", F.col("rebalance"), along(*CONFIG)))
@@ -202,7 +238,16 @@ def _pullback(market: Market, sets: list[dict]) -> DataFrame:
     rows = _with_sets(rows, market, sets, "close", "avail", *[c for c in rows.columns if c.startswith(("rsi_", "sma_"))])
     value = _pick("rsi_len", "rsi", sets)
     no = F.lit(False)
-    rows = rows.select("config_id", "asset", "ord", "n", "avail", "max_hold", F.coalesce((value < F.col("entry")) & (F.col("close") > _pick("trend_len", "sma", sets)), no).alias("enter"), F.coalesce(value > F.col("exit"), no).alias("leave"))
+    rows = rows.select(
+        "config_id",
+        "asset",
+        "ord",
+        "n",
+        "avail",
+        "max_hold",
+        F.coalesce((value < F.col("entry")) & (F.col("close") > _pick("trend_len", "sma", sets)), no).alias("enter"),
+        F.coalesce(value > F.col("exit"), no).alias("leave"),
+    )
     # an automaton with a timer: no built-in form, so one asset under one set is a pandas group
     held = rows.groupBy("config_id", "asset").applyInPandas(held_up_to, "config_id string, asset string, ord int, n long, avail long, pos double")
     return _out(held, F.col("pos") / F.col("avail"))
@@ -241,7 +286,10 @@ def formations(market: Market, formation: int, reform: int, n_pairs: int, max_t:
     last = F.least(F.floor(F.col("n") / reform), F.floor(F.lit((total - 1 - formation) / reform)))
     windows = prices.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last))).withColumn("f_end", F.col("k") * reform + formation)
     whole = windows.groupBy("f_end", "asset", "ord").agg(F.array_sort(F.collect_list(F.struct("n", "p"))).alias("s")).filter(F.size("s") == formation)
-    whole = whole.withColumn("raw", F.col("s.p")).withColumn("late", F.slice("raw", 2, formation - 1)).withColumn("early", F.slice("raw", 1, formation - 1))
+    whole = whole.withColumn("raw", F.col("s.p")).withColumn("late", F.slice("raw", 2, formation - 1)).withColumn(
+        "early",
+        F.slice("raw", 1, formation - 1),
+    )
     steps = F.zip_with("late", "early", lambda x, y: x - y)
     whole = whole.select("f_end", "asset", "ord", _centred(F.col("raw")).alias("p"), _centred(F.col("early")).alias("l"), _centred(steps).alias("d"))
     whole = whole.select("*", _dot("p", "p").alias("pp"), _dot("l", "l").alias("ll"), _dot("d", "l").alias("dl"), _dot("d", "d").alias("dd"))
@@ -296,7 +344,9 @@ def _pairs(market: Market, sets: list[dict]) -> DataFrame:
     spark, out = market.bars.sparkSession, None
     shapes = sorted({tuple(s[k] for k in ("formation", "reform", "n_pairs", "max_adf_t")) for s in sets})
     prices = market.bars.filter("close > 0").select("asset", "n", F.ln("close").alias("p"))
-    grid = market.bars.select("asset", "ord", "n").crossJoin(F.broadcast(spark.createDataFrame([(s["config_id"],) for s in sets], "config_id string")))
+    grid = market.bars.select("asset", "ord", "n").crossJoin(
+        F.broadcast(spark.createDataFrame([(s["config_id"],) for s in sets], "config_id string"))
+    )
     for formation, reform, wanted, max_t in shapes:
         own = [s for s in sets if (s["formation"], s["reform"], s["n_pairs"], s["max_adf_t"]) == (formation, reform, wanted, max_t)]
         n_pairs = max(1, min(wanted, len(market.assets) // 2))
@@ -305,13 +355,43 @@ def _pairs(market: Market, sets: list[dict]) -> DataFrame:
         # each pair's sessions: a warm-up before its period, and the period
         spans = chosen.withColumn("n", F.explode(F.sequence(F.greatest(F.lit(0), F.col("f_end") - longest), F.col("f_end") + reform - 1)))
         y, x = (prices.select(F.col("asset").alias(s), "n", F.col("p").alias(f"p{s}")) for s in "yx")
-        spread = spans.join(y, ["y", "n"], "left").join(x, ["x", "n"], "left").filter(F.col("n") < market.bench.count()).withColumn("s", F.col("py") - F.col("beta") * F.col("px"))
+        spread = spans.join(y, ["y", "n"], "left").join(x, ["x", "n"], "left").filter(F.col("n") < market.bench.count()).withColumn(
+            "s",
+            F.col("py") - F.col("beta") * F.col("px"),
+        )
         w = Window.partitionBy("f_end", "y", "x").orderBy("n")
-        zs = spread.select("f_end", "y", "x", "beta", "n", *[((F.col("s") - rolling(F.avg, "s", k, w)) / F.nullif(rolling(F.stddev_samp, "s", k, w), F.lit(0.0))).alias(f"z_{k}") for k in _values(own, "z_window")])
-        rows = zs.filter("n >= f_end").crossJoin(_sets(market, own)).select("config_id", "f_end", "y", "x", "beta", "n", "reform", "entry_z", "exit_z", _pick("z_window", "z", own).alias("z"))
+        zs = spread.select(
+            "f_end",
+            "y",
+            "x",
+            "beta",
+            "n",
+            *[
+                (
+                    (F.col("s") - rolling(F.avg, "s", k, w)) / F.nullif(rolling(F.stddev_samp, "s", k, w), F.lit(0.0))
+                ).alias(f"z_{k}") for k in _values(own, "z_window")
+            ],
+        )
+        rows = zs.filter("n >= f_end").crossJoin(_sets(market, own)).select(
+            "config_id",
+            "f_end",
+            "y",
+            "x",
+            "beta",
+            "n",
+            "reform",
+            "entry_z",
+            "exit_z",
+            _pick("z_window", "z", own).alias("z"),
+        )
         kinds = "config_id string, n long, y string, x string, beta double, pos int"
         legs = rows.groupBy("config_id", "f_end", "y", "x").applyInPandas(spread_positions, kinds)
-        side = lambda a, sign: legs.select("config_id", "n", F.col(a).alias("asset"), (F.col("pos") * sign / (1 + F.col("beta")) / n_pairs).alias("w"))  # noqa: B023, E731
+        side = lambda a, sign: legs.select(
+            "config_id",
+            "n",
+            F.col(a).alias("asset"),
+            (F.col("pos") * sign / (1 + F.col("beta")) / n_pairs).alias("w"),
+        )  # noqa: B023, E731
         both = side("y", F.lit(1.0)).union(side("x", -F.col("beta")))
         out = both if out is None else out.union(both)
     total = out.groupBy("config_id", "asset", "n").agg(F.sum("w").alias("w"))
@@ -322,15 +402,94 @@ def _pairs(market: Market, sets: list[dict]) -> DataFrame:
 STRATEGIES = {
     s.name: s
     for s in (
-        Strategy("trend_tsmom", {"lookback": 252, "vol_target": 0.15, "rebalance": 5, "vol_window": 63, "allow_short": False, "max_gross": 1.0}, {"lookback": [63, 126, 252], "vol_target": [0.10, 0.15], "rebalance": [5, 21]}, _trend, family="trend", thesis="Investors react late and slowly, so a year's direction tends to go on.", rules="Hold assets with a positive trailing return, sized by volatility."),
-        Strategy("donchian_breakout", {"entry": 55, "exit": 20, "vol_target": 0.15, "vol_window": 63, "max_gross": 1.0}, {"entry": [20, 55, 100], "exit": [10, 20, 50], "vol_target": [0.10, 0.20]}, _donchian, valid=lambda p: p["exit"] < p["entry"], family="trend", thesis="New highs draw in buyers who waited, and large moves start there.", rules="In above the highest high of `entry` sessions, out below the lowest low of `exit`; the size stays as at entry."),
-        Strategy("xs_momentum", {"lookback": 252, "skip": 21, "top_frac": 0.33, "abs_filter": False, "rebalance": 21}, {"lookback": [63, 126, 252], "skip": [0, 21], "top_frac": [0.25, 0.5], "abs_filter": [False, True]}, _momentum, 4, valid=lambda p: p["skip"] < p["lookback"], family="relative strength", thesis="Recent winners go on ahead of losers while news is absorbed.", rules="Equal weights in the strongest part of the universe."),
-        Strategy("rsi_pullback", {"rsi_len": 2, "entry": 10, "exit": 70, "trend_len": 200, "max_hold": 10}, {"rsi_len": [2, 3], "entry": [5, 10, 20], "exit": [50, 70]}, _pullback, family="mean reversion", thesis="In a rising market, forced sellers pay for quick execution.", rules="Buy a low oscillator above the long average; sell on strength or after `max_hold` sessions."),
-        Strategy("xs_reversal", {"lookback": 5, "bottom_frac": 0.25, "rebalance": 5}, {"lookback": [5, 10, 21], "bottom_frac": [0.2, 0.33], "rebalance": [5, 10]}, _reversal, 5, family="mean reversion", thesis="Who takes the other side of a week's hasty selling is paid for it.", rules="Equal weights in the weakest part of the universe."),
-        Strategy("pairs_stat_arb", {"formation": 252, "reform": 63, "n_pairs": 3, "z_window": 20, "entry_z": 2.0, "exit_z": 0.5, "max_adf_t": -3.0}, {"z_window": [20, 60], "entry_z": [1.5, 2.0, 2.5], "exit_z": [0.0, 0.5]}, _pairs, 2, False, family="relative value", thesis="Prices of like assets share an anchor and return to it.", rules="Trade the spread of stationary pairs when it is wide."),
-        Strategy("low_vol", {"vol_window": 126, "frac": 0.33, "weighting": "inverse_vol", "rebalance": 21}, {"vol_window": [63, 126, 252], "frac": [0.33, 0.5], "weighting": ["equal", "inverse_vol"]}, _low_vol, 3, family="defensive", thesis="Investors who cannot borrow overpay for risk.", rules="Hold the least volatile part of the universe."),
-        Strategy("vol_managed", {"vol_target": 0.12, "vol_window": 21, "max_leverage": 1.0, "rebalance": 5}, {"vol_window": [21, 63], "vol_target": [0.10, 0.15, 0.20], "max_leverage": [1.0, 1.5]}, _vol_managed, family="risk timing", thesis="Volatility persists and is not paid for in proportion.", rules="Always long, less so when volatility is high."),
-        Strategy("turn_of_month", {"days_before": 2, "days_after": 3}, {"days_before": [1, 2, 3], "days_after": [1, 3, 5]}, _month_turn, family="calendar", thesis="Salaries and fund flows arrive around the turn of the month.", rules="Invested for the last and first days of each month."),
+        Strategy(
+            "trend_tsmom",
+            {"lookback": 252, "vol_target": 0.15, "rebalance": 5, "vol_window": 63, "allow_short": False, "max_gross": 1.0},
+            {"lookback": [63, 126, 252], "vol_target": [0.10, 0.15], "rebalance": [5, 21]},
+            _trend,
+            family="trend",
+            thesis="Investors react late and slowly, so a year's direction tends to go on.",
+            rules="Hold assets with a positive trailing return, sized by volatility.",
+        ),
+        Strategy(
+            "donchian_breakout",
+            {"entry": 55, "exit": 20, "vol_target": 0.15, "vol_window": 63, "max_gross": 1.0},
+            {"entry": [20, 55, 100], "exit": [10, 20, 50], "vol_target": [0.10, 0.20]},
+            _donchian,
+            valid=lambda p: p["exit"] < p["entry"],
+            family="trend",
+            thesis="New highs draw in buyers who waited, and large moves start there.",
+            rules="In above the highest high of `entry` sessions, out below the lowest low of `exit`; the size stays as at entry.",
+        ),
+        Strategy(
+            "xs_momentum",
+            {"lookback": 252, "skip": 21, "top_frac": 0.33, "abs_filter": False, "rebalance": 21},
+            {"lookback": [63, 126, 252], "skip": [0, 21], "top_frac": [0.25, 0.5], "abs_filter": [False, True]},
+            _momentum,
+            4,
+            valid=lambda p: p["skip"] < p["lookback"],
+            family="relative strength",
+            thesis="Recent winners go on ahead of losers while news is absorbed.",
+            rules="Equal weights in the strongest part of the universe.",
+        ),
+        Strategy(
+            "rsi_pullback",
+            {"rsi_len": 2, "entry": 10, "exit": 70, "trend_len": 200, "max_hold": 10},
+            {"rsi_len": [2, 3], "entry": [5, 10, 20], "exit": [50, 70]},
+            _pullback,
+            family="mean reversion",
+            thesis="In a rising market, forced sellers pay for quick execution.",
+            rules="Buy a low oscillator above the long average; sell on strength or after `max_hold` sessions.",
+        ),
+        Strategy(
+            "xs_reversal",
+            {"lookback": 5, "bottom_frac": 0.25, "rebalance": 5},
+            {"lookback": [5, 10, 21], "bottom_frac": [0.2, 0.33], "rebalance": [5, 10]},
+            _reversal,
+            5,
+            family="mean reversion",
+            thesis="Who takes the other side of a week's hasty selling is paid for it.",
+            rules="Equal weights in the weakest part of the universe.",
+        ),
+        Strategy(
+            "pairs_stat_arb",
+            {"formation": 252, "reform": 63, "n_pairs": 3, "z_window": 20, "entry_z": 2.0, "exit_z": 0.5, "max_adf_t": -3.0},
+            {"z_window": [20, 60], "entry_z": [1.5, 2.0, 2.5], "exit_z": [0.0, 0.5]},
+            _pairs,
+            2,
+            False,
+            family="relative value",
+            thesis="Prices of like assets share an anchor and return to it.",
+            rules="Trade the spread of stationary pairs when it is wide.",
+        ),
+        Strategy(
+            "low_vol",
+            {"vol_window": 126, "frac": 0.33, "weighting": "inverse_vol", "rebalance": 21},
+            {"vol_window": [63, 126, 252], "frac": [0.33, 0.5], "weighting": ["equal", "inverse_vol"]},
+            _low_vol,
+            3,
+            family="defensive",
+            thesis="Investors who cannot borrow overpay for risk.",
+            rules="Hold the least volatile part of the universe.",
+        ),
+        Strategy(
+            "vol_managed",
+            {"vol_target": 0.12, "vol_window": 21, "max_leverage": 1.0, "rebalance": 5},
+            {"vol_window": [21, 63], "vol_target": [0.10, 0.15, 0.20], "max_leverage": [1.0, 1.5]},
+            _vol_managed,
+            family="risk timing",
+            thesis="Volatility persists and is not paid for in proportion.",
+            rules="Always long, less so when volatility is high.",
+        ),
+        Strategy(
+            "turn_of_month",
+            {"days_before": 2, "days_after": 3},
+            {"days_before": [1, 2, 3], "days_after": [1, 3, 5]},
+            _month_turn,
+            family="calendar",
+            thesis="Salaries and fund flows arrive around the turn of the month.",
+            rules="Invested for the last and first days of each month.",
+        ),
     )
 }
 
@@ -345,8 +504,20 @@ def _regime(market: Market, rows: DataFrame, sets: list[dict]) -> DataFrame:
     """Weights only while the benchmark is above its average; out 2 % below it."""
     w = series()
     bench = market.bench.select("n", "close", *[rolling(F.avg, "close", k, w).alias(f"sma_{k}") for k in _values(sets, "regime_sma")])
-    on = bench.select("n", *[state(F.col("close") > F.col(f"sma_{k}"), F.col("close") < 0.98 * F.col(f"sma_{k}"), w).alias(f"on_{k}") for k in _values(sets, "regime_sma")])
-    both = rows.join(F.broadcast(on), "n").join(_sets(market, [{"config_id": s["config_id"], "regime_sma": s["regime_sma"]} for s in sets]), "config_id")
+    on = bench.select(
+        "n",
+        *[
+            state(
+                F.col("close") > F.col(f"sma_{k}"),
+                F.col("close") < 0.98 * F.col(f"sma_{k}"),
+                w,
+            ).alias(f"on_{k}") for k in _values(sets, "regime_sma")
+        ],
+    )
+    both = rows.join(F.broadcast(on), "n").join(
+        _sets(market, [{"config_id": s["config_id"], "regime_sma": s["regime_sma"]} for s in sets]),
+        "config_id",
+    )
     return _out(both, F.col("w") * _pick("regime_sma", "on", sets))
 
 
@@ -358,11 +529,21 @@ def _voltarget(market: Market, rows: DataFrame, sets: list[dict]) -> DataFrame:
     w = Window.partitionBy("config_id").orderBy("n")
     vol = rolling(F.stddev_samp, "b", 63, w, 21) * math.sqrt(252)
     book = book.join(_sets(market, [{"config_id": s["config_id"], "port_vol": s["port_vol"]} for s in sets]), "config_id").withColumn("vol", vol)
-    scale = book.select("config_id", "n", F.coalesce(F.floor(F.least(F.lit(1.0), _over(F.col("port_vol"), F.col("vol"))) * 10) / 10 * F.when(F.col("vol").isNotNull(), 1.0), F.lit(1.0)).alias("scale"))
+    scale = book.select(
+        "config_id",
+        "n",
+        F.coalesce(
+            F.floor(F.least(F.lit(1.0), _over(F.col("port_vol"), F.col("vol"))) * 10) / 10 * F.when(F.col("vol").isNotNull(), 1.0),
+            F.lit(1.0),
+        ).alias("scale"),
+    )
     return _out(rows.join(scale, ["config_id", "n"]), F.col("w") * F.col("scale"))
 
 
-OVERLAYS = {"regime": ({"regime_sma": [150, 200]}, _regime, "Only while the benchmark is above its average."), "voltarget": ({"port_vol": [0.08, 0.12]}, _voltarget, "The book is scaled to a volatility.")}
+OVERLAYS = {
+    "regime": ({"regime_sma": [150, 200]}, _regime, "Only while the benchmark is above its average."),
+    "voltarget": ({"port_vol": [0.08, 0.12]}, _voltarget, "The book is scaled to a volatility."),
+}
 
 
 def overlay(base: Strategy, kind: str) -> Strategy:
@@ -376,6 +557,8 @@ def overlay(base: Strategy, kind: str) -> Strategy:
         return apply(market, base.weights(market, [{k: v for k, v in s.items() if k != name} for s in sets]), sets)
 
     return Strategy(
-        f"{base.name}+{kind}", {**base.defaults, name: extra[name][-1]}, {k: base.grid[k] for k in list(base.grid)[:2]} | extra, weights, base.min_assets, base.long_only,
+        f"{base.name}+{kind}", {**base.defaults, name: extra[name][-1]}, {
+            k: base.grid[k] for k in list(base.grid)[:2]
+        } | extra, weights, base.min_assets, base.long_only,
         lambda p: base.valid({k: p[k] for k in base.defaults}), base.family, f"{base.thesis} {note}", f"{base.rules} {note}",
     )

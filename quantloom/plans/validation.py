@@ -21,7 +21,13 @@ from .stages import written
 from .strategies import Strategy
 
 
-def lookahead(strategies: Iterable[Strategy], market: Market, cuts=(0.45, 0.7, 0.9), tolerance: float = 1e-9, whole: Callable[[], DataFrame] | None = None) -> dict[str, dict]:
+def lookahead(
+    strategies: Iterable[Strategy],
+    market: Market,
+    cuts=(0.45, 0.7, 0.9),
+    tolerance: float = 1e-9,
+    whole: Callable[[], DataFrame] | None = None,
+) -> dict[str, dict]:
     """Largest difference between targets from whole and from cut-off histories, by strategy (default parameters).
 
     whole: gives targets from the whole history under the strategies' names, once they are known; called when those of cut-off ones are.
@@ -89,18 +95,31 @@ def windowed(returns: DataFrame, windows: dict[str, tuple], periods: int, rf: fl
     spark = returns.sparkSession
     spans = spark.createDataFrame([(k, a, b) for k, (a, b) in windows.items()], "win string, lo date, hi date")
     rows = returns.join(F.broadcast(spans), F.col("date").between(F.coalesce("lo", "date"), F.coalesce("hi", "date")))
-    return rows.groupBy("config_id", "win").agg(sharpe("r", periods, rf).alias("sharpe"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.count("*").alias("k"))
+    return rows.groupBy("config_id", "win").agg(
+        sharpe("r", periods, rf).alias("sharpe"),
+        F.avg("r").alias("mean"),
+        F.stddev_samp("r").alias("sd"),
+        F.count("*").alias("k"),
+    )
 
 
 def stitched(targets: DataFrame, choices: list[tuple[str, str, dt.date, dt.date]], sessions: DataFrame) -> DataFrame:
     """Walk-forward targets by strategy: in each test period those of the chosen set, before the first one 0. choices: (strategy, config_id, from, to)."""
     spark = targets.sparkSession
     picked = spark.createDataFrame(choices, "strategy string, config_id string, lo date, hi date")
-    rows = targets.join(F.broadcast(sessions.select("n", "date")), "n").join(F.broadcast(picked), "config_id").filter(F.col("date").between(F.col("lo"), F.col("hi")))
+    rows = targets.join(F.broadcast(sessions.select("n", "date")), "n").join(F.broadcast(picked), "config_id").filter(
+        F.col("date").between(F.col("lo"), F.col("hi"))
+    )
     names = spark.createDataFrame([(s,) for s in dict.fromkeys(c[0] for c in choices)], "strategy string")
     grid = targets.filter(F.col("config_id") == choices[0][1]).select("asset", "ord", "n").crossJoin(F.broadcast(names))
     rows = rows.select("strategy", "asset", "n", "w")
-    return grid.join(rows, ["strategy", "asset", "n"], "left").select(F.col("strategy").alias("config_id"), "asset", "ord", "n", F.coalesce("w", F.lit(0.0)).alias("w"))
+    return grid.join(rows, ["strategy", "asset", "n"], "left").select(
+        F.col("strategy").alias("config_id"),
+        "asset",
+        "ord",
+        "n",
+        F.coalesce("w", F.lit(0.0)).alias("w"),
+    )
 
 
 def dated(daily: DataFrame, sessions: DataFrame, start: dt.date | None = None) -> DataFrame:
@@ -111,19 +130,38 @@ def dated(daily: DataFrame, sessions: DataFrame, start: dt.date | None = None) -
 
 def sensitivity(returns: DataFrame, start, split, periods: int, rf: float) -> DataFrame:
     """In-sample, out-of-sample and full Sharpe ratio and the full drawdown of each configuration; the split day is in both samples."""
-    wide = windowed(returns, {"is": (start, split), "oos": (split, None), "full": (start, None)}, periods, rf).groupBy("config_id").pivot("win", ["is", "oos", "full"]).agg(F.first("sharpe"))
+    wide = windowed(
+        returns,
+        {"is": (start, split), "oos": (split, None), "full": (start, None)},
+        periods,
+        rf,
+    ).groupBy("config_id").pivot("win", ["is", "oos", "full"]).agg(F.first("sharpe"))
     falls = max_drawdown(returns.filter(F.col("date") >= F.lit(start))).select("config_id", F.col("max_drawdown").alias("full_max_dd"))
-    return wide.select("config_id", F.col("is").alias("is_sharpe"), F.col("oos").alias("oos_sharpe"), F.col("full").alias("full_sharpe")).join(falls, "config_id")
+    return wide.select(
+        "config_id",
+        F.col("is").alias("is_sharpe"),
+        F.col("oos").alias("oos_sharpe"),
+        F.col("full").alias("full_sharpe"),
+    ).join(falls, "config_id")
 
 
 def robustness(sens: DataFrame) -> DataFrame:
     """By strategy (the id before #): grid size, best and median ratio, share above 0, and rank correlation of the two samples."""
     rows = sens.withColumn("strategy", F.substring_index("config_id", "#", 1))
-    place = lambda c: F.rank().over(Window.partitionBy("strategy").orderBy(c)) + (F.count("*").over(Window.partitionBy("strategy", c)) - 1) / 2
+    place = lambda c: F.rank().over(Window.partitionBy("strategy").orderBy(c)) + (
+        F.count("*").over(Window.partitionBy("strategy", c)) - 1
+    ) / 2
     rows = rows.withColumn("i", place("is_sharpe")).withColumn("o", place("oos_sharpe"))
     best, mid = F.max("full_sharpe"), F.median("full_sharpe")
     varied = (F.count("*") > 2) & (F.stddev_samp("is_sharpe") > 0) & (F.stddev_samp("oos_sharpe") > 0)
-    return rows.groupBy("strategy").agg(F.count("*").alias("grid_size"), best.alias("best_sharpe"), mid.alias("median_sharpe"), F.when(best > 0, F.greatest(F.lit(0.0), mid / F.nullif(best, F.lit(0.0)))).otherwise(0.0).alias("median_to_best"), F.avg((F.col("full_sharpe") > 0).cast("int")).alias("frac_positive"), F.when(varied, corr("i", "o")).alias("is_oos_rank_corr"))
+    return rows.groupBy("strategy").agg(
+        F.count("*").alias("grid_size"),
+        best.alias("best_sharpe"),
+        mid.alias("median_sharpe"),
+        F.when(best > 0, F.greatest(F.lit(0.0), mid / F.nullif(best, F.lit(0.0)))).otherwise(0.0).alias("median_to_best"),
+        F.avg((F.col("full_sharpe") > 0).cast("int")).alias("frac_positive"),
+        F.when(varied, corr("i", "o")).alias("is_oos_rank_corr"),
+    )
 
 
 def stress(books: DataFrame, market: Market, settings: Settings, start, base: DataFrame, features: DataFrame) -> DataFrame:
@@ -138,10 +176,15 @@ def stress(books: DataFrame, market: Market, settings: Settings, start, base: Da
         other["same_close_optimistic"] = settings.but(execution="same_close")
 
     def score(rows: DataFrame, name: Column) -> DataFrame:
-        return rows.withColumn("scenario", name).groupBy("config_id", "scenario").agg(sharpe("r", settings.periods, settings.risk_free_rate).alias("sharpe"))
+        return rows.withColumn("scenario", name).groupBy("config_id", "scenario").agg(
+            sharpe("r", settings.periods, settings.risk_free_rate).alias("sharpe")
+        )
 
     costly = simulate(books, market, settings, features, scales=(2, 3)).daily
-    costly = costly.withColumn("scale", F.substring_index("config_id", "|x", -1)).withColumn("config_id", F.expr("substring(config_id, 1, length(config_id) - length(scale) - 2)"))
+    costly = costly.withColumn("scale", F.substring_index("config_id", "|x", -1)).withColumn(
+        "config_id",
+        F.expr("substring(config_id, 1, length(config_id) - length(scale) - 2)"),
+    )
     costly = costly.join(F.broadcast(market.bench.select("n", "date")), "n").filter(F.col("date") >= F.lit(start)).withColumn("r", F.col("ret"))
     rest = [score(dated(simulate(books, market, s, features).daily, market.bench, start), F.lit(name)) for name, s in other.items()]
     return _union([score(base, F.lit("base")), score(costly, F.concat(F.lit("costs_x"), "scale")), *rest])
@@ -149,9 +192,26 @@ def stress(books: DataFrame, market: Market, settings: Settings, start, base: Da
 
 def regime_breakdown(returns: DataFrame, bench: DataFrame, regimes: DataFrame, periods: int, rf: float, least: int = 40) -> DataFrame:
     """Performance of each configuration and of the benchmark (n, r) by trend and by volatility, where `least` sessions have the label."""
-    rows = returns.join(F.broadcast(regimes.select("n", "trend", "vol")), "n").join(F.broadcast(bench.select("n", F.col("r").alias("b"))), "n", "left").withColumn("b", F.coalesce("b", F.lit(0.0)))
-    rows = rows.withColumn("total", F.count("*").over(Window.partitionBy("config_id"))).select("config_id", "r", "b", "total", F.expr("stack(2, 'trend', trend, 'vol', vol) as (dimension, regime)")).filter("regime != 'n/a'")
-    out = rows.groupBy("config_id", "dimension", "regime").agg(F.count("*").alias("k"), (F.count("*") / F.first("total")).alias("share_of_time"), (F.avg("r") * periods).alias("ann_return"), sharpe("r", periods, rf).alias("sharpe"), (F.avg("b") * periods).alias("benchmark_ann_return"), sharpe("b", periods, rf).alias("benchmark_sharpe"))
+    rows = returns.join(F.broadcast(regimes.select("n", "trend", "vol")), "n").join(
+        F.broadcast(bench.select("n", F.col("r").alias("b"))),
+        "n",
+        "left",
+    ).withColumn("b", F.coalesce("b", F.lit(0.0)))
+    rows = rows.withColumn("total", F.count("*").over(Window.partitionBy("config_id"))).select(
+        "config_id",
+        "r",
+        "b",
+        "total",
+        F.expr("stack(2, 'trend', trend, 'vol', vol) as (dimension, regime)"),
+    ).filter("regime != 'n/a'")
+    out = rows.groupBy("config_id", "dimension", "regime").agg(
+        F.count("*").alias("k"),
+        (F.count("*") / F.first("total")).alias("share_of_time"),
+        (F.avg("r") * periods).alias("ann_return"),
+        sharpe("r", periods, rf).alias("sharpe"),
+        (F.avg("b") * periods).alias("benchmark_ann_return"),
+        sharpe("b", periods, rf).alias("benchmark_sharpe"),
+    )
     return out.filter(F.col("k") >= least).drop("k")
 
 
@@ -159,22 +219,43 @@ def drawdown_episodes(bench: DataFrame, top: int = 3, least: float = 0.08) -> Da
     """(peak, trough, depth): the deepest falls of the benchmark (n, date, r) of `least` or more; the peak is the session before the fall."""
     rows = drawdowns(bench.select(F.lit("b").alias("config_id"), "n", "date", "r"))
     w = Window.partitionBy("config_id").orderBy("n")
-    rows = rows.withColumn("island", F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(w.rowsBetween(*SO_FAR))).withColumn("prior", F.coalesce(F.lag("date").over(w), "date"))
-    falls = rows.filter("dd < 0").groupBy("island").agg(F.min_by("prior", "n").alias("peak"), F.min_by("date", F.struct("dd", "n")).alias("trough"), (-F.min("dd")).alias("depth"))
+    rows = rows.withColumn(
+        "island",
+        F.sum(F.when(F.col("dd") >= 0, 1).otherwise(0)).over(w.rowsBetween(*SO_FAR)),
+    ).withColumn("prior", F.coalesce(F.lag("date").over(w), "date"))
+    falls = rows.filter("dd < 0").groupBy("island").agg(
+        F.min_by("prior", "n").alias("peak"),
+        F.min_by("date", F.struct("dd", "n")).alias("trough"),
+        (-F.min("dd")).alias("depth"),
+    )
     return falls.filter(F.col("depth") >= least).orderBy(F.desc("depth"), "peak").limit(top).select("peak", "trough", "depth")
 
 
 #: Peaks and troughs of known crises.
-CRISES = {"GFC 2007-09": ("2007-10-09", "2009-03-09"), "Euro debt 2011": ("2011-04-29", "2011-10-03"), "China deval 2015": ("2015-07-20", "2016-02-11"), "Q4 2018 selloff": ("2018-09-20", "2018-12-24"), "COVID crash 2020": ("2020-02-19", "2020-03-23"), "Inflation bear 2022": ("2022-01-03", "2022-10-12")}
+CRISES = {
+    "GFC 2007-09": ("2007-10-09", "2009-03-09"),
+    "Euro debt 2011": ("2011-04-29", "2011-10-03"),
+    "China deval 2015": ("2015-07-20", "2016-02-11"),
+    "Q4 2018 selloff": ("2018-09-20", "2018-12-24"),
+    "COVID crash 2020": ("2020-02-19", "2020-03-23"),
+    "Inflation bear 2022": ("2022-01-03", "2022-10-12"),
+}
 
 
 def crises(returns: DataFrame, bench: DataFrame, named: bool, start: dt.date, least: float = 0.08) -> DataFrame:
     """(config_id, episode, strategy, benchmark): returns over the benchmark's deepest falls since start, and over known crises that are covered whole."""
     spark = returns.sparkSession
-    falls = drawdown_episodes(bench.filter(F.col("date") >= F.lit(start)), least=least).select(F.concat(F.lit("Benchmark drawdown "), F.col("peak").cast("string"), F.lit(" to "), F.col("trough").cast("string")).alias("episode"), F.col("peak").alias("lo"), F.col("trough").alias("hi"))
+    falls = drawdown_episodes(bench.filter(F.col("date") >= F.lit(start)), least=least).select(
+        F.concat(F.lit("Benchmark drawdown "), F.col("peak").cast("string"), F.lit(" to "), F.col("trough").cast("string")).alias("episode"),
+        F.col("peak").alias("lo"),
+        F.col("trough").alias("hi"),
+    )
     if named:
         ends = returns.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-        known = spark.createDataFrame([(k, *map(dt.date.fromisoformat, v)) for k, v in CRISES.items()], "episode string, lo date, hi date").crossJoin(ends).filter("lo >= a and hi <= b").select("episode", "lo", "hi")
+        known = spark.createDataFrame(
+            [(k, *map(dt.date.fromisoformat, v)) for k, v in CRISES.items()],
+            "episode string, lo date, hi date",
+        ).crossJoin(ends).filter("lo >= a and hi <= b").select("episode", "lo", "hi")
         falls = falls.unionByName(known)
     inside = F.col("date").between(F.col("lo"), F.col("hi"))
     own = returns.join(F.broadcast(falls), inside).groupBy("config_id", "episode").agg((growth() - 1).alias("strategy"))
@@ -184,20 +265,35 @@ def crises(returns: DataFrame, bench: DataFrame, named: bool, start: dt.date, le
 
 def contributions(by_asset: DataFrame, sessions: DataFrame, start) -> DataFrame:
     """(config_id, asset, pnl) since start."""
-    return by_asset.join(F.broadcast(sessions.filter(F.col("date") >= F.lit(start)).select("n")), "n").groupBy("config_id", "asset").agg(F.sum("contribution").alias("pnl"))
+    return by_asset.join(
+        F.broadcast(sessions.filter(F.col("date") >= F.lit(start)).select("n")),
+        "n",
+    ).groupBy("config_id", "asset").agg(F.sum("contribution").alias("pnl"))
 
 
 def concentration(pnl: DataFrame) -> DataFrame:
     """(config_id, top_asset, top_asset_share): the largest part of what the gaining assets gained."""
     gain = F.when(F.col("pnl") > 0, F.col("pnl"))
-    return pnl.groupBy("config_id").agg(F.max_by(F.when(F.col("pnl") > 0, F.col("asset")), gain).alias("top_asset"), (F.max(gain) / F.sum(gain)).alias("top_asset_share"))
+    return pnl.groupBy("config_id").agg(
+        F.max_by(F.when(F.col("pnl") > 0, F.col("asset")), gain).alias("top_asset"),
+        (F.max(gain) / F.sum(gain)).alias("top_asset_share"),
+    )
 
 
 def leave_one_out(books: DataFrame, pnl: DataFrame, most: int = 6) -> DataFrame:
     """Books with one asset's weights at 0, for the `most` assets of largest absolute contribution; ids are strategy-asset, joined by a bar."""
-    top = pnl.withColumn("k", F.row_number().over(Window.partitionBy("config_id").orderBy(F.desc(F.abs("pnl")), "asset"))).filter(F.col("k") <= most).select("config_id", F.col("asset").alias("out"))
+    top = pnl.withColumn(
+        "k",
+        F.row_number().over(Window.partitionBy("config_id").orderBy(F.desc(F.abs("pnl")), "asset")),
+    ).filter(F.col("k") <= most).select("config_id", F.col("asset").alias("out"))
     rows = books.join(F.broadcast(top), "config_id")
-    return rows.select(F.concat_ws("|", "config_id", "out").alias("config_id"), "asset", "ord", "n", F.when(F.col("asset") == F.col("out"), 0.0).otherwise(F.col("w")).alias("w"))
+    return rows.select(
+        F.concat_ws("|", "config_id", "out").alias("config_id"),
+        "asset",
+        "ord",
+        "n",
+        F.when(F.col("asset") == F.col("out"), 0.0).otherwise(F.col("w")).alias("w"),
+    )
 
 
 def first_day(windows: list[dict]) -> dt.date:
@@ -209,4 +305,8 @@ def frame(df: DataFrame) -> pd.DataFrame:
     return df.toPandas()
 
 
-__all__ = ["concentration", "contributions", "crises", "dated", "drawdown_episodes", "first_day", "frame", "grid_targets", "leave_one_out", "lookahead", "neighbours", "plateau", "regime_breakdown", "robustness", "sensitivity", "stitched", "stress", "walk_forward_windows", "windowed"]
+__all__ = [
+    "concentration", "contributions", "crises", "dated", "drawdown_episodes", "first_day", "frame", "grid_targets",
+    "leave_one_out", "lookahead", "neighbours", "plateau", "regime_breakdown", "robustness", "sensitivity", "stitched", "stress",
+    "walk_forward_windows", "windowed",
+]

@@ -37,7 +37,16 @@ def read_file(spark: SparkSession, path: str, ticker: str) -> DataFrame:
     close = number("adj_close") if "adj_close" in have else number("close")
     price = lambda c: (number(c) * ratio if c in have else close).alias(c)
     volume = (number("volume") if "volume" in have else F.lit(None).cast("double")).alias("volume")
-    return df.select(F.lit(ticker).alias("asset"), F.substring(day, 1, 10).cast("date").alias("date"), price("open"), price("high"), price("low"), close.alias("close"), volume, F.monotonically_increasing_id().alias("seq"))
+    return df.select(
+        F.lit(ticker).alias("asset"),
+        F.substring(day, 1, 10).cast("date").alias("date"),
+        price("open"),
+        price("high"),
+        price("low"),
+        close.alias("close"),
+        volume,
+        F.monotonically_increasing_id().alias("seq"),
+    )
 
 
 def read(spark: SparkSession, tickers: list[str], folder: str) -> DataFrame:

@@ -14,14 +14,25 @@ def _bars(rows: DataFrame, *keys: str) -> DataFrame:
     price = lambda x: 100 * F.pow(x, F.lit(0.05))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return rows.groupBy(*keys, "date").agg(
-        price(F.min_by(unit, F.struct(F.col("l_orderkey"), F.col("l_linenumber"), unit))).alias("open"), price(F.max(unit)).alias("high"), price(F.min(unit)).alias("low"),
-        price(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")).alias("close"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("volume"),
+        price(
+            F.min_by(unit, F.struct(F.col("l_orderkey"), F.col("l_linenumber"), unit))
+        ).alias("open"), price(F.max(unit)).alias("high"), price(F.min(unit)).alias("low"),
+        price(
+            F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")
+        ).alias("close"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("volume"),
     )
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(asset, date, open, high, low, close, volume): damped prices a unit, so that returns are of a usable size."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.concat("l_returnflag", "l_linestatus").alias("asset"), F.col("l_shipdate").cast("date").alias("date"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_extendedprice",
+        F.concat("l_returnflag", "l_linestatus").alias("asset"),
+        F.col("l_shipdate").cast("date").alias("date"),
+    )
     whole = _bars(rows).select(F.lit(BENCHMARK).alias("asset"), "date", "open", "high", "low", "close", "volume")
     return _bars(rows, "asset").unionByName(whole)
 

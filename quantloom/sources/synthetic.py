@@ -70,10 +70,29 @@ def bars(ticker: str, dates, log_price: np.ndarray, seed: int) -> pd.DataFrame:
     start = close / np.exp(step) * np.exp(0.3 * step + 0.2 * sd * rng.standard_normal(n))
     up, down = np.exp(np.abs(rng.normal(0, 0.5 * sd, (2, n))))
     volume = rng.uniform(2e6, 2e7) * np.exp(rng.normal(0, 0.3, n)) * (1 + 20 * np.abs(np.expm1(step)))
-    return pd.DataFrame({"asset": ticker, "date": dates, "open": start, "high": np.maximum(start, close) * up, "low": np.minimum(start, close) / down, "close": close, "volume": volume})
-
-
-def generate(spark: SparkSession, tickers: list[str], start: str, end: str | None = None, seed: int = 7, benchmark: str | None = None, pairs: int = 0, regimes: bool = True) -> DataFrame:
+    return pd.DataFrame(
+        {
+            "asset": ticker,
+            "date": dates,
+            "open": start,
+            "high": np.maximum(start, close) * up,
+            "low": np.minimum(start, close) / down,
+            "close": close,
+            "volume": volume,
+        }
+    )
+
+
+def generate(
+    spark: SparkSession,
+    tickers: list[str],
+    start: str,
+    end: str | None = None,
+    seed: int = 7,
+    benchmark: str | None = None,
+    pairs: int = 0,
+    regimes: bool = True,
+) -> DataFrame:
     """Bars of all tickers on weekdays from start to end."""
     end = end or str(pd.Timestamp.today().date())
 

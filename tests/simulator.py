@@ -67,7 +67,9 @@ def simulate(target, close, open_, volume, costs, execution, capital=1e6, rf=0.0
                 fill(want[t - 1] if execution == "next_close" else want[t])
         before = (1 + g1) * (1 - cost) * (1 + g2)
         cash = 1 - sum(w)
-        carry = cash * (rf / periods if cash >= 0 else (rf + costs.financing_spread_bps / 1e4) / periods) - costs.borrow_bps / 1e4 / periods * sum(max(0.0, -x) for x in w)
+        carry = cash * (
+            rf / periods if cash >= 0 else (rf + costs.financing_spread_bps / 1e4) / periods
+        ) - costs.borrow_bps / 1e4 / periods * sum(max(0.0, -x) for x in w)
         growth = before * (1 + carry)
         out.append((growth - 1, before / (1 - cost) - 1, cost, turn, part))
         equity *= growth

@@ -37,7 +37,10 @@ def panel(spark, close, open_=None, volume=1e6):
 
 
 def book(spark, target, config="c"):
-    return spark.createDataFrame([(config, f"A{i}", t, w) for t, r in enumerate(target) for i, w in enumerate(r)], "config_id string, asset string, n long, w double")
+    return spark.createDataFrame(
+        [(config, f"A{i}", t, w) for t, r in enumerate(target) for i, w in enumerate(r)],
+        "config_id string, asset string, n long, w double",
+    )
 
 
 def run(spark, target, close, open_=None, volume=1e6, costs=ZERO, **settings):
@@ -133,7 +136,10 @@ def test_wipe_out_stops(spark):
 def test_spells(spark):
     days = business_days(8)
     weights, pnl = [0, 1, 1, 0, -1, -1, 1, 0], [0, 0.01, 0.02, 0, -0.01, -0.01, 0.05, 0]
-    rows = spark.createDataFrame([("c", "A", t, float(w), float(p)) for t, (w, p) in enumerate(zip(weights, pnl, strict=True))], "config_id string, asset string, n long, exposure double, contribution double")
+    rows = spark.createDataFrame(
+        [("c", "A", t, float(w), float(p)) for t, (w, p) in enumerate(zip(weights, pnl, strict=True))],
+        "config_id string, asset string, n long, exposure double, contribution double",
+    )
     bench = spark.createDataFrame(list(enumerate(days)), "n long, date date")
     got = [(r.direction, r.bars, round(r.pnl, 6)) for r in trades(rows, bench).orderBy("entry").collect()]
     assert got == [("long", 2, 0.03), ("short", 2, -0.02), ("long", 1, 0.05)]

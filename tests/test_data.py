@@ -30,7 +30,9 @@ def frame(closes, start="2020-01-01"):
 
 
 def test_csv_adjusts_whole_bars(spark, tmp_path):
-    (tmp_path / "A_B.csv").write_text("Date, Open,High,Low,Close,Adj Close,Volume\n2020-01-02,10,10,10,10,5,1\n2020-01-03,11,12,10,11,5.5,\n2020-01-06,12,12,12,12,6,3\n")
+    (tmp_path / "A_B.csv").write_text(
+        "Date, Open,High,Low,Close,Adj Close,Volume\n2020-01-02,10,10,10,10,5,1\n2020-01-03,11,12,10,11,5.5,\n2020-01-06,12,12,12,12,6,3\n"
+    )
     (tmp_path / "C.csv").write_text("timestamp,CLOSE\n2020-01-02,7\nbad\n".replace("bad\n", ""))
     with pytest.warns(UserWarning):
         got = csv.read(spark, ["A/B", "C", "none"], str(tmp_path)).orderBy("asset", "date").collect()
@@ -59,7 +61,11 @@ def test_alignment(spark):
     days = [d.date() for d in pd.bdate_range("2020-01-01", periods=20)]
     rows = [("B", d, None, None, None, float(100 + k), None, 0) for k, d in enumerate(days)]
     rows += [("L", d, 1.0, 2.0, 0.5, float(k), 10.0, 0) for k, d in enumerate(days) if k in (5, 6, 14)]
-    rows += [("L", days[6], 1.0, 2.0, 0.5, 66.0, 10.0, 1), ("L", days[7], None, None, None, float("nan"), None, 0), ("X", days[0], 1.0, 1.0, 1.0, float("inf"), 1.0, 0)]
+    rows += [
+        ("L", days[6], 1.0, 2.0, 0.5, 66.0, 10.0, 1),
+        ("L", days[7], None, None, None, float("nan"), None, 0),
+        ("X", days[0], 1.0, 1.0, 1.0, float("inf"), 1.0, 0),
+    ]
     with pytest.warns(UserWarning):
         m = market(spark.createDataFrame(rows, RAW), ["L", "X", "L", "none"], "B", least_sessions=10)
     assert m.assets == ["L", "X"] and m.has_volume
@@ -106,7 +112,10 @@ def test_synthetic_is_repeatable_and_pairs_stay_together(spark):
 
 
 def test_window_operators(spark):
-    rows = spark.createDataFrame([("A", n, bool(e), bool(x)) for n, (e, x) in enumerate(zip([0, 1, 0, 0, 1, 0], [0, 0, 0, 1, 0, 0], strict=True))], "asset string, n long, e boolean, x boolean")
+    rows = spark.createDataFrame(
+        [("A", n, bool(e), bool(x)) for n, (e, x) in enumerate(zip([0, 1, 0, 0, 1, 0], [0, 0, 0, 1, 0, 0], strict=True))],
+        "asset string, n long, e boolean, x boolean",
+    )
     assert [r.s for r in rows.select("n", state(F.col("e"), F.col("x"), along()).alias("s")).orderBy("n").collect()] == [0, 1, 1, 0, 1, 1]
     rows = spark.createDataFrame([(f"a{k}", k, 0, v) for k, v in enumerate([1.0, 2.0, 3.0, 4.0, None])], "asset string, ord int, n long, s double")
     pick = lambda f, top: [r.i for r in rows.select("ord", selected("s", F.lit(f), F.lit(top), ()).alias("i")).orderBy("ord").collect()]
@@ -120,7 +129,12 @@ def test_rsi_is_wilders(spark):
     r = np.random.default_rng(0)
     close = [None, None, *(100 + r.normal(size=60).cumsum()).tolist()]
     close[30] = None
-    got = [x.rsi_5 for x in rsi(spark.createDataFrame([("A", n, c) for n, c in enumerate(close)], "asset string, n long, close double"), [5]).orderBy("n").collect()]
+    got = [
+        x.rsi_5 for x in rsi(
+            spark.createDataFrame([("A", n, c) for n, c in enumerate(close)], "asset string, n long, close double"),
+            [5],
+        ).orderBy("n").collect()
+    ]
     up = down = None
     decay, k = 0.0, 0
     for n, c in enumerate(close):
@@ -138,7 +152,10 @@ def test_rsi_is_wilders(spark):
 
 def stream(spark, values, name="s"):
     days = [d.date() for d in pd.bdate_range("2020-01-01", periods=len(values))]
-    return spark.createDataFrame([(name, n, d, float(v)) for n, (d, v) in enumerate(zip(days, values, strict=True))], "config_id string, n long, date date, r double")
+    return spark.createDataFrame(
+        [(name, n, d, float(v)) for n, (d, v) in enumerate(zip(days, values, strict=True))],
+        "config_id string, n long, date date, r double",
+    )
 
 
 def test_metrics(spark):
@@ -152,7 +169,9 @@ def test_metrics(spark):
     row = metrics.summary(stream(spark, x), stream(spark, b).select("n", "r")).first()
     assert row.beta == pytest.approx(np.cov(x, b)[0, 1] / b.var(ddof=1)) and 0.45 < row.beta < 0.55
     assert row.sharpe == pytest.approx(x.mean() / x.std(ddof=1) * math.sqrt(252)) and row.var_95 == pytest.approx(-np.quantile(x, 0.05))
-    assert row.skew == pytest.approx(((x - x.mean()) ** 3).mean() / x.std() ** 3) and row.cvar_95 == pytest.approx(-x[x <= np.quantile(x, 0.05)].mean())
+    assert row.skew == pytest.approx(
+        ((x - x.mean()) ** 3).mean() / x.std() ** 3
+    ) and row.cvar_95 == pytest.approx(-x[x <= np.quantile(x, 0.05)].mean())
     few = metrics.rolling_sharpe(stream(spark, x), 252).orderBy("n").collect()
     assert few[250].sharpe is None and few[251].sharpe == pytest.approx(x[:252].mean() / x[:252].std(ddof=1) * math.sqrt(252))
 
@@ -172,7 +191,14 @@ def test_pairs_of_blocks(spark, monkeypatch):
     """Blocks of two assets give the pairs that one block gives."""
     r = np.random.default_rng(4)
     common = np.cumsum(r.normal(0, 0.01, 330))
-    rows = [(f"A{i}", i, t, float(100 * np.exp(common[t] * (1 + i % 2) + 0.01 * r.normal()))) for i in range(7) for t in range(330) if not (i == 6 and t < 20)]
+    rows = [
+        (
+            f"A{i}",
+            i,
+            t,
+            float(100 * np.exp(common[t] * (1 + i % 2) + 0.01 * r.normal())),
+        ) for i in range(7) for t in range(330) if not (i == 6 and t < 20)
+    ]
     bars = spark.createDataFrame(rows, "asset string, ord int, n long, close double")
     bench = spark.createDataFrame([(t, 1.0) for t in range(330)], "n long, close double")
     m = align.Market(bars, bench, [f"A{i}" for i in range(7)], "B")
@@ -199,7 +225,18 @@ def test_blend_and_correlations(spark):
 
 
 def test_research_end_to_end(spark, tmp_path):
-    c = ResearchConfig("small", ["A", "B", "C"], "BENCH", "2012-01-01", "2016-12-31", "synthetic", seed=21, max_grid=3, strategies=["trend_tsmom", "low_vol", "xs_momentum"], output_dir=str(tmp_path))
+    c = ResearchConfig(
+        "small",
+        ["A", "B", "C"],
+        "BENCH",
+        "2012-01-01",
+        "2016-12-31",
+        "synthetic",
+        seed=21,
+        max_grid=3,
+        strategies=["trend_tsmom", "low_vol", "xs_momentum"],
+        output_dir=str(tmp_path),
+    )
     r = Research(spark, c, log=lambda _: None).run()
     assert [s for s, _ in r.skipped] == ["xs_momentum"] and r.n_trials == sum(len(v["sets"]) for v in r.strategies.values())
     assert set(r.ranking.status) <= {"VALIDATED", "PROMISING", "REJECTED"} and "VALIDATED" not in set(r.ranking.status)
@@ -207,7 +244,9 @@ def test_research_end_to_end(spark, tmp_path):
         assert v["lookahead"]["passed"] and v["dsr"] <= v["psr"] + 1e-12 and len(v["verdict"].checks) == 16
     path = report.write(r, str(tmp_path))
     text = path.read_text()
-    assert all(f"## {k}." in text for k in range(1, 11)) and "Appendix A" in text and "Appendix B" in text and (tmp_path / "results/ranking.csv").exists()
+    assert all(
+        f"## {k}." in text for k in range(1, 11)
+    ) and "Appendix A" in text and "Appendix B" in text and (tmp_path / "results/ranking.csv").exists()
     summary = json.loads((tmp_path / "results/summary.json").read_text())
     assert summary["n_trials"] == r.n_trials and summary["costs"]["commission_bps"] == COSTS[c.cost_preset].commission_bps
     assert STRATEGIES["low_vol"].describe()["grid"] == STRATEGIES["low_vol"].grid

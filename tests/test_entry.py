@@ -29,7 +29,11 @@ def test_matches_duckdb(spark, sf_dir, duck, name):
     own, other = entry.queries()[name](spark, sf_dir).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
     assert sorted(own.columns) == sorted(other.columns) and len(own) == len(other)
     keys = [c for c in ("asset", "config_id", "dimension", "regime", "date", "n", "last", "peak", "year") if c in own.columns]
-    own, other = (df[sorted(df.columns)].assign(**{k: df[k].astype(str) for k in keys if df[k].dtype == object or "date" in str(df[k].dtype)}) for df in (own, other))
+    own, other = (
+        df[sorted(df.columns)].assign(
+            **{k: df[k].astype(str) for k in keys if df[k].dtype == object or "date" in str(df[k].dtype)}
+        ) for df in (own, other)
+    )
     for df in (own, other):
         for k in ("date", "peak"):
             if k in df.columns:

@@ -54,7 +54,12 @@ def test_plateau_and_neighbours():
 
 
 def test_grids():
-    sizes = [len(STRATEGIES[n].combinations()) for n in ("trend_tsmom", "donchian_breakout", "xs_momentum", "rsi_pullback", "xs_reversal", "pairs_stat_arb", "low_vol", "vol_managed", "turn_of_month")]
+    sizes = [
+        len(STRATEGIES[n].combinations()) for n in (
+            "trend_tsmom", "donchian_breakout", "xs_momentum", "rsi_pullback", "xs_reversal", "pairs_stat_arb", "low_vol",
+            "vol_managed", "turn_of_month",
+        )
+    ]
     assert sizes == [12, 15, 24, 12, 13, 12, 12, 13, 9]
     for s in STRATEGIES.values():
         assert s.defaults in s.combinations() and all(s.valid(p) for p in s.combinations())
@@ -96,7 +101,13 @@ def test_no_strategy_looks_ahead_and_a_cheat_is_found(small):
     def peek(m, sets):
         last = m.bars.groupBy("asset").agg(F.max_by("close", "n").alias("end"))
         rows = m.bars.join(last, "asset")
-        return rows.select(F.lit(sets[0]["config_id"]).alias("config_id"), "asset", "ord", "n", F.when(F.col("end") > F.col("close"), 0.1).otherwise(0.0).alias("w"))
+        return rows.select(
+            F.lit(sets[0]["config_id"]).alias("config_id"),
+            "asset",
+            "ord",
+            "n",
+            F.when(F.col("end") > F.col("close"), 0.1).otherwise(0.0).alias("w"),
+        )
 
     cheat = Strategy("cheat", {"x": 1}, {"x": [1]}, peek)
     got = V.lookahead([*STRATEGIES.values(), overlay(STRATEGIES["low_vol"], "regime"), cheat], small, cuts=(0.6,))
@@ -110,15 +121,41 @@ def test_regimes_start_unknown(small):
 
 
 def test_robustness(spark):
-    rows = [(f"plateau#{k:02d}", 1.0 + 0.01 * k, 0.9 + 0.02 * k, 1.0 + 0.01 * k) for k in range(9)] + [(f"spike#{k:02d}", 0.0, 0.0, 2.0 if k == 4 else -0.1) for k in range(9)]
-    got = {r.strategy: r for r in V.robustness(spark.createDataFrame(rows, "config_id string, is_sharpe double, oos_sharpe double, full_sharpe double")).collect()}
+    rows = [
+        (f"plateau#{k:02d}", 1.0 + 0.01 * k, 0.9 + 0.02 * k, 1.0 + 0.01 * k) for k in range(9)
+    ] + [(f"spike#{k:02d}", 0.0, 0.0, 2.0 if k == 4 else -0.1) for k in range(9)]
+    got = {
+        r.strategy: r for r in V.robustness(
+            spark.createDataFrame(rows, "config_id string, is_sharpe double, oos_sharpe double, full_sharpe double")
+        ).collect()
+    }
     assert got["plateau"].median_to_best > 0.8 and got["spike"].median_to_best == 0 and got["spike"].is_oos_rank_corr is None
     assert got["plateau"].is_oos_rank_corr == pytest.approx(1)
 
 
 def facts(**more):
-    wf = {"sharpe": 1.2, "benchmark_sharpe": 0.5, "max_drawdown": 0.1, "positive_years": 0.9, "excess_cagr": 0.02, "max_participation": 0.01, "cagr": 0.1}
-    return {"wf": wf | more.pop("wf", {}), "is": {"sharpe": 1.3}, "stress": {"base": 1.2, "costs_x2": 1.0, "delay_1_session": 1.1}, "dsr": 0.95, "psr": 0.99, "robust": 0.8, "lookahead": {"passed": True, "max_abs_diff": 0.0}, "regimes": [1.0, 0.5, 0.2], "top_share": 0.3, "n_assets": 5, "thesis": "x"} | more
+    wf = {
+        "sharpe": 1.2,
+        "benchmark_sharpe": 0.5,
+        "max_drawdown": 0.1,
+        "positive_years": 0.9,
+        "excess_cagr": 0.02,
+        "max_participation": 0.01,
+        "cagr": 0.1,
+    }
+    return {
+        "wf": wf | more.pop("wf", {}),
+        "is": {"sharpe": 1.3},
+        "stress": {"base": 1.2, "costs_x2": 1.0, "delay_1_session": 1.1},
+        "dsr": 0.95,
+        "psr": 0.99,
+        "robust": 0.8,
+        "lookahead": {"passed": True, "max_abs_diff": 0.0},
+        "regimes": [1.0, 0.5, 0.2],
+        "top_share": 0.3,
+        "n_assets": 5,
+        "thesis": "x",
+    } | more
 
 
 def test_verdicts(spark):
@@ -130,7 +167,9 @@ def test_verdicts(spark):
     assert promising.status == "PROMISING" and promising.missed == ["Deflated Sharpe"]
     assert bad.status == "REJECTED" and bad.missed == ["Maximum drawdown"] and bad.reasons == ["Maximum drawdown (40.0%, wanted < 30%)"]
     passed = {c.name: c.passed for c in unknown.checks}
-    assert unknown.status == "PROMISING" and passed["Gains across trends"] is None and passed["Largest asset's share of gains"] is None and not passed["Has a rationale"]
+    assert unknown.status == "PROMISING" and passed["Gains across trends"] is None and passed[
+        "Largest asset's share of gains"
+    ] is None and not passed["Has a rationale"]
     (dry,) = E.evaluate(spark, [facts()], Criteria(), False)
     assert next(c for c in dry.checks if "volume" in c.name).passed is None
     assert E.evaluate(spark, [], Criteria(), True) == []
