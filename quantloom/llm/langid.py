@@ -152,7 +152,15 @@ class Crf:
         return forward_backward(emit[inverse], words.first[:-1][some], words.n[some], step, begin), found.lettered[inverse]
 
 
-def train(texts: list[tuple[str, str]], length: int = 96, epochs: int = 4, batch: int = 48, rate: float = 0.3, lexicon_size: int = 300, seed: int = 0) -> Crf | None:
+def train(
+    texts: list[tuple[str, str]],
+    length: int = 96,
+    epochs: int = 4,
+    batch: int = 48,
+    rate: float = 0.3,
+    lexicon_size: int = 300,
+    seed: int = 0,
+) -> Crf | None:
     """A field from (label, text) rows, by AdaGrad on the likelihood of spliced sequences."""
     labels = sorted({label for label, _ in texts})
     if not labels:
@@ -227,7 +235,11 @@ def held_out(doc_id="doc_id"):
 
 def fit(docs: DataFrame, sample_rows: int = 4000, sample_words: int = 100, seed: int = 0, **options) -> Crf | None:
     """Learns from text and lang of rows that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("text").cast("string").alias("text"),
+        F.col("lang").cast("string").alias("lang"),
+    )
     rows = rows.filter("text is not null and lang is not null").filter(~held_out())
     # every language gets an equal part of the bound, so that a rare one is learned too
     names = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()
@@ -247,7 +259,10 @@ def fit(docs: DataFrame, sample_rows: int = 4000, sample_words: int = 100, seed:
     # each row by the hash of its id and text, at a rate that expects twice a language's part, and five rows more
     scale = 1 << 40
     rate = F.create_map(*[x for r in names for x in (F.lit(r.lang), F.lit(min(scale, scale * (2 * each + 5) // r.n)))])
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(scale))).filter(F.col("h") < F.element_at(rate, F.col("lang")))
+    hashed = rows.withColumn(
+        "h",
+        F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(scale)),
+    ).filter(F.col("h") < F.element_at(rate, F.col("lang")))
     got = hashed.select("lang", "h", "text").mapInArrow(common.trimmed(stretch), "lang string, h long, text string")
     # of each language the rows of smallest hash; the bound on all of them holds whatever the hashes are
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
@@ -277,7 +292,10 @@ def predict(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col
                         raw = words.buf[words.off[k] : words.off[k + 1]]
                         if ((raw >= 97) & (raw <= 122)).any() or any(map(str.isalpha, texts[k].as_py())):
                             names[k], score[k] = field.labels[best[k]], min(1.0, sums[k, best[k]] / total[k])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score)],
+                    ["doc_id", "lang_pred", "score"],
+                )
 
     return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, lang_pred string, score double")
 
@@ -295,11 +313,23 @@ def label_words(docs: DataFrame, model: Crf, id_col: str = "doc_id", text_col: s
                 for a, b in zip(words.first[:-1], words.first[1:], strict=True):
                     cuts = np.flatnonzero(np.r_[True, best[a + 1 : b] != best[a : b - 1]]) if b > a else []
                     ends = [*cuts[1:], b - a] if b > a else []
-                    out.append([{"lang": shared.value.labels[best[a + s]], "first": int(s), "n": int(e - s), "p": float(top[a + s : a + e].mean())} for s, e in zip(cuts, ends, strict=True)])
+                    out.append(
+                        [
+                            {
+                                "lang": shared.value.labels[best[a + s]],
+                                "first": int(s),
+                                "n": int(e - s),
+                                "p": float(top[a + s : a + e].mean()),
+                            } for s, e in zip(cuts, ends, strict=True)
+                        ]
+                    )
                 kind = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("n", pa.int32()), ("p", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, kind)], ["doc_id", "runs"])
 
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, runs array<struct<lang: string, first: int, n: int, p: double>>")
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(
+        common.trimmed(run),
+        "doc_id long, runs array<struct<lang: string, first: int, n: int, p: double>>",
+    )
 
 
 def identified(docs: DataFrame, **options) -> DataFrame:

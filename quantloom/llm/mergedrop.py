@@ -56,7 +56,12 @@ class Model:
         for text, i in ids.items():
             if len(text) == 1:
                 self.symbol[ord(text)] = i
-        pairs = {ids[p[:k]] * size + ids[p[k:]]: (ranks[sp.get_score(i)], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids}
+        pairs = {
+            ids[p[:k]] * size + ids[p[k:]]: (
+                ranks[sp.get_score(i)],
+                i,
+            ) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids
+        }
         self._table(pairs)
         for p in ids:
             if len(p) > 1 and ("\n" in p or SPACE_MARK in p.lstrip(SPACE_MARK)):
@@ -260,7 +265,11 @@ def _variants(part: pa.RecordBatch) -> np.ndarray:
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str, copy_col: str | None) -> DataFrame:
     """Ids, texts and copy numbers: those of copy_col, or 0."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(copy_col).cast("int") if copy_col else F.lit(0)).alias("copy"))
+    return docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.col(text_col).cast("string").alias("text"),
+        (F.col(copy_col).cast("int") if copy_col else F.lit(0)).alias("copy"),
+    )
 
 
 def _lists(ids: np.ndarray, n: np.ndarray, null: pa.Array) -> pa.Array:
@@ -269,7 +278,15 @@ def _lists(ids: np.ndarray, n: np.ndarray, null: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(ids, pa.int32()))
 
 
-def encode(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    model_path: str = MODEL,
+    dropout: float = 0.1,
+    seed: int = 0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    copy_col: str | None = None,
+) -> DataFrame:
     """Per row: doc_id, ids (null for a null text)."""
     shared = docs.sparkSession.sparkContext.broadcast(Model(model_path))
 
@@ -296,12 +313,24 @@ def decode(encoded: DataFrame, model_path: str = MODEL) -> DataFrame:
             raw, size = decode_ids(shared.value, np.array(lists.flatten().to_numpy(zero_copy_only=False), np.int64), n)
             ends, data = np.cumsum(size), raw.tobytes()
             texts = [data[e - s : e].decode("utf-8", "surrogatepass") for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string(), mask=np.array(lists.is_null().to_pylist(), bool))], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(texts, pa.string(), mask=np.array(lists.is_null().to_pylist(), bool))],
+                ["doc_id", "text"],
+            )
 
     return encoded.select("doc_id", "ids").mapInArrow(common.trimmed(run), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, seed: int = 0, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", copy_col: str | None = None) -> DataFrame:
+def round_trip(
+    docs: DataFrame,
+    model_path: str = MODEL,
+    dropout: float = 0.1,
+    seed: int = 0,
+    with_ids: bool = False,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    copy_col: str | None = None,
+) -> DataFrame:
     """Per row: doc_id, variant (the copy number), n_pieces, n_byte_pieces, ids_sha256 (of little-endian 32-bit ids), lossless, and ids if asked for.
 
     Encodes and decodes in one pass, and compares with the text byte by byte.
@@ -323,11 +352,20 @@ def round_trip(docs: DataFrame, model_path: str = MODEL, dropout: float = 0.1, s
                 ends = np.cumsum(n)
                 data = ids.astype("<i4").tobytes()
                 sha = [hashlib.sha256(data[4 * (e - k) : 4 * e]).hexdigest() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-                columns = [part.column("doc_id"), part.column("copy"), pa.array(n), pa.array(isbyte[ends] - isbyte[ends - n]), pa.array(sha), pa.array(same)]
+                columns = [
+                    part.column("doc_id"),
+                    part.column("copy"),
+                    pa.array(n),
+                    pa.array(isbyte[ends] - isbyte[ends - n]),
+                    pa.array(sha),
+                    pa.array(same),
+                ]
                 names = ["doc_id", "variant", "n_pieces", "n_byte_pieces", "ids_sha256", "lossless"]
                 if with_ids:
                     columns, names = [*columns, _lists(ids, n, pa.array([False] * len(n)))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, variant int, n_pieces long, n_byte_pieces long, ids_sha256 string, lossless boolean" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, variant int, n_pieces long, n_byte_pieces long, ids_sha256 string, lossless boolean" + (
+        ", ids array<int>" if with_ids else ""
+    )
     return _numbered(docs, id_col, text_col, copy_col).mapInArrow(common.trimmed(run), schema)

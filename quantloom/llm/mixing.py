@@ -42,7 +42,10 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     One row a source; the sources' order and water level take one pass over these rows.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    weighed = sizes.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")))
+    weighed = sizes.withColumn(
+        "w",
+        F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(by_name) - 1) % len(weights) + 1).cast("int")),
+    )
     weighed = weighed.withColumn("cap", F.col("source_size") * F.lit(float(most)))
     # Sources reach their caps in order of cap / weight. With those before k at their caps, the level is what
     # is left over the weight that is left; k is capped where that exceeds its own ratio.
@@ -54,14 +57,29 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
     level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest)
     leveled = weighed.withColumn("level", level)
     capped = F.col("level") * F.col("w") >= F.col("cap")
-    leveled = leveled.withColumn("level", F.min(F.when(~capped, F.struct((F.col("cap") / F.col("w")).alias("r"), F.col("level").alias("v")))).over(everything)["v"])
-    return leveled.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"))
-
-
-def _plan(docs: DataFrame, weights, share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str, size: Column | None, rows: int):
+    leveled = leveled.withColumn(
+        "level",
+        F.min(F.when(~capped, F.struct((F.col("cap") / F.col("w")).alias("r"), F.col("level").alias("v")))).over(everything)["v"],
+    )
+    return leveled.select(
+        "source",
+        "source_size",
+        F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("w"))).alias("target"),
+    )
+
+
+def _plan(
+    docs: DataFrame, weights, share: float, most: float, seed: int, id_col: str, text_col: str, source_col: str,
+    size: Column | None, rows: int,
+):
     """Of docs, the columns that the sampling reads, and the groups: (s, p, source_size, target, each, start)."""
     text, source, doc_id = F.col(text_col).cast("string"), F.col(source_col).cast("string"), F.col(id_col).cast("long")
-    columns = [doc_id.alias("doc_id"), source.alias("source"), (size_of(text) if size is None else size).alias("size"), F.xxhash64(F.lit(seed), text, doc_id).alias("h")]
+    columns = [
+        doc_id.alias("doc_id"),
+        source.alias("source"),
+        (size_of(text) if size is None else size).alias("size"),
+        F.xxhash64(F.lit(seed), text, doc_id).alias("h"),
+    ]
     narrow = common.written(docs.select(*columns))
     buckets = max(BUCKETS, -(-narrow.count() // rows))
 
@@ -72,13 +90,18 @@ def _plan(docs: DataFrame, weights, share: float, most: float, seed: int, id_col
 
     groups = narrow.groupBy("source", part().alias("part")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sources = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    sources = sources.withColumn("each", F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long"))
+    sources = sources.withColumn(
+        "each",
+        F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * ONE)).otherwise(0).cast("long"),
+    )
     sources = sources.withColumnRenamed("source", "of")
     offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce(F.col("source"), F.lit("\0"))), F.lit(ONE))
     starts = groups.join(sources, F.col("source").eqNullSafe(F.col("of"))).select("source", "part", "n", "source_size", "target", "each")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.col("n") * F.col("each")).over(before), F.lit(0)) + offset
-    starts = common.written(starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "source_size", "target", "each", start.alias("start")))
+    starts = common.written(
+        starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "source_size", "target", "each", start.alias("start"))
+    )
     return narrow, columns, part, starts
 
 

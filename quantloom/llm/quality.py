@@ -124,7 +124,16 @@ def ablations(entries: DataFrame, policies=POLICIES, rules=RULES) -> DataFrame:
     One aggregation over the ledger: rows are first counted by fail_bits (2 ** rules at most).
     """
     counts = entries.groupBy("fail_bits").agg(F.count("*").alias("n"))
-    plans = F.array(*[F.struct(F.lit(p.version).alias("policy"), F.lit(p.mask(rules)).cast("long").alias("mask"), F.lit(r.name).alias("rule"), F.lit(1 << r.bit).cast("long").alias("bit")) for p in policies for r in rules if r.name in p.rules])
+    plans = F.array(
+        *[
+            F.struct(
+                F.lit(p.version).alias("policy"),
+                F.lit(p.mask(rules)).cast("long").alias("mask"),
+                F.lit(r.name).alias("rule"),
+                F.lit(1 << r.bit).cast("long").alias("bit"),
+            ) for p in policies for r in rules if r.name in p.rules
+        ]
+    )
     each = counts.select("n", "fail_bits", F.explode(plans).alias("p")).select("n", "fail_bits", "p.*")
     failed = F.col("fail_bits").bitwiseAND(F.col("mask"))
     total = lambda what: F.sum(F.when(what, F.col("n")).otherwise(0))

@@ -115,4 +115,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AN
   CASE WHEN payload_bytes >= 100 AND one < page_id THEN one END AS refers_to FROM m
 """
 
-ORACLES: dict[str, str] = {"op5_warc_zip": OP5_SQL, "op2_quality_rules": OP2_SQL, "op2b_quality_ablations": ABLATIONS_SQL, "op8_substring_dedup": OP8_SQL}
+ORACLES: dict[str, str] = {
+    "op5_warc_zip": OP5_SQL,
+    "op2_quality_rules": OP2_SQL,
+    "op2b_quality_ablations": ABLATIONS_SQL,
+    "op8_substring_dedup": OP8_SQL,
+}

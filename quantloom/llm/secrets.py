@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The patterns of the base kinds, in their order.
-ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(
+    r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
@@ -163,9 +165,15 @@ def scan(docs: DataFrame, bits: float = 5.0, context: int = 80, id_col: str = "d
                 base = [s for s in found if s[2] != "novel"]
                 rows.append([*(sum(s[2] == k for s in found) for k in KINDS), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(found)])
             columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"])
-
-    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(common.trimmed(run), "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string")
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])],
+                ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans"],
+            )
+
+    return common.ids_and_texts(docs, id_col, text_col).mapInArrow(
+        common.trimmed(run),
+        "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string",
+    )
 
 
 def redact(text: str, found: list[tuple[int, int, str]], mark: str = "[{}]") -> str:

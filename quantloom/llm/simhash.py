@@ -81,7 +81,10 @@ def _prints(batches, shingle: int):
             print_ = _fingerprints(np.array(h, np.uint64), np.array(n, np.int64))
             # further columns, as a key of the text, go through as they are
             rest = [name for name in part.schema.names if name not in ("doc_id", "text")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_.view(np.int64)), *map(part.column, rest)], ["doc_id", "fp", *rest])
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(print_.view(np.int64)), *map(part.column, rest)],
+                ["doc_id", "fp", *rest],
+            )
 
 
 def _bits(masks) -> list[int]:
@@ -96,7 +99,12 @@ def _flipped(fp, masks):
 def tables(prints: DataFrame, segments: int) -> DataFrame:
     """(segment, value, fp): a row for each segment; value has the segment's bits, the others are 0."""
     width = 64 // segments
-    held = [F.struct(F.lit(s).alias("segment"), F.col("fp").bitwiseAND(F.lit(_bits([((1 << width) - 1) << (s * width)])[0]).cast("long")).alias("value")) for s in range(segments)]
+    held = [
+        F.struct(
+            F.lit(s).alias("segment"),
+            F.col("fp").bitwiseAND(F.lit(_bits([((1 << width) - 1) << (s * width)])[0]).cast("long")).alias("value"),
+        ) for s in range(segments)
+    ]
     return prints.select("fp", F.explode(F.array(*held)).alias("t")).select("t.segment", "t.value", "fp")
 
 
@@ -164,7 +172,10 @@ def components(edges: DataFrame) -> DataFrame:
         large = common.written(large)
         down = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = large.join(down, "b")
-        small = joined.select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
+        small = joined.select(
+            F.col("m").alias("a"),
+            F.col("a").alias("b"),
+        ).union(joined.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
         edges = common.written(small)
         after = state(edges)
         if after == before:

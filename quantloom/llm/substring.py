@@ -153,7 +153,10 @@ def _runs(batches, seed: int, size: int):
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), others, mask=pa.array(times == 1))
             inside = np.logical_or.reduceat(again, start)
             columns = [key, doc, tie, first, n, again]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[start]) for x in columns), pa.array(times), pa.array(inside), lists], ["key", *_RUN, "times", "inside", "others"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(x[start]) for x in columns), pa.array(times), pa.array(inside), lists],
+                ["key", *_RUN, "times", "inside", "others"],
+            )
 
 
 _RUN = ("doc_id", "tie", "first", "n", "again")
@@ -187,7 +190,10 @@ class _Dealt:
     def batch(self) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.list_(pa.int32()))
         columns = zip(*self.rows, strict=True) if self.rows else [()] * len(kinds)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["deal", "doc_id", "tie", "first", "again", "words", "gone"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
+            ["deal", "doc_id", "tie", "first", "again", "words", "gone"],
+        )
 
 
 _DEALT = "deal long, doc_id long, tie long, first int, again boolean, words binary, gone array<int>"
@@ -203,7 +209,14 @@ def _dealt(batches, size: int, shared):
             single: list[tuple] = []
             seen: set[tuple[int, int]] = set()
             for k, (doc, tie, a, b, runs) in enumerate(
-                zip(part.column("doc_id").to_pylist(), part.column("tie").to_pylist(), words.first[:-1], words.first[1:], part.column("runs").to_pylist(), strict=True)
+                zip(
+                    part.column("doc_id").to_pylist(),
+                    part.column("tie").to_pylist(),
+                    words.first[:-1],
+                    words.first[1:],
+                    part.column("runs").to_pylist(),
+                    strict=True,
+                )
             ):
                 if (doc, tie) in seen:
                     # a repeated row of one document
@@ -296,7 +309,10 @@ def _judged(batches, size: int):
             if found:
                 out.append((doc, tie, list(found)))
         columns = zip(*out, strict=True) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["doc_id", "tie", "starts"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)],
+            ["doc_id", "tie", "starts"],
+        )
 
 
 def _passages(batches, size: int):
@@ -305,7 +321,14 @@ def _passages(batches, size: int):
         rows: list[tuple] = []
         words = Words(batch.column("text"))
         h = words.hashes()
-        for doc, tie, a, b, runs in zip(batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist(), words.first[:-1], words.first[1:], batch.column("runs").to_pylist(), strict=True):
+        for doc, tie, a, b, runs in zip(
+            batch.column("doc_id").to_pylist(),
+            batch.column("tie").to_pylist(),
+            words.first[:-1],
+            words.first[1:],
+            batch.column("runs").to_pylist(),
+            strict=True,
+        ):
             rows += [(doc, tie, r["first"], r["key"], _tokens(_bytes(h[a:b][r["first"] : r["first"] + r["n"] + size - 1]).tobytes())) for r in runs]
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
         columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
@@ -316,7 +339,16 @@ def _kept(batches, size: int):
     for batch in batches:
         for part in slices(batch):
             words, rows = Words(part.column("text")), []
-            for k, (doc, a, b, copy, starts) in enumerate(zip(part.column("doc_id").to_pylist(), words.first[:-1], words.first[1:], part.column("copy").to_pylist(), part.column("starts"), strict=True)):
+            for k, (doc, a, b, copy, starts) in enumerate(
+                zip(
+                    part.column("doc_id").to_pylist(),
+                    words.first[:-1],
+                    words.first[1:],
+                    part.column("copy").to_pylist(),
+                    part.column("starts"),
+                    strict=True,
+                )
+            ):
                 n = int(b - a)
                 if copy:
                     gone = np.full(n, n >= size)
@@ -327,18 +359,26 @@ def _kept(batches, size: int):
                 rows.append((doc, n, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace")))
             if rows:
                 doc, n, gone, sha, text = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha), pa.array(text)],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+                )
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text, tie and copy (a row with a smaller id has the same text)."""
-    texts = common.ids_and_texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = common.ids_and_texts(docs, id_col, text_col).select(
+        F.coalesce("doc_id", F.lit(LAST)).alias("doc_id"),
+        F.coalesce("text", F.lit("")).alias("text"),
+    )
     texts = texts.withColumn("digest", F.unhex(F.md5("text")))
     # only ids that have several texts need more than the id to tell documents apart
     shared = texts.select("doc_id", F.xxhash64("text").alias("x")).groupBy("doc_id").agg((F.min("x") < F.max("x")).alias("many")).filter("many")
     texts = texts.join(common.written(shared), "doc_id", "left")
     texts = texts.select("doc_id", "text", "digest", F.when(F.col("many"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("tie"))
-    copies = common.written(texts.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).filter("n > 1").select("digest", "one"))
+    copies = common.written(
+        texts.groupBy("digest").agg(F.min("doc_id").alias("one"), F.count("*").alias("n")).filter("n > 1").select("digest", "one")
+    )
     if copies.count() <= BROADCAST_ROWS:
         copies = F.broadcast(copies)
     copy = F.coalesce(F.col("one") < F.col("doc_id"), F.lit(False)).alias("copy")
@@ -347,13 +387,19 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _repeated_runs(single: DataFrame, seed: int, size: int) -> DataFrame:
     """Runs whose minimizer occurs again: key, times, whether the run is the earliest of its key, and the run."""
-    rows = single.mapInArrow(common.trimmed(lambda it: _runs(it, seed, size)), f"key long, {_RUN_TYPE}, times long, inside boolean, others array<struct<{_RUN_TYPE}>>")
+    rows = single.mapInArrow(
+        common.trimmed(lambda it: _runs(it, seed, size)),
+        f"key long, {_RUN_TYPE}, times long, inside boolean, others array<struct<{_RUN_TYPE}>>",
+    )
     key = Window.partitionBy("key")
     place = F.struct("doc_id", "tie", "first")
     rows = rows.withColumns({"times": F.sum("times").over(key), "inside": F.max("inside").over(key), "earliest": place == F.min(place).over(key)})
     rows = rows.filter((F.col("times") > 1) | F.col("inside"))
     mine = F.array(F.struct(*_RUN, F.col("earliest")))
-    rest = F.transform(F.coalesce("others", F.array().cast(f"array<struct<{_RUN_TYPE}>>")), lambda r: F.struct(*[r[c].alias(c) for c in _RUN], F.lit(False).alias("earliest")))
+    rest = F.transform(
+        F.coalesce("others", F.array().cast(f"array<struct<{_RUN_TYPE}>>")),
+        lambda r: F.struct(*[r[c].alias(c) for c in _RUN], F.lit(False).alias("earliest")),
+    )
     return rows.select("key", "times", F.explode(F.concat(mine, rest)).alias("r")).select("key", "times", "r.*")
 
 
@@ -392,7 +438,10 @@ def substring_dedup(
     common.drop_written(wanted)
     common.release(spark)
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
-    out = marked.join(gone, ["doc_id", "tie"], "left").select("doc_id", "text", "copy", "starts").mapInArrow(common.trimmed(lambda it: _kept(it, size)), kinds)
+    out = marked.join(gone, ["doc_id", "tie"], "left").select("doc_id", "text", "copy", "starts").mapInArrow(
+        common.trimmed(lambda it: _kept(it, size)),
+        kinds,
+    )
     return out.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
 
 

@@ -126,7 +126,16 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, ridge: float = 1.0
     return weights, oof
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: int = 256, folds: int = 5, categories=CATEGORIES, id_col: str = "doc_id", text_col: str = "text") -> Chain | None:
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    sample_rows: int = 8192,
+    features: int = 256,
+    folds: int = 5,
+    categories=CATEGORIES,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> Chain | None:
     """A chain for the categories; None if the sample has no toxic or no other document."""
     names = [n for n, _ in categories]
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic").filter("doc_id is not null and toxic is not null")
@@ -145,16 +154,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 8192, features: i
             for text, y in zip(batch.column("text").to_pylist(), batch.column(last).to_pylist(), strict=True):
                 for a in {a for w in set(_WORD.findall(text.lower())) for a in _affixes(w)}:
                     found.setdefault(a, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array([c[0] for c in found.values()], pa.int64()), pa.array([c[1] for c in found.values()], pa.int64())], ["a", "clean", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(found.keys(), pa.string()),
+                    pa.array([c[0] for c in found.values()], pa.int64()),
+                    pa.array([c[1] for c in found.values()], pa.int64()),
+                ],
+                ["a", "clean", "toxic"],
+            )
 
     totals = rows.agg(F.count("*"), F.sum(last)).first()
     n, t = totals[0], totals[1] or 0
     if not t or t == n:
         return None
-    counted = rows.select("text", last).mapInArrow(common.trimmed(count), "a string, clean long, toxic long").groupBy("a").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
+    counted = rows.select("text", last).mapInArrow(
+        common.trimmed(count),
+        "a string, clean long, toxic long",
+    ).groupBy("a").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
     rate = F.col("t") / t / ((F.col("c") + F.lit(0.5)) / (n - t))
     # expected log-likelihood gain of knowing the affix, for those that speak for toxicity
-    chosen = counted.filter((F.col("t") >= 4) & (rate > 3)).select("a", (F.col("t") * F.log(rate)).alias("gain")).orderBy(F.desc("gain"), "a").limit(features).collect()
+    chosen = counted.filter((F.col("t") >= 4) & (rate > 3)).select(
+        "a",
+        (F.col("t") * F.log(rate)).alias("gain"),
+    ).orderBy(F.desc("gain"), "a").limit(features).collect()
     affixes = [r.a for r in chosen]
 
     def read(batches):

@@ -68,7 +68,11 @@ class ZipWriter:
         for c in chunks:
             size, crc = size + len(c), zlib.crc32(c, crc)
         raw, start = name.encode(), self.at
-        self._write(struct.pack("<IHHHHHIIIHH", LOCAL, 45, 0x800, 0, 0, 0x21, crc, FULL32, FULL32, len(raw), 20) + raw + struct.pack("<HHQQ", ZIP64_FIELD, 16, size, size))
+        self._write(
+            struct.pack(
+                "<IHHHHHIIIHH", LOCAL, 45, 0x800, 0, 0, 0x21, crc, FULL32, FULL32, len(raw), 20,
+            ) + raw + struct.pack("<HHQQ", ZIP64_FIELD, 16, size, size)
+        )
         for c in chunks:
             self._write(c)
         self.members.append((raw, crc, size, start))
@@ -80,7 +84,12 @@ class ZipWriter:
             wide = [v for v in (size, size, at) if v >= FULL32 or zip64]
             extra = struct.pack(f"<HH{len(wide)}Q", ZIP64_FIELD, 8 * len(wide), *wide) if wide else b""
             small = lambda v: FULL32 if zip64 or v >= FULL32 else v
-            self._write(struct.pack("<IHHHHHHIIIHHHHHII", CENTRAL, 45, 45, 0x800, 0, 0, 0x21, crc, small(size), small(size), len(raw), len(extra), 0, 0, 0, 0, small(at)) + raw + extra)
+            self._write(
+                struct.pack(
+                    "<IHHHHHHIIIHHHHHII", CENTRAL, 45, 45, 0x800, 0, 0, 0x21, crc, small(size), small(size), len(raw),
+                    len(extra), 0, 0, 0, 0, small(at),
+                ) + raw + extra
+            )
         n, size, end = len(self.members), self.at - start, self.at
         if zip64 or n >= FULL16 or start >= FULL32 or size >= FULL32:
             self._write(struct.pack("<IQHHIIQQQQ", END64, 44, 45, 45, 0, 0, n, n, size, start) + struct.pack("<IIQI", LOCATOR64, 0, end, 1))
@@ -146,7 +155,14 @@ def _range(file, offset: int, n: int) -> bytes:
 def record(kind: str, page_id, url: str | None, payload: bytes, size: int, digest: str, refers_to) -> bytes:
     """A WARC/1.1 record; payload is empty for a revisit, size and digest are of the full one."""
     named = lambda i: f"<urn:page:{'null' if i is None else i}>"
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {named(page_id)}", "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {size}"]
+    lines = [
+        "WARC/1.1",
+        f"WARC-Type: {kind}",
+        f"WARC-Record-ID: {named(page_id)}",
+        "WARC-Date: 2024-01-01T00:00:00Z",
+        f"WARC-Payload-Digest: sha256:{digest}",
+        f"X-Payload-Length: {size}",
+    ]
     if url is not None:
         lines.append("WARC-Target-URI: " + "".join(c for c in url if c >= " "))
     if kind == "revisit":
@@ -170,7 +186,11 @@ def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def dealt(pages: DataFrame, least: int = 100) -> DataFrame:
     """page_id, url, payload, digest, record_type, refers_to of each page."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"),
+    )
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     place = F.coalesce("page_id", F.lit(LAST))
     # digests are counted from narrow rows; a hot one (there are fewer than 1 / HOT_PART) is broadcast, the others are joined by digest
@@ -208,7 +228,9 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, archive_byte
             for r in batch.to_pylist():
                 payload = b"" if r["record_type"] == "revisit" else r["payload"]
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                data = packer.compress(record(r["record_type"], r["page_id"], r["url"], payload, r["size"], r["digest"], r["refers_to"])) + packer.flush()
+                data = packer.compress(
+                    record(r["record_type"], r["page_id"], r["url"], payload, r["size"], r["digest"], r["refers_to"])
+                ) + packer.flush()
                 index.append(json.dumps({"id": r["page_id"], "offset": held, "length": len(data)}) + "\n")
                 out.append(data)
                 held, n = held + len(data), n + 1
@@ -241,7 +263,14 @@ def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
                     start = found[DATA][0]
                     ranges = [(start + x["offset"], x["length"]) for x in map(json.loads, text.splitlines())]
                 blocks = [ranges[k : k + block] for k in range(0, len(ranges), block)]
-                yield pa.RecordBatch.from_arrays([pa.array([uri] * len(blocks)), pa.array([[r[0] for r in b] for b in blocks], pa.list_(pa.int64())), pa.array([[r[1] for r in b] for b in blocks], pa.list_(pa.int64()))], ["uri", "offsets", "lengths"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([uri] * len(blocks)),
+                        pa.array([[r[0] for r in b] for b in blocks], pa.list_(pa.int64())),
+                        pa.array([[r[1] for r in b] for b in blocks], pa.list_(pa.int64())),
+                    ],
+                    ["uri", "offsets", "lengths"],
+                )
 
     def fetch(batches):
         for batch in batches:
@@ -253,7 +282,9 @@ def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
                             fields, payload = parsed(zlib.decompress(_range(file, offset, n), 31))
                         except (zlib.error, ValueError) as error:
                             raise ValueError(f"{uri}: a damaged record at {offset}: {error}") from error
-                        name = lambda k: None if (v := fields.get(k)) is None or v == "<urn:page:null>" else int(v[len("<urn:page:") : -1])
+                        name = lambda k: None if (v := fields.get(k)) is None or v == "<urn:page:null>" else int(
+                            v[len("<urn:page:") : -1]
+                        )
                         full, kind = int(fields["x-payload-length"]), fields["warc-type"]
                         digest = fields["warc-payload-digest"].removeprefix("sha256:")
                         if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != full):
@@ -269,12 +300,18 @@ def read_archives(archives: DataFrame, block: int = 2000) -> DataFrame:
     spark = archives.sparkSession
     n = spark.sparkContext.defaultParallelism
     located = archives.select("uri").mapInArrow(common.trimmed(locate), "uri string, offsets array<long>, lengths array<long>")
-    return located.repartition(max(n, 4 * n)).mapInArrow(common.trimmed(fetch), "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return located.repartition(max(n, 4 * n)).mapInArrow(
+        common.trimmed(fetch),
+        "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary",
+    )
 
 
 def _batch(rows) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)],
+        ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"],
+    )
 
 
 def packaged(pages: DataFrame, least: int = 100, **options) -> DataFrame:

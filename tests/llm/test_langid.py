@@ -55,7 +55,12 @@ def test_code_switching(spark, model):
 
 
 def test_awkward_rows(spark, model):
-    rows = [*documents(), (700, "123 ... ###", "en", "s", 1, 1, "x", 2), (701, "ª", "en", "s", 1, 1, "x", 2), (702, "the " * 30_000, "en", "s", 1, 1, "x", 2)]
+    rows = [
+        *documents(),
+        (700, "123 ... ###", "en", "s", 1, 1, "x", 2),
+        (701, "ª", "en", "s", 1, 1, "x", 2),
+        (702, "the " * 30_000, "en", "s", 1, 1, "x", 2),
+    ]
     docs = spark.createDataFrame(rows, SCHEMA)
     got = L.predict(docs, model).collect()
     assert len(got) == len(rows)

@@ -11,7 +11,20 @@ from fixtures import SCHEMA, documents
 from quantloom.llm import mergedrop as M
 from quantloom.llm.common import mixed
 
-TEXTS = ["", "  a  b   c\n\n d", "x▁y ▁", "日本語 テスト 😀\tß", "    ", " lead", "trail ", None, "a" * 60, "\n", "\U0010ffff end", "The quick brown fox jumps over it."]
+TEXTS = [
+    "",
+    "  a  b   c\n\n d",
+    "x▁y ▁",
+    "日本語 テスト 😀\tß",
+    "    ",
+    " lead",
+    "trail ",
+    None,
+    "a" * 60,
+    "\n",
+    "\U0010ffff end",
+    "The quick brown fox jumps over it.",
+]
 
 
 @pytest.fixture(scope="module")
@@ -111,7 +124,10 @@ def test_every_occurrence_document_and_copy_draws_anew(spark, model):
             word = []
         word.append(p)
     assert len(seen) > 4
-    docs = spark.createDataFrame([(i, "International cooperation on standards", c) for i in range(40) for c in (0, 1)], "doc_id long, text string, nth int")
+    docs = spark.createDataFrame(
+        [(i, "International cooperation on standards", c) for i in range(40) for c in (0, 1)],
+        "doc_id long, text string, nth int",
+    )
     got = M.round_trip(docs, dropout=0.3, copy_col="nth").collect()
     digests = {(r.doc_id, r.variant): r.ids_sha256 for r in got}
     assert len(set(digests.values())) > 8 and any(digests[i, 0] != digests[i, 1] for i in range(40)) and all(r.lossless for r in got)

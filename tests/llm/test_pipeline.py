@@ -85,7 +85,16 @@ def test_run(spark):
 
 def test_repeated_ids_are_judged_by_their_texts(spark):
     one, two = ("alpha beta gamma delta epsilon zeta eta theta", "kappa lambda mu nu xi omicron pi rho sigma")
-    rows = [(5, one), (5, two), (7, one), (3, two), (9, "quite another text of its own stands here"), (9, "quite another text of its own stands here"), (9, None), (9, "")]
+    rows = [
+        (5, one),
+        (5, two),
+        (7, one),
+        (3, two),
+        (9, "quite another text of its own stands here"),
+        (9, "quite another text of its own stands here"),
+        (9, None),
+        (9, ""),
+    ]
     got = P.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     # (5, two) is a copy of (3, two); the null and the empty text are one document
     assert Counter(r.doc_id for r in got) == {5: 1, 3: 1, 9: 2}

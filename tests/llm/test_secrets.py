@@ -18,10 +18,22 @@ EXTRA = [
 def plain(text):
     text = text or ""
     kinds = (
-        ("assign", r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, lambda m: len(m[2]) >= 6),
+        (
+            "assign",
+            r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+            re.I | re.A,
+            lambda m: len(m[2]) >= 6,
+        ),
         ("access", r"AKIA[A-Z0-9]+", 0, lambda m: len(m[0]) >= 20), ("hex", r"[0-9a-f]+", 0, lambda m: len(m[0]) >= 24),
     )
-    found = [(m.start(), k, f"{name}:{m.start()}:{m.end()}", name) for k, (name, rx, flags, ok) in enumerate(kinds) for m in re.finditer(rx, text, flags) if ok(m)]
+    found = [
+        (
+            m.start(),
+            k,
+            f"{name}:{m.start()}:{m.end()}",
+            name,
+        ) for k, (name, rx, flags, ok) in enumerate(kinds) for m in re.finditer(rx, text, flags) if ok(m)
+    ]
     names = [f[3] for f in found]
     return (*(names.count(k) for k in S.KINDS[:3]), hashlib.sha256(",".join(f[2] for f in sorted(found)).encode()).hexdigest())
 
@@ -55,7 +67,10 @@ def test_novelty_finds_random_strings_only():
 
 
 def test_redaction(spark):
-    docs = spark.createDataFrame([(1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', "en"), (2, None, "en"), (3, "plain", None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame(
+        [(1, 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', "en"), (2, None, "en"), (3, "plain", None)],
+        "doc_id long, text string, lang string",
+    )
     out = S.redacted(docs)
     assert out.columns == docs.columns
     assert [r.text for r in out.orderBy("doc_id").collect()] == ['a [assign]" b', None, "plain"]
@@ -69,7 +84,13 @@ def plain_novel(text, base, novelty, bits=5.0, context=80):
     """The rule, run by run, with plain loops: what a run's value is, what makes it sensitive, and what it costs."""
     out, k = [], 0
     token = set(string.ascii_letters + string.digits + "+/_=-")
-    words = [m.span() for m in re.finditer("password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private|signature|session|cookie|aws|ssh", text, re.I)]
+    words = [
+        m.span() for m in re.finditer(
+            "password|passwd|pwd|secret|token|api.?key|access.?key|auth|bearer|credential|private|signature|session|cookie|aws|ssh",
+            text,
+            re.I,
+        )
+    ]
     while k < len(text):
         if text[k] not in token:
             k += 1
@@ -109,7 +130,10 @@ def test_recall_of_planted_keys():
     """Random keys in the usual forms: all are caught, by a base pattern or by novelty, and of plain values none."""
     r, novelty = random.Random(8), S.Novelty()
     alphabet = string.ascii_letters + string.digits
-    forms = ["access_key={}", "auth={}", "pwd={}", "aws_access_key_id={}", "private_key: {}", "private_key:{}", "SESSION_COOKIE={}", "cookie: {}", "signature {}", "ssh-key = '{}'", "X-Auth-Key: {}"]
+    forms = [
+        "access_key={}", "auth={}", "pwd={}", "aws_access_key_id={}", "private_key: {}", "private_key:{}", "SESSION_COOKIE={}",
+        "cookie: {}", "signature {}", "ssh-key = '{}'", "X-Auth-Key: {}",
+    ]
     for form in forms:
         caught = wrong = 0
         for _ in range(40):
@@ -117,7 +141,17 @@ def test_recall_of_planted_keys():
             text = f"some line before it\n{form.format(value)}\nand one after"
             start = text.index(value)
             caught += any(a <= start and start + len(value) <= b for a, b, _ in S.spans(text, novelty))
-            plain = r.choice(["true", "localhost", "application/json;charset=utf-8", "00000000-0000-0000-0000-000000000000", "configuration", "getElementById", "abcdefghijklmnopqrstuvwxyz0123456789"])
+            plain = r.choice(
+                [
+                    "true",
+                    "localhost",
+                    "application/json;charset=utf-8",
+                    "00000000-0000-0000-0000-000000000000",
+                    "configuration",
+                    "getElementById",
+                    "abcdefghijklmnopqrstuvwxyz0123456789",
+                ]
+            )
             wrong += bool(S.spans(f"some line before it\n{form.format(plain)}\nand one after", novelty))
         assert caught == 40 and wrong == 0, (form, caught, wrong)
 

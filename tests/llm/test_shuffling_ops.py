@@ -68,7 +68,17 @@ def test_substring_texts_that_share_an_id_are_documents_of_their_own(spark, hot)
     r = random.Random(8)
     passage, own = [f"p{k}" for k in range(20)], [f"u{k}" for k in range(100)]
     twin = [f"q{r.randrange(900)}" for _ in range(30)]
-    rows = [(1, " ".join(passage)), (None, " ".join(own + passage)), (None, "short text"), (None, " ".join([*twin, "x"])), (None, " ".join(["y", *twin])), (None, " ".join(["y", *twin])), (7, " ".join(own[:30])), (7, "brief"), (7, " ".join(["z"] * 5 + passage))]
+    rows = [
+        (1, " ".join(passage)),
+        (None, " ".join(own + passage)),
+        (None, "short text"),
+        (None, " ".join([*twin, "x"])),
+        (None, " ".join(["y", *twin])),
+        (None, " ".join(["y", *twin])),
+        (7, " ".join(own[:30])),
+        (7, "brief"),
+        (7, " ".join(["z"] * 5 + passage)),
+    ]
     got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), hot_count=hot).collect()
     gone = Counter((x.doc_id, x.n_words, x.n_removed) for x in got)
     # of the unlike twins, the one whose text has the larger hash loses the passage, in every row
@@ -78,7 +88,10 @@ def test_substring_texts_that_share_an_id_are_documents_of_their_own(spark, hot)
     assert "short text" in {x.kept_text for x in got} and " ".join(own[30:]) in {x.kept_text for x in got}
 
 
-@pytest.mark.parametrize("options", [{}, {"hot_count": 2}, {"hot_count": 2, "reference_passages": 3, "passage_words": 24}, {"hot_count": 3, "reference_passages": 0}])
+@pytest.mark.parametrize(
+    "options",
+    [{}, {"hot_count": 2}, {"hot_count": 2, "reference_passages": 3, "passage_words": 24}, {"hot_count": 3, "reference_passages": 0}],
+)
 def test_substring_periodic_and_common_texts(spark, options):
     """Periods of one word and more, a common phrase in varied surroundings, repeated and null ids with unlike texts."""
     r = random.Random(4)
@@ -88,7 +101,12 @@ def test_substring_periodic_and_common_texts(spark, options):
     around = [[f"z{r.randrange(6)}" for _ in range(9)] for _ in range(5)]
     for k in range(60):
         rows.append((100 + k, " ".join([f"y{k}", *r.choice(around), *phrase, *r.choice(around), f"x{k}", *r.choice(period)[: r.randrange(60)]])))
-    rows += [(700, " ".join(["q", *phrase, *around[0]])), (700, " ".join(["q2", *phrase, *around[1], *["aa"] * 25])), (None, " ".join(around[2] * 4)), (None, "short")]
+    rows += [
+        (700, " ".join(["q", *phrase, *around[0]])),
+        (700, " ".join(["q2", *phrase, *around[1], *["aa"] * 25])),
+        (None, " ".join(around[2] * 4)),
+        (None, "short"),
+    ]
     got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), **options)
     own = [(i, t) for i, t in rows if i is not None and i != 700]
     # of rows that share an id, the order is by a hash of the text; the others are as in brute force
@@ -196,7 +214,9 @@ def test_links_of_crowded_segments(spark, hot):
     """Fingerprints that share segments: links are all within two bits, and connect what all pairs connect."""
     r = random.Random(hot)
     base = [r.getrandbits(64) for _ in range(3)] + [0, 2**64 - 1]
-    prints = {b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (r.randrange(3) == 0) * (1 << r.randrange(32)) for b in base for _ in range(120)} | set(base)
+    prints = {
+        b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) ^ (r.randrange(3) == 0) * (1 << r.randrange(32)) for b in base for _ in range(120)
+    } | set(base)
     signed = lambda v: v - 2**64 if v >= 2**63 else v
     found = simhash.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), hot=hot).collect()
     assert all((x.a % 2**64 ^ x.b % 2**64).bit_count() <= 2 and x.a < x.b for x in found)
@@ -326,7 +346,9 @@ def test_quality_matches_brute_force(docs):
     got = quality.ledger(docs)
     rows = got.collect()
     want = Counter((r[0], *brute_quality(r[1])) for r in documents())
-    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, bool(r.fail_bits & quality.BASE)) for r in rows) == want
+    assert Counter(
+        (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, bool(r.fail_bits & quality.BASE)) for r in rows
+    ) == want
     for p in quality.ablations(got).collect():
         policy = next(x for x in quality.POLICIES if x.version == p.policy)
         bit = next(r.bit for r in quality.RULES if r.name == p.rule)

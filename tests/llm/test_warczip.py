@@ -15,8 +15,20 @@ SCHEMA = "page_id long, url string, html string, payload string, size int"
 
 def rows():
     long = "<p>é" + "x" * 200
-    return [(5, "http://a/1", long, "c", 1), (3, "http://a/2", long, "c", 1), (9, None, long, "c", 1), (None, "http://n", long, "c", 1), (1, "u", None, "c", 1), (2, "u", "", "c", 1), (4, "u", "short", "c", 1), (6, "u", "short", "c", 1),
-            (7, "u\r\nX: y", "z" * 100, "c", 1), (8, "u", "z" * 100, "c", 1), (10, "u", "z" * 99, "c", 1), (11, "u", "z" * 99, "c", 1), (12, "big", "WARC/1.1\r\n\r\n" * 90_000, "c", 1), (3, "http://a/2", long, "c", 1)]
+    return [(5, "http://a/1", long, "c", 1), (3, "http://a/2", long, "c", 1), (9, None, long, "c", 1), (
+        None,
+        "http://n",
+        long,
+        "c",
+        1,
+    ), (1, "u", None, "c", 1), (2, "u", "", "c", 1), (4, "u", "short", "c", 1), (6, "u", "short", "c", 1),
+            (7, "u\r\nX: y", "z" * 100, "c", 1), (8, "u", "z" * 100, "c", 1), (10, "u", "z" * 99, "c", 1), (11, "u", "z" * 99, "c", 1), (
+                12,
+                "big",
+                "WARC/1.1\r\n\r\n" * 90_000,
+                "c",
+                1,
+            ), (3, "http://a/2", long, "c", 1)]
 
 
 def brute(data):
@@ -102,7 +114,9 @@ def test_damaged_archives_raise(spark, tmp_path, harm):
 
 
 def test_a_hot_payload(spark):
-    data = [(k, f"http://h/{k}", "<p>" + "same" * 40, "c", 1) for k in range(3, 400)] + [(1000 + k, "u", "<p>" + f"{k // 2} " * 80, "c", 1) for k in range(100)]
+    data = [
+        (k, f"http://h/{k}", "<p>" + "same" * 40, "c", 1) for k in range(3, 400)
+    ] + [(1000 + k, "u", "<p>" + f"{k // 2} " * 80, "c", 1) for k in range(100)]
     got = Z.packaged(spark.createDataFrame(data, SCHEMA).repartition(4)).collect()
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == brute(data)
 
