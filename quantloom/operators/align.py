@@ -131,10 +131,15 @@ def quality_report(rows: DataFrame, sessions: DataFrame, tickers: DataFrame) ->
     inside = inside.withColumn("stretch", F.sum(F.when(~F.col("flat"), 1).otherwise(0)).over(w))
     inside = inside.withColumn("run", F.sum(F.col("flat").cast("int")).over(Window.partitionBy("asset", "stretch")))
     facts = inside.groupBy("asset").agg(
-        F.min("date").alias("first"), F.max("date").alias("last"), F.count("*").alias("observations"), F.max(F.abs("move")).alias("max_abs_daily_move"),
-        F.min("close").alias("least"), F.sum(
-            F.when(F.abs("move") > 0.25, 1).otherwise(0)
-        ).alias("jumps"), F.max("run").alias("flat_run"), F.first("lo").alias("lo"), F.first("hi").alias("hi"),
+        F.min("date").alias("first"),
+        F.max("date").alias("last"),
+        F.count("*").alias("observations"),
+        F.max(F.abs("move")).alias("max_abs_daily_move"),
+        F.min("close").alias("least"),
+        F.sum(F.when(F.abs("move") > 0.25, 1).otherwise(0)).alias("jumps"),
+        F.max("run").alias("flat_run"),
+        F.first("lo").alias("lo"),
+        F.first("hi").alias("hi"),
     )
     spans = facts.select("asset", "first", "last").join(sessions.select("date"), F.col("date").between(F.col("first"), F.col("last")))
     gaps = spans.join(rows.filter("close is not null").select(

@@ -202,10 +202,12 @@ def simulate(targets: DataFrame, market: Market, settings: Settings, features: D
         (size * settings.capital / value).alias("share"),
     )
     days = rows.groupBy("config_id", "n").agg(
-        F.first("g1").alias("g1"), F.first("g2").alias("g2"), F.sum("linear").alias("linear"), F.sum("impact").alias("impact"), F.sum("size").alias("turnover"), F.coalesce(
-            F.max("share"),
-            F.lit(0.0),
-        ).alias("share"),
+        F.first("g1").alias("g1"),
+        F.first("g2").alias("g2"),
+        F.sum("linear").alias("linear"),
+        F.sum("impact").alias("impact"),
+        F.sum("size").alias("turnover"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("share"),
         (1 - F.sum("end")).alias("cash"), F.sum(F.greatest(F.lit(0.0), -F.col("end"))).alias("short"),
     )
     if scales:

@@ -62,9 +62,8 @@ def overview(market: Market, periods: int = 252) -> DataFrame:
     rows = rows.select(
         "n", "date", "close", *[change("close", k, w).alias(f"return_{m}m") for m, k in ((1, 21), (3, 63), (6, 126), (12, 252))],
         rolling(F.avg, "close", 50, w).alias("sma50"), rolling(F.avg, "close", 200, w).alias("sma200"),
-        (
-            F.col("close") / F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-        ).alias("drawdown_from_high"), (rolling(F.stddev_samp, "r", 21, w) * math.sqrt(periods)).alias("v"),
+        (F.col("close") / F.max("close").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("drawdown_from_high"),
+        (rolling(F.stddev_samp, "r", 21, w) * math.sqrt(periods)).alias("v"),
     )
     recent = Window.partitionBy(F.lit(0)).orderBy("n").rowsBetween(-755, 0)
     vols = F.collect_list("v").over(recent)
@@ -74,12 +73,17 @@ def overview(market: Market, periods: int = 252) -> DataFrame:
     ).withColumn("rows", F.count("*").over(recent))
     last = rows.join(regimes(market.bench, periods).select("n", "trend", "vol"), "n").orderBy(F.desc("n")).limit(1)
     facts = last.select(
-        F.col("date").alias("as_of"), F.lit(market.benchmark).alias("benchmark"), *[
-            f"return_{m}m" for m in (1, 3, 6, 12)
-        ], (F.col("close") / F.col("sma200") - 1).alias("distance_from_200d_sma"), (F.col("sma50") > F.col("sma200")).alias("sma50_above_sma200"),
-        "drawdown_from_high", F.col("v").alias("realised_vol_21d"), "realised_vol_3y_median", (
-            F.col("below") / F.col("rows")
-        ).alias("vol_percentile_3y"), F.col("trend").alias("trend_regime"), F.col("vol").alias("vol_regime"),
+        F.col("date").alias("as_of"),
+        F.lit(market.benchmark).alias("benchmark"),
+        *[f"return_{m}m" for m in (1, 3, 6, 12)],
+        (F.col("close") / F.col("sma200") - 1).alias("distance_from_200d_sma"),
+        (F.col("sma50") > F.col("sma200")).alias("sma50_above_sma200"),
+        "drawdown_from_high",
+        F.col("v").alias("realised_vol_21d"),
+        "realised_vol_3y_median",
+        (F.col("below") / F.col("rows")).alias("vol_percentile_3y"),
+        F.col("trend").alias("trend_regime"),
+        F.col("vol").alias("vol_regime"),
     )
     if len(market.assets) < 2:
         return facts
@@ -164,38 +168,40 @@ def scan(market: Market, periods: int = 252, least: int = 260) -> DataFrame:
     tail = lambda k: F.col("n") > F.col("end") - k
     facts = known.groupBy("asset").agg(
         F.count("close").alias("closes"), at(0).alias("c0"), at(21).alias("c21"), at(63).alias("c63"), at(126).alias("c126"), at(252).alias("c252"),
-        F.stddev_samp(F.when(tail(63), F.col("r"))).alias("sd"), F.max(
-            F.when(F.col("back") < 252, F.col("close"))
-        ).alias("high"), F.avg(F.when(F.col("back") < 200, F.col("close"))).alias("a200"),
-        F.max(
-            F.when(F.col("n") == F.col("end"), F.col("rsi_14"))
-        ).alias("rsi14"), F.max_by(
-            "r21",
-            F.when(F.col("r21").isNotNull(), F.col("n")),
-        ).alias("move"), F.avg("r21").alias("m"), F.stddev_samp("r21").alias("s"),
+        F.stddev_samp(F.when(tail(63), F.col("r"))).alias("sd"),
+        F.max(F.when(F.col("back") < 252, F.col("close"))).alias("high"),
+        F.avg(F.when(F.col("back") < 200, F.col("close"))).alias("a200"),
+        F.max(F.when(F.col("n") == F.col("end"), F.col("rsi_14"))).alias("rsi14"),
+        F.max_by("r21", F.when(F.col("r21").isNotNull(), F.col("n"))).alias("move"),
+        F.avg("r21").alias("m"),
+        F.stddev_samp("r21").alias("s"),
         F.avg(F.when(tail(20), F.col("volume"))).alias("v20"), F.avg(F.when(tail(120), F.col("volume"))).alias("v120"),
     ).filter(F.col("closes") >= least)
     last = market.bench.select((change("close", 126, series())).alias("b126"), "n").orderBy(F.desc("n")).limit(1).select("b126")
     back = lambda k: F.col("c0") / F.col(f"c{k}") - 1
     out = facts.crossJoin(F.broadcast(last)).select(
-        "asset", back(21).alias("ret_1m"), back(63).alias("ret_3m"), back(126).alias("ret_6m"), back(252).alias("ret_12m"), (back(126) - F.col("b126")).alias("rel_strength_6m"), (
-            F.col("sd") * math.sqrt(periods)
-        ).alias("vol_3m"),
-        (F.col("c0") / F.col("high") - 1).alias("dist_52w_high"), "rsi14", (F.col("c0") > F.col("a200")).alias("above_200d"), F.when(
-            F.col("s") > 0,
-            (F.col("move") - F.col("m")) / F.col("s"),
-        ).otherwise(0.0).alias("z_1m_move"), F.when(F.col("v120") > 0, F.col("v20") / F.col("v120")).alias("volume_trend"),
+        "asset",
+        back(21).alias("ret_1m"),
+        back(63).alias("ret_3m"),
+        back(126).alias("ret_6m"),
+        back(252).alias("ret_12m"),
+        (back(126) - F.col("b126")).alias("rel_strength_6m"),
+        (F.col("sd") * math.sqrt(periods)).alias("vol_3m"),
+        (F.col("c0") / F.col("high") - 1).alias("dist_52w_high"),
+        "rsi14",
+        (F.col("c0") > F.col("a200")).alias("above_200d"),
+        F.when(F.col("s") > 0, (F.col("move") - F.col("m")) / F.col("s")).otherwise(0.0).alias("z_1m_move"),
+        F.when(F.col("v120") > 0, F.col("v20") / F.col("v120")).alias("volume_trend"),
     )
     flag = lambda when, text: F.when(when, text)
     flags = F.array_join(F.array_compact(F.array(
-        flag(F.col("z_1m_move") >= 2, "unusual strength"), flag(
-            F.col("z_1m_move") <= -2,
-            "unusual weakness",
-        ), flag(F.col("volume_trend") >= 1.5, "volume surge"),
-        flag((F.col("rsi14") < 30) & F.col("above_200d"), "oversold in uptrend"), flag(F.col("rsi14") > 75, "overbought"), flag(F.col("dist_52w_high") > -0.02, "at 52w high"), flag(
-            ~F.col("above_200d") & (F.col("dist_52w_high") < -0.25),
-            "broken trend",
-        ),
+        flag(F.col("z_1m_move") >= 2, "unusual strength"),
+        flag(F.col("z_1m_move") <= -2, "unusual weakness"),
+        flag(F.col("volume_trend") >= 1.5, "volume surge"),
+        flag((F.col("rsi14") < 30) & F.col("above_200d"), "oversold in uptrend"),
+        flag(F.col("rsi14") > 75, "overbought"),
+        flag(F.col("dist_52w_high") > -0.02, "at 52w high"),
+        flag(~F.col("above_200d") & (F.col("dist_52w_high") < -0.25), "broken trend"),
     )), ", ")
     out = out.withColumn("flags", flags)
     if len(market.assets) < 2:

@@ -58,13 +58,12 @@ def max_drawdown(returns: DataFrame, keys: tuple[str, ...] = KEY) -> DataFrame:
     on = lambda what: F.max(F.when(what, F.col("date")))
     low = F.col("n") <= F.col("trough")
     out = rows.groupBy(*keys).agg(
-        (-F.min("dd")).alias("max_drawdown"), F.coalesce(
-            on(low & (F.col("dd") == 0)),
-            F.min("date"),
-        ).alias("peak"), on(F.col("n") == F.col("trough")).alias("trough"),
-        F.min(
-            F.when((F.col("n") >= F.col("trough")) & (F.col("dd") >= 0), F.col("date"))
-        ).alias("recovery"), F.max("date").alias("end"), F.max("run").alias("longest_underwater_bars"),
+        (-F.min("dd")).alias("max_drawdown"),
+        F.coalesce(on(low & (F.col("dd") == 0)), F.min("date")).alias("peak"),
+        on(F.col("n") == F.col("trough")).alias("trough"),
+        F.min(F.when((F.col("n") >= F.col("trough")) & (F.col("dd") >= 0), F.col("date"))).alias("recovery"),
+        F.max("date").alias("end"),
+        F.max("run").alias("longest_underwater_bars"),
     )
     return out.select(
         *keys,
@@ -103,12 +102,19 @@ def summary(
     rows = rows.withColumn("q05", F.percentile("r", 0.05).over(Window.partitionBy(*KEY)))
     n, root = F.count("*"), math.sqrt(periods)
     aggs = [
-        F.min("date").alias("start"), F.max("date").alias("end"), n.alias("m"), growth().alias("g"), (
-            F.stddev_samp("r") * root
-        ).alias("ann_vol"), sharpe("r", periods, rf).alias("sharpe"), sortino("r", periods, rf).alias("sortino"),
-        F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.coalesce(F.skewness("r"), F.lit(0.0)).alias("skew"), F.coalesce(F.kurtosis("r"), F.lit(0.0)).alias("kurtosis"), (-F.min("q05")).alias("var_95"), (
-            -F.avg(F.when(F.col("r") <= F.col("q05"), F.col("r")))
-        ).alias("cvar_95"),
+        F.min("date").alias("start"),
+        F.max("date").alias("end"),
+        n.alias("m"),
+        growth().alias("g"),
+        (F.stddev_samp("r") * root).alias("ann_vol"),
+        sharpe("r", periods, rf).alias("sharpe"),
+        sortino("r", periods, rf).alias("sortino"),
+        F.avg("r").alias("mean"),
+        F.stddev_samp("r").alias("sd"),
+        F.coalesce(F.skewness("r"), F.lit(0.0)).alias("skew"),
+        F.coalesce(F.kurtosis("r"), F.lit(0.0)).alias("kurtosis"),
+        (-F.min("q05")).alias("var_95"),
+        (-F.avg(F.when(F.col("r") <= F.col("q05"), F.col("r")))).alias("cvar_95"),
         F.max("r").alias("best_day"), F.min("r").alias("worst_day"), F.avg((F.col("r") > 0).cast("int")).alias("pct_positive_days"),
     ]
     if bench is not None:
@@ -116,16 +122,13 @@ def summary(
         beta = F.coalesce(F.covar_samp("r", "b") / F.nullif(F.var_samp("b"), F.lit(0.0)), F.lit(0.0))
         flat = F.lit(rf / periods)
         aggs += [
-            growth("b").alias("gb"), sharpe("b", periods, rf).alias("benchmark_sharpe"), beta.alias("beta"), ((
-                F.avg("r") - flat - beta * (F.avg("b") - flat)
-            ) * periods).alias("alpha_ann"), F.when(
-                (F.stddev_samp("r") > 0) & (F.stddev_samp("b") > 0),
-                corr("r", "b"),
-            ).otherwise(0.0).alias("correlation"),
-            (F.stddev_samp(active) * root).alias("tracking_error"), F.coalesce(
-                F.avg(active) * root / F.nullif(F.stddev_samp(active), F.lit(0.0)),
-                F.lit(0.0),
-            ).alias("information_ratio"),
+            growth("b").alias("gb"),
+            sharpe("b", periods, rf).alias("benchmark_sharpe"),
+            beta.alias("beta"),
+            ((F.avg("r") - flat - beta * (F.avg("b") - flat)) * periods).alias("alpha_ann"),
+            F.when((F.stddev_samp("r") > 0) & (F.stddev_samp("b") > 0), corr("r", "b")).otherwise(0.0).alias("correlation"),
+            (F.stddev_samp(active) * root).alias("tracking_error"),
+            F.coalesce(F.avg(active) * root / F.nullif(F.stddev_samp(active), F.lit(0.0)), F.lit(0.0)).alias("information_ratio"),
         ]
     facts = rows.groupBy(*KEY).agg(*aggs).filter("m >= 2")
     years = yearly(rows).groupBy(*KEY).agg(F.avg((F.col("r") > 0).cast("int")).alias("positive_years"), F.min("r").alias("worst_year"))

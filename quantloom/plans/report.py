@@ -167,12 +167,18 @@ def _strategy(name: str, v: dict) -> str:
         {k: plain(x) if isinstance(x, float) else x for k, x in row.items() if k != "config_id"} for row in frame.to_dict("records")
     ]
     parts = [
-        f"### {name}: {verdict.status}, {verdict.score}", d.thesis, d.rules, f"Parameters now: {', '.join(f'{k}={x}' for k, x in v['deployed'].items())}. Sharpe ratio with 95 % confidence: {plain(v['ci'][0])} to {plain(v['ci'][1])}; t = {plain(v['t_stat'])}.",
-        table(checks), table(samples), table(
-            [{"Scenario": k, "Sharpe": plain(x)} for k, x in v["stress"].items()]
-        ), table(windows), table(numbers(v["regime_table"])), table(numbers(v["crises"])), table(numbers(v["pnl"])), table(
-            [{"Without": k, "Sharpe": plain(x)} for k, x in v["without"].items()]
-        ),
+        f"### {name}: {verdict.status}, {verdict.score}",
+        d.thesis,
+        d.rules,
+        f"Parameters now: {', '.join(f'{k}={x}' for k, x in v['deployed'].items())}. Sharpe ratio with 95 % confidence: {plain(v['ci'][0])} to {plain(v['ci'][1])}; t = {plain(v['t_stat'])}.",
+        table(checks),
+        table(samples),
+        table([{"Scenario": k, "Sharpe": plain(x)} for k, x in v["stress"].items()]),
+        table(windows),
+        table(numbers(v["regime_table"])),
+        table(numbers(v["crises"])),
+        table(numbers(v["pnl"])),
+        table([{"Without": k, "Sharpe": plain(x)} for k, x in v["without"].items()]),
     ]
     return "\n\n".join(parts)
 

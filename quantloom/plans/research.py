@@ -215,23 +215,35 @@ class Research:
         by_asset = validation.frame(pnl)
         return {
             st.name: {
-                "strategy_def": st, "sets": sets[st.name], "lookahead": looks[st.name], "is_choice": best[st.name], "windows": picks[st.name], "deployed": picks[st.name][-1]["params"], "wf": summary.get(st.name, {}), "is": samples["is"].get(st.name, {}), "oos": samples["oos"].get(st.name, {}),
-                "robustness": robust[st.name], "robust": robust[st.name]["median_to_best"], "stress": stress[st.name], "regime_table": regimes[regimes.config_id == st.name], "regimes": regimes[
-                    (regimes.config_id == st.name) & (regimes.dimension == "trend")
-                ].sharpe.tolist(), "crises": crises[crises.config_id == st.name],
-                "pnl": by_asset[
-                    by_asset.config_id == st.name
-                ].sort_values(
-                    "pnl",
-                    ascending=False,
-                ), "top_share": shares[st.name].top_asset_share if st.name in shares else None, "without": without.get(st.name, {}), "n_assets": len(m.assets), "thesis": st.thesis, "note": "",
+                "strategy_def": st,
+                "sets": sets[st.name],
+                "lookahead": looks[st.name],
+                "is_choice": best[st.name],
+                "windows": picks[st.name],
+                "deployed": picks[st.name][-1]["params"],
+                "wf": summary.get(st.name, {}),
+                "is": samples["is"].get(st.name, {}),
+                "oos": samples["oos"].get(st.name, {}),
+                "robustness": robust[st.name],
+                "robust": robust[st.name]["median_to_best"],
+                "stress": stress[st.name],
+                "regime_table": regimes[regimes.config_id == st.name],
+                "regimes": regimes[(regimes.config_id == st.name) & (regimes.dimension == "trend")].sharpe.tolist(),
+                "crises": crises[crises.config_id == st.name],
+                "pnl": by_asset[by_asset.config_id == st.name].sort_values("pnl", ascending=False),
+                "top_share": shares[st.name].top_asset_share if st.name in shares else None,
+                "without": without.get(st.name, {}),
+                "n_assets": len(m.assets),
+                "thesis": st.thesis,
+                "note": "",
                 "trials": [
                     (scores[i, "eval"].mean, scores[i, "eval"].sd) for i in (
                         f"{st.name}#{k:02d}" for k in range(len(sets[st.name]))
                     ) if (i, "eval") in scores
-                ], "returns": wf_returns.filter(F.col("config_id") == st.name), "sensitivity": sens.filter(
-                    F.col("config_id").startswith(f"{st.name}#")
-                ), "daily": wf_daily.filter(F.col("config_id") == st.name),
+                ],
+                "returns": wf_returns.filter(F.col("config_id") == st.name),
+                "sensitivity": sens.filter(F.col("config_id").startswith(f"{st.name}#")),
+                "daily": wf_daily.filter(F.col("config_id") == st.name),
             }
             for st in strategies
         }

@@ -557,8 +557,11 @@ def overlay(base: Strategy, kind: str) -> Strategy:
         return apply(market, base.weights(market, [{k: v for k, v in s.items() if k != name} for s in sets]), sets)
 
     return Strategy(
-        f"{base.name}+{kind}", {**base.defaults, name: extra[name][-1]}, {
-            k: base.grid[k] for k in list(base.grid)[:2]
-        } | extra, weights, base.min_assets, base.long_only,
+        f"{base.name}+{kind}",
+        {**base.defaults, name: extra[name][-1]},
+        {k: base.grid[k] for k in list(base.grid)[:2]} | extra,
+        weights,
+        base.min_assets,
+        base.long_only,
         lambda p: base.valid({k: p[k] for k in base.defaults}), base.family, f"{base.thesis} {note}", f"{base.rules} {note}",
     )

@@ -14,12 +14,13 @@ def _bars(rows: DataFrame, *keys: str) -> DataFrame:
     price = lambda x: 100 * F.pow(x, F.lit(0.05))
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     return rows.groupBy(*keys, "date").agg(
-        price(
-            F.min_by(unit, F.struct(F.col("l_orderkey"), F.col("l_linenumber"), unit))
-        ).alias("open"), price(F.max(unit)).alias("high"), price(F.min(unit)).alias("low"),
+        price(F.min_by(unit, F.struct(F.col("l_orderkey"), F.col("l_linenumber"), unit))).alias("open"),
+        price(F.max(unit)).alias("high"),
+        price(F.min(unit)).alias("low"),
         price(
             F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double") / F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double")
-        ).alias("close"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("volume"),
+        ).alias("close"),
+        F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("double").alias("volume"),
     )
 
 
