@@ -48,14 +48,16 @@ walk(config_id, n, e, x, ret, gross, cost, turnover, share, held, exposure, earn
   SELECT config_id, CAST(-1 AS BIGINT), 1.0::DOUBLE, list_transform(w, lambda v: 0.0::DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, list_transform(w, lambda v: 0.0::DOUBLE),
     list_transform(w, lambda v: 0.0::DOUBLE), list_transform(w, lambda v: 0.0::DOUBLE) FROM day WHERE n = 0
   UNION ALL
-  SELECT config_id, n, e * grown, x2, grown - 1, before / (1 - cost) - 1, cost, turnover, share, e, {held}, earned, paid FROM (
+  SELECT config_id, n, CASE WHEN e > 0 THEN e * grown ELSE e END, x2, CASE WHEN e <= 0 THEN 0.0 WHEN e * grown <= 0 THEN -1.0 ELSE grown - 1 END,
+    CASE WHEN e <= 0 THEN 0.0 WHEN cost < 1 THEN before / (1 - cost) - 1 ELSE -1.0 END, CASE WHEN e > 0 THEN cost ELSE 0.0 END, CASE WHEN e > 0 THEN turnover ELSE 0.0 END, CASE WHEN e > 0 THEN share ELSE 0.0 END,
+    e, {held}, earned, paid FROM (
     SELECT *, CASE WHEN n = 0 THEN 1 - cost ELSE before * (1 + cash * (CASE WHEN cash >= 0 THEN 0.0 ELSE {costs.financing_spread_bps / 1e4 / _PERIODS!r} END) - {costs.borrow_bps / 1e4 / _PERIODS!r} * short) END AS grown FROM (
     SELECT *, (1 + g1) * (1 - cost) * (1 + g2) AS before, 1 - list_sum(x2) AS cash, list_sum({each('greatest(0.0, -x2[i])')}) AS short FROM (
     SELECT *, {each('y[i] * (1 + r_id[i]) / (1 + g2)') if legs else 'y'} AS x2, list_sum(paid) AS cost, list_sum({each('abs(delta[i])')}) AS turnover,
       list_max({each(f'CASE WHEN adv[i] > 0 THEN abs(delta[i]) * e * {_CAPITAL!r} / adv[i] ELSE 0.0 END')}) AS share,
       {each('x0[i] * r_on[i] + y[i] * r_id[i]') if legs else each('x0[i] * r_cc[i]')} AS earned FROM (
     SELECT *, {f"list_sum({each('y[i] * r_id[i]')})" if legs else '0.0::DOUBLE'} AS g2,
-      {each(f"CASE WHEN delta[i] > 0 THEN delta[i] * {costs.buy_rate!r} ELSE -delta[i] * {costs.sell_rate!r} END + CASE WHEN adv[i] > 0 THEN abs(delta[i]) * {costs.impact_coef!r} * sigma[i] * sqrt(abs(delta[i]) * e * {_CAPITAL!r} / adv[i]) ELSE 0.0 END")} AS paid FROM (
+      {each(f"CASE WHEN delta[i] > 0 THEN delta[i] * {costs.buy_rate!r} ELSE -delta[i] * {costs.sell_rate!r} END + CASE WHEN adv[i] > 0 THEN abs(delta[i]) * {costs.impact_coef!r} * sigma[i] * sqrt(abs(delta[i]) * greatest(e, 0.0) * {_CAPITAL!r} / adv[i]) ELSE 0.0 END")} AS paid FROM (
     SELECT *, {each('CASE WHEN fill THEN goal[i] - d[i] ELSE 0.0 END')} AS delta, CASE WHEN fill THEN goal ELSE d END AS y FROM (
     SELECT *, {each(f'x0[i] * (1 + {first}[i]) / (1 + g1)')} AS d FROM (
     SELECT day.*, walk.e, walk.x AS x0, list_sum(list_transform(range(1, len(w) + 1), lambda i: walk.x[i] * {first}[i])) AS g1 FROM walk JOIN day ON day.config_id = walk.config_id AND day.n = walk.n + 1
