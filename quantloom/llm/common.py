@@ -55,7 +55,11 @@ def drop_written(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of stages whose results are written: it does so as the JVM collects garbage."""
+    """Let Spark delete the shuffle files of stages whose results are written.
+
+    Spark has no call for that: it deletes them as the driver's JVM collects garbage, by itself every half an hour only. On a
+    cluster with dynamic allocation or a short cleaner interval this is a no-op; results do not depend on it.
+    """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

@@ -176,7 +176,9 @@ def components(edges: DataFrame) -> DataFrame:
             F.col("m").alias("a"),
             F.col("a").alias("b"),
         ).union(joined.select(F.col("m").alias("a"), "b")).filter("a < b").distinct()
-        edges = common.written(small)
+        previous, edges = edges, common.written(small)
+        common.drop_written(large)
+        common.drop_written(previous)
         after = state(edges)
         if after == before:
             break
