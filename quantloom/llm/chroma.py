@@ -4,17 +4,20 @@ A recording becomes frames of energy in the 12 pitch classes; an integral image
 gives the sum of any rectangle in four reads, so 16 rectangle-contrast filters are evaluated at
 every frame; each is quantised to a two-bit Gray code, and 32 bits make one packed integer a frame.
 
-Search. Recordings with the same integers are one class, told by a digest and named by their smallest id.
-Keys are pairs of integers `span` frames apart, where they differ from the frame before (held tones
-would only repeat them). A key that classes share elects one of them, its representative: the one
-whose digest has the smallest hash. Each other class votes for its offset to that representative, so a key
-of n classes makes n - 1 votes and not their square, however many near copies meet there. Offsets with
-`min_hits` votes or more are verified: bit errors over the whole overlap of the two sequences, and up to
-`max_ber` of them over `min_frames` or more is a link. Where a class does not link to a key's representative,
+Recordings with the same integers are one class, told by a digest and named by their smallest id.
+
+Search. Keys are pairs of integers PROBE frames apart, where they differ from the frame before (held tones
+would only repeat them). Rows are dealt by key, and each class that is asked for votes for its offset to every class
+that has the key. Offsets with `min_hits` votes or more (or as many as a class has keys) are verified: bit errors
+over the whole overlap of the two sequences, and up to `max_ber` of them over `min_frames` or more is a match.
+Every match is listed, also among near copies, which take as many rows as they have pairs with a class that is asked for.
+
+Groups. All classes are grouped in rows that grow with their number, not with their pairs: a key (here of integers `span`
+frames apart) that classes share elects one of them, its representative: the one whose digest has the smallest hash. Each
+other class votes for its offset to that one, and what holds is a link. Where a class does not link to a key's representative,
 the place goes on with keys of 2, then 4, then 8 in a row, so that what shares a key by chance parts and what is alike
-meets again; nothing is capped. Links are few (each class has some representatives), and those who
-reach one another through them are one group: near copies are told by their group, and aligned
-through a representative that they share, by the difference of their offsets.
+meets again; nothing is capped. Those who reach one another through links are one group. A group says who
+is alike through others; it is not what a query matches, and a match may lie outside of it.
 
 Edge cases: null, empty and undecodable media, and files of no rate or an unknown sample width, have no frames and no integers; of
 a file cut in mid-sample, whole samples count. Silence has frames without energy, whose integers are alike. Repeated rows
@@ -48,6 +51,8 @@ SHAPES = (
 )
 LEVELS = (-0.7, 0.0, 0.7)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
+#: Frames between the two integers of a search key. Near copies at a bit error rate of 0.15 rarely agree over much longer stretches.
+PROBE = 4
 
 
 def filters() -> list[tuple[str, int, int, int]]:
@@ -198,7 +203,9 @@ def verified(votes: DataFrame, found: DataFrame, min_frames: int, max_ber: float
     early, late = F.least("offset", F.lit(0)), F.greatest("offset", F.lit(0))
     both = both.withColumn("frames", F.least(F.size("a") + early, F.size("b") - late)).filter(F.col("frames") >= min_frames)
     x, y = F.slice("a", 1 - early, F.col("frames")), F.slice("b", 1 + late, F.col("frames"))
-    errors = F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda s, n: s + n)
+    # bit_count widens a negative integer with 32 ones, so the low 32 bits are taken first
+    differ = lambda u, v: F.bit_count(u.bitwiseXOR(v).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+    errors = F.aggregate(F.zip_with(x, y, differ), F.lit(0), lambda s, n: s + n)
     scored = both.withColumn("bit_errors", errors).withColumn("ber", F.col("bit_errors") / (32.0 * F.col("frames"))).filter(F.col("ber") <= max_ber)
     return _best(scored)
 
@@ -234,34 +241,101 @@ def links(found: DataFrame, span: int = 16, min_hits: int = 2, min_frames: int =
     return _best(out)
 
 
-def search(media: DataFrame, id_col: str, media_col: str, decode: Callable = decode_wav, every: int = 20, **options) -> DataFrame:
-    """Membership of all rows, and the links of all groups that have a row whose id is divisible by `every`.
+def _meetings(batches):
+    """Rows come in order of their key; each class that is asked for meets every other class of the key, two that are both asked for once."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        key = table.column("key").to_numpy()
+        # the last key may go on in the next batch
+        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        held = table.slice(cut)
+        yield from _met(table.slice(0, cut))
+    if held is not None:
+        yield from _met(held)
+
+
+def _met(table: pa.Table, most: int = 1 << 18):
+    if not len(table):
+        return
+    table = table.combine_chunks()
+    key, pos, need, asked = (table.column(c).to_numpy() for c in ("key", "pos", "need", "asked"))
+    digests = table.column("digest").chunk(0)
+    name = np.array(digests.to_pylist(), "S16")
+    first, last = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
+    for row in np.flatnonzero(asked & (last - first > 1)):
+        for at in range(first[row], last[row], most):
+            other = np.arange(at, min(at + most, last[row]))
+            other = other[(name[other] != name[row]) & (~asked[other] | (name[other] < name[row]))]
+            if len(other):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        digests.take(pa.array(np.full(len(other), row))),
+                        digests.take(pa.array(other)),
+                        pa.array(pos[other] - pos[row], pa.int32()),
+                        pa.array(np.minimum(need[other], need[row]), pa.int32()),
+                    ],
+                    ["digest", "rep", "offset", "need"],
+                )
+
+
+def matches(found: DataFrame, asked: DataFrame, span: int = PROBE, min_hits: int = 2, min_frames: int = 32, max_ber: float = 0.15) -> DataFrame:
+    """What each of the classes `asked` (digest, asked) matches among all classes `found` (digest, ints): digest, rep, offset, frames, bit_errors, ber.
+
+    rep is the class that is matched. Two that are both asked for make one row.
+    """
+    keys = _keys(found, span).join(asked, "digest", "left")
+    rows = keys.select(
+        F.explode("k").alias("k"),
+        "digest",
+        F.least(F.size("k"), F.lit(min_hits)).alias("need"),
+        F.coalesce("asked", F.lit(False)).alias("asked"),
+    ).select("k.key", "digest", "k.pos", "need", "asked")
+    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(common.trimmed(_meetings), "digest binary, rep binary, offset int, need int")
+    votes = met.groupBy("digest", "rep", "offset").agg(F.count("*").alias("hits"), F.max("need").alias("need")).filter("hits >= need")
+    return verified(votes.select("digest", "rep", "offset"), found, min_frames, max_ber)
+
+
+def search(
+    media: DataFrame,
+    id_col: str,
+    media_col: str,
+    decode: Callable = decode_wav,
+    every: int = 20,
+    span: int = 16,
+    min_hits: int = 2,
+    min_frames: int = 32,
+    max_ber: float = 0.15,
+) -> DataFrame:
+    """Membership of all rows, and all matches of the rows whose id is divisible by `every`.
 
     Rows of kind `member`: id, the class_id of its class and the group_id of its group, its smallest class_id (both null if it has no
-    integers). Rows of kind `match`: id is a class, class_id the representative it aligns with, and the alignment. What a query
-    matches is its group; two of its classes that share a representative are aligned by the difference of their offsets.
+    integers). Rows of kind `match`: id is a class that has a row asked for, class_id one that it matches, and the alignment;
+    group_id is that of id. A match of two classes that are both asked for is one row.
     """
+    bounds = {"min_hits": min_hits, "min_frames": min_frames, "max_ber": max_ber}
     prints = common.written(fingerprints(media, id_col, media_col, decode))
     found = common.written(classes(prints.filter(F.size("ints") > 0)))
-    edges = common.written(links(found.select("digest", "ints"), **options))
+    edges = common.written(links(found.select("digest", "ints"), span=span, **bounds))
     roots = common.written(components(edges.select(F.col("digest").alias("a"), F.col("rep").alias("b"))))
     named = found.select("digest", "class_id").join(roots, F.col("digest") == F.col("node"), "left").select(
         "digest",
         "class_id",
         F.coalesce("root", "digest").alias("root"),
     )
-    asked = prints.filter(F.col("id") % every == 0).select("digest").distinct().withColumn("asked", F.lit(True))
-    groups = named.join(asked, "digest", "left").groupBy("root").agg(F.min("class_id").alias("group_id"), F.max("asked").alias("asked"))
-    named = common.written(named.join(groups, "root").select("digest", "class_id", "group_id", "asked"))
+    groups = named.groupBy("root").agg(F.min("class_id").alias("group_id"))
+    named = common.written(named.join(groups, "root").select("digest", "class_id", "group_id"))
     null = lambda kind: F.lit(None).cast(kind)
     members = prints.select("id", "digest").join(named, "digest", "left")
     one = members.select(
         F.lit("member").alias("kind"), "id", "class_id", "group_id",
         null("int").alias("offset"), null("int").alias("frames"), null("int").alias("bit_errors"), null("double").alias("ber"),
     )
+    asked = prints.filter(F.col("id") % every == 0).select("digest").distinct().withColumn("asked", F.lit(True))
     theirs = named.select(F.col("digest").alias("rep"), F.col("class_id").alias("rep_id"))
-    matches = edges.join(named.filter("asked"), "digest").join(theirs, "rep")
-    return one.union(matches.select(F.lit("match"), "class_id", "rep_id", "group_id", "offset", "frames", "bit_errors", "ber"))
+    held = matches(found.select("digest", "ints"), asked, **bounds).join(named, "digest").join(theirs, "rep")
+    return one.union(held.select(F.lit("match"), "class_id", "rep_id", "group_id", "offset", "frames", "bit_errors", "ber"))
 
 
 RATE, NOTE = 2048, 512

@@ -146,6 +146,29 @@ def test_votes_of_near_copies_grow_with_their_number(spark, monkeypatch):
     assert made[400] < 6 * made[100]
 
 
+def test_every_match_of_a_query_is_listed(spark):
+    """Pairs of near copies that no third recording connects, a family of near copies, and held tones, against all pairs at all offsets."""
+    r, rows = np.random.default_rng(17), planted(30, seed=5)[:30]
+    for _ in range(40):
+        base = r.normal(size=64)
+        rows += [base.tolist(), (base + r.normal(size=64) * r.uniform(0.05, 0.15)).tolist()]
+    rows += [[1.0, 0.0] * 32, [1.0, 0.0] * 25, [0.0, 1.0] * 32]
+    media = spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>")
+    found = C.search(media, "id", "v", C.rendered, every=2).collect()
+    member = {x.id: x.class_id for x in found if x.kind == "member"}
+    every = brute({k: C.packed(C.chroma(*C.rendered(rows[k]))) for k in set(member.values())})
+    asked = {member[k] for k in range(0, len(rows), 2)}
+    want = {frozenset(k) for k in every if k[0] in asked}
+    got = [frozenset((x.id, x.class_id)) for x in found if x.kind == "match"]
+    assert len(got) == len(set(got)) and set(got) <= want
+    lone = {k for k in want if min(k) >= 30}
+    assert len(lone) > 30 and len(want - lone) > 150
+    assert len(lone & set(got)) >= 0.95 * len(lone) and len(want & set(got)) >= 0.95 * len(want)
+    assert frozenset((110, 111)) in got
+    exact = [every[x.id, x.class_id][0] == x.ber for x in found if x.kind == "match" and x.id in asked]
+    assert len(exact) == len(got) and np.mean(exact) >= 0.95
+
+
 def test_long_recording_is_found_by_its_part(spark):
     r = np.random.default_rng(9)
     rate, x = C.rendered(r.normal(size=4000).tolist())
