@@ -7,10 +7,12 @@ every frame; each is quantised to a two-bit Gray code, and 32 bits make one pack
 Recordings with the same integers are one class, told by a digest and named by their smallest id.
 
 Search. Keys are pairs of integers PROBE frames apart, where they differ from the frame before (held tones
-would only repeat them). Rows are dealt by key, and each class that is asked for votes for its offset to every class
-that has the key. Offsets with `min_hits` votes or more (or as many as a class has keys) are verified: bit errors
-over the whole overlap of the two sequences, and up to `max_ber` of them over `min_frames` or more is a match.
-Every match is listed, also among near copies, which take as many rows as they have pairs with a class that is asked for.
+would only repeat them). Classes that are asked for are dealt to blocks of about BLOCK keys, those of a group together. A class
+that shares keys with a block goes there once a key, however many of the block have that key, and is met by all of them at one place:
+its votes for each offset are counted there, and what leaves is a row for each pair and offset with `min_hits` votes or
+more (or as many as a class has keys), not one for each vote. Such rows are verified: bit errors over the whole overlap of the
+two sequences, and up to `max_ber` of them over `min_frames` or more is a match. Every match is listed, also among near copies,
+which take as many rows as they have pairs with a class that is asked for.
 
 Groups. All classes are grouped in rows that grow with their number, not with their pairs: a key (here of integers `span`
 frames apart) that classes share elects one of them, its representative: the one whose digest has the smallest hash. Each
@@ -53,6 +55,8 @@ LEVELS = (-0.7, 0.0, 0.7)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Frames between the two integers of a search key. Near copies at a bit error rate of 0.15 rarely agree over much longer stretches.
 PROBE = 4
+#: Keys of the classes that are asked for in a block of a search, parts in which other classes meet a block, votes counted at a time.
+BLOCK, PARTS, VOTES = 1 << 17, 16, 1 << 20
 
 
 def filters() -> list[tuple[str, int, int, int]]:
@@ -178,11 +182,27 @@ def classes(prints: DataFrame) -> DataFrame:
 
 def _keys(found: DataFrame, span: int) -> DataFrame:
     """(digest, k): for each class its keys in order, (key, pos), where a key differs from the one before."""
-    high = lambda i: F.shiftleft(F.get("ints", i).cast("long"), 32)
-    pair = F.transform(F.sequence(F.lit(0), F.size("ints") - span - 1), lambda i: high(i).bitwiseXOR(F.get("ints", i + span).cast("long")))
-    rows = found.filter(F.size("ints") > span).select("digest", pair.alias("keys"))
-    fresh = F.transform("keys", lambda k, i: F.when((i == 0) | (k != F.get("keys", i - 1)), F.struct(k.alias("key"), i.alias("pos"))))
-    return rows.select("digest", F.filter(fresh, lambda x: x.isNotNull()).alias("k"))
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                part = batch.slice(a, 1024)
+                first = part.column("ints").offsets.to_numpy()
+                x = part.column("ints").values.to_numpy()[first[0] : first[-1]].astype(np.int64)
+                first = first - first[0]
+                row = np.repeat(np.arange(len(part)), np.diff(first))
+                at = np.arange(len(x))
+                at = at[at + span < first[row + 1]]
+                key, row = (x[at] << 32) ^ x[at + span], row[at]
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+                at, key, row = at[fresh], key[fresh], row[fresh]
+                k = pa.StructArray.from_arrays([pa.array(key), pa.array(at - first[row], pa.int32())], ["key", "pos"])
+                ends = pa.array(np.searchsorted(row, np.arange(len(part) + 1)), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("digest"), pa.ListArray.from_arrays(ends, k)], ["digest", "k"])
+
+    rows = found.filter(F.size("ints") > span).select("digest", "ints")
+    return rows.mapInArrow(common.trimmed(run), "digest binary, k array<struct<key:long,pos:int>>")
 
 
 def _grams(keys: DataFrame, n: int) -> DataFrame:
@@ -241,60 +261,127 @@ def links(found: DataFrame, span: int = 16, min_hits: int = 2, min_frames: int =
     return _best(out)
 
 
-def _meetings(batches):
-    """Rows come in order of their key; each class that is asked for meets every other class of the key, two that are both asked for once."""
-    held = None
+def _flat(k: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, key and place of all keys of a column `k`."""
+    row, x = np.repeat(np.arange(len(k)), np.diff(k.offsets.to_numpy())), k.flatten()
+    return row, x.field("key").to_numpy(), x.field("pos").to_numpy().astype(np.int64)
+
+
+def _joined(rows: list[pa.RecordBatch]) -> tuple:
+    """Of rows (digest, need, k, asked): digests, the same as numpy names, need, asked, and the keys with their rows and places."""
+    table = pa.Table.from_batches(rows).combine_chunks()
+    digests = table.column("digest").chunk(0)
+    need, asked = table.column("need").to_numpy(), table.column("asked").to_numpy()
+    return digests, np.array(digests.to_pylist(), "S16"), need, asked, *_flat(table.column("k").chunk(0))
+
+
+def _meetings(batches, votes: int):
+    """Rows come in order of block and part, and there those asked for first, then the others' keys in order of digest."""
+    place, own, index, held = None, [], None, []
     for batch in batches:
-        table = pa.Table.from_batches([batch])
-        table = table if held is None else pa.concat_tables([held, table])
-        key = table.column("key").to_numpy()
-        # the last key may go on in the next batch
-        cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        held = table.slice(cut)
-        yield from _met(table.slice(0, cut))
-    if held is not None:
-        yield from _met(held)
-
-
-def _met(table: pa.Table, most: int = 1 << 18):
-    if not len(table):
+        block, part, query = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "part", "query"))
+        new = np.ones(len(batch), bool)
+        new[1:] = (block[1:] != block[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])
+        edges = [*np.flatnonzero(new), len(batch)]
+        for a, b in zip(edges, edges[1:]):
+            if place != (block[a], part[a]):
+                yield from _votes(held, index, votes)
+                place, own, index, held = (block[a], part[a]), [], None, []
+            if query[a]:
+                own.append(batch.slice(a, b - a))
+                continue
+            if index is None:
+                index = _index(own)
+            held.append(batch.slice(a, b - a))
+            # the last class may go on in the next batch
+            names = held[-1].column("digest")
+            cut = len(names)
+            while cut and names[cut - 1] == names[len(names) - 1]:
+                cut -= 1
+            if cut:
+                yield from _votes([*held[:-1], held[-1].slice(0, cut)], index, votes)
+                held = [held[-1].slice(cut)]
+    yield from _votes(held, index, votes)
+
+
+def _index(own: list[pa.RecordBatch]) -> tuple:
+    digests, name, need, _, row, key, pos = _joined(own)
+    order = np.argsort(key, kind="stable")
+    return digests, name, need, row[order], key[order], pos[order]
+
+
+def _counted(pair: np.ndarray, offset: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of n for each pair and offset."""
+    if not len(pair):
+        return pair, offset, n
+    order = np.lexsort((offset, pair))
+    pair, offset, n = pair[order], offset[order], n[order]
+    start = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (offset[1:] != offset[:-1])])
+    return pair[start], offset[start], np.add.reduceat(n, start)
+
+
+def _votes(rows: list[pa.RecordBatch], index: tuple | None, most: int):
+    """All keys of some classes against a block: a row for each pair and offset that has the votes it needs."""
+    if not rows or index is None:
         return
-    table = table.combine_chunks()
-    key, pos, need, asked = (table.column(c).to_numpy() for c in ("key", "pos", "need", "asked"))
-    digests = table.column("digest").chunk(0)
-    name = np.array(digests.to_pylist(), "S16")
-    first, last = np.searchsorted(key, key, "left"), np.searchsorted(key, key, "right")
-    for row in np.flatnonzero(asked & (last - first > 1)):
-        for at in range(first[row], last[row], most):
-            other = np.arange(at, min(at + most, last[row]))
-            other = other[(name[other] != name[row]) & (~asked[other] | (name[other] < name[row]))]
-            if len(other):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        digests.take(pa.array(np.full(len(other), row))),
-                        digests.take(pa.array(other)),
-                        pa.array(pos[other] - pos[row], pa.int32()),
-                        pa.array(np.minimum(need[other], need[row]), pa.int32()),
-                    ],
-                    ["digest", "rep", "offset", "need"],
-                )
+    digests, name, need, asked, row, key, pos = _joined(rows)
+    their, their_name, their_need, their_row, their_key, their_pos = index
+    # classes of the rows, which come in order
+    number = np.cumsum(np.r_[False, name[1:] != name[:-1]])
+    first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+    low, high = np.searchsorted(their_key, key, "left"), np.searchsorted(their_key, key, "right")
+    ends = np.cumsum(high - low)
+    found, a = [], 0
+    while a < len(key):
+        # about `most` votes at a time
+        before = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
+        n = (high - low)[a:b]
+        mine = np.repeat(np.arange(a, b), n)
+        other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+        q, c = their_row[other], row[mine]
+        # two that are both asked for meet once
+        keep = (their_name[q] != name[c]) & (~asked[c] | (name[c] < their_name[q]))
+        pair, offset = (q * len(first) + number[c])[keep], (pos[mine] - their_pos[other])[keep]
+        found.append(_counted(pair, offset, np.ones(len(pair), np.int64)))
+        a = b
+    pair, offset, hits = _counted(*(np.concatenate(x) for x in zip(*found)))
+    q, c = pair // len(first), first[pair % len(first)]
+    held = hits >= np.minimum(their_need[q], need[c])
+    if held.any():
+        columns = [their.take(pa.array(q[held])), digests.take(pa.array(c[held])), pa.array(offset[held], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, ["digest", "rep", "offset"])
 
 
 def matches(found: DataFrame, asked: DataFrame, span: int = PROBE, min_hits: int = 2, min_frames: int = 32, max_ber: float = 0.15) -> DataFrame:
-    """What each of the classes `asked` (digest, asked) matches among all classes `found` (digest, ints): digest, rep, offset, frames, bit_errors, ber.
+    """What each of the classes `asked` (digest, group_id) matches among all classes `found` (digest, ints): digest, rep, offset, frames, bit_errors, ber.
 
-    rep is the class that is matched. Two that are both asked for make one row.
+    rep is the class that is matched. Two that are both asked for make one row. Which rows there are does not depend on group_id,
+    which only says whom to keep in one block.
     """
-    keys = _keys(found, span).join(asked, "digest", "left")
-    rows = keys.select(
-        F.explode("k").alias("k"),
-        "digest",
-        F.least(F.size("k"), F.lit(min_hits)).alias("need"),
-        F.coalesce("asked", F.lit(False)).alias("asked"),
-    ).select("k.key", "digest", "k.pos", "need", "asked")
-    met = rows.repartition("key").sortWithinPartitions("key").mapInArrow(common.trimmed(_meetings), "digest binary, rep binary, offset int, need int")
-    votes = met.groupBy("digest", "rep", "offset").agg(F.count("*").alias("hits"), F.max("need").alias("need")).filter("hits >= need")
-    return verified(votes.select("digest", "rep", "offset"), found, min_frames, max_ber)
+    keys = _keys(found, span).withColumn("need", F.least(F.size("k"), F.lit(min_hits)))
+    own = common.written(_keys(found.join(asked, "digest", "left_semi"), span).join(asked, "digest"))
+    own = own.withColumn("need", F.least(F.size("k"), F.lit(min_hits))).withColumn("group", F.xxhash64("group_id"))
+    blocks = -(-(own.agg(F.sum(F.size("k"))).first()[0] or 1) // BLOCK)
+    # a group of more keys than a block's has blocks of its own
+    sizes = own.groupBy("group").agg(F.ceil(F.sum(F.size("k")) / BLOCK).alias("n"))
+    block = F.when(F.col("n") > 1, F.xxhash64("group", F.pmod(F.xxhash64("digest"), "n"))).otherwise(F.pmod("group", F.lit(blocks)))
+    own = own.join(sizes, "group").select("digest", "need", "k", block.alias("block"))
+    wanted = own.select(F.explode("k.key").alias("key"), "block").distinct()
+    marked = keys.join(asked.select("digest", F.lit(True).alias("asked")), "digest", "left")
+    rows = marked.select("digest", "need", F.coalesce("asked", F.lit(False)).alias("asked"), F.explode("k").alias("x"))
+    near = rows.withColumn("key", F.col("x.key")).join(wanted, "key").select(
+        "block", F.pmod(F.xxhash64("digest"), F.lit(PARTS)).cast("int").alias("part"), F.lit(False).alias("query"),
+        "digest", "need", "asked", F.array("x").alias("k"),
+    )
+    asking = own.select(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"), F.lit(True).alias("query"),
+        "digest", "need", F.lit(True).alias("asked"), "k",
+    )
+    met = asking.union(near).repartition("block", "part").sortWithinPartitions("block", "part", F.desc("query"), "digest")
+    most = VOTES
+    votes = met.mapInArrow(common.trimmed(lambda batches: _meetings(batches, most)), "digest binary, rep binary, offset int")
+    return verified(votes, found, min_frames, max_ber)
 
 
 def search(
@@ -332,7 +419,8 @@ def search(
         F.lit("member").alias("kind"), "id", "class_id", "group_id",
         null("int").alias("offset"), null("int").alias("frames"), null("int").alias("bit_errors"), null("double").alias("ber"),
     )
-    asked = prints.filter(F.col("id") % every == 0).select("digest").distinct().withColumn("asked", F.lit(True))
+    asked = prints.filter(F.col("id") % every == 0).select("digest").distinct()
+    asked = common.written(asked.join(named.select("digest", "group_id"), "digest"))
     theirs = named.select(F.col("digest").alias("rep"), F.col("class_id").alias("rep_id"))
     held = matches(found.select("digest", "ints"), asked, **bounds).join(named, "digest").join(theirs, "rep")
     return one.union(held.select(F.lit("match"), "class_id", "rep_id", "group_id", "offset", "frames", "bit_errors", "ber"))

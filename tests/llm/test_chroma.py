@@ -169,6 +169,59 @@ def test_every_match_of_a_query_is_listed(spark):
     assert len(exact) == len(got) and np.mean(exact) >= 0.95
 
 
+def test_votes_of_a_query_are_counted_where_they_meet(spark, monkeypatch):
+    """What a search makes on the way grows with its matches and its rows, not with the keys that near copies share."""
+    n = 120
+    media = spark.createDataFrame(list(enumerate(planted(n))), "id long, v array<double>")
+    plain, made = type(media).mapInArrow, []
+
+    def counted(df, f, schema, *a, **k):
+        rows = spark.sparkContext.accumulator(0)
+        made.append(rows)
+
+        def run(batches):
+            for batch in f(batches):
+                rows.add(len(batch))
+                yield batch
+
+        return plain(df, run, schema, *a, **k)
+
+    monkeypatch.setattr(type(media), "mapInArrow", counted)
+    found = [r for r in C.search(media, "id", "v", C.rendered, every=2).collect() if r.kind == "match"]
+    assert len(found) > 4000
+    assert max(x.value for x in made) < 3 * (len(found) + 2 * n)
+
+
+def test_blocks_and_pieces_change_no_match(spark, monkeypatch):
+    r, rows = np.random.default_rng(23), planted(30)
+    rows += [r.normal(size=64).tolist() * 6, [1.0, 0.0] * 32, [1.0, 0.0] * 25, [0.0, 1.0, 1.0, 0.0] * 40]
+    rows += [rows[60][:300], (np.array(rows[63]) + 0.01).tolist()]
+    media = spark.createDataFrame(list(enumerate(rows)), "id long, v array<double>")
+
+    def listed():
+        return sorted(tuple(r) for r in C.search(media, "id", "v", C.rendered, every=3).collect() if r.kind == "match")
+
+    want = listed()
+    assert len(want) > 100
+    # fewer keys than a recording has, so that its group is split; a vote at a time, and few
+    for block, parts, votes in ((50, 3, 1), (700, 1, 37)):
+        monkeypatch.setattr(C, "BLOCK", block)
+        monkeypatch.setattr(C, "PARTS", parts)
+        monkeypatch.setattr(C, "VOTES", votes)
+        assert listed() == want
+
+
+def test_keys_are_plain_pairs(spark):
+    r = np.random.default_rng(29)
+    rows = [r.integers(-2, 2, size=n).tolist() if n % 2 else [-(2**31), 2**31 - 1, -1, 0] * n for n in (0, 3, 4, 5, 6, 41, 60)] + [[7] * 30]
+    found = spark.createDataFrame([(bytearray([i]), x) for i, x in enumerate(rows)], "digest binary, ints array<int>")
+    got = {bytes(r.digest)[0]: [tuple(x) for x in r.k] for r in C._keys(found.coalesce(1), 4).collect()}
+    for i, x in enumerate(rows):
+        keys = [(((x[j] << 32) ^ x[j + 4]) + 2**63) % 2**64 - 2**63 for j in range(len(x) - 4)]
+        want = [(k, j) for j, k in enumerate(keys) if j == 0 or k != keys[j - 1]]
+        assert got.get(i, []) == want and (i in got) == (len(x) > 4)
+
+
 def test_long_recording_is_found_by_its_part(spark):
     r = np.random.default_rng(9)
     rate, x = C.rendered(r.normal(size=4000).tolist())
