@@ -56,7 +56,7 @@ GRAY = np.array([0, 1, 3, 2], np.uint32)
 #: Frames between the two integers of a search key. Near copies at a bit error rate of 0.15 rarely agree over much longer stretches.
 PROBE = 4
 #: Keys of the classes that are asked for in a block of a search, parts in which other classes meet a block, votes counted at a time.
-BLOCK, PARTS, VOTES = 1 << 17, 16, 1 << 20
+BLOCK, PARTS, VOTES = 1 << 19, 16, 1 << 20
 
 
 def filters() -> list[tuple[str, int, int, int]]:
@@ -331,26 +331,30 @@ def _votes(rows: list[pa.RecordBatch], index: tuple | None, most: int):
     first = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
     low, high = np.searchsorted(their_key, key, "left"), np.searchsorted(their_key, key, "right")
     ends = np.cumsum(high - low)
-    found, a = [], 0
+    stops, a = [*first[1:], len(key)], 0
     while a < len(key):
-        # about `most` votes at a time
+        # classes of about `most` votes at a time, or one class in pieces of so many
         before = ends[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
-        n = (high - low)[a:b]
-        mine = np.repeat(np.arange(a, b), n)
-        other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
-        q, c = their_row[other], row[mine]
-        # two that are both asked for meet once
-        keep = (their_name[q] != name[c]) & (~asked[c] | (name[c] < their_name[q]))
-        pair, offset = (q * len(first) + number[c])[keep], (pos[mine] - their_pos[other])[keep]
-        found.append(_counted(pair, offset, np.ones(len(pair), np.int64)))
-        a = b
-    pair, offset, hits = _counted(*(np.concatenate(x) for x in zip(*found)))
-    q, c = pair // len(first), first[pair % len(first)]
-    held = hits >= np.minimum(their_need[q], need[c])
-    if held.any():
-        columns = [their.take(pa.array(q[held])), digests.take(pa.array(c[held])), pa.array(offset[held], pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, ["digest", "rep", "offset"])
+        stop = next((x for x in stops if x > a and (x == len(key) or ends[x - 1] - before >= most)), len(key))
+        found = []
+        while a < stop:
+            before = ends[a - 1] if a else 0
+            b = min(stop, max(a + 1, int(np.searchsorted(ends, before + most, "right"))))
+            n = (high - low)[a:b]
+            mine = np.repeat(np.arange(a, b), n)
+            other = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[a:b], n)
+            q, c = their_row[other], row[mine]
+            # two that are both asked for meet once
+            keep = (their_name[q] != name[c]) & (~asked[c] | (name[c] < their_name[q]))
+            pair, offset = (q * len(first) + number[c])[keep], (pos[mine] - their_pos[other])[keep]
+            found.append(_counted(pair, offset, np.ones(len(pair), np.int64)))
+            a = b
+        pair, offset, hits = _counted(*(np.concatenate(x) for x in zip(*found)))
+        q, c = pair // len(first), first[pair % len(first)]
+        held = hits >= np.minimum(their_need[q], need[c])
+        if held.any():
+            columns = [their.take(pa.array(q[held])), digests.take(pa.array(c[held])), pa.array(offset[held], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "rep", "offset"])
 
 
 def matches(found: DataFrame, asked: DataFrame, span: int = PROBE, min_hits: int = 2, min_frames: int = 32, max_ber: float = 0.15) -> DataFrame:
